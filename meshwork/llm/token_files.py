@@ -47,7 +47,7 @@ _INDEX, _SEEK, _SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 
 #: White space other than the plain space, as a superset of what tokenizers count as such.
-_other_space = re.compile("[\t-\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]").search
+_other_space = re.compile("[\t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
 _cut = re.compile(r"(?<=\S) (?=\S)").split
 
 
