@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import decontamination, mixing, secrets, token_files
+from meshwork.llm import chat, decontamination, mixing, secrets, token_files
 from meshwork.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(table(spark, sf_dir, "documents"), token_files.default_tokenizer())
 
 
+def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +51,18 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(pos.n, 0)::BIG
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_ESCAPED = r"regexp_replace(replace({0}, '\', '\\'), '(<)(\||/?s>|</?SYS>)|(\[)(/?INST\])', '\1\3\\\2\4', 'g')"
+ORACLE_SQL["op6_format_chats"] = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(ESC_ROLE) + length(ESC_TEXT) + length('<|im_start|><|im_sep|><|im_end|>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("ESC_ROLE", _ESCAPED.format("role")).replace("ESC_TEXT", _ESCAPED.format("text"))
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
