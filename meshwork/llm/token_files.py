@@ -42,15 +42,21 @@ from meshwork.llm.common import cut, new_path, partitions, pieces
 
 END_ID = 2
 FRAME_IDS = 1 << 16
-CACHED = 300_000
+CACHED = 400_000
 _INDEX, _SEEK, _SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 
 #: White space other than the plain space, as a superset of what tokenizers count as such.
-_other_space = re.compile("[\t-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]").search
+_OTHER_SPACE = [c for c in map(chr, range(0x10000)) if c.isspace() and c != " "]
 _cut = re.compile(r"(?<=\S) (?=\S)").split
 
 
+def _pieces(text: str) -> list[str]:
+    """text, cut at every single space between two other characters."""
+    clear = "  " not in text and text[:1] != " " and text[-1:] != " " and not any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACE)
+    return text.split(" ") if clear else _cut(text)
+
+
 class Encoder:
     """Whole texts to little-endian uint32 ids, with the tokenizers library.
 
@@ -91,21 +97,29 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [x + self.end for x in self._whole(texts)]
-        parts = [_cut(x) if _other_space(x) or "  " in x or x[:1] == " " or x[-1:] == " " else x.split(" ") for x in texts]
-        heads = self._whole([p[0] for p in parts])
-        seen = self.seen
-        odd = {x for p in parts for x in p[1:] if x not in seen}
-        now = seen
-        if odd:
-            plain = [x for x in odd if " " not in x]
-            if len(seen) + len(odd) > CACHED:
-                now = {x: seen[x] for p in parts for x in p[1:] if x in seen}
-            self._learn(plain, now)
-            if len(plain) < len(odd):
-                rest = [x for x in odd if " " in x]
-                now.update(zip(rest, self._whole([" " + x for x in rest])))
-        get = now.__getitem__
-        return [h + b"".join(map(get, p[1:])) + self.end for h, p in zip(heads, parts)]
+        heads, words, ends = [], [], []
+        for x in texts:
+            parts = _pieces(x)
+            heads.append(parts[0])
+            words += parts[1:]
+            ends.append(len(words))
+        ids: list = list(map(self.seen.get, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        new = dict.fromkeys(map(words.__getitem__, missing))
+        plain = [x for x in new if " " not in x]
+        self._learn(plain, new)
+        if len(plain) < len(new):
+            rest = [x for x in new if " " in x]
+            new.update(zip(rest, self._whole([" " + x for x in rest])))
+        for i in missing:
+            ids[i] = new[words[i]]
+        if len(self.seen) + len(new) <= CACHED:
+            self.seen.update(new)
+        out, at = [], 0
+        for head, end in zip(self._whole(heads), ends):
+            out.append(head + b"".join(ids[at:end]) + self.end)
+            at = end
+        return out
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
@@ -205,7 +219,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, do
         fs, base = _open(folder)
         name, n_docs, n_ids, out, writer = f"{base}/part-{part:06d}.ids.zst", 0, 0, None, None
         encode = encoder(tokenizer, end_id).encode
-        for batch in pieces(batches, most=2_000_000):
+        for batch in pieces(batches, most=8_000_000):
             if writer is None:
                 fs.create_dir(base, recursive=True)
                 draft = f"{base}/.draft-{part:06d}-{task.taskAttemptId()}"
