@@ -33,7 +33,7 @@ import pyarrow.fs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -235,10 +235,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, do
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.ids.zst"]), pa.array([part], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "part", "n_docs", "n_ids"])
 
     made = cut(rows.mapInArrow(run, "file string, part bigint, n_docs bigint, n_ids bigint"), "token-manifest")
-    a, b = made.select("file", "part", "n_docs", "n_ids"), made.select(F.col("part").alias("p"), F.col("n_ids").alias("m"))
-    # files are a few thousand at most: one row each is summed over those before it
-    before = a.join(b, F.col("p") < F.col("part"), "left").groupBy("file", "part", "n_docs", "n_ids").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("start"))
-    return before
+    # one row per file, a few thousand at most
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return made.withColumn("start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
 
 
 def read(manifest: DataFrame, columns: str, row) -> DataFrame:
