@@ -79,7 +79,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit(texts: list[set[str]], grades: np.ndarray, rounds: int = 300, l1: float = 2e-4, rate: float = 0.5) -> Model:
+def fit(texts: list[set[str]], grades: np.ndarray, rounds: int = 300, l1: float = 1e-3, rate: float = 0.5) -> Model:
     """Proximal AdaGrad on the mean negative log-likelihood of the cumulative-link model."""
     rows = [sorted({k for w in words for k in features_of(w)}) for words in texts]
     names = associated(rows, grades > 0)
