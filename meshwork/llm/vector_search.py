@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from meshwork.llm.common import cut
 
 BLOCK = 16_384
-LEAF = 96
+LEAF = 256
+SMALL = 32
+TRIES = 64
 TREE = 8_192
 _BASE = 1.5
 
@@ -50,23 +52,29 @@ class Node:
 
 
 def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, centre: int | None = None) -> Node:
-    """Each level's children cover their parent's rows within its radius / _BASE; a centre is its own first child."""
+    """Children cover rows within 1 / _BASE of their parent's radius; a centre is its own first child. Rows so far from others that they make no child of ``SMALL`` rows stay in leaves around their parent's centre."""
     rows = np.arange(len(points)) if rows is None else rows
     centre = int(rows[0]) if centre is None else centre
     away = _distance(points, rows, centre)
     node = Node(points, rows, centre, float(away.max()))
     if len(rows) <= LEAF or node.radius == 0:
         return node
-    reach, left, at = node.radius / _BASE, np.arange(len(rows)), centre
-    while len(left):
+    reach, left, at, loose = node.radius / _BASE, np.arange(len(rows)), centre, []
+    for _ in range(TRIES):
         near = _distance(points, rows[left], at) <= reach
-        if len(node.children) >= LEAF:  # many far points: what is left becomes one child, split further on its own
-            near[:] = True
-        mine = rows[left[near]]
-        node.children.append(cover_tree(points, mine, at) if len(mine) < len(rows) else Node(points, mine, at, node.radius))
+        if SMALL <= near.sum() < len(rows):
+            node.children.append(cover_tree(points, rows[left[near]], at))
+        else:
+            loose.append(left[near])
         left = left[~near]
-        if len(left):
-            at = int(rows[left[0]])
+        if not len(left):
+            break
+        at = int(rows[left[0]])
+    loose = np.concatenate([*loose, left])
+    loose = loose[np.argsort(away[loose], kind="stable")]
+    for i in range(0, len(loose), LEAF):
+        some = loose[i : i + LEAF]
+        node.children.append(Node(points, rows[some], centre, float(away[some].max())))
     return node
 
 
@@ -75,13 +83,6 @@ def _distance(points: np.ndarray, rows: np.ndarray, centre: int) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", apart, apart))
 
 
-def leaves(node: Node) -> Iterator[Node]:
-    if not node.children:
-        yield node
-    for child in node.children:
-        yield from leaves(child)
-
-
 class Search:
     """The k best candidates of each query, over any number of trees of candidates."""
 
@@ -119,19 +120,18 @@ class Search:
 
     def compare(self, q: Node, d: Node, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
         if self.safe:
-            scores = np.rint(self.points[q.rows] @ points[d.rows].T).astype(np.int64)
+            scores = self.points[q.rows] @ points[d.rows].T
         else:
             scores = self.exact[q.rows] @ vectors[d.rows].T
-        other = ids[d.rows][None, :] != self.ids[q.rows][:, None]
-        for row, values, able in zip(q.rows.tolist(), scores, other):
-            able &= values >= self.score[row, -1] if self.filled[row] >= self.k else True
-            at = np.flatnonzero(able)
-            if len(at):
-                value = np.concatenate([self.score[row, : self.filled[row]], values[at]])
-                names = np.concatenate([self.found[row, : self.filled[row]], ids[d.rows[at]]])
-                best = np.lexsort((names, -value))[: self.k]
-                n = self.filled[row] = len(best)
-                self.score[row, :n], self.found[row, :n] = value[best], names[best]
+        able = ids[d.rows][None, :] != self.ids[q.rows][:, None]
+        able &= (scores >= self.score[q.rows, -1][:, None]) | (self.filled[q.rows] < self.k)[:, None]
+        for i in np.flatnonzero(able.any(axis=1)).tolist():
+            row, at = q.rows[i], np.flatnonzero(able[i])
+            value = np.concatenate([self.score[row, : self.filled[row]], scores[i, at].astype(np.int64)])
+            names = np.concatenate([self.found[row, : self.filled[row]], ids[d.rows[at]]])
+            best = np.lexsort((names, -value))[: self.k]
+            n = self.filled[row] = len(best)
+            self.score[row, :n], self.found[row, :n] = value[best], names[best]
         q.worst = float(self.score[q.rows, -1].min()) if (self.filled[q.rows] >= self.k).all() else -np.inf
 
 
