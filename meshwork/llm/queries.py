@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import chat, decontamination, jaccard_join, mixing, quality, secrets, token_files, toxicity, vector_search
+from meshwork.llm import chat, decontamination, jaccard_join, mixing, quality, secrets, suffix_tree_lm, token_files, toxicity, vector_search
 from meshwork.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.report(table(spark, sf_dir, "documents"), token_files.default_tokenizer())
 
 
+def op5_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(table(spark, sf_dir, "conversations"))
 
