@@ -48,10 +48,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts in one hold at most ``most`` bytes (or it is a single row): Python strings stay small."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         start, size = 0, 0
         for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
             size += n or 0

@@ -8,7 +8,7 @@ test) get weights, and these are non-negative and sparse (proximal steps with an
 length alone moves nothing and a text without such features has grade 0.
 
 The labels only say toxic or not. Grade 0 is not toxic; toxic training documents get grades 1 to
-3 by thirds of how many distinct words of theirs are marked (much more frequent in toxic training
+3 by thirds of how many of their features are marked (much more frequent in toxic training
 documents than in others).
 
 Training takes a bounded sample of labelled rows: at most ``SAMPLE`` toxic and as many others, the
@@ -23,7 +23,6 @@ rows are each scored; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from meshwork.llm.common import pieces
 
@@ -79,21 +79,23 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds[None, :], -60, 60)))
 
 
-def fit(texts: list[set[str]], grades: np.ndarray, rounds: int = 300, l1: float = 1e-3, rate: float = 0.5) -> Model:
-    """Proximal AdaGrad on the mean negative log-likelihood of the cumulative-link model."""
-    rows = [sorted({k for w in words for k in features_of(w)}) for words in texts]
+def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 500, l1: float = 1e-3, rate: float = 0.05) -> Model:
+    """Proximal Adam on the mean negative log-likelihood of the cumulative-link model. rows: each document's feature buckets, distinct and ascending."""
     names = associated(rows, grades > 0)
-    place = {k: i for i, k in enumerate(names.tolist())}
-    index = [[place[k] for k in r if k in place] for r in rows]
-    at = np.array([i for r in index for i in r], np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in index])
     n, k = len(rows), GRADES
-    above = (grades[:, None] > np.arange(k)[None, :]).astype(float)
+    of = np.repeat(np.arange(n), [len(r) for r in rows])
+    at = np.concatenate(rows) if n else np.zeros(0, np.int32)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[names] = np.arange(len(names))
+    at = place[at]
+    of, at = of[at >= 0], at[at >= 0]
     # each class weighs alike
     weight = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
-    w, b = np.full(len(names), 0.1), np.array([0.5, 1.5, 2.5])
-    gw, gb = np.full(len(names), 1e-8), np.full(k, 1e-8)
-    for _ in range(rounds):
+    size = len(names)
+    x = np.concatenate([np.zeros(size), [0.5, 1.5, 2.5]])  # weights, thresholds
+    mean, square = np.zeros(size + k), np.zeros(size + k)
+    for t in range(1, rounds + 1):
+        w, b = x[:size], x[size:]
         z = np.bincount(of, w[at], n)
         p = 1 / (1 + np.exp(-np.clip(z[:, None] - b[None, :], -60, 60)))
         edge = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
@@ -104,42 +106,44 @@ def fit(texts: list[set[str]], grades: np.ndarray, rounds: int = 300, l1: float
         db = np.zeros(k)
         for j in range(k):  # threshold j+1 is the lower edge of grade j+1 and the upper one of grade j
             db[j] = (weight * (np.where(grades == j + 1, low, 0) - np.where(grades == j, high, 0)) / own).sum()
-        d = np.bincount(at, dz[of], len(names))
-        gw += d * d
-        gb += db * db
-        step = rate / np.sqrt(gw)
-        w -= step * d
-        w = np.maximum(0, w - step * l1)
-        b = np.sort(b - rate / np.sqrt(gb) * db)
-        b = np.maximum.accumulate(b + np.arange(k) * 1e-3)
+        d = np.concatenate([np.bincount(at, dz[of], size), db])
+        mean, square = 0.9 * mean + 0.1 * d, 0.99 * square + 0.01 * d * d
+        pace = rate / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
+        x = x - pace * mean / (1 - 0.9**t)
+        x[:size] = np.maximum(0, x[:size] - pace[:size] * l1)
+        x[size:] = np.maximum.accumulate(np.sort(x[size:]) + np.arange(k) * 1e-3)
     weights = np.zeros(BUCKETS)
-    weights[names] = w
-    return Model(weights, b)
+    weights[names] = x[:size]
+    return Model(weights, x[size:])
 
 
-def associated(rows: list[list[int]], bad: np.ndarray, least: float = 20.0) -> np.ndarray:
-    """Features more frequent in bad rows, by a likelihood-ratio statistic of at least ``least``, ascending."""
-    inside = Counter(k for r, y in zip(rows, bad) if y for k in r)
-    every = Counter(k for r in rows for k in r)
-    names = np.array(sorted(inside), np.int64)
-    a = np.array([inside[k] for k in names.tolist()], float)
-    c = np.array([every[k] for k in names.tolist()], float)
+def _documents_with(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(BUCKETS, np.int32)
+    for r in rows:
+        out[r] += 1
+    return out
+
+
+def associated(rows: list[np.ndarray], bad: np.ndarray, least: float = 25.0, times: float = 15.0) -> np.ndarray:
+    """Features over ``times`` as frequent in bad rows as in others, with a likelihood-ratio statistic of at least ``least``, ascending."""
+    inside, every = _documents_with([r for r, y in zip(rows, bad) if y]), _documents_with(rows)
+    names = np.flatnonzero(inside)
+    a, c = inside[names].astype(float), every[names].astype(float)
     n1, n = float(bad.sum()), float(len(bad))
 
     def bits(x: np.ndarray, of: np.ndarray) -> np.ndarray:
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / of), 0)
 
-    g = 2 * (bits(a, c * n1 / n) + bits(c - a, c * (n - n1) / n) + bits(n1 - a, (n - c) * n1 / n) + bits(n - n1 - c + a, np.maximum(1e-9, (n - c) * (n - n1) / n)))
-    return names[(g >= least) & (a / n1 > 4 * (c - a) / max(1.0, n - n1))]
+    g = 2 * (bits(a, c * n1 / n) + bits(c - a, c * (n - n1) / n) + bits(n1 - a, np.maximum(1e-9, (n - c) * n1 / n)) + bits(n - n1 - c + a, np.maximum(1e-9, (n - c) * (n - n1) / n)))
+    return names[(g >= least) & (a / n1 > times * (c - a + 0.5) / max(1.0, n - n1))]
 
 
-def graded(texts: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to GRADES of the training documents."""
-    bad = Counter(w for words, y in zip(texts, toxic) if y for w in words)
-    good = Counter(w for words, y in zip(texts, toxic) if not y for w in words)
+    bad, good = _documents_with([r for r, y in zip(rows, toxic) if y]), _documents_with([r for r, y in zip(rows, toxic) if not y])
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    marked = {w for w, c in bad.items() if c >= 3 and c / n_bad > 8 * (good[w] + 0.5) / n_good}
-    counts = np.array([len(words & marked) for words in texts])
+    marked = (bad >= 3) & (bad / n_bad > 8 * (good + 0.5) / n_good)
+    counts = np.array([int(marked[r].sum()) for r in rows])
     own = np.sort(counts[toxic])
     edges = [own[len(own) * i // GRADES] for i in range(1, GRADES)] if len(own) else []
     return np.where(toxic, 1 + sum((counts > e).astype(int) for e in edges), 0)
@@ -147,16 +151,23 @@ def graded(texts: list[set[str]], toxic: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model | None:
     """Fits on at most sample toxic and sample other labelled documents; None if either class is missing."""
-    known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).alias("_toxic"))
+    known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_toxic"))
     first = F.xxhash64("_id")
     some = [known.where(F.col("_toxic") == y).orderBy(first, "_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * sample rows of two numbers
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_id", "_text", "_toxic")
-    found = sorted(((r._id, sorted(words_of(r._text)), r._toxic) for r in rows.toLocalIterator(prefetchPartitions=False)), key=lambda r: (r[0], r[1]))
-    texts, bad = [set(r[1]) for r in found], np.array([bool(r[2]) for r in found], bool)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_id", "_toxic", "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 2):
+            made = [sorted({k for w in words_of(x) for k in features_of(w)}) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int32()))], ["id", "toxic", "x"])
+
+    found = rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, toxic int, x array<int>").orderBy("id", "x").toArrow()
+    bad = np.array(found["toxic"].to_pylist(), bool)
     if not bad.any() or bad.all():
         return None
-    return fit(texts, graded(texts, bad))
+    features = [np.asarray(x.values) for x in found["x"]]
+    return fit(features, graded(features, bad))
 
 
 def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,19 +179,19 @@ def apply(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
     """docs' columns (or those of keep) with severity, p_toxic, toxic; columns of docs with these names give way."""
     own = [c for c in (keep or docs.columns) if c not in ("severity", "p_toxic", "toxic")]
     sent = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.weights, model.thresholds))
-    fields = [docs.schema[c] for c in own]
-    rows = docs.select(*own, F.col(text).alias("_scored"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "severity double, p_toxic double, toxic boolean"])
+    schema = StructType([*(docs.schema[c] for c in own), *StructType.fromDDL("severity double, p_toxic double, toxic boolean")])
+    rows = docs.select(*own) if text in own else docs.select(*own, text)
+    at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = None if sent.value is None else Model(*sent.value)
-        for batch in pieces(batches, "_scored"):
+        for batch in pieces(batches, at):
             if here is None:
                 p = np.zeros((batch.num_rows, GRADES))
             else:
-                p = here.chances(np.array([here.score(x) for x in batch.column(batch.num_columns - 1).to_pylist()]))
+                p = here.chances(np.array([here.score(x) for x in batch.column(at).to_pylist()]))
             made = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] > REJECT)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*own, "severity", "p_toxic", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *made], [f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
