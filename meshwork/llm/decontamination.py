@@ -14,7 +14,6 @@ each reported; other columns are ignored. The patterns are sent to the tasks in
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -120,6 +119,24 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, doc_id: st
     return merged(first, rest, doc_id) if rest else first
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text", chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """The rows of docs, whole, in which no window occurs: one narrow pass per chunk of the benchmark."""
+    at = docs.columns.index(text)
+    for part in chunks(benchmark, item_id, text, chunk_words):
+        docs = docs.mapInArrow(_keeps(docs.sparkSession.sparkContext.broadcast(part), window, at), docs.schema)
+    return docs
+
+
+def _keeps(sent, window: int, at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = tables_for(sent.value, window)
+        for batch in pieces(batches, at):
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([not any(True for w in (words_of(x),) for t in tables for _ in t.search(w)) for x in texts], pa.bool_()))
+
+    return run
+
+
 def found(words: list[bytes], tables: list[WuManber]) -> tuple:
     spans, items = [], set()
     for t in tables:
@@ -158,6 +175,3 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = mark(docs, benchmark)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
