@@ -1,15 +1,351 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, each over whole tables, and their SQL.
+
+Embeddings serve as structures: the label is the structure, vec_id the residue's number, its parity
+the chain, and the first three components its place.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from meshwork.functions import is_difficult
+from meshwork.operators import graph, metrics, pockets, reports
+from meshwork.operators.contacts import ContactRule, both_ways, contacts
+from meshwork.sources import dumps, tables
+from meshwork.sources.payloads import disease_targets
+from meshwork.sources.structures import residues
+from meshwork.session import settle
+
+RULE = ContactRule(0.12, 3)
+#: Steps of the power iterations, as their SQL is unrolled.
+STEPS = 12
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: A small structure of two clusters: residue numbers and places.
+FIXTURE = [(base + 4 * i, dx + x, y, z) for base, dx in ((1, 0.0), (101, 10.0)) for i, (x, y, z) in enumerate(((0, 0, 0), (3, 0, 0), (0, 3, 0), (0, 0, 3), (2, 2, 2)))]
+
+
+def fixture_lines() -> list[str]:
+    """FIXTURE as fixed-width lines, with lines that a reader has to leave out."""
+    atom = lambda i, name, chain, seq, x, y, z, kind="ATOM": f"{kind:<6}{i:>5} {name:^4} {'ALA':>3} {chain}{seq:>4}    {x:>8.3f}{y:>8.3f}{z:>8.3f}"
+    out = ["HEADER    two clusters", atom(0, "N", "A", 1, 0, 0, 0)]
+    out += [atom(i, "CA", "A", seq, x, y, z) for i, (seq, x, y, z) in enumerate(FIXTURE, 1)]
+    out += [atom(90, "CA", "A", 1, 9, 9, 9), atom(91, "CA", "B", 7, 1.5, -2.25, 0.125, "HETATM"), atom(92, "CA", "B", 8, 1, 1, 1)[:50], atom(93, "CA", "B", 9, 1, 1, 1).replace("1.000", "1.0x0"), "TER", "END"]
+    return out
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "embeddings")
+    node = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return e.select(
+        F.col("label").cast("string").alias("structure_id"), node.alias("node_id"), F.when(F.col("vec_id") % 2 == 0, "A").otherwise("B").alias("chain"), F.col("vec_id").cast("int").alias("res_seq"),
+        *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")),
+    )
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = settle(nodes(spark, sf_dir), "nodes")
+    return n, settle(both_ways(contacts(n, RULE)), "edges")
+
+
+def pdb_fixed_width_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame(list(enumerate(fixture_lines())), "line_no int, line string")
+    return residues(lines.withColumn("structure_id", F.lit("fixture")))
+
+
+def contact_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contacts(nodes(spark, sf_dir), RULE).withColumn("distance", F.round("distance", 6))
+
+
+def edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edge_count(both_ways(contacts(nodes(spark, sf_dir), RULE)))
+
+
+def contact_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = _graph(spark, sf_dir)
+    d = graph.degrees(n, e)
+    return graph.max_normalised(d.withColumn("score", F.col("degree").cast("double"))).withColumn("score", F.round("score", 6))
+
+
+def graph_eigenvector_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.max_normalised(graph.eigenvector(*_graph(spark, sf_dir), rounds=STEPS)).withColumn("score", F.round("score", 6))
+
+
+def _spectral(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n, e = _graph(spark, sf_dir)
+    return graph.backtrackless(n, e, rounds=STEPS, tolerance=0.0)
+
+
+def nb_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.max_normalised(_spectral(spark, sf_dir)[0]).withColumn("score", F.round("score", 6))
+
+
+def rho_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spectral(spark, sf_dir)[1].withColumn("rho", F.round("rho", 6))
+
+
+def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = _graph(spark, sf_dir)
+    return graph.max_normalised(graph.closeness(n, graph.shortest_paths(e))).withColumn("score", F.round("score", 6))
+
+
+def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = _graph(spark, sf_dir)
+    return graph.max_normalised(graph.betweenness(n, e, settle(graph.shortest_paths(e), "paths"))).withColumn("score", F.round("score", 6))
+
+
+def _pockets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    n, e = _graph(spark, sf_dir)
+    scores = graph.max_normalised(graph.degrees(n, e).withColumn("score", F.col("degree").cast("double")))
+    return (n, *pockets.pockets(scores, e, share=0.6, least=3))
+
+
+def pocket_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found, _ = _pockets(spark, sf_dir)
+    return found.select("structure_id", "rank", "pocket", "size", F.round("mean_score", 6).alias("mean_score"), F.round("max_score", 6).alias("max_score"))
+
+
+def pocket_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, _, members = _pockets(spark, sf_dir)
+    g = pockets.geometry(members, n)
+    return g.select("structure_id", "rank", "size", *(F.round(f"{s}.{c}", 6).alias(f"{s}_{c}") for s in ("center", "box_size") for c in "xyz"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    return d.select("doc_id", "lang", F.col("n_chars").alias("score"), (F.col("quality") == 1).alias("label"))
+
+
+def roc_auc_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.roc_auc(_scored(spark, sf_dir), ["lang"]).withColumn("auc", F.round("auc", 9))
+
+
+def roc_auc_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.roc_auc(_scored(spark, sf_dir), []).withColumn("auc", F.round("auc", 9))
+
+
+def avg_rank_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.average_rank(_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), ["lang"], "n_chars")
+
+
+def index_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.index_threshold(_table(spark, sf_dir, "customer"), ["c_mktsegment"], "c_acctbal", 0.9)
+
+
+def dim_lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third customer asks by a nation's name in lower case, others by its number."""
+    nation = _table(spark, sf_dir, "nation")
+    targets = nation.select(
+        F.col("n_name").alias("symbol"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("uniprot"), F.lit("").alias("name"), F.lit("Tdark").alias("tdl"), F.lit("Other").alias("family"),
+        F.lit(None).cast("double").alias("novelty_score"), F.col("n_nationkey").alias("line_no"),
+    )
+    c, key = _table(spark, sf_dir, "customer"), F.col("c_nationkey").cast("string")
+    asked = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("nation_"), key)).otherwise("?").alias("symbol"), F.concat(F.lit("K"), key).alias("uniprot"))
+    return reports.lookup(asked, targets).select("c_custkey", F.col("target.symbol").alias("found"))
+
+
+def label_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+
+
+def label_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "source").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+def rank_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as targets: the nation's number gives the level; difficult first, then the balance; position as data, per region."""
+    s = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    level = F.element_at(F.array(*map(F.lit, ("Tclin", "tdark", "Tchem", "TBIO"))), F.col("s_nationkey") % 4 + 1)
+    order = Window.partitionBy("n_regionkey").orderBy(F.col("difficult").desc(), F.col("s_acctbal").desc(), "s_suppkey")
+    s = s.withColumn("difficult", is_difficult(level))
+    return s.select("n_regionkey", "s_suppkey", "difficult", F.row_number().over(order).alias("place"))
+
+
+def date_gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return dumps.date_gaps(both, "o_orderdate", "l_shipdate").withColumn("mean", F.round("mean", 6))
+
+
+def value_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dumps.census(_table(spark, sf_dir, "orders"), "o_orderpriority").withColumn("held", F.lit(dumps.holds(_table(spark, sf_dir, "nation"), "n_name", "NATION_3")))
+
+
+def list_first_nonzero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dumps.first_element_nonzero(_table(spark, sf_dir, "embeddings"), "embedding")
+
+
+def lookup_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _table(spark, sf_dir, "part").select(F.lit("p_type").alias("hint"), F.col("p_type").alias("value"))
+    return one.unionByName(_table(spark, sf_dir, "orders").select(F.lit("o_orderstatus").alias("hint"), F.col("o_orderstatus").alias("value"))).distinct()
+
+
+def composite_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "conversations")
+    return c.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), tables.predicted("role").alias("predicted")).distinct()
+
+
+def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.sum(F.from_json("props", "k bigint")["k"]).alias("total"), F.count("*").alias("n"))
+
+
+def disease_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers built from each nation's suppliers; every fifth target lacks its uniprot."""
+    s = _table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    target = F.struct(F.col("s_name").alias("name"), key.alias("sym"), F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("P"), key)).alias("uniprot"), F.when(F.col("s_suppkey") % 2 == 0, "Tbio").otherwise("").alias("tdl"), F.col("s_acctbal").alias("novelty"))
+    lists = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", target.alias("t")))).alias("l"))
+    answers = lists.select(F.to_json(F.struct(F.struct(F.struct(F.transform("l", lambda x: x["t"]).alias("targets")).alias("targets")).alias("data"))).alias("payload"))
+    return disease_targets(answers, top=1 << 30).select("symbol", "uniprot", "tdl", "family", "novelty_score")
+
+
+def target_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    return tables.target_rows(s.select(key.alias("symbol"), F.concat(F.lit("P"), key).alias("uniprot"), F.replace("s_name", F.lit("#"), F.lit(",")).alias("name"), F.lit("Tdark").alias("tdl"), F.lit("Other").alias("family"), F.lit(None).cast("double").alias("novelty_score")))
+
+
+def status_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.status_tally(_table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")))
+
+
+def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each order and supplier."""
+    l = _table(spark, sf_dir, "lineitem")  # noqa: E741
+    return l.groupBy("l_orderkey", "l_suppkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("l_partkey"))
+
+
+def pool_union_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scores of each document, stacked, and pooled per method."""
+    d = _scored(spark, sf_dir)
+    both = d.select(F.lit("chars").alias("method"), "score", "label").unionByName(d.select(F.lit("id").alias("method"), F.col("doc_id").alias("score"), "label"))
+    return metrics.roc_auc(both, ["method"]).withColumn("auc", F.round("auc", 9))
+
+
+_NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness pocket_components pocket_geometry
+roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
+composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods""".split()
+
+
+def queries() -> dict[str, Query]:
+    return {name: globals()[name] for name in _NAMES}
+
+
+_NODES = """n AS MATERIALIZED (SELECT label::VARCHAR AS structure_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS node_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain,
+ vec_id::INTEGER AS res_seq, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"""
+_PAIRS = f"""p AS MATERIALIZED (SELECT * FROM (SELECT a.structure_id, a.node_id AS src, b.node_id AS dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS distance
+ FROM n a JOIN n b ON a.structure_id = b.structure_id AND a.node_id < b.node_id WHERE a.chain <> b.chain OR abs(a.res_seq - b.res_seq) >= {RULE.min_separation}) WHERE distance <= {RULE.cutoff})"""
+_EDGES = "e AS MATERIALIZED (SELECT structure_id, src, dst FROM p UNION SELECT structure_id, dst, src FROM p)"
+_DEGREE = "g AS MATERIALIZED (SELECT n.structure_id, n.node_id, count(e.dst) AS degree FROM n LEFT JOIN e ON e.structure_id = n.structure_id AND e.src = n.node_id GROUP BY ALL)"
+_GRAPH = f"{_NODES}, {_PAIRS}, {_EDGES}, {_DEGREE}"
+_NORMAL = "CASE WHEN max(s) OVER (PARTITION BY structure_id) > 0 THEN s / max(s) OVER (PARTITION BY structure_id) ELSE s END"
+
+
+def _eigenvector_sql() -> str:
+    steps = ["v0 AS MATERIALIZED (SELECT structure_id, node_id, 1 / sqrt(count(*) OVER (PARTITION BY structure_id)) AS value FROM n)"]
+    for i in range(1, STEPS + 1):
+        steps.append(f"""r{i} AS MATERIALIZED (SELECT n.structure_id, n.node_id, coalesce(sum(v.value), 0) AS value FROM n LEFT JOIN e ON e.structure_id = n.structure_id AND e.src = n.node_id
+ LEFT JOIN v{i - 1} v ON v.structure_id = e.structure_id AND v.node_id = e.dst GROUP BY ALL),
+ v{i} AS MATERIALIZED (SELECT structure_id, node_id, CASE WHEN sqrt(sum(value * value) OVER w) > 1e-15 THEN value / sqrt(sum(value * value) OVER w) ELSE value END AS value FROM r{i} WINDOW w AS (PARTITION BY structure_id))""")
+    return f"WITH {_GRAPH}, {', '.join(steps)}, s AS (SELECT structure_id, node_id, abs(value) AS s FROM v{STEPS}) SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s"
+
+
+def _spectral_sql() -> str:
+    steps = ["v0 AS MATERIALIZED (SELECT structure_id, node_id, degree::DOUBLE AS w, 1.0::DOUBLE AS v FROM g)"]
+    for i in range(1, STEPS + 1):
+        steps.append(f"""q{i} AS MATERIALIZED (SELECT e.structure_id, e.src AS node_id, sum(v.w) AS t FROM e JOIN v{i - 1} v ON v.structure_id = e.structure_id AND v.node_id = e.dst GROUP BY ALL),
+ r{i} AS MATERIALIZED (SELECT g.structure_id, g.node_id, coalesce(q.t, 0) + (1 - g.degree) * v.v + v.w AS w, v.w + v.v AS v FROM g LEFT JOIN q{i} q USING (structure_id, node_id) JOIN v{i - 1} v USING (structure_id, node_id)),
+ v{i} AS MATERIALIZED (SELECT structure_id, node_id, CASE WHEN sqrt(sum(w * w + v * v) OVER k) > 0 THEN w / sqrt(sum(w * w + v * v) OVER k) ELSE w END AS w,
+ CASE WHEN sqrt(sum(w * w + v * v) OVER k) > 0 THEN v / sqrt(sum(w * w + v * v) OVER k) ELSE v END AS v FROM r{i} WINDOW k AS (PARTITION BY structure_id))""")
+    return f"WITH {_GRAPH}, {', '.join(steps)}"
+
+
+_PATHS = """b AS (SELECT DISTINCT structure_id, src AS source, src AS node_id, 0 AS dist FROM e UNION
+ SELECT b.structure_id, b.source, e.dst, b.dist + 1 FROM b JOIN e ON e.structure_id = b.structure_id AND e.src = b.node_id WHERE b.dist < 40),
+ d AS MATERIALIZED (SELECT structure_id, source, node_id, min(dist) AS dist FROM b GROUP BY ALL)"""
+#: Shortest paths by length: the number of them is summed level by level along the predecessors.
+_COUNTS = """c AS (SELECT structure_id, source, node_id, 0 AS dist, 1.0::DOUBLE AS paths FROM d WHERE dist = 0 UNION ALL
+ (SELECT c.structure_id, c.source, e.dst AS node_id, c.dist + 1 AS dist, sum(c.paths) AS paths FROM c JOIN e ON e.structure_id = c.structure_id AND e.src = c.node_id
+  JOIN d ON d.structure_id = c.structure_id AND d.source = c.source AND d.node_id = e.dst AND d.dist = c.dist + 1 GROUP BY c.structure_id, c.source, e.dst, c.dist)),
+ m AS MATERIALIZED (SELECT * FROM c)"""
+_HOT = f"""sc AS MATERIALIZED (SELECT structure_id, node_id, round(CASE WHEN max(degree) OVER (PARTITION BY structure_id) > 0 THEN degree::DOUBLE / max(degree) OVER (PARTITION BY structure_id) ELSE degree::DOUBLE END, 9) AS score FROM g),
+ o AS (SELECT structure_id, score, row_number() OVER (PARTITION BY structure_id ORDER BY score) - 1 AS i, round((count(*) OVER (PARTITION BY structure_id) - 1) * 0.6) AS want FROM sc),
+ hot AS MATERIALIZED (SELECT sc.* FROM sc JOIN (SELECT structure_id, score AS t FROM o WHERE i = want) USING (structure_id) WHERE score >= t),
+ he AS MATERIALIZED (SELECT e.* FROM e JOIN hot a ON a.structure_id = e.structure_id AND a.node_id = e.src JOIN hot b ON b.structure_id = e.structure_id AND b.node_id = e.dst),
+ rc AS (SELECT structure_id, node_id, node_id AS root FROM hot UNION SELECT he.structure_id, he.dst, rc.root FROM rc JOIN he ON he.structure_id = rc.structure_id AND he.src = rc.node_id),
+ cm AS MATERIALIZED (SELECT structure_id, node_id, min(root) AS pocket FROM rc GROUP BY ALL),
+ pk AS MATERIALIZED (SELECT structure_id, pocket, count(*) AS size, avg(score) AS mean_score, max(score) AS max_score FROM cm JOIN hot USING (structure_id, node_id) GROUP BY ALL HAVING count(*) >= 3),
+ rk AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY structure_id ORDER BY round(mean_score, 9) DESC, pocket))::INTEGER AS rank FROM pk)"""
+_AUC = """SELECT {keys} round(CASE WHEN p > 0 AND n - p > 0 THEN (r - p * (p + 1) / 2) / (p * (n - p)) END, 9) AS auc, p::BIGINT AS n_pos, (n - p)::BIGINT AS n_neg FROM
+ (SELECT {keys} sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM
+  (SELECT *, rank() OVER ({part} ORDER BY score) + (count(*) OVER (PARTITION BY {keys} score) - 1) / 2 AS rank FROM ({rows})) GROUP BY ALL)"""
+_SCORED = "SELECT d.doc_id, d.lang, d.n_chars AS score, l.quality = 1 AS label FROM documents d JOIN labels l USING (doc_id)"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _scan_sql() -> str:
+    lines = ", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(fixture_lines()))
+    real = lambda a: f"CASE WHEN regexp_full_match(trim(substring(line, {a}, 8)), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN trim(substring(line, {a}, 8))::DOUBLE END"
+    return f"""WITH l(line_no, line) AS (VALUES {lines}),
+ a AS (SELECT *, substring(line, 22, 1) AS chain, TRY_CAST(trim(substring(line, 23, 4)) AS INTEGER) AS res_seq FROM l WHERE (line LIKE 'ATOM%' OR line LIKE 'HETATM%') AND strlen(line) >= 54 AND trim(substring(line, 13, 4)) = 'CA'),
+ f AS (SELECT *, trim(substring(line, 18, 3)) AS res_name, {real(31)} AS x, {real(39)} AS y, {real(47)} AS z FROM (SELECT *, row_number() OVER (PARTITION BY chain, res_seq ORDER BY line_no) AS k FROM a WHERE res_seq IS NOT NULL) WHERE k = 1)
+ SELECT 'fixture' AS structure_id, (row_number() OVER (ORDER BY line_no) - 1)::INTEGER AS node_id, chain, res_seq, res_name, x, y, z FROM f WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    with_graph = f"WITH {_GRAPH}"
+    recursive = with_graph.replace("WITH ", "WITH RECURSIVE ", 1)
+    return {
+        "pdb_fixed_width_scan": _scan_sql(),
+        "contact_self_join": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, src, dst, round(distance, 6) AS distance FROM p",
+        "edge_count": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, count(*) AS n_edges FROM p GROUP BY ALL",
+        "contact_degree": f"{with_graph}, s AS (SELECT *, degree::DOUBLE AS s FROM g) SELECT structure_id, node_id, degree, round({_NORMAL}, 6) AS score FROM s",
+        "graph_eigenvector_k": _eigenvector_sql(),
+        "nb_centrality": f"{_spectral_sql()}, s AS (SELECT structure_id, node_id, abs(w) AS s FROM v{STEPS}) SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s",
+        "rho_b": f"{_spectral_sql()} SELECT structure_id, round(abs(sum(w * v) / sum(v * v)), 6) AS rho FROM v{STEPS} GROUP BY ALL",
+        "closeness": f"""{recursive}, {_PATHS}, f AS (SELECT structure_id, source AS node_id, count(*) AS r, sum(dist) AS far FROM d WHERE dist > 0 GROUP BY ALL),
+ s AS (SELECT n.structure_id, n.node_id, CASE WHEN f.far > 0 THEN f.r::DOUBLE * f.r / ((count(*) OVER (PARTITION BY n.structure_id) - 1) * f.far) ELSE 0 END AS s FROM n LEFT JOIN f USING (structure_id, node_id))
+ SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s""",
+        "betweenness": f"""{recursive}, {_PATHS}, {_COUNTS},
+ t AS (SELECT a.structure_id, b.node_id, sum(a.paths_to * b2.paths / st.paths) / 2 AS s FROM (SELECT structure_id, source AS s0, node_id AS v, dist, paths AS paths_to FROM m WHERE dist > 0) a
+  JOIN m b2 ON b2.structure_id = a.structure_id AND b2.source = a.v AND b2.dist > 0 JOIN m st ON st.structure_id = a.structure_id AND st.source = a.s0 AND st.node_id = b2.node_id AND st.dist = a.dist + b2.dist
+  JOIN n b ON b.structure_id = a.structure_id AND b.node_id = a.v GROUP BY ALL),
+ s AS (SELECT n.structure_id, n.node_id, coalesce(t.s, 0) AS s FROM n LEFT JOIN t USING (structure_id, node_id))
+ SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s""",
+        "pocket_components": f"{recursive}, {_HOT} SELECT structure_id, rank, pocket, size, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score FROM rk",
+        "pocket_geometry": f"""{recursive}, {_HOT} SELECT structure_id, rank, count(*) AS size, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z,
+ round(max(x) - min(x) + 12.0, 6) AS box_size_x, round(max(y) - min(y) + 12.0, 6) AS box_size_y, round(max(z) - min(z) + 12.0, 6) AS box_size_z FROM rk JOIN cm USING (structure_id, pocket) JOIN n USING (structure_id, node_id) GROUP BY ALL""",
+        "roc_auc_by_lang": _AUC.format(keys="lang,", part="PARTITION BY lang", rows=_SCORED),
+        "roc_auc_pooled": _AUC.format(keys="", part="", rows=_SCORED),
+        "avg_rank_ties": "SELECT doc_id, lang, n_chars, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS avg_rank FROM documents",
+        "index_percentile": "SELECT c_mktsegment, c_acctbal AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) - 1 AS i, round((count(*) OVER (PARTITION BY c_mktsegment) - 1) * 0.9) AS w FROM customer) WHERE i = w",
+        "dim_lookup_fallback": """SELECT c_custkey, coalesce(a.n_name, b.n_name) AS found FROM customer c LEFT JOIN nation a ON c.c_custkey % 3 = 0 AND upper(a.n_name) = upper('nation_' || c.c_nationkey)
+ LEFT JOIN nation b ON 'K' || b.n_nationkey = 'K' || c.c_nationkey""",
+        "label_semi": "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+        "label_anti": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+        "rank_targets": """SELECT n_regionkey, s_suppkey, s_nationkey % 4 IN (1, 3) AS difficult, (row_number() OVER (PARTITION BY n_regionkey ORDER BY s_nationkey % 4 IN (1, 3) DESC, s_acctbal DESC, s_suppkey))::INTEGER AS place
+ FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+        "date_gap_stats": """SELECT min(d)::INTEGER AS least, max(d)::INTEGER AS greatest, round(avg(d), 6) AS mean, count(*) FILTER (d IS NULL) AS n_null FROM
+ (SELECT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS d FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)""",
+        "value_census": """SELECT count(*) AS n, count(DISTINCT o_orderpriority) AS n_distinct, count(*) FILTER (o_orderpriority IS NULL) AS n_null, count(*) FILTER (o_orderpriority = upper(o_orderpriority)) AS n_upper,
+ (SELECT count(*) > 0 FROM nation WHERE n_name = 'NATION_3') AS held FROM orders""",
+        "list_first_nonzero": "SELECT count(*) AS n FROM embeddings WHERE embedding[1] <> 0",
+        "lookup_distinct": "SELECT DISTINCT 'p_type' AS hint, p_type AS value FROM part UNION SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders",
+        "composite_id": "SELECT DISTINCT conv_id || '_' || turn AS id, upper(role) LIKE 'AF-%' AS predicted FROM conversations",
+        "json_payload": "SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY ALL",
+        "disease_payload": "SELECT s_suppkey::VARCHAR AS symbol, 'P' || s_suppkey AS uniprot, CASE WHEN s_suppkey % 2 = 0 THEN 'Tbio' ELSE 'Tdark' END AS tdl, 'Other' AS family, s_acctbal AS novelty_score FROM supplier WHERE s_suppkey % 5 > 0",
+        "target_rows": "SELECT s_suppkey || ',P' || s_suppkey || ',' || replace(s_name, '#', ';') || ',Tdark,Other,' AS value FROM supplier",
+        "status_tally": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL",
+        "first_wins": "SELECT l_orderkey, l_suppkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY ALL",
+        "pool_union_methods": _AUC.format(keys="method,", part="PARTITION BY method", rows=f"SELECT 'chars' AS method, score, label FROM ({_SCORED}) UNION ALL SELECT 'id', doc_id, label FROM ({_SCORED})"),
+    }
