@@ -15,7 +15,16 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Most bytes that Spark hands to Python at once (or a single row), so that memory doesn't follow the length of rows.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +45,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: later steps reuse it, and it outlives executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
+    bounded_batches(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -127,6 +127,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
     made = copies(docs, **options).where("copies > 0").select(F.col("doc").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
     doc_id, source, text = (options.get(k, k) for k in ("doc_id", "source", "text"))
-    sized = docs.withColumn("_words", words(text))
-    both = sized.join(made.withColumnRenamed("copies", "_copies"), sized[doc_id].eqNullSafe(F.col("_doc")) & sized[source].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return both.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), words(text).alias("_words"))  # columns of any name
+    row = F.col("_row")
+    both = packed.join(made, row[doc_id].eqNullSafe(F.col("_doc")) & row[source].eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
+    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

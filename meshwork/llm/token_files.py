@@ -42,7 +42,7 @@ from meshwork.llm.common import cut, new_path, partitions, pieces
 
 END_ID = 2
 FRAME_IDS = 1 << 16
-CACHED = 400_000
+CACHED = 250_000
 _INDEX, _SEEK, _SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 

@@ -39,7 +39,7 @@ SAMPLE = 4000
 GRADES = 3
 REJECT = 0.5
 STARTS = (4, 5, 6)
-_REMEMBERED = 200_000
+_REMEMBERED = 60_000
 
 
 def words_of(text: str | None) -> set[str]:

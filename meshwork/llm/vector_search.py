@@ -17,7 +17,8 @@ integers.
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter
 vectors count as filled up with zeros; rows with one vec_id are separate candidates, none of them
 for a query of that id; of query rows with one vec_id the least vector asks; ties go to the
-smaller vec_id; a null vec_id takes no part; an empty table gives no rows.
+smaller vec_id; a null vec_id takes no part; an empty table gives no rows. Scores are 64-bit:
+components are taken to be small enough (2^28 for 64 of them) for their products' sum.
 """
 
 from __future__ import annotations
