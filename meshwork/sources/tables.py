@@ -27,7 +27,7 @@ def targets(lines: DataFrame) -> DataFrame:
     if missing := [c for c in TARGET_COLUMNS if c not in names]:
         raise ValueError(f"targets lack the columns {', '.join(missing)}")
     body = lines.where((F.col("line_no") > 1) & (F.trim("line") != "") & ~F.ltrim("line").startswith("#"))
-    body = body.withColumn("f", F.transform(F.split("line", ",", -1), F.trim))
+    body = body.withColumn("f", F.transform(F.split("line", ",", -1), lambda x: F.trim(x)))
     field = lambda c: F.coalesce(F.get("f", F.lit(names.index(c))), F.lit(""))
     novelty = strict_double(field(NOVELTY)) if NOVELTY in names else F.lit(None).cast("double")
     empty = F.raise_error(F.concat(F.lit("empty symbol in line "), F.col("line_no").cast("string"))).cast("string")
@@ -38,7 +38,7 @@ def labels(lines: DataFrame) -> DataFrame:
     """structure_id, chain, res_seq, label from four columns; the first line may be a header. Anything else is an error; the last row of a residue counts."""
     line = F.trim("line")
     body = lines.where((line != "") & ~((F.col("line_no") == 1) & F.lower(line).startswith(LABEL_HEADER)))
-    body = body.withColumn("f", F.transform(F.split(line, ",", -1), F.trim))
+    body = body.withColumn("f", F.transform(F.split(line, ",", -1), lambda x: F.trim(x)))
     wrong = lambda what, kind: F.raise_error(F.concat(F.lit(f"{what} in line "), F.col("line_no").cast("string"))).cast(kind)
     whole = F.size("f") == 4
     f = lambda i: F.get("f", F.lit(i))
