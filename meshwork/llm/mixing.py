@@ -4,10 +4,12 @@ Every document of a source may be taken target / size-of-source times; the whole
 the fraction is rounded by pivotal dependent rounding. Two fractional documents are paired and
 words ("mass") move from one to the other, in either direction by chance, until one has a whole
 number of copies; the other goes on. The chances keep each document's expected copies, and moving
-words instead of copies keeps the pair's expected words, so a source ends within one document of
+words instead of copies keeps the pair's words, so a source ends within a small document of
 its target. Pairs are formed in blocks of about ``BLOCK`` documents; what a block leaves over (at
-most one fractional document) goes up a reduction tree in groups of ``BLOCK``. All of it is
-DataFrame functions; chance is a hash of the documents, so reruns agree.
+most one fractional document) goes up a reduction tree in groups of ``BLOCK``. The tree's last
+document is rounded by chance; the words this adds or takes are spread over a pool of about
+``POOL`` / 2 documents of at most mean size, which is rounded last. All of it is DataFrame
+functions; chance is a hash of the documents, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
 sources are ordered by code point and weigh 5, 2, 1, 5, ...; documents of size 0 and sources of
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from meshwork.llm.common import WORD, cut, text_or_empty
 
 BLOCK = 128
+#: About twice as many documents of each source as its pool has.
+POOL = 256
 WEIGHTS = (5, 2, 1)
 MOST = 3
 _ITEM = "struct<h:bigint,doc:{doc},size:bigint,mult:bigint,w:double,x:double,base:bigint>"
@@ -85,6 +89,20 @@ def _reduce(rows: DataFrame, item: str, seed: int) -> DataFrame:
     return blocks.select("source", "block", F.aggregate("all", nothing, _meet(seed)).alias("r")).select("source", "block", "r.cur", "r.done")
 
 
+def _settled(pool: DataFrame, last: DataFrame, item: str, seed: int) -> DataFrame:
+    """Per source: the pool's documents rounded, after their fractions have made up for what rounding the tree's last document (last: source, d, up) added or took."""
+    lists = pool.groupBy("source").agg(F.sort_array(F.collect_list("item")).alias("all"))
+    errors = last.select(F.col("source").alias("of"), (F.col("d.w") * (F.col("up").cast("double") - F.col("d.x"))).alias("error"))
+    rows = lists.join(errors, F.col("source").eqNullSafe(F.col("of")), "left")
+    words = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda s, x: s + of(x))
+    rows = rows.withColumn("aim", words("all", lambda x: x["w"] * x["x"]) - F.coalesce("error", F.lit(0.0))).withColumn("mass", words("all", lambda x: x["w"]))
+    for _ in range(3):  # fractions stay between 0 and 1, so what some can't take goes to the others
+        short = (F.col("aim") - words("all", lambda x: x["w"] * x["x"])) / F.col("mass")
+        rows = rows.withColumn("short", short).withColumn("all", F.transform("all", lambda x: x.withField("x", _unit(x["x"] + F.col("short")))))
+    nothing = F.struct(F.lit(None).cast(item).alias("cur"), F.array().cast(f"array<{item}>").alias("done"))
+    return rows.select("source", F.aggregate("all", nothing, _meet(seed - 1)).alias("r")).select("source", "r.cur", "r.done")
+
+
 def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """Per distinct (doc, source, size): mult (rows that are alike), source_size, target, copies."""
     item = _ITEM.format(doc=docs.schema[doc_id].dataType.simpleString())
@@ -97,9 +115,9 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     rows = rows.withColumn("base", F.floor("ratio")).withColumn("x", F.col("ratio") - F.col("base"))
     rows = rows.withColumn("w", (F.col("size") * F.col("mult")).cast("double")).withColumn("h", F.xxhash64(F.lit(seed), "doc", "source", "size"))
     open_ = (F.col("x") > 0) & (F.col("w") > 0)
-    first = rows.where(open_).select(
-        "source", F.pmod(F.col("h"), F.ceil(F.col("items") / BLOCK)).alias("block"), F.struct("h", "doc", "size", "mult", "w", "x", "base").cast(item).alias("item")
-    )
+    pool = open_ & (F.col("w") * F.col("items") <= F.col("source_size")) & (F.pmod(F.col("h"), F.ceil(F.col("items") / POOL)) == 0)
+    one = F.struct("h", "doc", "size", "mult", "w", "x", "base").cast(item).alias("item")
+    first = rows.where(open_ & ~pool).select("source", F.pmod(F.col("h"), F.ceil(F.col("items") / BLOCK)).alias("block"), one)
     most_items = targets.agg(F.max("items")).first()[0] or 0
     levels, blocks = [cut(_reduce(first, item, seed), "blocks")], -(-most_items // BLOCK)
     while blocks > 1:
@@ -107,7 +125,10 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         levels.append(cut(_reduce(up, item, seed + len(levels)), "blocks"))
         blocks = -(-blocks // BLOCK)
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("d.h"), F.lit(-1)), 11) / F.lit(float(1 << 53))
-    decided = levels[-1].where("cur is not null").select("source", F.col("cur").alias("d")).withColumn("up", chance < F.col("d.x"))
+    last = levels[-1].where("cur is not null").select("source", F.col("cur").alias("d")).withColumn("up", chance < F.col("d.x"))
+    ended = cut(_settled(rows.where(pool).select("source", one), last, item, seed), "pools")
+    decided = last.unionByName(ended.where("cur is not null").select("source", F.col("cur").alias("d")).withColumn("up", chance < F.col("d.x")))
+    levels.append(ended)
     for level in levels:
         decided = decided.unionByName(level.select("source", F.explode("done").alias("d")).withColumn("up", F.col("d.x") >= 0.5))
     decided = decided.select("source", F.col("d.doc").alias("doc"), F.col("d.size").alias("size"), F.col("d.mult").alias("mult"), (F.col("d.base") + F.col("up").cast("bigint")).alias("copies"))
