@@ -138,3 +138,15 @@ def test_streaming(spark, tmp_path):
     query = streaming.watch(spark, str(tmp_path / "in"), str(tmp_path / "checkpoint"), lambda rows, n: seen.append((n, rows.count())), once=True)
     query.awaitTermination()
     assert seen == [(0, 11)]
+
+
+def test_command_line(spark, tmp_path):
+    from meshwork.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.pdb").write_text("\n".join(x for x in fixture_lines() if "HETATM" not in x))
+    (tmp_path / "t.csv").write_text(TARGETS)
+    main(["report", "--structures", f"{tmp_path}/in", "--targets", f"{tmp_path}/t.csv", "--symbol", "GENA", "--top-percentile", "0.8", "--out", f"{tmp_path}/out"])
+    row = spark.read.json(f"{tmp_path}/out/reports").first()
+    assert row.structure_id == "one" and row.n_contacts == 23 and row.target.symbol == "gena"
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out/docking").count() <= 1
