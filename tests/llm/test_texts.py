@@ -272,3 +272,19 @@ def test_distributions_sum_to_one(spark):
             gain = model._under(level, np.full(len(nexts), s), nexts, before)
             outside = 0.1 / model.below * np.exp(level.other[s] + (before.min() if parent is not None else 0))
             assert np.exp(model.log_unigram + gain).sum() + outside == pytest.approx(1, abs=0.02)
+
+
+def test_linking_of_parts(spark):
+    rnd = random.Random(11)
+    parts = {"ident": "user: abc%d", "weak": "pwd = xy%dz", "endpoint": "host: h%d.db", "assign": "token=abcdefgh%d", "none": "filler words here %d"}
+    texts = [" ~ ".join((rnd.choice([*parts.values()]) % i) + " q" * rnd.choice([0, 5, 60, 140]) for i in range(rnd.randint(0, 25))) for _ in range(40)]
+    got = {r.doc_id: r.spans for r in secrets.report(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    find = {k: re.compile(re.sub(r"%d", r"\\d+", p)) for k, p in parts.items() if k != "none"}
+    for i, text in enumerate(texts):
+        every = [(m.start(), m.end(), k) for k, p in find.items() for m in p.finditer(text)]
+        secret = [x for x in every if x[2] in ("weak", "assign")]
+        other = [x for x in every if x[2] in ("ident", "endpoint")]
+        close = lambda a, others: any(b[0] - a[1] <= secrets.SCOPE and a[0] - b[1] <= secrets.SCOPE for b in others)
+        kept = [x for x in secret if x[2] == "assign" or close(x, other)] + [x for x in other if close(x, secret)]
+        want = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted((a, secrets.KINDS.index(k), b, k) for a, b, k in kept))
+        assert got[i] == want
