@@ -33,19 +33,22 @@ def gather(edges: DataFrame, vector: DataFrame, value: str = "value") -> DataFra
 
 
 def shortest_paths(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """structure_id, source, node_id, dist, paths (number of shortest paths) for all reachable pairs, one level of all searches per join."""
+    """structure_id, source, node_id, dist, paths (number of shortest paths) for all reachable pairs, one level of all searches per join.
+
+    Edges go both ways, so neighbours of a level are on it, on the one before or on the next: only two levels are held against new nodes.
+    """
     starts = edges.select("structure_id", F.col("src").alias("source")).distinct()
     front = settle(starts.select("structure_id", "source", F.col("source").alias("node_id"), F.lit(0).alias("dist"), F.lit(1.0).alias("paths")), "front")
-    levels, seen = [front], front
+    levels, near, seen = [front], front, front
     step = edges.select("structure_id", F.col("src").alias("node_id"), F.col("dst").alias("next"))
     while rounds is None or len(levels) <= rounds:
         ahead = front.join(step, _KEY).groupBy("structure_id", "source", F.col("next").alias("node_id")).agg(F.first("dist").alias("dist"), F.sum("paths").alias("paths"))
-        ahead = ahead.withColumn("dist", F.col("dist") + 1).join(seen, ["structure_id", "source", "node_id"], "left_anti")
-        front = settle(ahead, "front")
+        ahead = ahead.withColumn("dist", F.col("dist") + 1).join(near, ["structure_id", "source", "node_id"], "left_anti")
+        before, front = front, settle(ahead, "front")
         if front.isEmpty():
             break
         levels.append(front)
-        seen = seen.unionByName(front)
+        near, seen = before.unionByName(front), seen.unionByName(front)
     return seen
 
 

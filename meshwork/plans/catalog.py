@@ -123,6 +123,25 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", F.col("n_chars").alias("score"), (F.col("quality") == 1).alias("label"))
 
 
+def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, contacts, and the pockets of each structure in one row."""
+    n, e = _graph(spark, sf_dir)
+    scores = graph.max_normalised(graph.degrees(n, e).withColumn("score", F.col("degree").cast("double")))
+    found, members = pockets.pockets(scores, e, share=0.6, least=3)
+    no_rho = n.select("structure_id").distinct().withColumn("rho", F.lit(0.0))
+    nobody = n.select("structure_id").distinct().withColumn("target", F.lit(None).cast("struct<symbol:string,uniprot:string,name:string,tdl:string,family:string,novelty_score:double>"))
+    out = reports.target_reports(n.withColumn("res_name", F.lit("")), e.where("src < dst"), no_rho, found, members, nobody)
+    top = F.try_element_at("pockets", F.lit(1))
+    return out.select("structure_id", "n_residues", "n_contacts", F.size("pockets").alias("n_pockets"), F.round(top["mean_score"], 6).alias("top_mean"), F.size(top["residues"]).alias("top_size"))
+
+
+def degree_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How degree ranks every third residue, per structure; each second residue is unlabelled."""
+    n, e = _graph(spark, sf_dir)
+    scored = graph.degrees(n, e).join(n.where("res_seq % 2 = 1").select("structure_id", "node_id", (F.col("res_seq") % 3 == 0).alias("label")), ["structure_id", "node_id"])
+    return metrics.roc_auc(scored, ["structure_id"], "degree").withColumn("auc", F.round("auc", 9))
+
+
 def roc_auc_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_auc(_scored(spark, sf_dir), ["lang"]).withColumn("auc", F.round("auc", 9))
 
@@ -229,7 +248,7 @@ def pool_union_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_auc(both, ["method"]).withColumn("auc", F.round("auc", 9))
 
 
-_NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness pocket_components pocket_geometry
+_NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness pocket_components pocket_geometry structure_summary degree_auc
 roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
 composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods""".split()
 
@@ -325,6 +344,10 @@ def oracle_sql() -> dict[str, str]:
         "pocket_components": f"{recursive}, {_HOT} SELECT structure_id, rank, pocket, size, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score FROM rk",
         "pocket_geometry": f"""{recursive}, {_HOT} SELECT structure_id, rank, count(*) AS size, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z,
  round(max(x) - min(x) + 12.0, 6) AS box_size_x, round(max(y) - min(y) + 12.0, 6) AS box_size_y, round(max(z) - min(z) + 12.0, 6) AS box_size_z FROM rk JOIN cm USING (structure_id, pocket) JOIN n USING (structure_id, node_id) GROUP BY ALL""",
+        "structure_summary": f"""{recursive}, {_HOT} SELECT a.structure_id, a.n_residues, coalesce(b.n, 0) AS n_contacts, coalesce(c.n, 0)::INTEGER AS n_pockets, round(c.top_mean, 6) AS top_mean, c.top_size::INTEGER AS top_size
+ FROM (SELECT structure_id, count(*) AS n_residues FROM n GROUP BY ALL) a LEFT JOIN (SELECT structure_id, count(*) AS n FROM p GROUP BY ALL) b USING (structure_id)
+ LEFT JOIN (SELECT structure_id, count(*) AS n, max(mean_score) FILTER (rank = 1) AS top_mean, max(size) FILTER (rank = 1) AS top_size FROM rk GROUP BY ALL) c USING (structure_id)""",
+        "degree_auc": f"{with_graph} " + _AUC.format(keys="structure_id,", part="PARTITION BY structure_id", rows="SELECT g.structure_id, g.degree AS score, n.res_seq % 3 = 0 AS label FROM g JOIN n USING (structure_id, node_id) WHERE n.res_seq % 2 = 1"),
         "roc_auc_by_lang": _AUC.format(keys="lang,", part="PARTITION BY lang", rows=_SCORED),
         "roc_auc_pooled": _AUC.format(keys="", part="", rows=_SCORED),
         "avg_rank_ties": "SELECT doc_id, lang, n_chars, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS avg_rank FROM documents",

@@ -109,7 +109,7 @@ def test_krylov_agrees_with_dense_eigenvalues(spark):
     nodes, edges = small(spark, [(0, 1), (1, 2), (0, 2), (2, 3)], 4)
     degree = graph.degrees(nodes, edges).cache()
     start = degree.select("structure_id", "node_id", (F.col("degree") + F.col("node_id") * 0.1).cast("double").alias("w"), (1 + F.col("node_id") * 0.01).alias("v"))
-    _, h = krylov.arnoldi(degree, edges, 3, start)
+    basis_, h = krylov.arnoldi(degree, edges, 3, start)
     columns = [list(c) for c in h.first().h]
     a, d = np.zeros((4, 4)), np.diag([2.0, 2, 3, 1])
     for x, y in ((0, 1), (1, 2), (0, 2), (2, 3)):
@@ -125,6 +125,21 @@ def test_krylov_agrees_with_dense_eigenvalues(spark):
         basis.append(w / np.linalg.norm(w))
 
 
+def test_arnoldi_over_the_whole_space_gives_the_centrality(spark):
+    nodes, edges = small(spark, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 1)], 4)
+    degree = graph.degrees(nodes, edges).cache()
+    start = degree.select("structure_id", "node_id", (F.col("degree") + F.col("node_id") * 0.1).cast("double").alias("w"), (1 + F.col("node_id") * 0.01).alias("v"))
+    got = scores(krylov.dominant(*krylov.arnoldi(degree, edges, 8, start)))
+    want = scores(graph.backtrackless(nodes, edges, rounds=40)[0])
+    assert got == pytest.approx(want, abs=1e-3)
+
+
+def test_product(spark):
+    m = spark.createDataFrame([("s", i, j, float(i + 2 * j)) for i in range(3) for j in range(3)], "structure_id string, row int, column int, entry double")
+    v = spark.createDataFrame([("s", j, float(j)) for j in range(3)], "structure_id string, node_id int, value double")
+    assert {r.node_id: r.value for r in krylov.product(m, v).collect()} == {0: 10.0, 1: 13.0, 2: 16.0}
+
+
 def test_real_eigenvalues():
     assert krylov.real_eigenvalues([[2.0, 1.0], [1.0, 2.0, 0.0]], 1e-12) == pytest.approx([3.0, 1.0])
     assert krylov.real_eigenvalues([[0.0, 1.0], [-1.0, 0.0, 0.0]], 1e-12) == []
