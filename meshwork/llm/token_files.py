@@ -135,7 +135,7 @@ def encoder(path: str, end_id: int) -> Encoder:
 class Writer:
     """Writes one file, frame by frame."""
 
-    def __init__(self, out, frame_ids: int = FRAME_IDS, level: int = 3):
+    def __init__(self, out, frame_ids: int = FRAME_IDS, level: int = 1):
         self.out, self.most = out, 4 * frame_ids
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.docs: list[tuple] = []
