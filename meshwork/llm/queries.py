@@ -15,7 +15,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("n_links")
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
+def op2_link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join with each document's number of links."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"), links_too=True)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +107,9 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(r.c), w.do
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.d = w.doc_id GROUP BY w.doc_id, n.n
 """
 
+_COMPONENT, _COUNTED = "AS component_id\nFROM w", "AS component_id, coalesce(any_value(l.links), 0)::BIGINT AS n_links\nFROM w LEFT JOIN (SELECT a, count(*) AS links FROM e GROUP BY a) l ON l.a = w.doc_id"
+ORACLE_SQL["op2_link_counts"] = ORACLE_SQL["op2_jaccard_join"].replace(_COMPONENT, _COUNTED)
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)

@@ -93,6 +93,29 @@ def test_jaccard_join(docs, monkeypatch):
     assert sorted((r.doc_id for r in kept.collect()), key=key) == sorted([*set(want.values()), None], key=key)
 
 
+@pytest.mark.parametrize("block", [jaccard_join.BLOCK_SETS, 7])
+def test_jaccard_counts_all_links(docs, monkeypatch, block):
+    """Also where near copies fill many blocks: each document's links, not just those that connect."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", block)
+    sets = {r[0]: shingles(r[1]) for r in rows() if r[0] is not None}
+    want = {a: sum(b != a and bool(s and t) and 100 * len(s & t) >= 75 * len(s | t) for b, t in sets.items()) for a, s in sets.items()}
+    got = jaccard_join.join(docs, links_too=True).collect()
+    assert len(got) == len(rows()) and max(want.values()) > 30
+    assert [r.n_links for r in got] == [want.get(r.doc_id, 0) for r in got]
+    components = plain_components([(r[0], r[1]) for r in rows()])
+    assert all(r.component_id == components.get(r.doc_id) for r in got)
+
+
+def test_overlaps(monkeypatch):
+    rnd = random.Random(5)
+    common = list(range(40))
+    a, b = ([np.array(sorted({*rnd.sample(common, 30), *rnd.sample(range(100, 900), rnd.randint(0, 50))}), np.int64) for _ in range(n)] for n in (30, 21))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert jaccard_join.overlaps(a, b).tolist() == want
+    monkeypatch.setattr(jaccard_join, "MATRIX", 100)
+    assert jaccard_join.overlaps(a, b).tolist() == want
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.join(empty).count() == 0
 
