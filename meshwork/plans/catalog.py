@@ -20,7 +20,7 @@ from meshwork.sources.structures import residues
 from meshwork.session import settle
 
 RULE = ContactRule(0.12, 3)
-#: Steps of the power iterations, as their SQL is unrolled.
+#: Steps of the power iterations, as their SQL is unrolled: not enough to converge. The queries *_converged have the operators' own settings, and no SQL.
 STEPS = 12
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,18 @@ def rho_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spectral(spark, sf_dir)[1].withColumn("rho", F.round("rho", 6))
 
 
+def graph_eigenvector_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.max_normalised(graph.eigenvector(*_graph(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
+def nb_centrality_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.max_normalised(graph.backtrackless(*_graph(spark, sf_dir))[0]).withColumn("score", F.round("score", 6))
+
+
+def rho_b_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.backtrackless(*_graph(spark, sf_dir))[1].withColumn("rho", F.round("rho", 6))
+
+
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
     return graph.max_normalised(graph.closeness(n, graph.shortest_paths(e))).withColumn("score", F.round("score", 6))
@@ -250,7 +262,8 @@ def pool_union_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness pocket_components pocket_geometry structure_summary degree_auc
 roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
-composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods""".split()
+composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods
+graph_eigenvector_converged nb_centrality_converged rho_b_converged""".split()
 
 
 def queries() -> dict[str, Query]:
