@@ -20,12 +20,22 @@ _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
 _LONG = 512
 
 
+#: Which bytes belong to words: all but ASCII white space; or only digits, letters and whatever is above ASCII.
+SPACED = np.array([not (x == 32 or 9 <= x <= 13) for x in range(256)])
+LETTERS = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (runs of bytes other than ASCII white space, A-Z lowered) and, per text, where its words end."""
+    return word_places(texts)[:2]
+
+
+def word_places(texts: list[str | None], inside: np.ndarray = SPACED) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes of ``inside``, A-Z lowered); per text, where its words end; the lowered texts in one, and the words' starts and sizes in it."""
     parts = [(x or "").encode("utf-8", "surrogatepass").lower() for x in texts]
     data = b"\n".join(parts) + b"\n" + bytes(8)
     raw = np.frombuffer(data, np.uint8, len(data) - 8)
-    word = (raw > 32) | (raw < 9) | ((raw > 13) & (raw < 32))
+    word = inside[raw]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
     if len(raw) and word[0]:
         edge = np.concatenate([[0], edge])
@@ -41,4 +51,4 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         rest, at, left = rest[more], at[more] + 8, left[more] - 8
     for i in np.flatnonzero(sizes > _LONG).tolist():
         out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]])
-    return out, upto
+    return out, upto, data, starts, sizes

@@ -200,14 +200,38 @@ def test_decontamination(spark, docs, empty):
 
     want = sorted((key(r[0]), plain(r[1])) for r in rows())
     assert sorted((key(r.doc_id), tuple(r)[1:]) for r in decontamination.report(docs, benchmark).collect()) == want
-    by_chunk = decontamination.mark(docs, benchmark, chunk_words=1)
+    by_chunk = decontamination.mark(docs, benchmark, chunk_bytes=150)
     assert sorted((key(r.doc_id), (r.n_words, r.n_hit, r.n_items)) for r in by_chunk.collect()) == [(k, v[:3]) for k, v in want]
-    clean = decontamination.clean(docs, benchmark, chunk_words=20)
+    clean = decontamination.clean(docs, benchmark, chunk_bytes=200)
     assert clean.columns == docs.columns and clean.count() == sum(not v[4] for _, v in want)
     assert decontamination.report(empty, benchmark).count() == 0
     assert decontamination.report(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("size", [6, 10**6])
+def test_rows_that_share_a_doc_id_keep_their_own_hits(spark, size):
+    texts = ["red fox a b", "a b c d", "a red fox b", None, None, "red fox a b"]
+    frame = spark.createDataFrame([(1, t) for t in texts] + [(None, "red fox")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(1, "red fox"), (2, "fox a"), (2, "zz"), (3, "b"), (3, None)], "item_id bigint, text string")
+    got = sorted((r.n_words, r.n_hit, r["items"]) for r in decontamination.mark(frame, benchmark, chunk_bytes=size).collect())
+    assert got == sorted([(4, 4, ["1", "2", "3"]), (4, 1, ["3"]), (4, 3, ["1", "3"]), (0, 0, []), (0, 0, []), (4, 4, ["1", "2", "3"]), (2, 2, ["1"])])
+
+
+def test_search_over_stretches_finds_what_comparing_finds():
+    rnd = random.Random(2)
+    item = " ".join(rnd.choices("ab", k=400))
+    texts = ["".join(rnd.choices(["a ", "b ", "c, "], [8, 8, 1], k=rnd.choice([0, 5, 30, 700]))) for _ in range(40)]
+    for window in (1, 2, 10):
+        tables = decontamination.tables_for([item, None, "c"], window)
+        got = decontamination.found(texts, ["x", "y", "z"], tables)
+        patterns = {tuple(item.split()[i : i + window]): "x" for i in range(400 - window + 1)} | {("c",): "z"}
+        for i, text in enumerate(texts):
+            w = re.findall("[a-z]", text)
+            at = [(j, j + len(p), n) for p, n in patterns.items() for j in range(len(w) - len(p) + 1) if tuple(w[j : j + len(p)]) == p]
+            hit = {k for a, b, _ in at for k in range(a, b)}
+            assert (got[0][i].as_py(), got[1][i].as_py(), got[3][i].as_py()) == (len(w), len(hit), sorted({n for *_, n in at}))
+
+
 # --- mixing
 
 
