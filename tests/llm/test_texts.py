@@ -93,6 +93,17 @@ def test_jaccard_join(docs, monkeypatch):
     assert sorted((r.doc_id for r in kept.collect()), key=key) == sorted([*set(want.values()), None], key=key)
 
 
+def test_representatives_keep_unlinked_texts_of_one_doc_id(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (2, b, "x"), (0, a, "x"), (3, None, "x"), (3, None, "x"), (3, " ", "x"), (4, b + " and so on and on and on", "x"), (None, a, "x"), (5, a.upper(), "x")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, _print string")
+    kept = jaccard_join.representatives(frame)
+    assert kept.columns == frame.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(repr, [(0, a), (1, b), (3, None), (3, None), (3, " "), (4, rows[8][1]), (None, a)]))
+    got = sorted(map(repr, ((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(frame).collect())))
+    assert got == sorted(map(repr, [(1, 3, 0), (1, 2, 1), (1, 3, 0), (2, 2, 1), (0, 3, 0), (3, 0, 3), (3, 0, 3), (3, 0, 3), (4, 9, 4), (None, 3, None), (5, 3, 0)]))
+
+
 @pytest.mark.parametrize("block", [jaccard_join.BLOCK_SETS, 7])
 def test_jaccard_counts_all_links(docs, monkeypatch, block):
     """Also where near copies fill many blocks: each document's links, not just those that connect."""
