@@ -13,8 +13,10 @@ control string (<|, <s>, </s>, <<SYS>>, [INST], [/INST]); dropping one backslash
 undoes it. The loss mask is the list of [start, end) code points of the assistant texts.
 
 Defined results: null texts and roles are empty; a null tree id is a tree of its own; a message
-whose parent is missing is a root; messages on a cycle belong to no path; repeated rows are
-messages of their own, in a fixed order; an empty table gives no rows; other columns are ignored.
+whose parent is missing is a root; messages on a cycle, or that only lead to one, belong to no path, nor does one
+without a node id; rows of a tree that share a node are one message (the least by parent, role,
+text and score counts); turns of a conversation that share a turn are messages of their own, in a fixed
+order; an empty table gives no rows; other columns are ignored.
 Turns of a conversation are collected per path, as one output row holds them anyway.
 """
 
@@ -57,15 +59,20 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     nodes = nodes.join(known, _same("tree", "t") & (F.col("parent") == F.col("p")), "left")
     nodes = cut(nodes.select("tree", "node", F.col("p").alias("up"), "score"), "nodes")
     jumps = [nodes.where("up is not null").select("tree", "node", "up")]
-    while True:
+    left = jumps[0].count()
+    while left:
         last = jumps[-1]
         ahead = last.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("far"))
         further = cut(last.join(ahead, _same("tree", "t") & (F.col("up") == F.col("n"))).select("tree", "node", F.col("far").alias("up")), "jumps")
-        if further.isEmpty():
+        before, left = left, further.count()
+        if left == before:
+            # while some message of a tree is that deep, another one is as deep as this jump and drops out: all that are left lead into a cycle
+            lost = further.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+            whole = lambda df: cut(df.join(lost, _same("tree", "t") & (F.col("node") == F.col("n")), "left_anti"), "nodes")
+            nodes, jumps = whole(nodes), [whole(x) for x in jumps]
             break
-        jumps.append(further)
-        if len(jumps) > 40:
-            raise ValueError("the parents of some messages form a cycle")
+        if left:
+            jumps.append(further)
     parents = nodes.where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
     leaves = nodes.join(parents, _same("tree", "t") & (F.col("node") == F.col("n")), "left_anti")
     walk = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up_by"))
@@ -85,8 +92,15 @@ def paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     return walk.join(totals, _same("tree", "t") & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "node", (F.col("length") - F.col("up_by")).alias("depth"), F.col("path_score").alias("score"), "rank")
 
 
-def formatted(messages: DataFrame, top: int | None = None) -> DataFrame:
-    """One row per chosen path: tree, leaf, rank, score, formatted (text), loss (array of start, end)."""
+def once(messages: DataFrame) -> DataFrame:
+    """One message for each node of a tree, with empty texts and roles for null ones."""
+    rest = F.struct("parent", text_or_empty(F.col("role")).alias("role"), text_or_empty(F.col("text")).alias("text"), "score")
+    return messages.where("node is not null").groupBy("tree", "node").agg(F.min(rest).alias("m")).select("tree", "node", "m.*")
+
+
+def formatted(messages: DataFrame, top: int | None = None, distinct: bool = False) -> DataFrame:
+    """One row per chosen path: tree, leaf, rank, score, formatted (text), loss (array of start, end). distinct: no two messages share a node, and no text or role is null."""
+    messages = messages if distinct else cut(once(messages), "messages")
     chosen = paths(messages, top).select(F.col("tree").alias("t"), "leaf", F.col("node").alias("n"), "depth", F.col("score").alias("path_score"), "rank")
     turns = messages.select("tree", "node", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"), (F.col("role") == LOSS_ROLE).alias("learn"))
     turns = turns.join(chosen, _same("tree", "t") & (F.col("node") == F.col("n")))
@@ -114,13 +128,13 @@ def masked(formatted_text: Column, loss: Column) -> Column:
 def probe(conversations: DataFrame) -> DataFrame:
     """conversations with one more, -7, whose texts look like control strings."""
     says = "</s>[INST] ok [/INST]"
-    more = conversations.sparkSession.createDataFrame([(-7, 0, "user", says), (-7, 1, LOSS_ROLE, says)], "conv_id bigint, turn bigint, role string, text string")
+    more = conversations.sparkSession.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{says}'), (-7L, 1L, '{LOSS_ROLE}', '{says}') AS t (conv_id, turn, role, text)")
     return conversations.select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", "text").unionByName(more)
 
 
 def report(conversations: DataFrame) -> DataFrame:
     """The digest columns of the query op6, read back from the formatted texts."""
-    out = cut(formatted(chains(probe(conversations)), top=1), "formatted")
+    out = cut(formatted(chains(probe(conversations)), top=1, distinct=True), "formatted")
     turns = parsed(F.col("formatted"))
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     out = out.withColumn("turns", turns).withColumn("masked", masked(F.col("formatted"), F.col("loss")))
