@@ -4,10 +4,10 @@ A file holds a run of documents in ascending doc_id order:
 
     frame*    zstandard frames with content checksum and size; each holds whole documents, one
               after the other, as little-endian unsigned 32-bit ids
-    index     skippable frame (0x184D2A5D), zstandard-compressed: per document int64 doc_id, bit set
-              for a null one, uint32 frame, uint64 first id within the frame, uint64 number of ids
-    seek      skippable frame (0x184D2A5E) of the public "seekable" layout: per frame uint32
-              compressed size, uint32 size, uint32 checksum (low half of xxh64 of the content);
+    index*    skippable frames (0x184D2A5D), one after every ``INDEX_DOCS`` documents or a few more and at the end, zstandard-
+              compressed: per document int64 doc_id, bit set for a null one, uint32 frame, uint64 first id within the frame, uint64 number of ids
+    seek      skippable frame (0x184D2A5E) of the public "seekable" layout: per frame before it uint32
+              compressed size, uint32 size (0: an index), uint32 checksum (low half of xxh64 of the content);
               then uint32 number of frames, one byte of flags (0x80: checksums), uint32 0x8F92EAB1
 
 so plain zstandard tools decompress the file, and a reader fetches the tail, then only the frames of
@@ -15,12 +15,14 @@ the documents it wants. Files are written under the name of their part by rename
 task leaves the same file.
 
 Defined results: a null text is empty and gives only the end id; a null doc_id comes first in
-order; repeated rows are separate documents, ties in doc_id ordered by text; an empty table gives
-no files and no rows; other columns are ignored.
+order; repeated rows are separate documents, ties in doc_id ordered by text; a control string of the tokenizer
+inside a text becomes its id, as the library does by default; doc_ids that are no integers are an error; an empty
+table gives no files and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -43,7 +45,11 @@ from meshwork.llm.common import cut, new_path, partitions, pieces
 END_ID = 2
 FRAME_IDS = 1 << 16
 CACHED = 250_000
+#: Documents an index frame covers; bytes of text in a file, at least (where there are more partitions than files) and at most, about.
+INDEX_DOCS = 1 << 16
+FILE_LEAST, FILE_MOST = 8 << 20, 256 << 20
 _INDEX, _SEEK, _SEEK_END = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
+_PACKED = struct.Struct("<q?IQQ")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 
 #: White space other than the plain space, as a superset of what tokenizers count as such.
@@ -61,8 +67,9 @@ class Encoder:
     """Whole texts to little-endian uint32 ids, with the tokenizers library.
 
     Byte-level BPE with its usual splitting never joins across a single space between two other
-    characters, so a text is encoded piece by piece there, and pieces seen before come from a
-    table of at most ``CACHED`` entries. Models that split otherwise get whole texts.
+    characters, and plain added tokens break texts anyway, so a text is encoded piece by piece there, and pieces seen
+    before come from a table of at most ``CACHED`` entries. Models that split otherwise, or whose added tokens
+    take up spaces, get whole texts.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -70,10 +77,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
         self.end = struct.pack("<I", end_id)
         spaced = self.model.to_str().split('"pre_tokenizer"', 1)[1][:200].replace(" ", "").replace("\n", "")
         self.by_piece = '"type":"ByteLevel","add_prefix_space":false' in spaced and '"use_regex":true' in spaced and self.model.normalizer is None
+        self.by_piece &= not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in json.loads(self.model.to_str())["added_tokens"])
         if self.by_piece:
             size = self.model.get_vocab_size(with_added_tokens=True)
             self.starts = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
@@ -138,7 +145,7 @@ class Writer:
     def __init__(self, out, frame_ids: int = FRAME_IDS, level: int = 1):
         self.out, self.most = out, 4 * frame_ids
         self.pack = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.docs: list[tuple] = []
+        self.docs = bytearray()
         self.seek: list[tuple[int, int, int]] = []
         self.open: list[bytes] = []
         self.size = 0
@@ -146,28 +153,31 @@ class Writer:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.open and self.size + len(ids) > self.most:
             self._flush()
-        self.docs.append((doc_id or 0, doc_id is None, len(self.seek), self.size // 4, len(ids) // 4))
+        self.docs += _PACKED.pack(doc_id or 0, doc_id is None, len(self.seek), self.size // 4, len(ids) // 4)
         self.open.append(ids)
         self.size += len(ids)
 
-    def _flush(self) -> None:
+    def _flush(self, last: bool = False) -> None:
         if self.open:
             data = b"".join(self.open)
             frame = self.pack.compress(data)
             self.out.write(frame)
             self.seek.append((len(frame), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
             self.open, self.size = [], 0
+        if last or len(self.docs) >= INDEX_DOCS * _PACKED.size:
+            index = self.pack.compress(self.docs)
+            self.out.write(struct.pack("<II", _INDEX, len(index)) + index)
+            self.seek.append((len(index) + 8, 0, 0))
+            self.docs = bytearray()
 
     def close(self) -> None:
-        self._flush()
-        index = self.pack.compress(np.array(self.docs, _ENTRY).tobytes())
-        self.out.write(struct.pack("<II", _INDEX, len(index)) + index)
+        self._flush(last=True)
         table = b"".join(struct.pack("<III", *x) for x in self.seek)
         self.out.write(struct.pack("<II", _SEEK, len(table) + 9) + table + struct.pack("<IBI", len(self.seek), 0x80, _SEEK_END))
 
 
 class Reader:
-    """Reads from an open file (pyarrow's random access): the tail at once, frames on request."""
+    """Reads from an open file (pyarrow's random access): the seek table at once, index and other frames on request."""
 
     def __init__(self, source):
         self.source, size = source, source.size()
@@ -177,11 +187,15 @@ class Reader:
         table = np.frombuffer(source.read_at(12 * n, size - 9 - 12 * n), "<u4").reshape(n, 3)
         self.sizes, self.lengths, self.sums = (table[:, i].astype(np.int64) for i in range(3))
         self.at = np.concatenate([[0], np.cumsum(self.sizes)])
-        tail = source.read_at(size - 17 - 12 * n - int(self.at[-1]), int(self.at[-1]))
-        kind, length = struct.unpack("<II", tail[:8])
-        if kind != _INDEX or length != len(tail) - 8:
-            raise ValueError("no document index before the seek table")
-        self.docs = np.frombuffer(zstandard.ZstdDecompressor().decompress(tail[8:]), _ENTRY)
+
+    def indexes(self) -> Iterator[np.ndarray]:
+        """The document index, part by part."""
+        for k in np.flatnonzero(self.lengths == 0).tolist():
+            part = self.source.read_at(int(self.sizes[k]), int(self.at[k]))
+            kind, length = struct.unpack("<II", part[:8])
+            if kind != _INDEX or length != len(part) - 8:
+                raise ValueError(f"frame {k} is no document index")
+            yield np.frombuffer(zstandard.ZstdDecompressor().decompress(part[8:]), _ENTRY)
 
     def frame(self, k: int) -> bytes:
         data = zstandard.ZstdDecompressor().decompress(self.source.read_at(int(self.sizes[k]), int(self.at[k])), max_output_size=int(self.lengths[k]))
@@ -189,28 +203,32 @@ class Reader:
             raise ValueError(f"frame {k} doesn't agree with its checksum")
         return data
 
-    def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
-        """(doc_id, ids) of the documents at these positions of the index (None: all); only their frames are decompressed."""
+    def documents(self, wanted: int | None = None) -> Iterator[tuple[int | None, np.ndarray]]:
+        """(doc_id, ids) of the documents with this doc_id (None: of all); only their frames are decompressed."""
         now, data = -1, b""
-        for i in range(len(self.docs)) if wanted is None else wanted:
-            doc, null, frame, first, n = self.docs[i].tolist()
-            if frame != now:
-                now, data = frame, self.frame(frame)
-            yield None if null else doc, np.frombuffer(data, "<u4", n, 4 * first)
-
-    def find(self, doc_id: int) -> list[int]:
-        return np.flatnonzero((self.docs["doc_id"] == doc_id) & (self.docs["null"] == 0)).tolist()
+        for part in self.indexes():
+            some = part if wanted is None else part[(part["doc_id"] == wanted) & (part["null"] == 0)]
+            for doc, null, frame, first, n in some.tolist():
+                if frame != now:
+                    now, data = frame, self.frame(frame)
+                yield None if null else doc, np.frombuffer(data, "<u4", n, 4 * first)
 
 
 def _open(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
+def _files(rows: DataFrame) -> int:
+    """As many files as the text's bytes ask for, and up to one a partition where that makes no tiny ones."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-size // FILE_MOST), min(partitions(rows.sparkSession), -(-size // FILE_LEAST)))
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", files: int | None = None, frame_ids: int = FRAME_IDS) -> DataFrame:
     """Encodes and writes all docs below folder (a shared URI). Returns the manifest: file, part, n_docs, n_ids, start (ids in earlier files)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(files or partitions(spark), F.col("doc_id").asc_nulls_first())
+    rows = rows.repartitionByRange(files or _files(rows), F.col("doc_id").asc_nulls_first())
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
