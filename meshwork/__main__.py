@@ -1,4 +1,4 @@
-"""Command line: reports on structures, scoring methods against labels, and array dumps to Parquet."""
+"""Command line: reports on structures, scoring methods against labels, discovery runs, and array dumps to Parquet."""
 
 from __future__ import annotations
 
@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from meshwork.operators import reports
 from meshwork.operators.contacts import ContactRule
 from meshwork.plans import workflows
-from meshwork.session import session
-from meshwork.sources import dumps, tables
+from meshwork.session import session, settle
+from meshwork.sources import dumps, payloads, tables
 from meshwork.sources.structures import read_files, residues, without_residues
 
 
 def _arguments() -> argparse.ArgumentParser:
+    # fixed values: option names and defaults that users of such tools know
     parser = argparse.ArgumentParser(prog="meshwork", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     shared = argparse.ArgumentParser(add_help=False)
@@ -24,14 +25,20 @@ def _arguments() -> argparse.ArgumentParser:
     shared.add_argument("--cutoff", type=float, default=8.0)
     shared.add_argument("--min-seq-sep", type=int, default=3)
     shared.add_argument("--out", required=True, help="folder for the results")
-    report = commands.add_parser("report", parents=[shared])
+    pocket = argparse.ArgumentParser(add_help=False)
+    pocket.add_argument("--top-percentile", type=float, default=0.9)
+    pocket.add_argument("--ligand", default="REPLACE_WITH_LIGAND")
+    report = commands.add_parser("report", parents=[shared, pocket])
     report.add_argument("--targets")
     report.add_argument("--symbol")
     report.add_argument("--uniprot")
-    report.add_argument("--top-percentile", type=float, default=0.9)
-    report.add_argument("--ligand", default="REPLACE_WITH_LIGAND")
     evaluate = commands.add_parser("evaluate", parents=[shared])
     evaluate.add_argument("--labels", required=True)
+    discover = commands.add_parser("discover", parents=[shared, pocket])
+    discover.add_argument("--disease-answers", required=True, help="recorded answers of the target service, one JSON text a line")
+    discover.add_argument("--predictions", required=True, help="recorded answers of the model service: uniprot, tab, JSON text")
+    discover.add_argument("--top", type=int, default=25)
+    discover.add_argument("--difficult-only", action="store_true")
     assemble = commands.add_parser("assemble")
     assemble.add_argument("--dump", required=True)
     assemble.add_argument("--out", required=True)
@@ -41,43 +48,63 @@ def _arguments() -> argparse.ArgumentParser:
 
 
 def _report(spark: SparkSession, a: argparse.Namespace) -> None:
-    files = read_files(spark, a.structures).cache()
-    nodes = residues(files).cache()
+    files = settle(read_files(spark, a.structures), "files")
+    nodes = settle(residues(files), "nodes")
     if bad := without_residues(files, nodes).first():
         raise SystemExit(f"no residues in {bad.structure_id}")
     asked = files.select("structure_id").distinct()
-    first = asked.agg(F.min("structure_id")).first()[0]  # only the first structure is looked up
+    first = files.agg(F.min_by("structure_id", "path")).first()[0]  # files go by path; only the first structure is looked up
     wanted = lambda x: F.when(F.col("structure_id") == first, F.lit(x).cast("string"))
     asked = asked.select("structure_id", wanted(a.symbol).alias("symbol"), wanted(a.uniprot).alias("uniprot"))
     known = tables.targets(tables.numbered_lines(spark, a.targets)) if a.targets else spark.createDataFrame([], "symbol string, uniprot string, name string, tdl string, family string, novelty_score double, line_no int")
-    ranked, boxes = workflows.report(nodes, known, asked, ContactRule(a.cutoff, a.min_seq_sep), a.top_percentile)
-    reports.write_json(ranked, f"{a.out}/reports")
-    reports.append_csv(reports.docking_rows(boxes.where("rank = 1"), files, a.ligand), f"{a.out}/docking")
+    done = workflows.report(nodes, known, asked, ContactRule(a.cutoff, a.min_seq_sep), a.top_percentile)
+    for row in done.rho.where("not converged").toLocalIterator():
+        print(f"the spectral radius of {row.structure_id} is off by up to {row.residual:.1e}", file=sys.stderr)
+    best = done.boxes.where("rank = 1")
+    grids = reports.pocket_grids(best, done.members, nodes)
+    reports.write_json(done.ranked, f"{a.out}/reports")
+    reports.write_json(grids, f"{a.out}/grids")
+    reports.write_json(reports.free_residues(grids), f"{a.out}/restraints")
+    reports.append_csv(reports.docking_rows(best, files, a.ligand), f"{a.out}/docking")
 
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    nodes = residues(read_files(spark, a.structures)).cache()
-    each, pooled, skipped = workflows.evaluate(nodes, tables.labels(tables.numbered_lines(spark, a.labels)), ContactRule(a.cutoff, a.min_seq_sep))
-    for row in skipped.toLocalIterator():
-        print(f"no labels for {row.structure_id}", file=sys.stderr)
-    each, pooled = each.cache(), pooled.cache()
-    if each.isEmpty():
+    files = settle(read_files(spark, a.structures), "files")
+    done = workflows.evaluate(settle(residues(files), "nodes"), tables.labels(tables.numbered_lines(spark, a.labels)), ContactRule(a.cutoff, a.min_seq_sep), files=files)
+    for row in done.skipped.toLocalIterator():
+        print(f"{row.reason} for {row.structure_id}", file=sys.stderr)
+    if done.each.isEmpty():
         raise SystemExit("no structure could be evaluated")
-    reports.write_json(each.orderBy("structure_id", "method"), f"{a.out}/structures")
-    reports.write_json(pooled.orderBy("method"), f"{a.out}/pooled")
+    by_path = files.groupBy("structure_id").agg(F.min("path").alias("path"))
+    reports.write_json(done.structures.join(by_path, "structure_id").orderBy("path").drop("path"), f"{a.out}/structures")
+    place = F.array_position(F.array(*map(F.lit, workflows.METHODS)), F.col("method"))
+    reports.write_json(done.pooled.orderBy(place), f"{a.out}/pooled")
+
+
+def _discover(spark: SparkSession, a: argparse.Namespace) -> None:
+    files = settle(read_files(spark, a.structures), "files")
+    targets = payloads.disease_targets(spark.read.text(a.disease_answers).select(F.col("value").alias("payload")), a.top)
+    answers = spark.read.text(a.predictions).select(F.split("value", "\t", 2).alias("f")).select(F.col("f")[0].alias("uniprot"), F.col("f")[1].alias("payload"))
+    done = workflows.discover(targets, payloads.predictions(answers), settle(residues(files), "nodes"), files, ContactRule(a.cutoff, a.min_seq_sep), a.top_percentile, a.difficult_only, a.ligand)
+    for row in done.errors.toLocalIterator():
+        print(f"{row.symbol}: {row.error}", file=sys.stderr)
+    for name in ("summary", "reports", "grids", "restraints"):
+        reports.write_json(getattr(done, name), f"{a.out}/{name}")
+    reports.append_csv(done.docking, f"{a.out}/docking")
+
+
+def _assemble(spark: SparkSession, a: argparse.Namespace) -> None:
+    names = dict(x.split("=", 1) for x in a.name)
+    made = dumps.assemble(spark, a.dump, a.out, a.rows, {int(k): v for k, v in names.items()})
+    for row in dumps.verify(spark, a.dump, made, a.rows).toLocalIterator():
+        print(row.table, made[row.table], row.n)
+        if not row.ok:
+            raise SystemExit(f"{row.table} has {row.n} rows instead of {row.expected}")
 
 
 def main(arguments: list[str] | None = None) -> None:
     a = _arguments().parse_args(arguments)
-    spark = session()
-    if a.command == "report":
-        _report(spark, a)
-    elif a.command == "evaluate":
-        _evaluate(spark, a)
-    else:
-        names = dict(x.split("=", 1) for x in a.name)
-        for table, path in dumps.assemble(spark, a.dump, a.out, a.rows, {int(k): v for k, v in names.items()}).items():
-            print(table, path)
+    {"report": _report, "evaluate": _evaluate, "discover": _discover, "assemble": _assemble}[a.command](session(), a)
 
 
 if __name__ == "__main__":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.session import settle
+from meshwork.session import by_structure, discard, settle, settle_counted
 
 _KEY = ["structure_id", "node_id"]
 
@@ -39,30 +39,54 @@ def shortest_paths(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """
     starts = edges.select("structure_id", F.col("src").alias("source")).distinct()
     front = settle(starts.select("structure_id", "source", F.col("source").alias("node_id"), F.lit(0).alias("dist"), F.lit(1.0).alias("paths")), "front")
-    levels, near, seen = [front], front, front
+    near, seen, level = front, front, 0
     step = edges.select("structure_id", F.col("src").alias("node_id"), F.col("dst").alias("next"))
-    while rounds is None or len(levels) <= rounds:
+    while rounds is None or level < rounds:
         ahead = front.join(step, _KEY).groupBy("structure_id", "source", F.col("next").alias("node_id")).agg(F.first("dist").alias("dist"), F.sum("paths").alias("paths"))
         ahead = ahead.withColumn("dist", F.col("dist") + 1).join(near, ["structure_id", "source", "node_id"], "left_anti")
-        before, front = front, settle(ahead, "front")
-        if front.isEmpty():
+        before, (front, made) = front, settle_counted(ahead, "front", n=F.count(F.lit(1)))
+        if not made["n"]:
             break
-        levels.append(front)
-        near, seen = before.unionByName(front), seen.unionByName(front)
+        near, seen, level = before.unionByName(front), seen.unionByName(front), level + 1
     return seen
 
 
-def closeness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+def reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """structure_id, node_id, r (nodes within reach besides oneself), far (the sum of their distances).
+
+    All searches of a structure run at once, 64 sources to a word of bits that each node holds: a level is one join
+    and a bitwise or over neighbours. Distances are the same both ways, so a node counts who reaches it.
+    """
+    edges = settle(edges, "edges")
+    number = nodes.select(*_KEY, (F.row_number().over(Window.partitionBy("structure_id").orderBy("node_id")) - 1).alias("i"))
+    own = number.select(*_KEY, F.floor(F.col("i") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, i % 64)").alias("front"))
+    now = settle(own.select(*_KEY, "word", F.col("front").alias("seen"), "front", F.lit(0).cast("bigint").alias("r"), F.lit(0).cast("bigint").alias("far")), "reach")
+    level = 1
+    while True:
+        ahead = edges.join(now.where("front <> 0").select("structure_id", F.col("node_id").alias("dst"), "word", "front"), ["structure_id", "dst"])
+        ahead = ahead.groupBy("structure_id", F.col("src").alias("node_id"), "word").agg(F.bit_or("front").alias("ahead"))
+        both = now.join(ahead, [*_KEY, "word"], "full").withColumn("seen", F.coalesce("seen", F.lit(0).cast("bigint")))
+        new = F.coalesce("ahead", F.lit(0).cast("bigint")).bitwiseAND(F.bitwise_not("seen"))
+        both = both.withColumn("front", new).withColumn("n", F.bit_count("front").cast("bigint"))
+        figures = [(F.coalesce("r", F.lit(0)) + F.col("n")).alias("r"), (F.coalesce("far", F.lit(0)) + level * F.col("n")).alias("far")]
+        later, made = settle_counted(both.select(*_KEY, "word", F.col("seen").bitwiseOR(F.col("front")).alias("seen"), "front", *figures), "reach", n=F.count_if(F.col("front") != 0))
+        discard(now)
+        now, level = later, level + 1
+        if not made["n"]:
+            return now.groupBy(*_KEY).agg(F.sum("r").alias("r"), F.sum("far").alias("far"))
+
+
+def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """r^2 / ((n - 1) sum of distances), r nodes reached besides oneself; 0 for isolated ones."""
     n = nodes.groupBy("structure_id").agg(F.count("*").alias("n"))
-    found = paths.where("dist > 0").groupBy("structure_id", F.col("source").alias("node_id")).agg(F.count("*").alias("r"), F.sum("dist").alias("far"))
-    rows = nodes.select(*_KEY).join(n, "structure_id").join(found, _KEY, "left")
+    rows = nodes.select(*_KEY).join(n, "structure_id").join(reach(nodes, edges), _KEY, "left")
     score = F.when((F.col("far") > 0) & (F.col("n") > 1), F.col("r") * F.col("r") / ((F.col("n") - 1) * F.col("far"))).otherwise(0.0)
     return rows.select(*_KEY, score.alias("score"))
 
 
 def betweenness(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Shares of shortest paths through each node, each pair once: dependencies flow back level by level for all sources at once."""
+    edges, paths = settle(edges, "edges"), settle(paths, "paths")
     deepest = paths.agg(F.max("dist")).first()[0] or 0
     flow = None
     parts = []
@@ -88,71 +112,44 @@ def betweenness(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFra
     return rows.join(total, _KEY, "left").fillna(0.0, ["score"])
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 200, settle_every: int = 8) -> DataFrame:
-    """A fixed number of unshifted power steps from the uniform vector, normalised at each step."""
-    every = Window.partitionBy("structure_id")
-    now = nodes.select(*_KEY, (1 / F.sqrt(F.count("*").over(every))).alias("value"))
-    for i in range(1, rounds + 1):
-        now = nodes.select(*_KEY).join(gather(edges, now), _KEY, "left").select(*_KEY, F.coalesce("gathered", F.lit(0.0)).alias("value"))
-        norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(every))
-        now = now.withColumn("value", F.when(norm > 1e-15, F.col("value") / norm).otherwise(F.col("value")))
-        if i % settle_every == 0:
-            now = settle(now, "eigenvector")
-    return now.select(*_KEY, F.abs("value").alias("score"))
-
-
-def backtrackless_step(degree: DataFrame, edges: DataFrame, state: DataFrame, shift: float = 1.0) -> DataFrame:
-    """(w, v) to (A w + (I - D) v + shift w, w + shift v), then scaled to unit length: one step of power iteration on the 2n form of the non-backtracking operator."""
-    moved = degree.join(gather(edges, state, "w"), _KEY, "left").join(state, _KEY)
-    w = F.coalesce("gathered", F.lit(0.0)) + (1 - F.col("degree")) * F.col("v") + shift * F.col("w")
-    moved = moved.select(*_KEY, "degree", w.alias("w"), (F.col("w") + shift * F.col("v")).alias("v"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w") + F.col("v") * F.col("v")).over(Window.partitionBy("structure_id")))
-    return moved.select(*_KEY, *(F.when(norm > 0, F.col(c) / norm).otherwise(F.col(c)).alias(c) for c in ("w", "v")))
-
+def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """structure_id, node_id, to, own: the edges, and each node to itself (own). A join with this and a sum by ``to`` is a matrix product that reads its vector once and loses no isolated node."""
+    loops = nodes.select(*_KEY, F.col("node_id").alias("to"), F.lit(True).alias("own"))
+    return edges.select("structure_id", F.col("src").alias("node_id"), F.col("dst").alias("to"), F.lit(False).alias("own")).unionByName(loops)
 
-def backtrackless(nodes: DataFrame, edges: DataFrame, rounds: int = 200, tolerance: float = 1e-10, shift: float = 1.0, settle_every: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Non-backtracking centrality (structure_id, node_id, score; not normalised) and the spectral radius (structure_id, rho).
 
-    The start w = degree, v = 1 is no eigenvector of the trivial eigenvalue 1, and the shift keeps
-    bipartite structures from oscillating. Stops when both the estimate and the vector rest.
-    Structures of fewer than two nodes have radius 0 and null scores.
-    """
-    degree = settle(degrees(nodes, edges), "degree")
-    state = degree.select(*_KEY, F.col("degree").cast("double").alias("w"), F.lit(1.0).alias("v"))
-    before = None
-    for i in range(1, rounds + 1):
-        state = backtrackless_step(degree, edges, state, shift)
-        if i % settle_every == 0:
-            state = settle(state, "spectral")
-            if before is not None:
-                change = state.join(before.select(*_KEY, F.col("w").alias("w0")), _KEY).agg(F.max(F.abs(F.col("w") - F.col("w0")))).first()[0]
-                if change is None or change < tolerance:
-                    break
-            before = state
-    return spectral_figures(nodes, state)
-
-
-def spectral_figures(nodes: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    n = nodes.groupBy("structure_id").agg(F.count("*").alias("n"))
-    found = state.join(n, "structure_id")
-    scores = found.select(*_KEY, F.when(F.col("n") >= 2, F.abs("w")).alias("score"))
-    rho = F.abs(F.sum(F.col("w") * F.col("v")) / F.sum(F.col("v") * F.col("v")))
-    return scores, found.groupBy("structure_id").agg(F.when(F.max("n") >= 2, rho).otherwise(0.0).alias("rho"))
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 200, settle_every: int = 10) -> DataFrame:
+    """A fixed number of unshifted power steps from the uniform vector, scaled to unit length every few steps and at the end."""
+    every = Window.partitionBy("structure_id")
+    links, now = by_structure(settle(linked(nodes, edges), "links"), settle(nodes.select(*_KEY, (1 / F.sqrt(F.count("*").over(every))).alias("value")), "eigenvector"))
+    done = 0
+    while done < rounds:
+        steps = min(settle_every, rounds - done)
+        sql = "SELECT structure_id, node_id, value FROM {now}"
+        for _ in range(steps):  # one SQL text, as DataFrame calls would be analysed anew at each step
+            sql = f"SELECT s.structure_id, l.to AS node_id, sum(CASE WHEN l.own THEN 0D ELSE s.value END) AS value FROM ({sql}) s JOIN {{links}} l ON l.structure_id = s.structure_id AND l.node_id = s.node_id GROUP BY s.structure_id, l.to"
+        length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(every))
+        moved = nodes.sparkSession.sql(sql, now=now, links=links).withColumn("value", F.when(length > 1e-15, F.col("value") / length).otherwise(F.col("value")))
+        now, done = settle(moved, "eigenvector").repartition("structure_id"), done + steps
+    return now.select(*_KEY, F.abs("value").alias("score"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, limit: int = 200) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """structure_id, node_id, component (its smallest node): least labels spread and jump until none changes."""
+    edges = settle(edges, "edges")
     now = settle(nodes.select(*_KEY, F.col("node_id").alias("component")), "components")
-    for _ in range(limit):
+    while True:
         near = edges.join(now.select("structure_id", F.col("node_id").alias("dst"), "component"), ["structure_id", "dst"])
         near = near.groupBy("structure_id", F.col("src").alias("node_id")).agg(F.min("component").alias("near"))
         spread = now.join(near, _KEY, "left").select(*_KEY, F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = spread.select("structure_id", F.col("node_id").alias("component"), F.col("component").alias("root"))
-        new = settle(spread.join(jump, ["structure_id", "component"], "left").select(*_KEY, "old", F.coalesce("root", "component").alias("component")), "components")
+        jump = now.select("structure_id", F.col("node_id").alias("component"), F.col("component").alias("root"))
+        jumped = spread.join(jump, ["structure_id", "component"], "left").select(*_KEY, "old", F.coalesce("root", "component").alias("component"))
+        new, made = settle_counted(jumped, "components", changed=F.count_if(F.col("old") != F.col("component")))
+        discard(now)
         now = new.select(*_KEY, "component")
-        if new.where("old <> component").isEmpty():
-            break
-    return now
+        now.settled_at = new.settled_at
+        if not made["changed"]:
+            return now
 
 
 def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
@@ -160,6 +157,3 @@ def induced(edges: DataFrame, kept: DataFrame) -> DataFrame:
     k = kept.select(*_KEY)
     return edges.join(k.withColumnRenamed("node_id", "src"), ["structure_id", "src"], "left_semi").join(k.withColumnRenamed("node_id", "dst"), ["structure_id", "dst"], "left_semi")
 
-
-def norm(value: str) -> Column:
-    return F.sqrt(F.sum(F.col(value) * F.col(value)))

@@ -1,40 +1,80 @@
-"""Ranking metrics: ROC-AUC with tied ranks, average ranks, thresholds by index."""
+"""Ranking metrics: ROC-AUC with tied ranks, average ranks, row numbers, thresholds by index."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions import whole_share
+from meshwork.session import settle
 
+#: Rows of a group that one window may order; larger groups are ordered by ranges.
+WINDOW_ROWS = 1_000_000
 
-def roc_auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
+
+def running_sum(rows: DataFrame, by: list[str], order: str, value: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """Adds before: the sum of value over the rows of the same group that come earlier. order is distinct within a group.
+
+    Groups of up to window_rows rows are ordered by a window. Larger ones are dealt into ranges of their order: each range adds up on
+    its own, and starts from the sums of the ranges before it, which are a few rows per group.
+    """
+    rows = settle(rows, "running")
+    keys = by or ["_all"]
+    rows = rows if by else rows.withColumn("_all", F.lit(1))
+    largest = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= window_rows:
+        earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("before", F.coalesce(F.sum(value).over(earlier), F.lit(0))).select(*rows.drop("_all").columns, "before")
+    ranges = settle(rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
+    start = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(start), F.lit(0))).drop("_sum")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_range"]]
+    joined = ranges.alias("r").join(sums.alias("s"), same).select("r.*", "s._start")
+    within = Window.partitionBy(*keys, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return joined.withColumn("before", F.col("_start") + F.coalesce(F.sum(value).over(within), F.lit(0))).select(*[c for c in rows.columns if c != "_all"], "before")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows with their number (from 1) in a total order, and in that order: sorted by ranges, each of which starts from the sizes of those before it."""
+    columns = rows.columns
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ranges = settle(ranges, "numbered").withColumn("_range", F.shiftright("_at", 33))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    # one row per range
+    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = ranges.join(F.broadcast(sizes.drop("_n")), "_range").withColumn(name, F.col("_start") + F.col("_at") - F.col("_first") + 1)
+    return out.select(*columns, name).orderBy(name)
+
+
+def _counted(rows: DataFrame, by: list[str], value: str, *more: Column) -> DataFrame:
+    return rows.groupBy(*by, value).agg(F.count("*").alias("n"), *more)
+
+
+def roc_auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "label", window_rows: int = WINDOW_ROWS) -> DataFrame:
     """by, auc, n_pos, n_neg of boolean labels. Ties share the average rank; one class alone gives a null auc.
 
     Rows are first counted by distinct score, so the running sum is over scores, not rows, and
     partial sums come before the shuffle. Without groups (by is empty) all rows are pooled.
     """
-    keys = by or ["_all"]
-    rows = scored if by else scored.withColumn("_all", F.lit(1))
-    steps = rows.groupBy(*keys, score).agg(F.count_if(label).alias("pos"), F.count("*").alias("n"))
-    before = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
-    sums = steps.groupBy(*keys).agg(F.sum(F.col("pos") * F.col("rank")).alias("ranks"), F.sum("pos").alias("n_pos"), (F.sum("n") - F.sum("pos")).alias("n_neg"))
+    steps = running_sum(_counted(scored, by, score, F.count_if(label).alias("pos")), by, score, "n", window_rows)
+    sums = steps.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("n_pos"), (F.sum("n") - F.sum("pos")).alias("n_neg"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), (F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg")))
     return sums.select(*by, auc.alias("auc"), "n_pos", "n_neg")
 
 
-def average_rank(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+def average_rank(rows: DataFrame, by: list[str], value: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Adds avg_rank: ascending from 1 within by, ties at their average."""
-    first = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return rows.withColumn("avg_rank", first + (ties - 1) / 2)
+    steps = running_sum(_counted(rows, by, value), by, value, "n", window_rows)
+    keys = [*by, value]
+    steps = steps.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), (F.col("before") + (F.col("n") + 1) / 2).alias("avg_rank"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+    return rows.join(steps, same).select(*rows.columns, "avg_rank")
 
 
-def index_threshold(rows: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
+def index_threshold(rows: DataFrame, by: list[str], value: str, share: float, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """by, threshold: the value at index round((n - 1) share) of each group in ascending order."""
-    counted = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*by).orderBy(value))
-    total = F.sum("n").over(Window.partitionBy(*by))
-    placed = counted.withColumn("last", upto - 1).withColumn("wanted", whole_share(total, share))
+    steps = running_sum(_counted(rows, by, value), by, value, "n", window_rows)
+    total = steps.groupBy(*(F.col(k).alias(f"_{k}") for k in by)).agg(whole_share(F.sum("n"), share).alias("wanted"))
+    placed = steps.join(total, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by]).withColumn("last", F.col("before") + F.col("n") - 1)
     return placed.where("last >= wanted").groupBy(*by).agg(F.min(value).alias("threshold"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.functions import is_difficult
+from meshwork.operators.metrics import numbered
 
 _TARGET = ["symbol", "uniprot", "name", "tdl", "family", "novelty_score"]
 
@@ -38,17 +39,17 @@ def target_reports(nodes: DataFrame, pairs: DataFrame, rho: DataFrame, found: Da
 
 
 def ranked(reports: DataFrame) -> DataFrame:
-    """Difficult targets first, then by the best pocket's mean score."""
+    """Difficult targets first, then by the best pocket's mean score; place is the position."""
     top = F.coalesce(F.try_element_at("pockets", F.lit(1))["mean_score"], F.lit(0.0))
-    return reports.orderBy(F.coalesce("target.is_difficult_target", F.lit(False)).desc(), top.desc(), "structure_id")
+    return numbered(reports, [F.coalesce("target.is_difficult_target", F.lit(False)).desc(), F.round(top, 9).desc(), F.col("structure_id").asc()])
 
 
 def summary(reports: DataFrame, entries: DataFrame, boxes: DataFrame) -> DataFrame:
-    """One flat row per target for the run's summary, understudied levels (as spelled) first, then by the number of pockets."""
+    """One flat row per target for the run's summary, understudied levels (as spelled) first, then by the number of pockets; place is the position."""
     best = boxes.where("rank = 1").select("structure_id", F.struct("center", "box_size", F.col("size").alias("n_residues")).alias("top_pocket"))
     rows = reports.join(entries, "structure_id").join(best, "structure_id", "left")
     rows = rows.select("target.symbol", "target.uniprot", "target.tdl", "target.family", "entry", F.size("pockets").alias("n_pockets"), "global_coupling_rho_b", "top_pocket")
-    return rows.orderBy((~F.col("tdl").isin("Tdark", "Tbio")).asc(), F.col("n_pockets").desc(), "symbol")
+    return numbered(rows, [F.coalesce(~F.col("tdl").isin("Tdark", "Tbio"), F.lit(True)).asc(), F.col("n_pockets").desc(), F.col("symbol").asc(), F.col("uniprot").asc()])
 
 
 def docking_rows(boxes: DataFrame, paths: DataFrame, ligand: str) -> DataFrame:
@@ -59,8 +60,19 @@ def docking_rows(boxes: DataFrame, paths: DataFrame, ligand: str) -> DataFrame:
 
 
 def append_csv(rows: DataFrame, folder: str) -> None:
-    """Every part has its header, so appending needs no look at what is there."""
-    rows.write.mode("append").option("header", True).csv(folder)
+    """Adds rows to a folder of CSV parts: the header is a part of its own, written once when the folder is new."""
+    spark = rows.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        spark.range(1).select(*(F.lit(c).alias(c) for c in rows.columns)).coalesce(1).write.csv(folder)
+    rows.write.mode("append").csv(folder)
+
+
+def read_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """What append_csv wrote, as strings: its header names the columns and is no row."""
+    every = spark.read.csv(folder)
+    names = ["complex_name", "protein_path", "ligand_description", *(f"pocket_center_{c}" for c in "xyz")]
+    return every.toDF(*names).where(F.col(names[0]) != names[0])
 
 
 def pocket_grids(boxes: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -75,5 +87,14 @@ def free_residues(grids: DataFrame) -> DataFrame:
     return grids.select("structure_id", "rank", F.to_json(F.struct("structure_id", "rank", free.alias("unrestrained"))).alias("restraint"))
 
 
+def benchmark_report(nodes: DataFrame, labelled: DataFrame, each: DataFrame, methods: tuple[str, ...]) -> DataFrame:
+    """One nested row per evaluated structure: n_residues, n_labeled, and its methods' figures in their fixed order."""
+    place = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
+    lists = each.groupBy("structure_id").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "method", "auc", "n_pos", "n_neg"))).alias("m"))
+    sizes = nodes.groupBy("structure_id").agg(F.count("*").alias("n_residues"))
+    known = labelled.groupBy("structure_id").agg(F.count("*").alias("n_labeled"))
+    return lists.join(sizes, "structure_id").join(known, "structure_id").select("structure_id", "n_residues", "n_labeled", F.transform("m", lambda x: x.dropFields("at")).alias("methods"))
+
+
 def write_json(rows: DataFrame, folder: str) -> None:
     rows.write.mode("overwrite").json(folder)

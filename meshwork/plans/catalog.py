@@ -6,34 +6,36 @@ the chain, and the first three components its place.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions import is_difficult
-from meshwork.operators import graph, metrics, pockets, reports
+from meshwork.operators import graph, krylov, metrics, pockets, reports
 from meshwork.operators.contacts import ContactRule, both_ways, contacts
-from meshwork.sources import dumps, tables
-from meshwork.sources.payloads import disease_targets
-from meshwork.sources.structures import residues
-from meshwork.session import settle
+from meshwork.plans import workflows
+from meshwork.session import new_path, settle
+from meshwork.sources import dumps, payloads, tables
+from meshwork.sources.structures import read_files, residues, write_files
 
 RULE = ContactRule(0.12, 3)
-#: Steps of the power iterations, as their SQL is unrolled: not enough to converge. The queries *_converged have the operators' own settings, and no SQL.
-STEPS = 12
+#: Steps of the registered Arnoldi process, whose projected matrix its SQL works out too.
+DIMS = 3
 Query = Callable[[SparkSession, str], DataFrame]
 
-#: A small structure of two clusters: residue numbers and places.
-FIXTURE = [(base + 4 * i, dx + x, y, z) for base, dx in ((1, 0.0), (101, 10.0)) for i, (x, y, z) in enumerate(((0, 0, 0), (3, 0, 0), (0, 3, 0), (0, 0, 3), (2, 2, 2)))]
+#: A small structure, residues on a helix: numbers and places.
+FIXTURE = [(2 + 3 * i, round(5 * math.cos(1.7 * i), 3), round(5 * math.sin(1.7 * i), 3), 1.5 * i) for i in range(14)]
 
 
 def fixture_lines() -> list[str]:
     """FIXTURE as fixed-width lines, with lines that a reader has to leave out."""
     atom = lambda i, name, chain, seq, x, y, z, kind="ATOM": f"{kind:<6}{i:>5} {name:^4} {'ALA':>3} {chain}{seq:>4}    {x:>8.3f}{y:>8.3f}{z:>8.3f}"
-    out = ["HEADER    two clusters", atom(0, "N", "A", 1, 0, 0, 0)]
+    out = ["HEADER    a helix", atom(0, "N", "A", 2, 0, 0, 0)]
     out += [atom(i, "CA", "A", seq, x, y, z) for i, (seq, x, y, z) in enumerate(FIXTURE, 1)]
-    out += [atom(90, "CA", "A", 1, 9, 9, 9), atom(91, "CA", "B", 7, 1.5, -2.25, 0.125, "HETATM"), atom(92, "CA", "B", 8, 1, 1, 1)[:50], atom(93, "CA", "B", 9, 1, 1, 1).replace("1.000", "1.0x0"), "TER", "END"]
+    out += [atom(90, "CA", "A", 2, 9, 9, 9), atom(91, "CA", "B", 7, 1.5, -2.25, 0.125, "HETATM"), atom(92, "CA", "B", 8, 1, 1, 1)[:50], atom(93, "CA", "B", 9, 1, 1, 1).replace("1.000", "1.0x0"), "TER", "END"]
     return out
 
 
@@ -75,42 +77,48 @@ def contact_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_eigenvector_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.max_normalised(graph.eigenvector(*_graph(spark, sf_dir), rounds=STEPS)).withColumn("score", F.round("score", 6))
-
-
-def _spectral(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n, e = _graph(spark, sf_dir)
-    return graph.backtrackless(n, e, rounds=STEPS, tolerance=0.0)
+    return graph.max_normalised(graph.eigenvector(*_graph(spark, sf_dir))).withColumn("score", F.round("score", 6))
 
 
 def nb_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.max_normalised(_spectral(spark, sf_dir)[0]).withColumn("score", F.round("score", 6))
+    return graph.max_normalised(krylov.backtrackless(*_graph(spark, sf_dir))[0]).withColumn("score", F.round("score", 6))
 
 
 def rho_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spectral(spark, sf_dir)[1].withColumn("rho", F.round("rho", 6))
+    return krylov.backtrackless(*_graph(spark, sf_dir))[1].select("structure_id", F.round("rho", 6).alias("rho"))
 
 
-def graph_eigenvector_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.max_normalised(graph.eigenvector(*_graph(spark, sf_dir))).withColumn("score", F.round("score", 6))
+def _start(n: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    d = settle(graph.degrees(n, e), "degree")
+    return d, d.select("structure_id", "node_id", (1.0 + F.col("degree")).alias("w"), (1.0 / (1 + F.col("node_id"))).alias("v"))
 
 
-def nb_centrality_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.max_normalised(graph.backtrackless(*_graph(spark, sf_dir))[0]).withColumn("score", F.round("score", 6))
+def arnoldi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The projected matrix of each structure, entry by entry."""
+    n, e = _graph(spark, sf_dir)
+    d, start = _start(n, e)
+    _, h = krylov.arnoldi(d, e, DIMS, start)
+    columns = h.select("structure_id", F.posexplode("h").alias("j", "column"))
+    return columns.select("structure_id", "j", F.posexplode("column").alias("i", "entry")).select("structure_id", "i", "j", F.round("entry", 6).alias("entry"))
 
 
-def rho_b_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.backtrackless(*_graph(spark, sf_dir))[1].withColumn("rho", F.round("rho", 6))
+def ritz_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The real eigenvalues of those matrices, with the norm of each lifted vector."""
+    n, e = _graph(spark, sf_dir)
+    d, start = _start(n, e)
+    basis, h = krylov.arnoldi(d, e, DIMS, start)
+    lifted = krylov.lift(basis, krylov.ritz_pairs(h))
+    return lifted.groupBy("structure_id", "place").agg(F.round(F.first("value"), 6).alias("value"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("size"))
 
 
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
-    return graph.max_normalised(graph.closeness(n, graph.shortest_paths(e))).withColumn("score", F.round("score", 6))
+    return graph.max_normalised(graph.closeness(n, e)).withColumn("score", F.round("score", 6))
 
 
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
-    return graph.max_normalised(graph.betweenness(n, e, settle(graph.shortest_paths(e), "paths"))).withColumn("score", F.round("score", 6))
+    return graph.max_normalised(graph.betweenness(n, e, graph.shortest_paths(e))).withColumn("score", F.round("score", 6))
 
 
 def _pockets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,16 +143,195 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", F.col("n_chars").alias("score"), (F.col("quality") == 1).alias("label"))
 
 
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as targets, asked for by name or number."""
+    n = _table(spark, sf_dir, "nation")
+    level = F.element_at(F.array(*map(F.lit, ("Tclin", "tdark", "Tchem", "TBIO"))), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    return n.select(
+        F.col("n_name").alias("symbol"), F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("uniprot"), F.lit("").alias("name"), level.alias("tdl"), F.lit("Other").alias("family"),
+        F.lit(None).cast("double").alias("novelty_score"), F.col("n_nationkey").alias("line_no"),
+    )
+
+
 def structure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, contacts, and the pockets of each structure in one row."""
-    n, e = _graph(spark, sf_dir)
-    scores = graph.max_normalised(graph.degrees(n, e).withColumn("score", F.col("degree").cast("double")))
-    found, members = pockets.pockets(scores, e, share=0.6, least=3)
-    no_rho = n.select("structure_id").distinct().withColumn("rho", F.lit(0.0))
-    nobody = n.select("structure_id").distinct().withColumn("target", F.lit(None).cast("struct<symbol:string,uniprot:string,name:string,tdl:string,family:string,novelty_score:double>"))
-    out = reports.target_reports(n.withColumn("res_name", F.lit("")), e.where("src < dst"), no_rho, found, members, nobody)
+    """The report of each structure: sizes, contacts, coupling, target, pockets and place; every second structure asks for its target by name, every third by number."""
+    n = settle(nodes(spark, sf_dir).withColumn("res_name", F.lit("ALA")), "nodes")
+    key = F.col("structure_id").cast("int")
+    asked = n.select("structure_id").distinct().select("structure_id", F.when(key % 2 == 0, F.concat(F.lit("nation_"), F.col("structure_id"))).alias("symbol"), F.when(key % 3 == 0, F.concat(F.lit("K"), F.col("structure_id"))).alias("uniprot"))
+    out = workflows.report(n, _targets(spark, sf_dir), asked, RULE).ranked
     top = F.try_element_at("pockets", F.lit(1))
-    return out.select("structure_id", "n_residues", "n_contacts", F.size("pockets").alias("n_pockets"), F.round(top["mean_score"], 6).alias("top_mean"), F.size(top["residues"]).alias("top_size"))
+    return out.select(
+        "structure_id", "n_residues", "n_contacts", F.round("global_coupling_rho_b", 6).alias("rho"), F.col("target.symbol").alias("symbol"), F.col("target.is_difficult_target").alias("difficult"), F.size("pockets").alias("n_pockets"),
+        F.round(top["mean_score"], 6).alias("top_mean"), F.size(top["residues"]).alias("top_size"), "place",
+    )
+
+
+def _evaluation(spark: SparkSession, sf_dir: str) -> workflows.Evaluation:
+    """Every third residue of odd number is a pocket's; structure 0 has labels of one class, structure 1 none."""
+    n = settle(nodes(spark, sf_dir), "nodes")
+    labels = n.where("res_seq % 2 = 1 AND structure_id <> '1'").select("structure_id", "chain", "res_seq", ((F.col("res_seq") % 3 == 0) & (F.col("structure_id") != "0")).alias("label"))
+    files = n.select("structure_id").distinct().unionByName(spark.range(1).select(F.lit("empty").alias("structure_id")))
+    return workflows.evaluate(n, labels, RULE, files=files)
+
+
+def evaluate_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every method's AUC per structure, from the nested reports, with the place of the method."""
+    out = _evaluation(spark, sf_dir).structures
+    return out.select("structure_id", "n_residues", "n_labeled", F.posexplode("methods").alias("at", "m")).select("structure_id", "n_residues", "n_labeled", "at", "m.method", F.round("m.auc", 6).alias("auc"), "m.n_pos", "m.n_neg")
+
+
+def evaluate_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluation(spark, sf_dir).pooled.withColumn("auc", F.round("auc", 6))
+
+
+def evaluate_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _evaluation(spark, sf_dir).skipped
+
+
+def structure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each structure as a file, and the folder read again, beside a file that is no structure."""
+    folder = new_path(spark, "structure-files")
+    made = nodes(spark, sf_dir).withColumn("res_name", F.lit("GLY")).withColumn("structure_id", F.concat(F.lit("s+"), "structure_id", F.lit(".v1")))
+    settle(write_files(made, folder), "files")
+    settle(write_files(made.where("structure_id = 's+1.v1'").withColumn("structure_id", F.lit("other")), folder, ".txt"), "files")
+    return residues(read_files(spark, folder))
+
+
+def _text(lines: DataFrame, label: str) -> str:
+    """Lines (at, value) as a text file of several blocks; returns its path."""
+    path = new_path(lines.sparkSession, label)
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+def targets_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as lines of targets, with a header, notes and blank lines, and read again."""
+    s = _table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    made = s.select("s_suppkey", F.concat(F.lit("g"), key).alias("symbol"), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit("P"), key)).otherwise("").alias("uniprot"), F.replace("s_name", F.lit("#"), F.lit(",")).alias("name"), F.lit("Tdark").alias("tdl"), F.lit("Other").alias("family"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey") / 4).alias("novelty_score"))
+    body = made.select((F.col("s_suppkey") * 2 + 10).alias("at"), "symbol", "uniprot", "name", "tdl", "family", "novelty_score")
+    rows = body.select("at", tables.target_row().alias("value"))
+    more = body.where("at % 3 = 0").select((F.col("at") + 1).alias("at"), F.when(F.col("at") % 2 == 0, "  # a note").otherwise("").alias("value"))
+    head = spark.range(1).select(F.lit(0).cast("bigint").alias("at"), F.lit("Symbol,UniProt,name,TDL,family,novelty_score").alias("value"))
+    return tables.targets(tables.numbered_lines(spark, _text(rows.unionByName(more).unionByName(head), "targets"))).drop("line_no")
+
+
+def labels_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels' quality as lines of residue labels, some of them twice: the last counts."""
+    l = _table(spark, sf_dir, "labels")  # noqa: E741
+    value = lambda c: F.concat_ws(",", F.lit("1abC"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B"), F.col("doc_id").cast("string"), c)
+    rows = l.select(F.col("doc_id").alias("at"), value(F.when(F.col("quality") == 1, "True").otherwise("0")).alias("value"))
+    twice = l.where("doc_id % 5 = 0").select((F.col("doc_id") + 1_000_000_000).alias("at"), value(F.when(F.col("toxic") == 1, " 1 ").otherwise("FALSE")).alias("value"))
+    head = spark.range(1).select(F.lit(-1).cast("bigint").alias("at"), F.lit("structure_id,chain,res_seq,is_pocket_lining").alias("value"))
+    return tables.labels(tables.numbered_lines(spark, _text(rows.unionByName(twice).unionByName(head), "labels")))
+
+
+def id_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of orders, two to a line among comments, and how many a recorded run has in each state."""
+    o = _table(spark, sf_dir, "orders")
+    one = lambda d: F.concat(F.when((F.col("o_orderkey") + d) % 7 == 0, "af-").otherwise("o"), (F.col("o_orderkey") * 2 + d).cast("string"))
+    lines = o.select((F.col("o_orderkey") * 2).alias("at"), F.concat(one(0), F.lit(" , "), one(1)).alias("value"))
+    lines = lines.unionByName(o.where("o_orderkey % 10 = 0").select((F.col("o_orderkey") * 2 + 1).alias("at"), F.lit(" # more").alias("value")))
+    wanted = tables.ids(tables.numbered_lines(spark, _text(lines, "ids")))
+    run = wanted.select("id", F.length("id").alias("n"), F.regexp_extract("id", r"(\d+)$", 1).cast("bigint").alias("k"))
+    run = run.where("k % 11 > 0").select("id", F.when(F.col("k") % 5 == 0, 403).when(F.col("k") % 5 == 1, 404).otherwise(200).alias("code"), F.when(F.col("k") % 5 > 1, F.col("k")).otherwise(0).alias("size"))
+    return tables.status_tally(tables.routed(wanted, run))
+
+
+def target_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per supplier; every seventh is about nobody."""
+    s = _table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    target = F.struct(F.col("s_name").alias("name"), key.alias("sym"), F.concat(F.lit("P"), key).alias("uniprot"), F.when(F.col("s_suppkey") % 2 == 0, "Tbio").otherwise("").alias("tdl"), F.when(F.col("s_suppkey") % 3 == 0, "GPCR").alias("fam"), F.col("s_acctbal").alias("novelty"))
+    answer = F.to_json(F.struct(F.struct(F.when(F.col("s_suppkey") % 7 > 0, target).alias("target")).alias("data")))
+    return payloads.target_detail(s.select(answer.alias("payload"))).where("symbol is not null").drop("description")
+
+
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One answer per supplier with as many models as its number leaves over 3; the first counts."""
+    s = _table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    models = F.transform(F.slice(F.sequence(F.lit(1), F.lit(2)), F.lit(1), (F.col("s_suppkey") % 3).cast("int")), lambda i: F.struct(F.concat(F.lit("AF-"), key, F.lit("-"), i.cast("string")).alias("entryId"), F.lit("u").alias("pdbUrl"), F.lit("2024-05-06").alias("modelCreatedDate"), i.alias("latestVersion")))
+    return payloads.predictions(s.select(key.alias("uniprot"), F.to_json(models).alias("payload"))).select("uniprot", "entry", F.col("created").cast("string").alias("created"), "version")
+
+
+def _dump(spark: SparkSession, sf_dir: str) -> tuple[str, dict[str, str], int]:
+    """A dump of two date columns of lineitem, of part types, and of vectors' first three components, assembled to tables."""
+    folder, out = new_path(spark, "dump"), new_path(spark, "assembled")
+    l = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))  # noqa: E741
+    rows = settle(metrics.numbered(l.select("l_orderkey", "l_linenumber", "o_orderdate", "l_shipdate"), [F.col("l_orderkey").asc(), F.col("l_linenumber").asc(), F.col("l_shipdate").asc()], "at"), "rows")
+    date = lambda c: rows.select(F.col("at"), F.col(c).cast("timestamp_ntz").alias("value"))
+    types = metrics.numbered(_table(spark, sf_dir, "part").select(F.col("p_type").alias("value")).distinct(), [F.col("value").asc()], "at")
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("at"), F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x.cast("double"), 3)).alias("value"))
+    dumps.write_dump({1: (date("o_orderdate"), "numeric", "datetime64[ns]"), 2: (date("l_shipdate"), "numeric", "datetime64[ns]"), 3: (types, "object", "object"), 4: (vectors, "object-partial", "object")}, folder)
+    n = rows.count()
+    return folder, dumps.assemble(spark, folder, out, n, {1: "ordered", 2: "shipped", 3: "type", 4: "vector"}), n
+
+
+def dump_row_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, made, _ = _dump(spark, sf_dir)
+    return spark.read.parquet(made["row_level"]).groupBy("ordered", "shipped").agg(F.count("*").alias("n")).select(F.col("ordered").cast("date").alias("ordered"), F.col("shipped").cast("date").alias("shipped"), "n")
+
+
+def dump_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verification of all tables of a dump."""
+    return dumps.verify(spark, *_dump(spark, sf_dir))
+
+
+def dump_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the first components of the dumped vectors are like."""
+    _, made, _ = _dump(spark, sf_dir)
+    return dumps.component_figures(spark.read.parquet(made["partial_col_0004"]), "vector_partial").withColumn("mean", F.round("mean", 6))
+
+
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dumps.head(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 20)
+
+
+def second_pockets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pockets.of_rank(_pockets(spark, sf_dir)[1], 2).select("structure_id", "pocket", "size")
+
+
+def label_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residues with their label, by chain and number; those without one are left out, not taken as negative."""
+    n = nodes(spark, sf_dir)
+    labels = _table(spark, sf_dir, "labels").select((F.col("doc_id") % 10).cast("string").alias("structure_id"), F.when(F.col("doc_id") % 2 == 0, "A").otherwise("B").alias("chain"), F.col("doc_id").cast("int").alias("res_seq"), (F.col("quality") == 1).alias("label"))
+    return n.join(labels, ["structure_id", "chain", "res_seq"]).select("structure_id", "node_id", "label")
+
+
+def _discovery(spark: SparkSession, sf_dir: str) -> workflows.Discovery:
+    """Targets are nations of understudied levels with a model each but for every fifth; models are structures 0 to 9, one of which has no residues."""
+    n = settle(nodes(spark, sf_dir).withColumn("res_name", F.lit("ALA")), "nodes")
+    wanted = _targets(spark, sf_dir)
+    number = F.col("line_no").cast("int")
+    models = wanted.where(number % 5 < 4).select("uniprot", number.cast("string").alias("entry"))
+    paths = n.select("structure_id").distinct().select("structure_id", F.concat(F.lit("/models/"), "structure_id", F.lit(".pdb")).alias("path"))
+    return workflows.discover(wanted.drop("line_no"), models, n.where("structure_id <> '3'"), paths, RULE, difficult_only=True, ligand="L")
+
+
+def discover_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _discovery(spark, sf_dir).summary
+    box = lambda s, c: F.round(F.col(f"top_pocket.{s}.{c}"), 6).alias(f"{s}_{c}")
+    return out.select("symbol", "uniprot", "tdl", "entry", "n_pockets", F.round("global_coupling_rho_b", 6).alias("rho"), F.col("top_pocket.n_residues").alias("top_size"), box("center", "x"), box("box_size", "y"), "place")
+
+
+def discover_docking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The docking rows of a run, appended to a new folder in two parts and read again."""
+    rows, folder = settle(_discovery(spark, sf_dir).docking, "docking"), new_path(spark, "docking")
+    reports.append_csv(rows.where("complex_name < '5'"), folder)
+    reports.append_csv(rows.where("complex_name >= '5'"), folder)
+    return reports.read_csv(spark, folder)
+
+
+def discover_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grids and restraints of a run: how many residues each best pocket has, and how many its restraint leaves free."""
+    run = _discovery(spark, sf_dir)
+    free = run.restraints.select(F.col("structure_id").alias("s"), F.size(F.from_json("restraint", "unrestrained array<struct<chain:string,res_seq:int>>")["unrestrained"]).alias("free"))
+    return run.grids.join(free, F.col("structure_id") == F.col("s")).select("structure_id", "rank", F.size("residues").alias("n"), "free")
+
+
+def discover_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _discovery(spark, sf_dir).errors
 
 
 def degree_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,12 +378,12 @@ def label_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rank_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as targets: the nation's number gives the level; difficult first, then the balance; position as data, per region."""
+    """Suppliers as reports: the nation's number gives the level, the balance the best pocket, which every sixth lacks; the place as data."""
     s = _table(spark, sf_dir, "supplier").join(_table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     level = F.element_at(F.array(*map(F.lit, ("Tclin", "tdark", "Tchem", "TBIO"))), F.col("s_nationkey") % 4 + 1)
-    order = Window.partitionBy("n_regionkey").orderBy(F.col("difficult").desc(), F.col("s_acctbal").desc(), "s_suppkey")
-    s = s.withColumn("difficult", is_difficult(level))
-    return s.select("n_regionkey", "s_suppkey", "difficult", F.row_number().over(order).alias("place"))
+    pocket = F.struct(F.col("s_acctbal").alias("mean_score"))
+    rows = s.select(F.format_string("%012d", "s_suppkey").alias("structure_id"), "s_suppkey", F.struct(is_difficult(level).alias("is_difficult_target")).alias("target"), F.when(F.col("s_suppkey") % 6 > 0, F.array(pocket)).otherwise(F.array().cast("array<struct<mean_score:double>>")).alias("pockets"))
+    return reports.ranked(rows).select("s_suppkey", F.col("target.is_difficult_target").alias("difficult"), "place")
 
 
 def date_gap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,13 +415,13 @@ def json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def disease_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers built from each nation's suppliers; every fifth target lacks its uniprot."""
+    """Answers built from each nation's suppliers, of which the first three count; every fifth target lacks its uniprot."""
     s = _table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey").cast("string")
     target = F.struct(F.col("s_name").alias("name"), key.alias("sym"), F.when(F.col("s_suppkey") % 5 > 0, F.concat(F.lit("P"), key)).alias("uniprot"), F.when(F.col("s_suppkey") % 2 == 0, "Tbio").otherwise("").alias("tdl"), F.col("s_acctbal").alias("novelty"))
     lists = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", target.alias("t")))).alias("l"))
     answers = lists.select(F.to_json(F.struct(F.struct(F.struct(F.transform("l", lambda x: x["t"]).alias("targets")).alias("targets")).alias("data"))).alias("payload"))
-    return disease_targets(answers, top=1 << 30).select("symbol", "uniprot", "tdl", "family", "novelty_score")
+    return payloads.disease_targets(answers, top=3).select("symbol", "uniprot", "tdl", "family", "novelty_score")
 
 
 def target_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,7 +450,8 @@ def pool_union_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness pocket_components pocket_geometry structure_summary degree_auc
 roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
 composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods
-graph_eigenvector_converged nb_centrality_converged rho_b_converged""".split()
+arnoldi_matrix ritz_pairs evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing target_detail model_predictions
+dump_row_level dump_tables dump_components first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors""".split()
 
 
 def queries() -> dict[str, Query]:
@@ -280,23 +468,50 @@ _GRAPH = f"{_NODES}, {_PAIRS}, {_EDGES}, {_DEGREE}"
 _NORMAL = "CASE WHEN max(s) OVER (PARTITION BY structure_id) > 0 THEN s / max(s) OVER (PARTITION BY structure_id) ELSE s END"
 
 
-def _eigenvector_sql() -> str:
-    steps = ["v0 AS MATERIALIZED (SELECT structure_id, node_id, 1 / sqrt(count(*) OVER (PARTITION BY structure_id)) AS value FROM n)"]
-    for i in range(1, STEPS + 1):
-        steps.append(f"""r{i} AS MATERIALIZED (SELECT n.structure_id, n.node_id, coalesce(sum(v.value), 0) AS value FROM n LEFT JOIN e ON e.structure_id = n.structure_id AND e.src = n.node_id
- LEFT JOIN v{i - 1} v ON v.structure_id = e.structure_id AND v.node_id = e.dst GROUP BY ALL),
- v{i} AS MATERIALIZED (SELECT structure_id, node_id, CASE WHEN sqrt(sum(value * value) OVER w) > 1e-15 THEN value / sqrt(sum(value * value) OVER w) ELSE value END AS value FROM r{i} WINDOW w AS (PARTITION BY structure_id))""")
-    return f"WITH {_GRAPH}, {', '.join(steps)}, s AS (SELECT structure_id, node_id, abs(value) AS s FROM v{STEPS}) SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s"
-
-
-def _spectral_sql() -> str:
-    steps = ["v0 AS MATERIALIZED (SELECT structure_id, node_id, degree::DOUBLE AS w, 1.0::DOUBLE AS v FROM g)"]
-    for i in range(1, STEPS + 1):
-        steps.append(f"""q{i} AS MATERIALIZED (SELECT e.structure_id, e.src AS node_id, sum(v.w) AS t FROM e JOIN v{i - 1} v ON v.structure_id = e.structure_id AND v.node_id = e.dst GROUP BY ALL),
- r{i} AS MATERIALIZED (SELECT g.structure_id, g.node_id, coalesce(q.t, 0) + (1 - g.degree) * v.v + v.w AS w, v.w + v.v AS v FROM g LEFT JOIN q{i} q USING (structure_id, node_id) JOIN v{i - 1} v USING (structure_id, node_id)),
- v{i} AS MATERIALIZED (SELECT structure_id, node_id, CASE WHEN sqrt(sum(w * w + v * v) OVER k) > 0 THEN w / sqrt(sum(w * w + v * v) OVER k) ELSE w END AS w,
- CASE WHEN sqrt(sum(w * w + v * v) OVER k) > 0 THEN v / sqrt(sum(w * w + v * v) OVER k) ELSE v END AS v FROM r{i} WINDOW k AS (PARTITION BY structure_id))""")
-    return f"WITH {_GRAPH}, {', '.join(steps)}"
+def _squares(times: int, first: str = "m0") -> str:
+    """m1, m2, ...: m0 (structure_id, i, j, a) squared again and again, scaled by each structure's greatest entry."""
+    out = []
+    for k in range(times):
+        out.append(f"""q{k + 1} AS MATERIALIZED (SELECT x.structure_id, x.i, y.j, sum(x.a * y.a) AS a FROM m{k} x JOIN m{k} y ON y.structure_id = x.structure_id AND y.i = x.j GROUP BY ALL),
+ m{k + 1} AS MATERIALIZED (SELECT structure_id, i, j, a / max(abs(a)) OVER (PARTITION BY structure_id) AS a FROM q{k + 1})""")
+    return ", ".join(out)
+
+
+#: A^200 of the uniform vector, as A^128 A^64 A^8.
+_EIGENVECTOR = f"""m0 AS MATERIALIZED (SELECT structure_id, src AS i, dst AS j, 1.0::DOUBLE AS a FROM e), {_squares(7)},
+ x3 AS MATERIALIZED (SELECT structure_id, i, sum(a) AS x FROM m3 GROUP BY ALL),
+ x6 AS MATERIALIZED (SELECT m.structure_id, m.i, sum(m.a * x.x) AS x FROM m6 m JOIN x3 x ON x.structure_id = m.structure_id AND x.i = m.j GROUP BY ALL),
+ x7 AS MATERIALIZED (SELECT m.structure_id, m.i, sum(m.a * x.x) AS x FROM m7 m JOIN x6 x ON x.structure_id = m.structure_id AND x.i = m.j GROUP BY ALL),
+ se AS MATERIALIZED (SELECT n.structure_id, n.node_id, coalesce(abs(x7.x), 0) AS s FROM n LEFT JOIN x7 ON x7.structure_id = n.structure_id AND x7.i = n.node_id)"""
+#: The 2n form (rows 2i for w, 2i + 1 for v) plus the identity, to the power of 2^18, of the degrees and ones.
+_SPECTRAL = f"""m0 AS MATERIALIZED (SELECT structure_id, i, j, sum(a) AS a FROM (SELECT structure_id, 2 * src AS i, 2 * dst AS j, 1.0::DOUBLE AS a FROM e UNION ALL SELECT structure_id, 2 * node_id, 2 * node_id + 1, (1 - degree)::DOUBLE FROM g
+  UNION ALL SELECT structure_id, 2 * node_id + 1, 2 * node_id, 1 FROM g UNION ALL SELECT structure_id, 2 * node_id + b, 2 * node_id + b, 1 FROM g, range(2) r(b)) GROUP BY ALL), {_squares(18)},
+ x AS MATERIALIZED (SELECT m.structure_id, m.i, sum(m.a * CASE WHEN m.j % 2 = 0 THEN g.degree ELSE 1 END) AS x FROM m18 m JOIN g ON g.structure_id = m.structure_id AND g.node_id = m.j // 2 GROUP BY ALL),
+ sn AS MATERIALIZED (SELECT structure_id, i // 2 AS node_id, abs(x) AS s FROM x WHERE i % 2 = 0),
+ rho AS MATERIALIZED (SELECT w.structure_id, abs(sum(w.x * v.x) / sum(v.x * v.x)) AS rho FROM x w JOIN x v ON v.structure_id = w.structure_id AND v.i = w.i + 1 WHERE w.i % 2 = 0 GROUP BY ALL)"""
+
+
+def _apart(sql: str) -> str:
+    """The same CTEs under names of their own, to stand beside _SPECTRAL."""
+    return re.sub(r"\b([mqx])(\d+)\b", r"\1e\2", sql)
+
+
+def _arnoldi_sql() -> str:
+    """The Arnoldi process on the 2n form from w = 1 + degree and v = 1 / (1 + node_id), with classical Gram-Schmidt."""
+    steps = ["""mm AS MATERIALIZED (SELECT structure_id, 2 * src AS i, 2 * dst AS j, 1.0::DOUBLE AS a FROM e UNION ALL SELECT structure_id, 2 * node_id, 2 * node_id + 1, (1 - degree)::DOUBLE FROM g UNION ALL SELECT structure_id, 2 * node_id + 1, 2 * node_id, 1.0::DOUBLE FROM g)""",
+             """u0 AS MATERIALIZED (SELECT structure_id, 2 * node_id + b AS i, CASE WHEN b = 0 THEN (1 + degree)::DOUBLE ELSE 1.0 / (1 + node_id) END AS x FROM g, range(2) r(b))""",
+             "b0 AS MATERIALIZED (SELECT structure_id, i, x / sqrt(sum(x * x) OVER (PARTITION BY structure_id)) AS x FROM u0)"]
+    entries = []
+    for j in range(DIMS):
+        steps.append(f"p{j} AS MATERIALIZED (SELECT mm.structure_id, mm.i, sum(mm.a * b.x) AS x FROM mm JOIN b{j} b ON b.structure_id = mm.structure_id AND b.i = mm.j GROUP BY ALL)")
+        every = " UNION ALL ".join(f"SELECT structure_id, {k} AS k, i, x FROM b{k}" for k in range(j + 1))
+        steps.append(f"h{j} AS MATERIALIZED (SELECT p.structure_id, b.k, sum(p.x * b.x) AS h FROM p{j} p JOIN ({every}) b ON b.structure_id = p.structure_id AND b.i = p.i GROUP BY ALL)")
+        less = f"SELECT b.structure_id, b.i, sum(h.h * b.x) AS x FROM ({every}) b JOIN h{j} h ON h.structure_id = b.structure_id AND h.k = b.k GROUP BY ALL"
+        steps.append(f"r{j} AS MATERIALIZED (SELECT structure_id, i, coalesce(p.x, 0) - l.x AS x FROM ({less}) l LEFT JOIN p{j} p USING (structure_id, i))")
+        steps.append(f"s{j} AS MATERIALIZED (SELECT structure_id, sqrt(sum(x * x)) AS size FROM r{j} GROUP BY ALL)")
+        steps.append(f"b{j + 1} AS MATERIALIZED (SELECT structure_id, i, CASE WHEN size > 1e-12 THEN x / size ELSE 0 END AS x FROM r{j} JOIN s{j} USING (structure_id))")
+        entries += [f"SELECT structure_id, k::INTEGER AS i, {j} AS j, h AS entry FROM h{j}", f"SELECT structure_id, {j + 1}, {j}, size FROM s{j}"]
+    return f"WITH {_GRAPH}, {', '.join(steps)} SELECT structure_id, i, j, round(entry, 6) AS entry FROM ({' UNION ALL '.join(entries)})"
 
 
 _PATHS = """b AS (SELECT DISTINCT structure_id, src AS source, src AS node_id, 0 AS dist FROM e UNION
@@ -307,14 +522,20 @@ _COUNTS = """c AS (SELECT structure_id, source, node_id, 0 AS dist, 1.0::DOUBLE
  (SELECT c.structure_id, c.source, e.dst AS node_id, c.dist + 1 AS dist, sum(c.paths) AS paths FROM c JOIN e ON e.structure_id = c.structure_id AND e.src = c.node_id
   JOIN d ON d.structure_id = c.structure_id AND d.source = c.source AND d.node_id = e.dst AND d.dist = c.dist + 1 GROUP BY c.structure_id, c.source, e.dst, c.dist)),
  m AS MATERIALIZED (SELECT * FROM c)"""
-_HOT = f"""sc AS MATERIALIZED (SELECT structure_id, node_id, round(CASE WHEN max(degree) OVER (PARTITION BY structure_id) > 0 THEN degree::DOUBLE / max(degree) OVER (PARTITION BY structure_id) ELSE degree::DOUBLE END, 9) AS score FROM g),
- o AS (SELECT structure_id, score, row_number() OVER (PARTITION BY structure_id ORDER BY score) - 1 AS i, round((count(*) OVER (PARTITION BY structure_id) - 1) * 0.6) AS want FROM sc),
+def _hot(scores: str, share: float) -> str:
+    """Pockets (rk) and their members (cm) of scores (structure_id, node_id, s), which are normalised here."""
+    return f"""sc AS MATERIALIZED (SELECT structure_id, node_id, round({_NORMAL}, 9) AS score FROM {scores}),
+ o AS (SELECT structure_id, score, row_number() OVER (PARTITION BY structure_id ORDER BY score) - 1 AS i, round((count(*) OVER (PARTITION BY structure_id) - 1) * {share}) AS want FROM sc),
  hot AS MATERIALIZED (SELECT sc.* FROM sc JOIN (SELECT structure_id, score AS t FROM o WHERE i = want) USING (structure_id) WHERE score >= t),
  he AS MATERIALIZED (SELECT e.* FROM e JOIN hot a ON a.structure_id = e.structure_id AND a.node_id = e.src JOIN hot b ON b.structure_id = e.structure_id AND b.node_id = e.dst),
  rc AS (SELECT structure_id, node_id, node_id AS root FROM hot UNION SELECT he.structure_id, he.dst, rc.root FROM rc JOIN he ON he.structure_id = rc.structure_id AND he.src = rc.node_id),
  cm AS MATERIALIZED (SELECT structure_id, node_id, min(root) AS pocket FROM rc GROUP BY ALL),
  pk AS MATERIALIZED (SELECT structure_id, pocket, count(*) AS size, avg(score) AS mean_score, max(score) AS max_score FROM cm JOIN hot USING (structure_id, node_id) GROUP BY ALL HAVING count(*) >= 3),
  rk AS MATERIALIZED (SELECT *, (row_number() OVER (PARTITION BY structure_id ORDER BY round(mean_score, 9) DESC, pocket))::INTEGER AS rank FROM pk)"""
+
+
+_BY_DEGREE = "sd AS MATERIALIZED (SELECT structure_id, node_id, degree::DOUBLE AS s FROM g)"
+_HOT = f"{_BY_DEGREE}, {_hot('sd', 0.6)}"
 _AUC = """SELECT {keys} round(CASE WHEN p > 0 AND n - p > 0 THEN (r - p * (p + 1) / 2) / (p * (n - p)) END, 9) AS auc, p::BIGINT AS n_pos, (n - p)::BIGINT AS n_neg FROM
  (SELECT {keys} sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM
   (SELECT *, rank() OVER ({part} ORDER BY score) + (count(*) OVER (PARTITION BY {keys} score) - 1) / 2 AS rank FROM ({rows})) GROUP BY ALL)"""
@@ -334,31 +555,88 @@ def _scan_sql() -> str:
  SELECT 'fixture' AS structure_id, (row_number() OVER (ORDER BY line_no) - 1)::INTEGER AS node_id, chain, res_seq, res_name, x, y, z FROM f WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"""
 
 
+_CLOSENESS = """fc AS (SELECT structure_id, source AS node_id, count(*) AS r, sum(dist) AS far FROM d WHERE dist > 0 GROUP BY ALL),
+ sl AS MATERIALIZED (SELECT n.structure_id, n.node_id, CASE WHEN f.far > 0 THEN f.r::DOUBLE * f.r / ((count(*) OVER (PARTITION BY n.structure_id) - 1) * f.far) ELSE 0 END AS s FROM n LEFT JOIN fc f USING (structure_id, node_id))"""
+_BETWEENNESS = """tb AS (SELECT a.structure_id, b.node_id, sum(a.paths_to * b2.paths / st.paths) / 2 AS s FROM (SELECT structure_id, source AS s0, node_id AS v, dist, paths AS paths_to FROM m WHERE dist > 0) a
+  JOIN m b2 ON b2.structure_id = a.structure_id AND b2.source = a.v AND b2.dist > 0 JOIN m st ON st.structure_id = a.structure_id AND st.source = a.s0 AND st.node_id = b2.node_id AND st.dist = a.dist + b2.dist
+  JOIN n b ON b.structure_id = a.structure_id AND b.node_id = a.v GROUP BY ALL),
+ sb AS MATERIALIZED (SELECT n.structure_id, n.node_id, coalesce(t.s, 0) AS s FROM n LEFT JOIN tb t USING (structure_id, node_id))"""
+#: The nations as targets.
+_NATIONS = """tg AS (SELECT n_nationkey AS k, n_name AS symbol, 'k' || n_nationkey AS uniprot, (['Tclin', 'tdark', 'Tchem', 'TBIO'])[n_nationkey % 4 + 1] AS tdl, n_nationkey % 4 IN (1, 3) AS difficult FROM nation)"""
+
+
+def _evaluation_sql() -> str:
+    """cmp: structure_id, node_id, method, at, score, label of what is compared."""
+    scores = " UNION ALL ".join(f"SELECT structure_id, node_id, '{m}' AS method, {i} AS at, round({_NORMAL}, 9) AS score FROM {t}" for i, (m, t) in enumerate(zip(workflows.METHODS, ("sn", "sd", "sl", "sb", "se"))))
+    return f"""WITH RECURSIVE {_GRAPH}, {_SPECTRAL}, {_apart(_EIGENVECTOR)}, {_PATHS}, {_COUNTS}, {_BY_DEGREE}, {_CLOSENESS}, {_BETWEENNESS},
+ lb AS MATERIALIZED (SELECT structure_id, node_id, res_seq % 3 = 0 AND structure_id <> '0' AS label FROM n WHERE res_seq % 2 = 1 AND structure_id <> '1'),
+ cmp AS MATERIALIZED (SELECT s.*, lb.label FROM ({scores}) s JOIN lb USING (structure_id, node_id))"""
+
+
+def _discovery_sql() -> str:
+    """run: the targets that are run, k, symbol, uniprot, tdl, entry; gone: those that fail; pockets of the structures as rk, cm."""
+    return f"""WITH RECURSIVE {_GRAPH}, {_SPECTRAL}, {_hot("sn", 0.9)}, {_NATIONS},
+ wanted AS (SELECT *, k::VARCHAR AS entry FROM tg WHERE difficult AND k % 5 < 4),
+ run AS MATERIALIZED (SELECT * FROM wanted WHERE entry IN (SELECT structure_id FROM n) AND entry <> '3'),
+ gone AS (SELECT * FROM wanted WHERE entry NOT IN (SELECT structure_id FROM n) OR entry = '3'),
+ top AS MATERIALIZED (SELECT rk.structure_id, rk.size, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, max(y) - min(y) + 12.0 AS by FROM rk JOIN cm USING (structure_id, pocket) JOIN n USING (structure_id, node_id) WHERE rank = 1 GROUP BY ALL)"""
+
+
+_DATES = "SELECT o_orderdate::DATE AS ordered, l_shipdate::DATE AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
 def oracle_sql() -> dict[str, str]:
     with_graph = f"WITH {_GRAPH}"
     recursive = with_graph.replace("WITH ", "WITH RECURSIVE ", 1)
+    auc = "round(CASE WHEN p > 0 AND n - p > 0 THEN (r - p * (p + 1) / 2) / (p * (n - p)) END, 6) AS auc, p::BIGINT AS n_pos, (n - p)::BIGINT AS n_neg"
+    ranks = lambda keys: f"SELECT {keys}, sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2 AS rank FROM cmp) GROUP BY ALL"
     return {
+        "arnoldi_matrix": _arnoldi_sql(),
+        "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, at::INTEGER AS at, method, {auc} FROM ({ranks("structure_id, method, at")})
+ JOIN (SELECT structure_id, count(*) AS nr FROM n GROUP BY ALL) USING (structure_id) JOIN (SELECT structure_id, count(*) AS nl FROM lb GROUP BY ALL) USING (structure_id)""",
+        "evaluate_pooled": f"{_evaluation_sql()} SELECT method, {auc} FROM ({ranks('method')})",
+        "evaluate_skipped": "SELECT '1' AS structure_id, 'no labels' AS reason UNION ALL SELECT 'empty', 'no residues'",
+        "structure_files": f"WITH {_NODES} SELECT 's+' || structure_id || '.v1' AS structure_id, node_id, chain, res_seq, 'GLY' AS res_name, format('{{:.3f}}', x)::DOUBLE AS x, format('{{:.3f}}', y)::DOUBLE AS y, format('{{:.3f}}', z)::DOUBLE AS z FROM n",
+        "targets_csv": """SELECT 'g' || s_suppkey AS symbol, CASE WHEN s_suppkey % 4 > 0 THEN 'P' || s_suppkey ELSE '' END AS uniprot, replace(s_name, '#', ';') AS name, 'Tdark' AS tdl, 'Other' AS family,
+ CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey / 4 END AS novelty_score FROM supplier""",
+        "labels_csv": "SELECT '1abC' AS structure_id, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, doc_id::INTEGER AS res_seq, CASE WHEN doc_id % 5 = 0 THEN toxic = 1 ELSE quality = 1 END AS label FROM labels",
+        "id_routing": """WITH i AS (SELECT (o_orderkey + d) % 7 = 0 AS af, o_orderkey * 2 + d AS k FROM orders, range(2) r(d))
+ SELECT CASE WHEN af THEN 'skipped' WHEN k % 11 = 0 THEN 'failed' WHEN k % 5 > 1 THEN 'ok' WHEN k % 5 = 0 THEN 'denied' ELSE 'failed' END AS status, count(*) AS n FROM i GROUP BY ALL""",
+        "target_detail": """SELECT s_name AS name, s_suppkey::VARCHAR AS symbol, 'P' || s_suppkey AS uniprot, CASE WHEN s_suppkey % 2 = 0 THEN 'Tbio' ELSE 'Tdark' END AS tdl, CASE WHEN s_suppkey % 3 = 0 THEN 'GPCR' ELSE 'Other' END AS family,
+ s_acctbal AS novelty_score FROM supplier WHERE s_suppkey % 7 > 0""",
+        "model_predictions": "SELECT s_suppkey::VARCHAR AS uniprot, 'AF-' || s_suppkey || '-1' AS entry, '2024-05-06' AS created, 1 AS version FROM supplier WHERE s_suppkey % 3 > 0",
+        "dump_row_level": f"SELECT ordered, shipped, count(*) AS n FROM ({_DATES}) GROUP BY ALL",
+        "dump_tables": f"""SELECT 'row_level' AS "table", count(*) AS n, count(*) AS expected, true AS ok FROM ({_DATES}) UNION ALL SELECT 'lookup_0003_type', count(DISTINCT p_type), count(DISTINCT p_type), true FROM part
+ UNION ALL SELECT 'partial_col_0004', count(*), count(*), true FROM embeddings""",
+        "dump_components": """SELECT count(*) AS n, count(*) FILTER (c <> 0) AS nonzero, round(avg(c), 6) AS mean, min(c) AS least, max(c) AS greatest FROM (SELECT round(embedding[1]::DOUBLE, 3) AS c FROM embeddings)""",
+        "first_orders": "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20",
+        "second_pockets": f"{recursive}, {_HOT} SELECT structure_id, pocket, size FROM rk WHERE rank = 2",
+        "label_residues": f"WITH {_NODES} SELECT structure_id, node_id, quality = 1 AS label FROM n JOIN labels ON (doc_id % 10)::VARCHAR = structure_id AND doc_id = res_seq",
+        "discover_summary": f"""{_discovery_sql()} SELECT symbol, uniprot, tdl, entry, n_pockets::INTEGER AS n_pockets, round(rho, 6) AS rho, top.size AS top_size, round(top.cx, 6) AS center_x, round(top.by, 6) AS box_size_y,
+ row_number() OVER (ORDER BY tdl NOT IN ('Tdark', 'Tbio'), n_pockets DESC, symbol, uniprot) AS place
+ FROM (SELECT run.*, (SELECT count(*) FROM rk WHERE rk.structure_id = run.entry) AS n_pockets FROM run) JOIN rho ON rho.structure_id = entry LEFT JOIN top ON top.structure_id = entry""",
+        "discover_docking": f"""{_discovery_sql()} SELECT entry || '_pocket1' AS complex_name, '/models/' || entry || '.pdb' AS protein_path, 'L' AS ligand_description, format('{{:.3f}}', cx) AS pocket_center_x, format('{{:.3f}}', cy) AS pocket_center_y,
+ format('{{:.3f}}', cz) AS pocket_center_z FROM run JOIN top ON top.structure_id = entry""",
+        "discover_grids": f"{_discovery_sql()} SELECT entry AS structure_id, 1 AS rank, size::INTEGER AS n, size::INTEGER AS free FROM run JOIN top ON top.structure_id = entry",
+        "discover_errors": f"{_discovery_sql()} SELECT entry AS structure_id, symbol, uniprot, 'no residues in the structure' AS error FROM gone",
         "pdb_fixed_width_scan": _scan_sql(),
         "contact_self_join": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, src, dst, round(distance, 6) AS distance FROM p",
         "edge_count": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, count(*) AS n_edges FROM p GROUP BY ALL",
         "contact_degree": f"{with_graph}, s AS (SELECT *, degree::DOUBLE AS s FROM g) SELECT structure_id, node_id, degree, round({_NORMAL}, 6) AS score FROM s",
-        "graph_eigenvector_k": _eigenvector_sql(),
-        "nb_centrality": f"{_spectral_sql()}, s AS (SELECT structure_id, node_id, abs(w) AS s FROM v{STEPS}) SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s",
-        "rho_b": f"{_spectral_sql()} SELECT structure_id, round(abs(sum(w * v) / sum(v * v)), 6) AS rho FROM v{STEPS} GROUP BY ALL",
-        "closeness": f"""{recursive}, {_PATHS}, f AS (SELECT structure_id, source AS node_id, count(*) AS r, sum(dist) AS far FROM d WHERE dist > 0 GROUP BY ALL),
- s AS (SELECT n.structure_id, n.node_id, CASE WHEN f.far > 0 THEN f.r::DOUBLE * f.r / ((count(*) OVER (PARTITION BY n.structure_id) - 1) * f.far) ELSE 0 END AS s FROM n LEFT JOIN f USING (structure_id, node_id))
- SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s""",
-        "betweenness": f"""{recursive}, {_PATHS}, {_COUNTS},
- t AS (SELECT a.structure_id, b.node_id, sum(a.paths_to * b2.paths / st.paths) / 2 AS s FROM (SELECT structure_id, source AS s0, node_id AS v, dist, paths AS paths_to FROM m WHERE dist > 0) a
-  JOIN m b2 ON b2.structure_id = a.structure_id AND b2.source = a.v AND b2.dist > 0 JOIN m st ON st.structure_id = a.structure_id AND st.source = a.s0 AND st.node_id = b2.node_id AND st.dist = a.dist + b2.dist
-  JOIN n b ON b.structure_id = a.structure_id AND b.node_id = a.v GROUP BY ALL),
- s AS (SELECT n.structure_id, n.node_id, coalesce(t.s, 0) AS s FROM n LEFT JOIN t USING (structure_id, node_id))
- SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM s""",
+        "graph_eigenvector_k": f"{with_graph}, {_EIGENVECTOR} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM se",
+        "nb_centrality": f"{with_graph}, {_SPECTRAL} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sn",
+        "rho_b": f"{with_graph}, {_SPECTRAL} SELECT structure_id, round(rho, 6) AS rho FROM rho",
+        "closeness": f"{recursive}, {_PATHS}, {_CLOSENESS} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sl",
+        "betweenness": f"{recursive}, {_PATHS}, {_COUNTS}, {_BETWEENNESS} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sb",
         "pocket_components": f"{recursive}, {_HOT} SELECT structure_id, rank, pocket, size, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score FROM rk",
         "pocket_geometry": f"""{recursive}, {_HOT} SELECT structure_id, rank, count(*) AS size, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z,
  round(max(x) - min(x) + 12.0, 6) AS box_size_x, round(max(y) - min(y) + 12.0, 6) AS box_size_y, round(max(z) - min(z) + 12.0, 6) AS box_size_z FROM rk JOIN cm USING (structure_id, pocket) JOIN n USING (structure_id, node_id) GROUP BY ALL""",
-        "structure_summary": f"""{recursive}, {_HOT} SELECT a.structure_id, a.n_residues, coalesce(b.n, 0) AS n_contacts, coalesce(c.n, 0)::INTEGER AS n_pockets, round(c.top_mean, 6) AS top_mean, c.top_size::INTEGER AS top_size
- FROM (SELECT structure_id, count(*) AS n_residues FROM n GROUP BY ALL) a LEFT JOIN (SELECT structure_id, count(*) AS n FROM p GROUP BY ALL) b USING (structure_id)
+        "structure_summary": f"""{recursive}, {_SPECTRAL}, {_hot("sn", 0.9)}, {_NATIONS},
+ ask AS (SELECT structure_id, coalesce(t.symbol, u.symbol) AS symbol, coalesce(t.difficult, u.difficult) AS difficult FROM (SELECT DISTINCT structure_id, structure_id::INTEGER AS k FROM n) a
+  LEFT JOIN tg t ON a.k % 2 = 0 AND upper(t.symbol) = 'NATION_' || a.k LEFT JOIN tg u ON a.k % 3 = 0 AND upper(u.uniprot) = 'K' || a.k)
+ SELECT structure_id, a.n_residues, coalesce(b.n, 0) AS n_contacts, round(rho.rho, 6) AS rho, symbol, difficult, coalesce(c.n, 0)::INTEGER AS n_pockets, round(c.top_mean, 6) AS top_mean, c.top_size::INTEGER AS top_size,
+  row_number() OVER (ORDER BY coalesce(difficult, false) DESC, round(coalesce(c.top_mean, 0), 9) DESC, structure_id) AS place
+ FROM (SELECT structure_id, count(*) AS n_residues FROM n GROUP BY ALL) a LEFT JOIN (SELECT structure_id, count(*) AS n FROM p GROUP BY ALL) b USING (structure_id) JOIN rho USING (structure_id) JOIN ask USING (structure_id)
  LEFT JOIN (SELECT structure_id, count(*) AS n, max(mean_score) FILTER (rank = 1) AS top_mean, max(size) FILTER (rank = 1) AS top_size FROM rk GROUP BY ALL) c USING (structure_id)""",
         "degree_auc": f"{with_graph} " + _AUC.format(keys="structure_id,", part="PARTITION BY structure_id", rows="SELECT g.structure_id, g.degree AS score, n.res_seq % 3 = 0 AS label FROM g JOIN n USING (structure_id, node_id) WHERE n.res_seq % 2 = 1"),
         "roc_auc_by_lang": _AUC.format(keys="lang,", part="PARTITION BY lang", rows=_SCORED),
@@ -369,7 +647,7 @@ def oracle_sql() -> dict[str, str]:
  LEFT JOIN nation b ON 'K' || b.n_nationkey = 'K' || c.c_nationkey""",
         "label_semi": "SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "label_anti": "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
-        "rank_targets": """SELECT n_regionkey, s_suppkey, s_nationkey % 4 IN (1, 3) AS difficult, (row_number() OVER (PARTITION BY n_regionkey ORDER BY s_nationkey % 4 IN (1, 3) DESC, s_acctbal DESC, s_suppkey))::INTEGER AS place
+        "rank_targets": """SELECT s_suppkey, s_nationkey % 4 IN (1, 3) AS difficult, row_number() OVER (ORDER BY s_nationkey % 4 IN (1, 3) DESC, round(CASE WHEN s_suppkey % 6 > 0 THEN s_acctbal ELSE 0 END, 9) DESC, s_suppkey) AS place
  FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
         "date_gap_stats": """SELECT min(d)::INTEGER AS least, max(d)::INTEGER AS greatest, round(avg(d), 6) AS mean, count(*) FILTER (d IS NULL) AS n_null FROM
  (SELECT date_diff('day', o_orderdate::DATE, l_shipdate::DATE) AS d FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)""",
@@ -379,7 +657,8 @@ def oracle_sql() -> dict[str, str]:
         "lookup_distinct": "SELECT DISTINCT 'p_type' AS hint, p_type AS value FROM part UNION SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders",
         "composite_id": "SELECT DISTINCT conv_id || '_' || turn AS id, upper(role) LIKE 'AF-%' AS predicted FROM conversations",
         "json_payload": "SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY ALL",
-        "disease_payload": "SELECT s_suppkey::VARCHAR AS symbol, 'P' || s_suppkey AS uniprot, CASE WHEN s_suppkey % 2 = 0 THEN 'Tbio' ELSE 'Tdark' END AS tdl, 'Other' AS family, s_acctbal AS novelty_score FROM supplier WHERE s_suppkey % 5 > 0",
+        "disease_payload": """SELECT s_suppkey::VARCHAR AS symbol, 'P' || s_suppkey AS uniprot, CASE WHEN s_suppkey % 2 = 0 THEN 'Tbio' ELSE 'Tdark' END AS tdl, 'Other' AS family, s_acctbal AS novelty_score
+ FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier) WHERE k <= 3 AND s_suppkey % 5 > 0""",
         "target_rows": "SELECT s_suppkey || ',P' || s_suppkey || ',' || replace(s_name, '#', ';') || ',Tdark,Other,' AS value FROM supplier",
         "status_tally": "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL",
         "first_wins": "SELECT l_orderkey, l_suppkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY ALL",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "meshwork", **settings: str) -> SparkSession:
@@ -16,16 +17,50 @@ def session(name: str = "meshwork", **settings: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder of our own where it is unset (local sessions, tests)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder of our own in a local session, and an error on a cluster, whose executors don't share one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/meshwork/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """Cuts lineage: df is written once to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/meshwork/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def settle_counted(df: DataFrame, label: str, **counts) -> tuple[DataFrame, dict]:
+    """As settle, with aggregates of the rows that were written, from the same job."""
+    seen = Observation()
+    out = settle(df.observe(seen, *(c.alias(n) for n, c in counts.items())), label)
+    return out, seen.get
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what settle wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        if path := getattr(df, "settled_at", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def by_structure(*frames: DataFrame, most: int = 5_000_000) -> list[DataFrame]:
+    """frames with each structure's rows in one partition, so that a chain of joins and sums by node needs no more shuffles; as they are where a structure has over ``most`` rows in one of them."""
+    spark = frames[0].sparkSession
+    if any((df.groupBy("structure_id").count().agg(F.max("count")).first()[0] or 0) > most for df in frames):
+        return list(frames)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return [df.repartition("structure_id") for df in frames]

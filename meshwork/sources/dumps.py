@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.session import settle
+from meshwork.sources.tables import numbered_lines
+
 _MANIFEST = "status string, arrays array<struct<idx:int,shape:array<bigint>,dtype:string,kind:string,file:string,n_written:bigint,n_total:bigint>>"
 
 
@@ -19,32 +23,47 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def object_column(spark: SparkSession, path: str, kind: str = "string") -> DataFrame:
-    """at, value of a file with one JSON value per line, plain or gzip; order is the file's."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("at", "line"))
+    """at (from 0), value of a file with one JSON value per line, plain or gzip, read line by line; order is the file's."""
     value = F.from_json(F.concat(F.lit('{"v":'), F.col("line"), F.lit("}")), f"struct<v:{kind}>")["v"]
-    return rows.select(F.col("at").cast("bigint").alias("at"), value.alias("value"))
+    return numbered_lines(spark, path).select((F.col("line_no") - 1).cast("bigint").alias("at"), value.alias("value"))
 
 
-def numeric_column(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
-    """at, value of a .npy file, flattened; days and times come as timestamp_ntz. Data is read in portions of a million values."""
+def _header(source) -> tuple[int, np.dtype]:
+    version = np.lib.format.read_magic(source)
+    shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(source)
+    return int(np.prod(shape)), dtype
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _open(file: str):
+    fs, name = pyarrow.fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file:///") else file)
+    return fs.open_input_file(name)
+
+
+def numeric_column(spark: SparkSession, path: str, kind: str = "double", portion: int = 1_000_000) -> DataFrame:
+    """at, value of .npy files, flattened; days and times come as timestamp_ntz. A file is read in portions of so many values by as many tasks."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                fs, name = pyarrow.fs.FileSystem.from_uri(file.replace("file:/", "file:///", 1) if file.startswith("file:/") and not file.startswith("file:///") else file)
-                with fs.open_input_file(name) as source:
-                    version = np.lib.format.read_magic(source)
-                    shape, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(source)
-                    left, at = int(np.prod(shape)), 0
-                    while left:
-                        some = np.frombuffer(source.read(min(left, 1_000_000) * dtype.itemsize), dtype)
-                        values = some.astype("datetime64[us]") if dtype.kind == "M" else some
-                        arrow = {"timestamp_ntz": pa.timestamp("us"), "double": pa.float64(), "bigint": pa.int64()}[kind]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(some))), pa.array(values).cast(arrow)], ["at", "value"])
-                        left, at = left - len(some), at + len(some)
+                with _open(file) as source:
+                    n, _ = _header(source)
+                starts = list(range(0, n, portion))
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(starts), pa.string()), pa.array(starts, pa.int64())], ["path", "start"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with _open(file) as source:
+                    n, dtype = _header(source)
+                    count = min(portion, n - start)
+                    source.seek(source.tell() + start * dtype.itemsize)
+                    some = np.frombuffer(source.read(count * dtype.itemsize), dtype)
+                values = some.astype("datetime64[us]") if dtype.kind == "M" else some
+                arrow = {"timestamp_ntz": pa.timestamp("us"), "double": pa.float64(), "bigint": pa.int64()}[kind]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + count)), pa.array(values).cast(arrow)], ["at", "value"])
 
     files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInArrow(run, f"at bigint, value {kind}")
+    return files.mapInArrow(parts, "path string, start bigint").repartition("path", "start").mapInArrow(run, f"at bigint, value {kind}")
 
 
 def assemble(spark: SparkSession, folder: str, out: str, n_rows: int, names: dict[int, str]) -> dict[str, str]:
@@ -92,4 +111,55 @@ def census(rows: DataFrame, column: str) -> DataFrame:
 
 
 def head(rows: DataFrame, at: str, n: int) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.orderBy(at))).where(F.col("_r") <= n).drop("_r")
+    return rows.orderBy(at).limit(n)
+
+
+def verify(spark: SparkSession, folder: str, made: dict[str, str], n_rows: int) -> DataFrame:
+    """table, n, expected, ok of every table that assemble wrote, against the manifest's counts; the row-level table must have n_rows rows."""
+    arrays = {a.idx: a for a in manifest(spark, f"{folder}/manifest.json").where("file is not null").toLocalIterator()}
+    expected = lambda table: n_rows if table == "row_level" else arrays[int(table.split("_")[2 if table.startswith("partial") else 1])].n_written
+    out = None
+    for table, path in sorted(made.items()):
+        one = spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), "n", F.lit(expected(table)).cast("bigint").alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("ok", F.col("n") == F.col("expected"))
+
+
+def component_figures(rows: DataFrame, column: str) -> DataFrame:
+    """n, nonzero, mean, least and greatest of the first elements of lists."""
+    c = F.try_element_at(column, F.lit(1))
+    return rows.agg(F.count(c).alias("n"), F.count_if(c != 0).alias("nonzero"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("greatest"))
+
+
+def write_dump(arrays: dict[int, tuple[DataFrame, str, str]], folder: str) -> None:
+    """Writes a dump: by idx, frames (at, value) with their kind (numeric, object, object-partial) and dtype, one file each, and their manifest. A file is one stream in order, so one task writes it."""
+    entries = []
+    for idx, (rows, kind, dtype) in sorted(arrays.items()):
+        rows = settle(rows, "array")
+        n, name = rows.count(), f"array_{idx:04d}.{'npy' if kind == 'numeric' else 'ndjson'}"
+        value = F.unix_micros(F.col("value").cast("timestamp")).cast("double") if dtype.startswith("datetime") else F.col("value").cast("double") if kind == "numeric" else F.to_json(F.struct(F.col("value").alias("v")))
+        rows.select("at", value.alias("value")).repartition(1).sortWithinPartitions("at").mapInArrow(_array_writer(f"{folder}/{name}", kind, dtype, n), "n bigint").collect()
+        entries.append({"idx": idx, "shape": [n], "dtype": dtype, "kind": kind, "file": name, "n_written": n, "n_total": n if kind != "object-partial" else None})
+    fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+    with fs.open_output_stream(f"{base}/manifest.json") as out:
+        out.write(json.dumps({"status": "complete", "arrays": entries}).encode())
+
+
+def _array_writer(path: str, kind: str, dtype: str, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, name = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        written = 0
+        with fs.open_output_stream(name) as out:
+            if kind == "numeric":
+                np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(np.dtype(dtype)), "fortran_order": False, "shape": (n,)})
+            for batch in batches:
+                written += batch.num_rows
+                if kind == "numeric":
+                    values = batch.column(1).to_numpy()
+                    out.write((values.astype("datetime64[us]").astype(dtype) if dtype.startswith("datetime") else values.astype(dtype)).tobytes())
+                else:
+                    out.write("".join(x[5:-1] + "\n" if x != "{}" else "null\n" for x in batch.column(1).to_pylist()).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
+
+    return run

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +45,38 @@ def residues(lines: DataFrame) -> DataFrame:
 def without_residues(files: DataFrame, found: DataFrame) -> DataFrame:
     """Structures of which no residue could be read."""
     return files.select("structure_id").distinct().join(found.select("structure_id").distinct(), "structure_id", "left_anti")
+
+
+def record(serial: str, chain: str, res_seq: str, res_name: str, x: str, y: str, z: str):
+    """A fixed-width line of one alpha carbon, from columns of these names."""
+    return F.format_string("ATOM  %5d  CA  %3s %s%4d    %8.3f%8.3f%8.3f", (F.col(serial) + 1) % 100000, res_name, chain, res_seq, x, y, z)
+
+
+def write_files(nodes: DataFrame, folder: str, suffix: str = ".pdb") -> DataFrame:
+    """Writes one file per structure of nodes below folder (a shared URI), by name after the structure. Returns structure_id, path, n."""
+    lines = nodes.select("structure_id", "node_id", record("node_id", "chain", "res_seq", "res_name", "x", "y", "z").alias("line"))
+    lines = lines.repartition("structure_id").sortWithinPartitions("structure_id", "node_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        now, out, n, done = None, None, 0, []
+
+        def close() -> None:
+            if out is not None:
+                out.write(b"END\n")
+                out.close()
+                fs.move(f"{base}/.draft-{TaskContext.get().taskAttemptId()}", f"{base}/{now}{suffix}")
+                done.append((now, f"{folder}/{now}{suffix}", n))
+
+        for batch in batches:
+            for name, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if name != now:
+                    close()
+                    now, n, out = name, 0, fs.open_output_stream(f"{base}/.draft-{TaskContext.get().taskAttemptId()}")
+                out.write(line.encode() + b"\n")
+                n += 1
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["structure_id", "path", "n"])
+
+    return lines.mapInArrow(run, "structure_id string, path string, n bigint")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions import strict_double, strict_int
+from meshwork.session import settle
 
 #: Fixed names and values of the formats.
 TARGET_COLUMNS = ("symbol", "uniprot", "name", "tdl", "family")
@@ -15,9 +16,13 @@ LABEL_HEADER = "structure_id"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1) and line of one text file."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).select((F.col("at") + 1).alias("line_no"), "line")
+    """line_no (from 1) and line of one text file, read in the blocks it is split into: each block's lines count on from those before it."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    rows = settle(rows, "lines")
+    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # one row per block of the file
+    blocks = blocks.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(F.broadcast(blocks.drop("n")), "block").select((F.col("start") + F.col("at") - F.col("first") + 1).cast("int").alias("line_no"), "line")
 
 
 def targets(lines: DataFrame) -> DataFrame:
@@ -31,7 +36,8 @@ def targets(lines: DataFrame) -> DataFrame:
     field = lambda c: F.coalesce(F.get("f", F.lit(names.index(c))), F.lit(""))
     novelty = strict_double(field(NOVELTY)) if NOVELTY in names else F.lit(None).cast("double")
     empty = F.raise_error(F.concat(F.lit("empty symbol in line "), F.col("line_no").cast("string"))).cast("string")
-    return body.select(F.when(field("symbol") == "", empty).otherwise(field("symbol")).alias("symbol"), *(field(c).alias(c) for c in TARGET_COLUMNS[1:]), novelty.alias(NOVELTY), "line_no")
+    rows = body.select(F.when(field("symbol") == "", empty).otherwise(field("symbol")).alias("symbol"), *(field(c).alias(c) for c in TARGET_COLUMNS[1:]), novelty.alias(NOVELTY), "line_no")
+    return settle(rows, "targets")
 
 
 def labels(lines: DataFrame) -> DataFrame:
@@ -49,7 +55,8 @@ def labels(lines: DataFrame) -> DataFrame:
         F.coalesce(strict_int(f(2)), wrong("no residue number", "int")).alias("res_seq"),
         F.when(f(3).isin(*TRUE), True).when(f(3).isin(*FALSE), False).otherwise(wrong("no label", "boolean")).alias("label"),
     )
-    return rows.groupBy("structure_id", "chain", "res_seq").agg(F.max_by("label", "line_no").alias("label"))
+    # checked as they are read: what comes later may not move a check before the header's filter
+    return settle(rows, "labels").groupBy("structure_id", "chain", "res_seq").agg(F.max_by("label", "line_no").alias("label"))
 
 
 def ids(lines: DataFrame) -> DataFrame:
@@ -63,10 +70,21 @@ def predicted(identifier: str = "id"):
     return F.upper(identifier).startswith("AF-")
 
 
+def routed(wanted: DataFrame, results: DataFrame) -> DataFrame:
+    """id, status of each wanted id after a recorded run of downloads (id, code, size): predicted models are left to their own source (skipped), what is there already counts as ok, 403 is denied, anything else failed."""
+    rows = wanted.join(results, "id", "left")
+    status = F.when(predicted(), "skipped").when(F.col("size") > 0, "ok").when(F.col("code") == 403, "denied").otherwise("failed")
+    return rows.select("id", status.alias("status"))
+
+
 def status_tally(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def target_row():
+    """A line in the targets format; commas in names become semicolons, no novelty is empty."""
+    return F.concat_ws(",", "symbol", "uniprot", F.replace("name", F.lit(","), F.lit(";")), "tdl", "family", F.coalesce(F.col(NOVELTY).cast("string"), F.lit("")))
+
+
 def target_rows(rows: DataFrame) -> DataFrame:
-    """value: lines in the targets format; commas in names become semicolons, no novelty is empty."""
-    return rows.select(F.concat_ws(",", "symbol", "uniprot", F.replace("name", F.lit(","), F.lit(";")), "tdl", "family", F.coalesce(F.col(NOVELTY).cast("string"), F.lit(""))).alias("value"))
+    return rows.select(target_row().alias("value"))

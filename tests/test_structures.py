@@ -1,16 +1,19 @@
-"""Parsing, contacts, centralities, pockets and geometry on the two-cluster fixture and on small graphs."""
+"""Parsing, contacts, centralities, pockets and geometry on the helix of the catalog and on small graphs, against dense numpy versions."""
 
+import itertools
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.operators import graph, krylov, pockets
+from meshwork.operators import graph, krylov, metrics, pockets
 from meshwork.operators.contacts import ContactRule, both_ways, contacts
-from meshwork.plans import catalog, workflows
-from meshwork.plans.catalog import fixture_lines
-from meshwork.sources.structures import read_files, residues, without_residues
+from meshwork.plans import workflows
+from meshwork.plans.catalog import FIXTURE, fixture_lines
+from meshwork.sources.structures import read_files, residues, without_residues, write_files
+
+N = len(FIXTURE)
 
 
 @pytest.fixture(scope="module")
@@ -19,17 +22,68 @@ def nodes(spark):
     return residues(lines).where("chain = 'A'").cache()
 
 
+@pytest.fixture(scope="module")
+def edges(nodes):
+    return both_ways(contacts(nodes)).cache()
+
+
 def small(spark, pairs, n, name="g"):
     nodes = spark.createDataFrame([(name, i) for i in range(n)], "structure_id string, node_id int")
     edges = spark.createDataFrame([(name, a, b) for a, b in pairs], "structure_id string, src int, dst int")
     return nodes, both_ways(edges)
 
 
-def dense_contacts(places):
-    """The catalog's contacts of vectors 0, 1, ... as a matrix."""
-    n = len(places)
-    near = lambda i, j: ((i - j) % 2 or abs(i - j) >= catalog.RULE.min_separation) and math.dist(places[i], places[j]) <= catalog.RULE.cutoff
-    return np.array([[float(i != j and bool(near(i, j))) for j in range(n)] for i in range(n)])
+def together(*graphs):
+    nodes, edges = graphs[0]
+    for n, e in graphs[1:]:
+        nodes, edges = nodes.unionByName(n), edges.unionByName(e)
+    return nodes, edges.cache()
+
+
+def adjacency(pairs, n):
+    a = np.zeros((n, n))
+    for x, y in pairs:
+        if x != y:
+            a[x, y] = a[y, x] = 1
+    return a
+
+
+def helix():
+    near = lambda i, j: abs(FIXTURE[i][0] - FIXTURE[j][0]) >= 3 and math.dist(FIXTURE[i][1:], FIXTURE[j][1:]) <= 8
+    return adjacency([(i, j) for i in range(N) for j in range(i) if near(i, j)], N)
+
+
+def dense(a):
+    """Every method's scores by plain linear algebra and searches, normalised, and the spectral radius."""
+    n, degree = len(a), a.sum(axis=1)
+    values, vectors = np.linalg.eig(np.block([[a, np.eye(n) - np.diag(degree)], [np.eye(n), np.zeros((n, n))]]))
+    real = np.flatnonzero(np.abs(values.imag) < 1e-7)
+    top = max(real, key=lambda i: (round(abs(values[i].real), 9), values[i].real))
+    dist, count = np.full((n, n), np.inf), np.zeros((n, n))
+    for s in range(n):
+        front, d = {s: 1}, 0
+        while front:
+            for v, c in front.items():
+                dist[s, v], count[s, v] = d, c
+            new = {}
+            for v, c in front.items():
+                for u in np.flatnonzero(a[v]).tolist():
+                    if dist[s, u] > d:
+                        new[u] = new.get(u, 0) + c
+            front, d = {u: c for u, c in new.items() if np.isinf(dist[s, u])}, d + 1
+    between, close = np.zeros(n), np.zeros(n)
+    for s in range(n):
+        far = dist[s][np.isfinite(dist[s]) & (dist[s] > 0)]
+        close[s] = len(far) ** 2 / ((n - 1) * far.sum()) if len(far) else 0
+        for t, v in itertools.product(range(n), range(n)):
+            if s < t and v not in (s, t) and dist[s, v] + dist[v, t] == dist[s, t] < np.inf:
+                between[v] += count[s, v] * count[v, t] / count[s, t]
+    x = np.ones(n)
+    for _ in range(200):
+        x = a @ x
+        x /= np.linalg.norm(x) or 1
+    out = {"nonbacktracking": np.abs(vectors[:n, top].real), "degree": degree, "closeness": close, "betweenness": between, "eigenvector": np.abs(x)}
+    return {k: v / (v.max() or 1) for k, v in out.items()}, abs(values[top].real)
 
 
 def scores(frame):
@@ -38,13 +92,12 @@ def scores(frame):
 
 def test_parse(nodes):
     rows = sorted(nodes.collect(), key=lambda r: r.node_id)
-    assert [r.res_seq for r in rows] == [1, 5, 9, 13, 17, 101, 105, 109, 113, 117]
-    assert (rows[1].x, rows[1].y, rows[1].z, rows[1].res_name) == (3.0, 0.0, 0.0, "ALA")
+    assert [(r.res_seq, r.x, r.y, r.z) for r in rows] == FIXTURE and {r.res_name for r in rows} == {"ALA"}
 
 
 def test_bad_first_record_hides_a_later_one(spark):
     good = fixture_lines()[2]
-    bad = good.replace("   0.000", "   0.0x0", 1)
+    bad = good.replace("   5.000", "   5.0x0", 1)
     lines = spark.createDataFrame([("s", 0, bad), ("s", 1, good)], "structure_id string, line_no int, line string")
     assert residues(lines).count() == 0
     assert [r.structure_id for r in without_residues(lines, residues(lines)).collect()] == ["s"]
@@ -56,15 +109,23 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.txt").write_text("\n".join(fixture_lines()))
     found = read_files(spark, str(tmp_path))
     assert {r.structure_id for r in found.collect()} == {"my name+1.v2", "b"}
-    assert residues(found).where("chain = 'A'").count() == 10
+    assert residues(found).where("chain = 'A'").count() == N
+
+
+def test_files_written_and_read(spark, nodes, tmp_path):
+    many = nodes.unionByName(nodes.withColumn("structure_id", F.lit("Other one"))).repartition(3)
+    made = write_files(many, f"file://{tmp_path}/out").collect()
+    assert sorted((r.structure_id, r.n) for r in made) == [("Other one", N), ("s", N)]
+    assert sorted(map(tuple, residues(read_files(spark, f"{tmp_path}/out")).collect())) == sorted(map(tuple, many.select("structure_id", "node_id", "chain", "res_seq", "res_name", "x", "y", "z").collect()))
 
 
 @pytest.mark.parametrize("cells", [True, False])
 def test_contacts(nodes, cells):
     found = contacts(nodes, ContactRule(), cells)
-    assert found.count() == 23
+    a = helix()
+    assert {(r.src, r.dst) for r in found.collect()} == {(i, j) for i in range(N) for j in range(N) if i < j and a[i, j]}
     degree = {r.node_id: r.degree for r in graph.degrees(nodes, both_ways(found)).collect()}
-    assert [degree[i] for i in range(10)] == [4, 7, 4, 4, 4, 5, 4, 5, 5, 4]
+    assert [degree[i] for i in range(N)] == a.sum(axis=1).tolist()
 
 
 def test_contact_rules(spark):
@@ -73,61 +134,56 @@ def test_contact_rules(spark):
     assert {(r.src, r.dst) for r in contacts(n).collect()} == {(0, 3), (0, 4)}
 
 
-def test_golden_scores(nodes):
-    edges = both_ways(contacts(nodes)).cache()
-    spectral, rho = graph.backtrackless(nodes, edges, rounds=30)
-    assert rho.first().rho == pytest.approx(3.7265315739, abs=1e-3)
-    paths = graph.shortest_paths(edges).cache()
-    got = {
-        "nb": scores(spectral), "degree": scores(graph.degrees(nodes, edges).withColumn("score", F.col("degree").cast("double"))), "closeness": scores(graph.closeness(nodes, paths)),
-        "betweenness": scores(graph.betweenness(nodes, edges, paths)), "eigenvector": scores(graph.eigenvector(nodes, edges, 16)),
-    }
-    want = {  # by residue: 1, 5, 101, 105
-        "nb": (0.652925, 1, 0.908303, 0.771586), "degree": (0.571429, 1, 0.714286, 0.571429), "closeness": (0.6875, 1, 0.846154, 0.611111),
-        "betweenness": (0, 1, 0.166667, 0), "eigenvector": (0.562848, 1, 0.841763, 0.668653),
-    }
-    for name, values in want.items():
-        assert [got[name][i] for i in (0, 1, 5, 6)] == pytest.approx(list(values), abs=5e-3 if name == "eigenvector" else 2e-4), name
-
-
-def test_pocket_and_geometry(nodes):
-    edges = both_ways(contacts(nodes)).cache()
-    score, _ = graph.backtrackless(nodes, edges, rounds=30)
-    found, members = pockets.pockets(graph.max_normalised(score).withColumn("score", F.round("score", 4)), edges, 0.8)
+#: A wheel with a tail and an isolated node, two triangles joined by a path, and a bipartite ladder.
+SHAPES = {
+    "wheel": ([(0, i) for i in range(1, 8)] + [(i, i % 7 + 1) for i in range(1, 8)] + [(3, 8), (8, 9)], 11),
+    "dumbbell": ([(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 7), (5, 7)], 8),
+    "ladder": ([(2 * i, 2 * i + 1) for i in range(5)] + [(2 * i + b, 2 * i + 2 + b) for i in range(4) for b in (0, 1)], 10),
+}
+
+
+def test_scores_agree_with_dense_ones(spark, nodes, edges):
+    shapes = {k: adjacency(*v) for k, v in SHAPES.items()} | {"s": helix()}
+    n, e = together((nodes.select("structure_id", "node_id"), edges.select("structure_id", "src", "dst")), *(small(spark, *v, k) for k, v in SHAPES.items()))
+    _, rho = krylov.backtrackless(n, e)
+    got = {(r.structure_id, r.method, r.node_id): r.score for r in workflows.all_scores(n, e).collect()}
+    for name, a in shapes.items():
+        want, radius = dense(a)
+        for method in workflows.METHODS:
+            if (name, method) != ("ladder", "eigenvector"):  # which ends are ahead changes at each step there
+                assert [got[name, method, i] for i in range(len(a))] == pytest.approx(want[method].tolist(), abs=1e-6), (name, method)
+        row = rho.where(F.col("structure_id") == name).first()
+        assert row.rho == pytest.approx(radius, abs=1e-8) and row.converged
+
+
+def test_pocket_and_geometry(nodes, edges):
+    score = graph.max_normalised(graph.degrees(nodes, edges).withColumn("score", F.col("degree").cast("double")))
+    found, members = pockets.pockets(score, edges, 0.5)
+    a = helix()
+    value = np.round(a.sum(axis=1) / a.sum(axis=1).max(), 9)
+    hot = [i for i in range(N) if value[i] >= np.sort(value)[int((N - 1) * 0.5 + 0.5)]]
+    reached, todo = set(), [hot[0]]
+    while todo:
+        i = todo.pop()
+        reached.add(i)
+        todo += [j for j in hot if a[i, j] and j not in reached]
     one = found.collect()
-    assert len(one) == 1 and one[0].size == 4 and one[0].mean_score == pytest.approx(0.931227, abs=1e-3)
+    assert len(one) == 1 and set(hot) == reached and one[0]["size"] == len(hot) and one[0].mean_score == pytest.approx(value[hot].mean())
     box = pockets.geometry(members, nodes).first()
-    assert tuple(box.center) == pytest.approx((8.25, 0.75, 0.75)) and tuple(box.box_size) == pytest.approx((19, 15, 15))
+    places = np.array([FIXTURE[i][1:] for i in hot])
+    assert tuple(box.center) == pytest.approx(tuple(places.mean(axis=0))) and tuple(box.box_size) == pytest.approx(tuple(places.max(axis=0) - places.min(axis=0) + 12))
+    assert pockets.of_rank(found, 1).count() == 1 and pockets.of_rank(found, 2).count() == 0
     with pytest.raises(Exception, match="no coordinates"):
-        pockets.geometry(members, nodes.where("node_id <> 1")).collect()
-
-
-def test_spectral_radius(spark):
-    """A cycle of 6, a complete graph of 5 and a complete bipartite graph, in one run."""
-    shapes = {"c6": ([(i, (i + 1) % 6) for i in range(6)], 6), "k5": ([(a, b) for a in range(5) for b in range(a)], 5), "k34": ([(a, b) for a in range(3) for b in range(3, 7)], 7)}
-    parts = [small(spark, pairs, n, name) for name, (pairs, n) in shapes.items()]
-    nodes, edges = (parts[0][i].unionByName(parts[1][i]).unionByName(parts[2][i]) for i in (0, 1))
-    got = {r.structure_id: r.rho for r in graph.backtrackless(nodes, edges.cache(), rounds=20)[1].collect()}
-    # 1 is a double eigenvalue of the cycle, so there the estimate nears it like 1 / rounds
-    assert got["c6"] == pytest.approx(1.0, abs=0.1) and got["k5"] == pytest.approx(3.0, abs=1e-2) and got["k34"] == pytest.approx(math.sqrt(6), abs=1e-2)
-
-
-@pytest.mark.parametrize("name", ["nb_centrality_converged", "rho_b_converged", "graph_eigenvector_converged"])
-def test_converged_queries_agree_with_dense_eigenvectors(spark, tmp_path, name):
-    """Where 12 steps, as in the queries with SQL, are off by 3.5e-4, 6.7e-6 and 9.8e-4."""
-    rnd = np.random.default_rng(0)
-    places = np.round(np.concatenate([rnd.random((14, 3)) * 0.12, rnd.random((12, 3)) * 0.12 + [0.16, 0, 0]]), 4)
-    spark.createDataFrame([(i, "s", [float(x) for x in p]) for i, p in enumerate(places)], "vec_id bigint, label string, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
-    a, n = dense_contacts(places), len(places)
-    values, vectors = np.linalg.eig(np.block([[a, np.eye(n) - np.diag(a.sum(axis=1))], [np.eye(n), np.zeros((n, n))]]))
-    top = np.abs(vectors[:n, values.real.argmax()])
-    perron = np.abs(np.linalg.eigh(a)[1][:, -1])
-    found = catalog.queries()[name](spark, str(tmp_path)).collect()
-    if name == "rho_b_converged":
-        assert [r.rho for r in found] == pytest.approx([values.real.max()], abs=2e-6)
-    else:
-        want = top if name == "nb_centrality_converged" else perron
-        assert [r.score for r in sorted(found, key=lambda r: r.node_id)] == pytest.approx(list(want / want.max()), abs=2e-6)
+        pockets.geometry(members, nodes.where(f"node_id <> {hot[0]}")).collect()
+
+
+def test_spectral_radius_of_known_shapes(spark):
+    """A complete graph of 6 (radius 4), a complete bipartite one of 2 and 5 (2), a cycle of 7 (1, a double eigenvalue), one node (0)."""
+    shapes = [small(spark, [(a, b) for a in range(6) for b in range(a)], 6, "k6"), small(spark, [(a, b) for a in range(2) for b in range(2, 7)], 7, "k25"), small(spark, [(i, (i + 1) % 7) for i in range(7)], 7, "c7"), small(spark, [], 1, "one")]
+    found, rho = krylov.backtrackless(*together(*shapes))
+    got = {r.structure_id: r.rho for r in rho.collect()}
+    assert got["k6"] == pytest.approx(4, abs=1e-8) and got["k25"] == pytest.approx(2, abs=1e-8) and got["c7"] == pytest.approx(1, abs=1e-3) and got["one"] == 0
+    assert [r.score for r in found.where("structure_id = 'one'").collect()] == [None]
 
 
 def test_krylov_agrees_with_dense_eigenvalues(spark):
@@ -155,8 +211,8 @@ def test_arnoldi_over_the_whole_space_gives_the_centrality(spark):
     degree = graph.degrees(nodes, edges).cache()
     start = degree.select("structure_id", "node_id", (F.col("degree") + F.col("node_id") * 0.1).cast("double").alias("w"), (1 + F.col("node_id") * 0.01).alias("v"))
     got = scores(krylov.dominant(*krylov.arnoldi(degree, edges, 8, start)))
-    want = scores(graph.backtrackless(nodes, edges, rounds=40)[0])
-    assert got == pytest.approx(want, abs=1e-3)
+    want = scores(krylov.backtrackless(nodes, edges)[0])
+    assert got == pytest.approx(want, abs=1e-6)
 
 
 def test_product(spark):
@@ -170,18 +226,6 @@ def test_real_eigenvalues():
     assert krylov.real_eigenvalues([[0.0, 1.0], [-1.0, 0.0, 0.0]], 1e-12) == []
 
 
-def test_small_structures_have_no_radius(spark):
-    one, none = small(spark, [], 1)
-    assert graph.backtrackless(one, none, rounds=10)[1].first().rho == 0.0
-
-
-def test_bridge_beats_interior(spark):
-    clique = lambda o: [(a + o, b + o) for a in range(5) for b in range(a)]
-    nodes, edges = small(spark, clique(0) + clique(5) + [(2, 7)], 10)
-    got = scores(graph.backtrackless(nodes, edges, rounds=20)[0])
-    assert got[2] > got[0] and got[7] > got[9]
-
-
 def test_components_and_loops(spark):
     nodes, edges = small(spark, [(0, 1), (1, 0), (1, 1), (1, 2)], 5)
     assert edges.count() == 4 and graph.edge_count(edges).first().n_edges == 2
@@ -194,9 +238,35 @@ def test_long_chain_is_one_component(spark):
 
 
 def test_evaluation(spark, nodes):
-    labels = spark.createDataFrame([("s", "A", r, r in (5, 101)) for r in (1, 5, 9, 13, 17, 101, 105, 117)], "structure_id string, chain string, res_seq int, label boolean")
-    alone = nodes.withColumn("structure_id", F.lit("other"))
-    each, pooled, skipped = workflows.evaluate(nodes.unionByName(alone), labels, rounds=16)
-    assert {r.method: r.auc for r in each.collect()} == dict.fromkeys(workflows.METHODS, 1.0)
-    assert {(r.auc, r.n_pos, r.n_neg) for r in pooled.collect()} == {(1.0, 2, 6)}
-    assert [r.structure_id for r in skipped.collect()] == ["other"]
+    chosen = {2: True, 5: False, 11: True, 14: False, 20: False, 23: True, 29: False, 38: False}
+    labels = spark.createDataFrame([("s", "A", r, y) for r, y in chosen.items()] + [("uniform", "A", 2, True), ("uniform", "A", 5, True)], "structure_id string, chain string, res_seq int, label boolean")
+    every = nodes.unionByName(nodes.withColumn("structure_id", F.lit("other"))).unionByName(nodes.withColumn("structure_id", F.lit("uniform")))
+    files = spark.createDataFrame([("s",), ("other",), ("uniform",), ("broken",)], "structure_id string")
+    done = workflows.evaluate(every, labels, files=files)
+    want, _ = dense(helix())
+    number = {r[0]: i for i, r in enumerate(FIXTURE)}
+
+    def auc(method, rows):
+        value = np.round(want[method], 9)
+        pairs = [(value[number[p]], value[number[q]]) for p, y in rows for q, z in rows if y and not z]
+        return sum(1.0 if p > q else 0.5 if p == q else 0.0 for p, q in pairs) / len(pairs)
+
+    got = {(r.structure_id, r.method): (r.auc, r.n_pos, r.n_neg) for r in done.each.collect()}
+    pooled = {r.method: (r.auc, r.n_pos, r.n_neg) for r in done.pooled.collect()}
+    for method in workflows.METHODS:
+        assert got["s", method] == (pytest.approx(auc(method, list(chosen.items()))), 3, 5) and got["uniform", method] == (None, 2, 0)
+        assert pooled[method] == (pytest.approx(auc(method, [*chosen.items(), (2, True), (5, True)])), 5, 5)
+    assert {(r.structure_id, r.reason) for r in done.skipped.collect()} == {("other", "no labels"), ("broken", "no residues")}
+    nested = {r.structure_id: r for r in done.structures.collect()}
+    assert nested["s"].n_labeled == 8 and [m.method for m in nested["s"].methods] == list(workflows.METHODS)
+
+
+def test_ranges_give_what_one_window_gives(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 501).cast("double").alias("score"), (F.col("id") % 5 == 0).alias("label"))
+    for by in ([], ["g"]):
+        one, more = (sorted(map(str, metrics.roc_auc(rows, by, window_rows=w).collect())) for w in (10**6, 10))
+        assert one == more
+    one, more = (sorted(map(str, metrics.average_rank(rows, ["g"], "score", window_rows=w).collect())) for w in (10**6, 10))
+    assert one == more and len(one) == 3000
+    placed = metrics.numbered(rows.withColumn("id", F.monotonically_increasing_id()), [F.col("score").desc(), F.col("id").asc()]).collect()
+    assert [r.place for r in placed] == list(range(1, 3001)) and all(a.score >= b.score for a, b in zip(placed, placed[1:]))

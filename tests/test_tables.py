@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meshwork import streaming
 from meshwork.operators import metrics, reports
 from meshwork.plans import workflows
-from meshwork.plans.catalog import fixture_lines
+from meshwork.plans.catalog import FIXTURE, fixture_lines
 from meshwork.sources import dumps, payloads, tables
 from meshwork.sources.structures import residues
 
@@ -96,7 +96,12 @@ def brute_auc(rows):
     return sum(1.0 if p > q else 0.5 if p == q else 0.0 for p, q in itertools.product(pos, neg)) / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("rows", [[(1, False), (2, True)], [(2, False), (1, True)], [(1, True), (1, False)], [(1, False), (2, True), (2, False), (3, True), (1.5, True), (4, False)]])
+def tied(seed):
+    rnd = random.Random(seed)
+    return [(rnd.randint(0, 3) / 2, rnd.random() < 0.5) for _ in range(9)] + [(0.5, True), (0.5, False)]
+
+
+@pytest.mark.parametrize("rows", [[(1, False), (2, True)], [(2, False), (1, True)], [(1, True), (1, False)], tied(1), tied(2)])
 def test_auc(spark, rows):
     frame = spark.createDataFrame([(float(s), y) for s, y in rows], "score double, label boolean")
     assert metrics.roc_auc(frame, []).first().auc == pytest.approx(brute_auc(rows))
@@ -116,19 +121,63 @@ def test_threshold_rounds_half_away(spark):
     assert metrics.index_threshold(rows, ["g"], "v", 0.5).first().threshold == 5.0
 
 
-def test_report(spark):
-    all_lines = spark.createDataFrame(list(enumerate(fixture_lines())), "line_no int, line string").withColumn("structure_id", F.lit("s"))
-    nodes = residues(all_lines).where("chain = 'A'").cache()
+@pytest.fixture(scope="module")
+def helix(spark):
+    lines = spark.createDataFrame(list(enumerate(fixture_lines())), "line_no int, line string").withColumn("structure_id", F.lit("s"))
+    return residues(lines).where("chain = 'A'").cache()
+
+
+def test_report(spark, helix):
     asked = spark.createDataFrame([("s", "gena", None)], "structure_id string, symbol string, uniprot string")
-    ranked, boxes = workflows.report(nodes, tables.targets(lines(spark, TARGETS)), asked, rounds=40)
-    row = ranked.first()
-    assert (row.n_residues, row.n_contacts, row.target.is_difficult_target) == (10, 23, True)
-    assert [r.res_seq for r in row.pockets[0].residues] == [5, 101, 109, 113]
+    done = workflows.report(helix, tables.targets(lines(spark, TARGETS)), asked, share=0.6)
+    row = done.ranked.first()
+    assert (row.n_residues, row.target.is_difficult_target, row.place) == (len(FIXTURE), True, 1) and row.n_contacts > len(FIXTURE) and row.global_coupling_rho_b > 1
+    best = row.pockets[0]
+    assert best["size"] == len(best.residues) >= 3 and {r.res_seq for r in best.residues} <= {r[0] for r in FIXTURE}
+    box = done.boxes.where("rank = 1").first()
     paths = spark.createDataFrame([("s", "/x/s.pdb")], "structure_id string, path string")
-    dock = reports.docking_rows(boxes, paths, "L").first()
-    assert (dock.complex_name, dock.pocket_center_x) == ("s_pocket1", "8.250")
+    dock = reports.docking_rows(done.boxes, paths, "L").first()
+    assert (dock.complex_name, dock.pocket_center_x) == ("s_pocket1", f"{box.center.x:.3f}")
     entries = spark.createDataFrame([("s", "AF-1")], "structure_id string, entry string")
-    assert reports.summary(ranked, entries, boxes).first().top_pocket.n_residues == 4
+    assert reports.summary(done.ranked, entries, done.boxes).first().top_pocket.n_residues == best["size"]
+    grid = reports.pocket_grids(done.boxes.where("rank = 1"), done.members, helix)
+    assert [r.res_seq for r in grid.first().residues] == [r.res_seq for r in best.residues]
+    free = json.loads(reports.free_residues(grid).first().restraint)
+    assert [x["res_seq"] for x in free["unrestrained"]] == [r.res_seq for r in best.residues]
+
+
+def test_discovery(spark, helix):
+    targets = spark.createDataFrame(
+        [("A", "P1", "", "Tdark", "Other", None), ("B", "P2", "", "Tclin", "Other", 0.5), ("C", "P3", "", "Tbio", "Other", None), ("D", "P4", "", "TDARK", "Other", None), ("E", "P5", "", "Tdark", "Other", None), ("F", "", "", "Tdark", "Other", None)],
+        "symbol string, uniprot string, name string, tdl string, family string, novelty_score double",
+    )
+    models = spark.createDataFrame([("P1", "m1"), ("P2", "m2"), ("P3", "gone"), ("P4", "single")], "uniprot string, entry string")
+    every = helix.withColumn("structure_id", F.lit("m1")).unionByName(helix.withColumn("structure_id", F.lit("m2"))).unionByName(helix.where("node_id = 0").withColumn("structure_id", F.lit("single")))
+    paths = spark.createDataFrame([(m, f"/x/{m}.pdb") for m in ("m1", "m2", "single")], "structure_id string, path string")
+    done = workflows.discover(targets, models, every, paths, share=0.6)
+    assert [(r.symbol, r.entry, r.place) for r in done.summary.collect()] == [("A", "m1", 1), ("B", "m2", 2)]  # an understudied level goes first
+    assert {(r.symbol, r.error) for r in done.errors.collect()} == {("C", "no residues in the structure"), ("D", "fewer than two residues")}
+    assert {r.complex_name for r in done.docking.collect()} == {"m1_pocket1", "m2_pocket1"} and done.restraints.count() == done.grids.count() == 2
+    assert [r.symbol for r in workflows.discover(targets, models, every, paths, share=0.6, difficult_only=True).summary.collect()] == ["A"]
+
+
+def test_lines_count_on_over_blocks(spark, tmp_path):
+    (tmp_path / "long.txt").write_text("".join(f"line {i}\r\n" if i % 3 else f"line {i}\n" for i in range(1, 4001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = tables.numbered_lines(spark, f"{tmp_path}/long.txt").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line_no, r.line) for r in got) == [(i, f"line {i}") for i in range(1, 4001)]
+
+
+def test_csv_has_one_header(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "p", "L", "1.000", "2.000", "3.000")], "complex_name string, protein_path string, ligand_description string, pocket_center_x string, pocket_center_y string, pocket_center_z string")
+    for _ in range(2):
+        reports.append_csv(rows, f"file://{tmp_path}/out")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text.count("complex_name") == 1 and reports.read_csv(spark, f"{tmp_path}/out").count() == 2
 
 
 def test_streaming(spark, tmp_path):
@@ -137,7 +186,7 @@ def test_streaming(spark, tmp_path):
     seen = []
     query = streaming.watch(spark, str(tmp_path / "in"), str(tmp_path / "checkpoint"), lambda rows, n: seen.append((n, rows.count())), once=True)
     query.awaitTermination()
-    assert seen == [(0, 11)]
+    assert seen == [(0, len(FIXTURE) + 1)]
 
 
 def test_command_line(spark, tmp_path):
@@ -146,7 +195,18 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "one.pdb").write_text("\n".join(x for x in fixture_lines() if "HETATM" not in x))
     (tmp_path / "t.csv").write_text(TARGETS)
-    main(["report", "--structures", f"{tmp_path}/in", "--targets", f"{tmp_path}/t.csv", "--symbol", "GENA", "--top-percentile", "0.8", "--out", f"{tmp_path}/out"])
+    main(["report", "--structures", f"{tmp_path}/in", "--targets", f"{tmp_path}/t.csv", "--symbol", "GENA", "--top-percentile", "0.6", "--out", f"{tmp_path}/out"])
     row = spark.read.json(f"{tmp_path}/out/reports").first()
-    assert row.structure_id == "one" and row.n_contacts == 23 and row.target.symbol == "gena"
-    assert spark.read.option("header", True).csv(f"{tmp_path}/out/docking").count() <= 1
+    assert row.structure_id == "one" and row.target.symbol == "gena"
+    assert reports.read_csv(spark, f"{tmp_path}/out/docking").count() == 1 and spark.read.json(f"{tmp_path}/out/grids").count() == 1
+    (tmp_path / "in" / "two.pdb").write_text("END\n")
+    (tmp_path / "l.csv").write_text("structure_id,chain,res_seq,x\none,A,2,1\none,A,5,0\none,A,8,0\n")
+    main(["evaluate", "--structures", f"{tmp_path}/in", "--labels", f"{tmp_path}/l.csv", "--out", f"{tmp_path}/out"])
+    assert [r.method for r in spark.read.json(f"{tmp_path}/out/structures").first().methods] == list(workflows.METHODS)
+    answer = {"data": {"targets": {"targets": [{"sym": "G", "uniprot": "P1", "name": "n", "tdl": "Tdark"}]}}}
+    (tmp_path / "d.json").write_text(json.dumps(answer) + "\n")
+    (tmp_path / "p.tsv").write_text('P1\t[{"entryId":"one"}]\n')
+    main(["discover", "--structures", f"{tmp_path}/in", "--disease-answers", f"{tmp_path}/d.json", "--predictions", f"{tmp_path}/p.tsv", "--top-percentile", "0.6", "--out", f"{tmp_path}/out2"])
+    assert spark.read.json(f"{tmp_path}/out2/summary").first().entry == "one"
+    with pytest.raises(SystemExit, match="no residues"):
+        main(["report", "--structures", f"{tmp_path}/in", "--out", f"{tmp_path}/out3"])
