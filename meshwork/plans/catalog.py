@@ -592,7 +592,7 @@ def oracle_sql() -> dict[str, str]:
     ranks = lambda keys: f"SELECT {keys}, sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2 AS rank FROM cmp) GROUP BY ALL"
     return {
         "arnoldi_matrix": _arnoldi_sql(),
-        "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, at::INTEGER AS at, method, {auc} FROM ({ranks("structure_id, method, at")})
+        "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, CAST("at" AS INTEGER) AS "at", method, {auc} FROM ({ranks("structure_id, method, at")})
  JOIN (SELECT structure_id, count(*) AS nr FROM n GROUP BY ALL) USING (structure_id) JOIN (SELECT structure_id, count(*) AS nl FROM lb GROUP BY ALL) USING (structure_id)""",
         "evaluate_pooled": f"{_evaluation_sql()} SELECT method, {auc} FROM ({ranks('method')})",
         "evaluate_skipped": "SELECT '1' AS structure_id, 'no labels' AS reason UNION ALL SELECT 'empty', 'no residues'",
