@@ -70,7 +70,11 @@ class Model:
     def score(self, text: str | None) -> float:
         """w.x; each feature counts once."""
         on: set[int] = set()
-        for word in words_of(text):
+        words = words_of(text)
+        for found in map(self.known.get, words):
+            if found:
+                on.update(found)
+        for word in words.difference(self.known):
             on.update(self.active(word))
         return float(self.weights[sorted(on)].sum()) if on else 0.0
 
@@ -95,18 +99,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 500, l1: float
     x = np.concatenate([np.zeros(size), [0.5, 1.5, 2.5]])  # weights, thresholds
     mean, square = np.zeros(size + k), np.zeros(size + k)
     for t in range(1, rounds + 1):
-        w, b = x[:size], x[size:]
-        z = np.bincount(of, w[at], n)
-        p = 1 / (1 + np.exp(-np.clip(z[:, None] - b[None, :], -60, 60)))
-        edge = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
-        own = np.clip(edge[np.arange(n), grades] - edge[np.arange(n), grades + 1], 1e-9, None)
-        slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
-        low, high = slope[np.arange(n), grades], slope[np.arange(n), grades + 1]
-        dz = -weight * (low - high) / own
-        db = np.zeros(k)
-        for j in range(k):  # threshold j+1 is the lower edge of grade j+1 and the upper one of grade j
-            db[j] = (weight * (np.where(grades == j + 1, low, 0) - np.where(grades == j, high, 0)) / own).sum()
-        d = np.concatenate([np.bincount(at, dz[of], size), db])
+        _, d = loss(x, of, at, grades, weight)
         mean, square = 0.9 * mean + 0.1 * d, 0.99 * square + 0.01 * d * d
         pace = rate / (np.sqrt(square / (1 - 0.99**t)) + 1e-6)
         x = x - pace * mean / (1 - 0.9**t)
@@ -117,6 +110,25 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 500, l1: float
     return Model(weights, x[size:])
 
 
+def loss(x: np.ndarray, of: np.ndarray, at: np.ndarray, grades: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted negative log-likelihood and its gradient at x (weights, then GRADES thresholds); row of[i] has feature at[i]."""
+    n, k = len(grades), GRADES
+    size = len(x) - k
+    w, b = x[:size], x[size:]
+    z = np.bincount(of, w[at], n)
+    p = 1 / (1 + np.exp(-np.clip(z[:, None] - b[None, :], -60, 60)))
+    edge = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
+    rows = np.arange(n)
+    own = np.clip(edge[rows, grades] - edge[rows, grades + 1], 1e-9, None)
+    slope = np.hstack([np.zeros((n, 1)), p * (1 - p), np.zeros((n, 1))])
+    low, high = slope[rows, grades], slope[rows, grades + 1]
+    dz = -weight * (low - high) / own
+    db = np.zeros(k)
+    for j in range(k):  # threshold j+1 is the lower edge of grade j+1 and the upper one of grade j
+        db[j] = (weight * (np.where(grades == j + 1, low, 0) - np.where(grades == j, high, 0)) / own).sum()
+    return float(-(weight * np.log(own)).sum()), np.concatenate([np.bincount(at, dz[of], size), db])
+
+
 def _documents_with(rows: list[np.ndarray]) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int32)
     for r in rows:
@@ -162,11 +174,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
             made = [sorted({k for w in words_of(x) for k in features_of(w)}) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int32()))], ["id", "toxic", "x"])
 
-    found = rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, toxic int, x array<int>").orderBy("id", "x").toArrow()
-    bad = np.array(found["toxic"].to_pylist(), bool)
+    found = rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, toxic int, x array<int>").toArrow()
+    features = [np.asarray(x.values) for x in found["x"]]
+    ids = found["id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tolist()))  # at most 2 * sample rows, more where documents repeat
+    features, bad = [features[i] for i in order], np.array(found["toxic"].to_pylist(), bool)[order]
     if not bad.any() or bad.all():
         return None
-    features = [np.asarray(x.values) for x in found["x"]]
     return fit(features, graded(features, bad))
 
 
