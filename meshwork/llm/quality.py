@@ -5,7 +5,8 @@ below them have a rate of good documents each: by grouped aggregation over all d
 label where known, else the model's probability) and shrunk, a host towards the global rate, a
 path towards its host. How strongly is estimated from the spread between sites (method of
 moments), so a site with few documents is close to its parent and a large one near its own
-rate. A document's quality multiplies its own odds by its path's odds over the global ones.
+rate. A document's quality multiplies its own odds by its path's odds over the global ones, where the rates of path
+and host leave the document itself out, so its own evidence counts once.
 
 The logistic model is fitted on at most ``SAMPLE`` good and as many bad labelled documents, the
 first by a hash of doc_id. All other figures cover all rows.
@@ -136,20 +137,30 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     rows = docs.select(F.col(doc_id).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text).alias("_text"))
     scored = cut(rows.mapInArrow(run, f"id {kind}, host string, path string, p_doc double"), "evidence")
     known = known_labels(labels, doc_id, "quality")
-    seen = scored.join(known, scored["id"] == known["_id"], "left").withColumn("y", F.coalesce(F.col("_good").cast("double"), F.col("p_doc")))
+    return combined(scored, known, fixed).select(F.col("id").alias(doc_id), "p_doc", "host_rate", "path_rate", "quality", (F.col("quality") > KEEP).alias("keep"))
+
+
+def combined(scored: DataFrame, known: DataFrame, fixed: float) -> DataFrame:
+    """scored (id, host, path, p_doc) with host_rate, path_rate and quality; known (_id, _good) are labels, fixed the rate without any document.
+
+    A document's own label or probability is left out of the rates it is judged by.
+    """
+    seen = cut(scored.join(known, scored["id"] == known["_id"], "left").withColumn("y", F.coalesce(F.col("_good").cast("double"), F.col("p_doc"))).drop("_id", "_good"), "evidence")
     paths = cut(seen.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("y").alias("good")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = float(total.good / total.n) if total.n else fixed
-    k = _shrinkage(hosts, F.lit(overall))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.lit(k * overall) + F.col("good")) / (F.lit(k) + F.col("n"))).alias("host_rate"))
+    k_host = _shrinkage(hosts, F.lit(overall))
+    shrunk = lambda k, to, good, n: (F.lit(k) * to + good) / (F.lit(k) + n)
+    hosts = hosts.select(F.col("host").alias("h"), F.col("n").alias("host_n"), F.col("good").alias("host_good"))
     below = cut(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "path-rates")
-    k = _shrinkage(below, F.col("host_rate"))
-    below = cut(below.select(F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", ((F.lit(k) * F.col("host_rate") + F.col("good")) / (F.lit(k) + F.col("n"))).alias("path_rate")), "path-rates")
-    out = scored.join(below, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    k_path = _shrinkage(below.withColumn("parent", shrunk(k_host, F.lit(overall), F.col("host_good"), F.col("host_n"))), F.col("parent"))
+    below = below.withColumnsRenamed({"host": "h", "path": "p"})
+    out = seen.join(below, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    out = out.withColumn("host_rate", shrunk(k_host, F.lit(overall), F.col("host_good") - F.col("y"), F.col("host_n") - 1))
+    out = out.withColumn("path_rate", shrunk(k_path, F.col("host_rate"), F.col("good") - F.col("y"), F.col("n") - 1))
     z = _logit(F.col("p_doc")) + _logit(F.col("path_rate")) - _logit(F.lit(overall))
-    out = out.withColumn("quality", 1 / (1 + F.exp(-z)))
-    return out.select(F.col("id").alias(doc_id), "p_doc", "host_rate", "path_rate", "quality", (F.col("quality") > KEEP).alias("keep"))
+    return out.withColumn("quality", 1 / (1 + F.exp(-z)))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

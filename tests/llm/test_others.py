@@ -207,7 +207,7 @@ def test_toxicity(labelled):
     assert toxicity.report(docs.limit(0), labels).count() == 0
 
 
-def test_thresholds_are_ordered_and_gradient_is_right():
+def test_thresholds_are_ordered():
     rnd = np.random.default_rng(1)
     rows = [np.unique(rnd.integers(0, 50, 8)).astype(np.int32) for _ in range(300)]
     grades = np.array([min(3, int((r < 6).sum())) for r in rows])
@@ -217,6 +217,19 @@ def test_thresholds_are_ordered_and_gradient_is_right():
     assert np.corrcoef(level, grades)[0, 1] > 0.8
 
 
+def test_gradient_agrees_with_differences():
+    rnd = np.random.default_rng(3)
+    grades = rnd.integers(0, 4, 60)
+    of, at = np.repeat(np.arange(60), 4), rnd.integers(0, 12, 240)
+    weight, x = rnd.random(60), np.concatenate([rnd.random(12), [0.2, 1.1, 1.9]])
+    _, d = toxicity.loss(x, of, at, grades, weight)
+    for i in range(len(x)):
+        step = np.zeros(len(x))
+        step[i] = 1e-6
+        up, down = (toxicity.loss(x + s * step, of, at, grades, weight)[0] for s in (1, -1))
+        assert d[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
 def test_quality(labelled):
     docs, labels, rows = labelled
     got = quality.report(docs, labels).collect()
@@ -236,6 +249,41 @@ def test_small_sites_shrink_more(spark):
     assert rate[0] > 0.95 and rate[1000] < 0.05 and 0.05 < rate[2000] < 0.5
 
 
+def test_rates_leave_a_document_out(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice(["x", "y"]), rnd.random()) for i in range(60)] + [(60, "alone", "z", 0.9)]
+    labels = {i: rnd.randint(0, 1) for i in range(0, 60, 3)}
+    frame = spark.createDataFrame(rows, "id bigint, host string, path string, p_doc double")
+    known = spark.createDataFrame(list(labels.items()), "_id bigint, _good int")
+    y = {i: float(labels.get(i, p)) for i, _, _, p in rows}
+    overall = sum(y.values()) / len(y)
+
+    def strength(sites, parent):  # method of moments
+        n = sum(m for m, _ in sites.values())
+        spread = sum(m * (g / m - parent(k)) ** 2 for k, (m, g) in sites.items()) / n
+        chance = sum(m * parent(k) * (1 - parent(k)) for k, (m, _) in sites.items()) / n
+        return min(1e6, max(1.0, chance / max(1e-6, spread - chance * len(sites) / n) - 1))
+
+    def sites(key):
+        out = collections.defaultdict(lambda: (0, 0.0))
+        for r in rows:
+            m, g = out[key(r)]
+            out[key(r)] = (m + 1, g + y[r[0]])
+        return out
+
+    hosts, paths = sites(lambda r: r[1]), sites(lambda r: (r[1], r[2]))
+    k = strength(hosts, lambda _: overall)
+    rate = {h: (k * overall + g) / (k + n) for h, (n, g) in hosts.items()}
+    j = strength(paths, lambda p: rate[p[0]])
+    logit = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
+    for r in quality.combined(frame, known, 0.5).collect():
+        (hn, hg), (pn, pg) = hosts[r.host], paths[r.host, r.path]
+        host = (k * overall + hg - y[r.id]) / (k + hn - 1)
+        path = (j * host + pg - y[r.id]) / (j + pn - 1)
+        assert (r.host_rate, r.path_rate) == (pytest.approx(host), pytest.approx(path))
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-(logit(r.p_doc) + logit(path) - logit(overall)))))
+
+
 # --- pipeline
 
 
