@@ -29,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one of our own in a local session, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,14 +45,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/meshwork/{label}-{uuid.uuid4().hex}"
 
 
+#: What cut wrote in this process and clear has not deleted.
+_written: list[str] = []
+
+
 def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: later steps reuse it, and it outlives executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     bounded_batches(spark)
     df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> list[str]:
+    return list(_written)
+
+
+def clear(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that cut wrote; nothing may read them any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

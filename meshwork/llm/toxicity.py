@@ -161,9 +161,9 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + sum((counts > e).astype(int) for e in edges), 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", label_id: str = "doc_id") -> Model | None:
     """Fits on at most sample toxic and sample other labelled documents; None if either class is missing."""
-    known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_toxic"))
+    known = labels.where(F.col(toxic).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_toxic"))
     first = F.xxhash64("_id")
     some = [known.where(F.col("_toxic") == y).orderBy(first, "_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * sample rows of two numbers

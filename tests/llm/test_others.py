@@ -317,3 +317,39 @@ def test_pipeline(spark, tmp_path):
             assert set(ids) <= set(before) and max(ids.values()) <= 3
         else:
             assert ids == before and docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeats, clashing names, and empty tables, through every stage."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows = corpus(150)
+    odd = [(9000, None, "en", None), (9001, "", None, "h1"), (9002, " ", "en", "h1"), (None, rows[3][1], "en", "h2"), (20, "plain words only in this row", "en", "h9"), (21, "x " * 30000, "en", "h2"), rows[8][:4], rows[8][:4]]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, toxic string, severity int, _row int, _id string, hits string, size int, m map<string,int>"
+    made = [(*r[:4], 1, "t", 2, 3, "i", "h", 4, {"a": 1}) for r in rows] + [(*r, 1, "t", 2, 3, "i", "h", 4, None) for r in odd]
+    for name, data, kind in (
+        ("documents", made, schema), ("labels", [(r[0], r[5], r[4]) for r in rows] + [(None, 1, 1), (3, None, None)], "doc_id bigint, quality int, toxic int"),
+        ("benchmark", [(1, " ".join(rows[11][1].split()[:12])), (2, None), (None, rows[12][1])], "item_id bigint, text string"),
+    ):
+        for folder, some in (("full", data), ("empty", [])):
+            spark.createDataFrame(some, kind).write.parquet(f"file://{tmp_path}/{folder}/{name}.parquet")
+    for folder in ("full", "empty"):
+        where = f"file://{tmp_path}/{folder}"
+        docs = spark.read.parquet(f"{where}/documents.parquet")
+        kept = {}
+        for name, stage in pipeline.STAGES:
+            out = new_path(spark, "stage")
+            stage(spark, docs, where).write.parquet(out)
+            docs = spark.read.parquet(out)
+            kept[name] = [r.doc_id for r in docs.select("doc_id").collect()]
+            if name != "token_files":
+                assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+        if folder == "empty":
+            assert not any(kept.values())
+            continue
+        count = lambda name, d: kept[name].count(d)
+        toxic = {r[0] for r in rows if r[4]}
+        assert len(toxic & set(kept["toxicity"])) <= 2 and {9000, 9001, 9002, None, 21} <= set(kept["toxicity"]) and count("toxicity", 8) == (0 if 8 in toxic else 3)
+        assert count("ngram_jaccard_join", 8) == 1 and {9000, 9001, 9002, None, 21} <= set(kept["ngram_jaccard_join"]) and count("ngram_jaccard_join", 20) == count("toxicity", 20)
+        assert set(kept["ngram_jaccard_join"]) - set(kept["benchmark_decontamination"]) == {11}
+        assert not {9000, 9001, 9002} & set(kept["source_mixing"]) and sorted(map(str, kept["token_files"])) == sorted(map(str, kept["source_mixing"]))
+    assert pipeline.run(spark, f"file://{tmp_path}/full").count() == len(pipeline.run(spark, f"file://{tmp_path}/full").collect()) > 100
