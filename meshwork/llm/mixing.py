@@ -12,8 +12,8 @@ document is rounded by chance; the words this adds or takes are spread over a po
 functions; chance is a hash of the documents, so reruns agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order;
-sources are ordered by code point and weigh 5, 2, 1, 5, ...; documents of size 0 and sources of
-size 0 take nothing; repeated rows (same doc_id, source and size) share one decision; an empty
+sources are ordered by code point and weigh 5, 2, 1, 5, ...; documents of size 0 take no words (copies is the whole part
+of their source's ratio), sources of size 0 nothing; repeated rows (same doc_id, source and size) share one decision; an empty
 table gives no rows; other columns are ignored. The sources (one row each) are ranked in one
 window, as an order over all of them is asked for; documents never are.
 """

@@ -351,5 +351,5 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert len(toxic & set(kept["toxicity"])) <= 2 and {9000, 9001, 9002, None, 21} <= set(kept["toxicity"]) and count("toxicity", 8) == (0 if 8 in toxic else 3)
         assert count("ngram_jaccard_join", 8) == 1 and {9000, 9001, 9002, None, 21} <= set(kept["ngram_jaccard_join"]) and count("ngram_jaccard_join", 20) == count("toxicity", 20)
         assert set(kept["ngram_jaccard_join"]) - set(kept["benchmark_decontamination"]) == {11}
-        assert not {9000, 9001, 9002} & set(kept["source_mixing"]) and sorted(map(str, kept["token_files"])) == sorted(map(str, kept["source_mixing"]))
+        assert max(count("source_mixing", d) / count("benchmark_decontamination", d) for d in set(kept["source_mixing"])) <= 3 and sorted(map(str, kept["token_files"])) == sorted(map(str, kept["source_mixing"]))
     assert pipeline.run(spark, f"file://{tmp_path}/full").count() == len(pipeline.run(spark, f"file://{tmp_path}/full").collect()) > 100
