@@ -566,8 +566,8 @@ _NATIONS = """tg AS (SELECT n_nationkey AS k, n_name AS symbol, 'k' || n_nationk
 
 
 def _evaluation_sql() -> str:
-    """cmp: structure_id, node_id, method, at, score, label of what is compared."""
-    scores = " UNION ALL ".join(f"SELECT structure_id, node_id, '{m}' AS method, {i} AS at, round({_NORMAL}, 9) AS score FROM {t}" for i, (m, t) in enumerate(zip(workflows.METHODS, ("sn", "sd", "sl", "sb", "se"))))
+    """cmp: structure_id, node_id, method, pos, score, label of what is compared."""
+    scores = " UNION ALL ".join(f"SELECT structure_id, node_id, '{m}' AS method, {i} AS pos, round({_NORMAL}, 9) AS score FROM {t}" for i, (m, t) in enumerate(zip(workflows.METHODS, ("sn", "sd", "sl", "sb", "se"))))
     return f"""WITH RECURSIVE {_GRAPH}, {_SPECTRAL}, {_apart(_EIGENVECTOR)}, {_PATHS}, {_COUNTS}, {_BY_DEGREE}, {_CLOSENESS}, {_BETWEENNESS},
  lb AS MATERIALIZED (SELECT structure_id, node_id, res_seq % 3 = 0 AND structure_id <> '0' AS label FROM n WHERE res_seq % 2 = 1 AND structure_id <> '1'),
  cmp AS MATERIALIZED (SELECT s.*, lb.label FROM ({scores}) s JOIN lb USING (structure_id, node_id))"""
@@ -592,7 +592,7 @@ def oracle_sql() -> dict[str, str]:
     ranks = lambda keys: f"SELECT {keys}, sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2 AS rank FROM cmp) GROUP BY ALL"
     return {
         "arnoldi_matrix": _arnoldi_sql(),
-        "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, CAST("at" AS INTEGER) AS "at", method, {auc} FROM ({ranks("structure_id, method, at")})
+        "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, pos::INTEGER AS "at", method, {auc} FROM ({ranks("structure_id, method, pos")})
  JOIN (SELECT structure_id, count(*) AS nr FROM n GROUP BY ALL) USING (structure_id) JOIN (SELECT structure_id, count(*) AS nl FROM lb GROUP BY ALL) USING (structure_id)""",
         "evaluate_pooled": f"{_evaluation_sql()} SELECT method, {auc} FROM ({ranks('method')})",
         "evaluate_skipped": "SELECT '1' AS structure_id, 'no labels' AS reason UNION ALL SELECT 'empty', 'no residues'",
