@@ -454,8 +454,12 @@ arnoldi_matrix ritz_pairs evaluate_structures evaluate_pooled evaluate_skipped s
 dump_row_level dump_tables dump_components first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors""".split()
 
 
+#: Names that queries had before, which still ask for the same.
+FORMER = {"graph_eigenvector_converged": "graph_eigenvector_k", "nb_centrality_converged": "nb_centrality", "rho_b_converged": "rho_b"}
+
+
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in _NAMES}
+    return {name: globals()[name] for name in _NAMES} | {old: globals()[name] for old, name in FORMER.items()}
 
 
 _NODES = """n AS MATERIALIZED (SELECT label::VARCHAR AS structure_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS node_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain,
@@ -590,7 +594,7 @@ def oracle_sql() -> dict[str, str]:
     recursive = with_graph.replace("WITH ", "WITH RECURSIVE ", 1)
     auc = "round(CASE WHEN p > 0 AND n - p > 0 THEN (r - p * (p + 1) / 2) / (p * (n - p)) END, 6) AS auc, p::BIGINT AS n_pos, (n - p)::BIGINT AS n_neg"
     ranks = lambda keys: f"SELECT {keys}, sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2 AS rank FROM cmp) GROUP BY ALL"
-    return {
+    out = {
         "arnoldi_matrix": _arnoldi_sql(),
         "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, pos::INTEGER AS "at", method, {auc} FROM ({ranks("structure_id, method, pos")})
  JOIN (SELECT structure_id, count(*) AS nr FROM n GROUP BY ALL) USING (structure_id) JOIN (SELECT structure_id, count(*) AS nl FROM lb GROUP BY ALL) USING (structure_id)""",
@@ -664,3 +668,4 @@ def oracle_sql() -> dict[str, str]:
         "first_wins": "SELECT l_orderkey, l_suppkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY ALL",
         "pool_union_methods": _AUC.format(keys="method,", part="PARTITION BY method", rows=f"SELECT 'chars' AS method, score, label FROM ({_SCORED}) UNION ALL SELECT 'id', doc_id, label FROM ({_SCORED})"),
     }
+    return out | {old: out[name] for old, name in FORMER.items()}
