@@ -28,9 +28,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -44,7 +46,7 @@ from meshwork.llm.common import cut, new_path, partitions, pieces
 
 END_ID = 2
 FRAME_IDS = 1 << 16
-CACHED = 250_000
+CACHED = 500_000
 #: Documents an index frame covers; bytes of text in a file, at least (where there are more partitions than files) and at most, about.
 INDEX_DOCS = 1 << 16
 FILE_LEAST, FILE_MOST = 8 << 20, 256 << 20
@@ -55,20 +57,22 @@ _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first"
 #: White space other than the plain space, as a superset of what tokenizers count as such.
 _OTHER_SPACE = [c for c in map(chr, range(0x10000)) if c.isspace() and c != " "]
 _cut = re.compile(r"(?<=\S) (?=\S)").split
+#: ASCII letters, and what follows them from another ASCII character on.
+_stem = re.compile(r"([A-Za-z]+)([\x21-\x40\x5B-\x60\x7B-\x7E][\s\S]*)").fullmatch
 
 
-def _pieces(text: str) -> list[str]:
-    """text, cut at every single space between two other characters."""
-    clear = "  " not in text and text[:1] != " " and text[-1:] != " " and not any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACE)
-    return text.split(" ") if clear else _cut(text)
+def _clear(text: str) -> bool:
+    """Whether every space of text stands between two characters that are no white space."""
+    return "  " not in text and text[:1] != " " and text[-1:] != " " and not any(c in text and (" " + c in text or c + " " in text) for c in _OTHER_SPACE)
 
 
 class Encoder:
     """Whole texts to little-endian uint32 ids, with the tokenizers library.
 
     Byte-level BPE with its usual splitting never joins across a single space between two other
-    characters, and plain added tokens break texts anyway, so a text is encoded piece by piece there, and pieces seen
-    before come from a table of at most ``CACHED`` entries. Models that split otherwise, or whose added tokens
+    characters, nor letters with what isn't a letter, and plain added tokens break texts anyway. So texts are cut at
+    such spaces, each distinct word of a batch is encoded once, its leading letters apart from the rest, and parts seen
+    before come from tables of at most ``CACHED`` entries. Models that split otherwise, or whose added tokens
     take up spaces, get whole texts.
     """
 
@@ -80,11 +84,15 @@ class Encoder:
         self.end = struct.pack("<I", end_id)
         spaced = self.model.to_str().split('"pre_tokenizer"', 1)[1][:200].replace(" ", "").replace("\n", "")
         self.by_piece = '"type":"ByteLevel","add_prefix_space":false' in spaced and '"use_regex":true' in spaced and self.model.normalizer is None
-        self.by_piece &= not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in json.loads(self.model.to_str())["added_tokens"])
+        added = json.loads(self.model.to_str())["added_tokens"]
+        self.by_piece &= not any(x["lstrip"] or x["rstrip"] or x["single_word"] or " " in x["content"] for x in added)
+        self.by_stem = not any(x["content"][:1].isalpha() for x in added)
         if self.by_piece:
             size = self.model.get_vocab_size(with_added_tokens=True)
             self.starts = np.array([(self.model.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        #: ids of word parts with a space before them, and of what follows a word's leading letters
         self.seen: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {"": b""}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -101,31 +109,49 @@ class Encoder:
             else:
                 into.update(zip(some, self._whole([" " + x for x in some])))
 
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """ids of each word with a space before it."""
+        seen, after = self.seen, self.after
+        out = list(map(seen.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        parts = [m.groups() if self.by_stem and (m := _stem(words[i])) else (words[i], "") for i in missing]
+        new = dict.fromkeys(x for x, _ in parts if x not in seen)
+        rest = dict.fromkeys(x for _, x in parts if x not in after)
+        self._learn([x for x in new if " " not in x], new)
+        inner = [x for x in new if " " in x]
+        new.update(zip(inner, self._whole([" " + x for x in inner])))
+        rest = dict(zip(rest, self._whole(list(rest))))
+        for i, (x, y) in zip(missing, parts):
+            out[i] = (seen.get(x) or new[x]) + (rest.get(y) or after[y])
+        seen.update(islice(new.items(), max(0, CACHED - len(seen))))
+        after.update(islice(rest.items(), max(0, CACHED // 4 - len(after))))
+        seen.update(islice(((words[i], out[i]) for i in missing), max(0, CACHED - len(seen))))
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return [x + self.end for x in self._whole(texts)]
-        heads, words, ends = [], [], []
-        for x in texts:
-            parts = _pieces(x)
-            heads.append(parts[0])
-            words += parts[1:]
-            ends.append(len(words))
-        ids: list = list(map(self.seen.get, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        new = dict.fromkeys(map(words.__getitem__, missing))
-        plain = [x for x in new if " " not in x]
-        self._learn(plain, new)
-        if len(plain) < len(new):
-            rest = [x for x in new if " " in x]
-            new.update(zip(rest, self._whole([" " + x for x in rest])))
-        for i in missing:
-            ids[i] = new[words[i]]
-        if len(self.seen) + len(new) <= CACHED:
-            self.seen.update(new)
-        out, at = [], 0
-        for head, end in zip(self._whole(heads), ends):
-            out.append(head + b"".join(ids[at:end]) + self.end)
-            at = end
+        clear = [_clear(x) for x in texts]
+        order = [i for i, x in enumerate(clear) if x] + [i for i, x in enumerate(clear) if not x]
+        split = pc.split_pattern(pa.array([x for x, ok in zip(texts, clear) if ok], pa.string()), " ")
+        odd = [_cut(x) for x, ok in zip(texts, clear) if not ok]
+        cuts = pa.concat_arrays([split.flatten(), pa.array([p for x in odd for p in x], pa.string())])
+        sizes = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(x) for x in odd], np.int64)]).astype(np.int64)
+        first = np.cumsum(sizes) - sizes
+        spaced = np.ones(len(cuts), bool)
+        spaced[first] = False
+        heads = self._whole(cuts.take(pa.array(first)).to_pylist())
+        words = cuts.filter(pa.array(spaced)).dictionary_encode()
+        table = self._ids(words.dictionary.to_pylist())
+        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        begin, codes = np.cumsum(length) - length, words.indices.to_numpy()
+        many = length[codes]
+        upto = np.concatenate([[0], np.cumsum(many)])
+        ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(begin[codes] - upto[:-1], many) + np.arange(upto[-1])]
+        bounds = upto[np.concatenate([[0], np.cumsum(sizes - 1)])].tolist()
+        out = [b""] * len(texts)
+        for i, head, a, b in zip(order, heads, bounds, bounds[1:]):
+            out[i] = head + ids[a:b].tobytes() + self.end
         return out
 
 

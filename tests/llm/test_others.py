@@ -122,7 +122,7 @@ def test_cycles_leave_other_trees_alone(spark):
 
 def test_token_files(spark):
     rnd = random.Random(3)
-    alphabet = [" ", "  ", "a", "bc", "é", "\n", "1", "'s", ".", " ", "　", "\x1c", "字", "<|endoftext|>", " <|endoftext|> "]
+    alphabet = [" ", "  ", "a", "bc", "é", "\n", "1", "'s", ".", " ", "　", "\x1c", "字", "<|endoftext|>", " <|endoftext|> ", "don", "'t", "naïve", ",", "-", "Ġ"]
     texts = ["".join(rnd.choices(alphabet, k=rnd.randint(0, 30))) for _ in range(300)] + [None, "", "word " * 5000, "a <|endoftext|> b", "<|endoftext|>"]
     rows = [(i * 3, t, "x") for i, t in enumerate(texts)] + [(6, texts[2], "x"), (None, "none", "x"), (-5, "minus", "x")]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, start string").repartition(3)
