@@ -365,6 +365,31 @@ def test_language_model_agrees_with_a_plain_tree(spark, hot):
         assert r.score == pytest.approx(plain(texts[3 if r.doc_id is None else r.doc_id]), abs=1e-6)
 
 
+def test_screening_lets_every_frequent_pair_through(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "CELLS", 64)  # many blocks of cells
+    texts = made_up(40, 3, 30)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    every = np.full(suffix_tree_lm.BITS // 64, 2**64 - 1, np.uint64)
+    sent = spark.sparkContext.broadcast([every, every])
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    cells, bits = suffix_tree_lm._screen(frame, 2, sent, tokens, 5)
+    assert cells > 64 * 10
+    made, before, _ = suffix_tree_lm.grams(texts, 2)
+    counts = collections.Counter(made[1][before >= 1].tolist())
+    by_cell = collections.Counter()
+    for g, n in counts.items():
+        by_cell[g % cells] += n
+    for g, n in counts.items():
+        assert bool(suffix_tree_lm.marked(bits, np.array([g % cells], np.uint64))[0]) == (by_cell[g % cells] >= 5)
+    assert any(n >= 5 for n in counts.values()) and any(by_cell[g % cells] < 5 for g in counts)
+
+
+def test_packed_columns_come_back():
+    columns = [np.array([0, 7, 2**40], np.uint64), np.array([1, 255, 3], np.uint8), np.array([0.5, -2.25, 1e300])]
+    back = suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), np.uint64, np.uint8, np.float64)
+    assert all((a == b).all() for a, b in zip(columns, back))
+
+
 def test_linking_of_parts(spark):
     rnd = random.Random(11)
     parts = {"ident": "user: abc%d", "weak": "pwd = xy%dz", "endpoint": "host: h%d.db", "assign": "token=abcdefgh%d", "none": "filler words here %d"}
