@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meshwork.llm import chat, decontamination, jaccard_join, mixing, quality, secrets, suffix_tree_lm, token_files, toxicity, vector_search
+from meshwork.llm import chat, decontamination, fill_in_middle, jaccard_join, mixing, packing, quality, secrets, suffix_tree_lm, token_files, toxicity, vector_codes, vector_search
 from meshwork.llm.common import table
 
 
@@ -55,6 +55,18 @@ def op10_classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op12_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
+def op13_code_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -111,5 +123,43 @@ _COMPONENT, _COUNTED = "AS component_id\nFROM w", "AS component_id, coalesce(any
 ORACLE_SQL["op2_link_counts"] = ORACLE_SQL["op2_jaccard_join"].replace(_COMPONENT, _COUNTED)
 
 
+ORACLE_SQL["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS b, ('0x' || h[17:24])::BIGINT % 100 AS c, ('0x' || h[25:32])::BIGINT % 100 AS d FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 50 THEN 'plain' WHEN d < 80 THEN 'spm' ELSE 'psm' END AS form,
+      array_to_string(u[1 : least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1 :], '') AS s FROM n)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""
+
+
+def _lloyd_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds one after the other, over lists of parts."""
+    width = f"(len(v) // {parts})"
+    sql = f"""
+WITH k AS (SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+x AS MATERIALIZED (SELECT row, p, v[p * {width} + 1 : (p + 1) * {width}] AS v FROM k, range({parts}) t(p)),
+s AS (SELECT vec_id, min(v) AS v FROM k GROUP BY vec_id ORDER BY vec_id NULLS LAST LIMIT {entries}),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id NULLS LAST) - 1 AS e, v[p * {width} + 1 : (p + 1) * {width}] AS v FROM s, range({parts}) t(p))"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (SELECT row, p, min(d) AS d, arg_min(e, d * {entries} + e) AS e FROM (SELECT x.row, x.p, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN c{i} c ON c.p = x.p) GROUP BY row, p)"""
+        if i < rounds:
+            sql += f""",
+m{i} AS (SELECT p, e, list(m ORDER BY j) AS v FROM (SELECT p, e, j, ((sum(y) - ((sum(y) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS m
+      FROM (SELECT x.p, a.e, unnest(range(len(x.v))) AS j, unnest(x.v)::BIGINT AS y FROM x JOIN a{i} a ON a.row = x.row AND a.p = x.p) GROUP BY p, e, j) GROUP BY p, e),
+c{i + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON m.p = c.p AND m.e = c.e)"""
+    return sql + f""",
+r AS (SELECT k.vec_id, k.label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} a JOIN k ON k.row = a.row GROUP BY k.row, k.vec_id, k.label),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS digest FROM c{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, digest AS codebooks_sha256 FROM r, h
+"""
+
+
+ORACLE_SQL["op13_code_vectors"] = _lloyd_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
