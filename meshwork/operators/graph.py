@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshwork.session import by_structure, discard, settle, settle_counted
+from meshwork.operators.blocks import CHUNK, blocks, chunks, most_chunks, powers, spread
+from meshwork.session import discard, settle, settle_counted
 
 _KEY = ["structure_id", "node_id"]
 
@@ -32,25 +33,6 @@ def gather(edges: DataFrame, vector: DataFrame, value: str = "value") -> DataFra
     return edges.join(ends, ["structure_id", "dst"]).groupBy("structure_id", F.col("src").alias("node_id")).agg(F.sum(value).alias("gathered"))
 
 
-def shortest_paths(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """structure_id, source, node_id, dist, paths (number of shortest paths) for all reachable pairs, one level of all searches per join.
-
-    Edges go both ways, so neighbours of a level are on it, on the one before or on the next: only two levels are held against new nodes.
-    """
-    starts = edges.select("structure_id", F.col("src").alias("source")).distinct()
-    front = settle(starts.select("structure_id", "source", F.col("source").alias("node_id"), F.lit(0).alias("dist"), F.lit(1.0).alias("paths")), "front")
-    near, seen, level = front, front, 0
-    step = edges.select("structure_id", F.col("src").alias("node_id"), F.col("dst").alias("next"))
-    while rounds is None or level < rounds:
-        ahead = front.join(step, _KEY).groupBy("structure_id", "source", F.col("next").alias("node_id")).agg(F.first("dist").alias("dist"), F.sum("paths").alias("paths"))
-        ahead = ahead.withColumn("dist", F.col("dist") + 1).join(near, ["structure_id", "source", "node_id"], "left_anti")
-        before, (front, made) = front, settle_counted(ahead, "front", n=F.count(F.lit(1)))
-        if not made["n"]:
-            break
-        near, seen, level = before.unionByName(front), seen.unionByName(front), level + 1
-    return seen
-
-
 def reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """structure_id, node_id, r (nodes within reach besides oneself), far (the sum of their distances).
 
@@ -84,54 +66,22 @@ def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select(*_KEY, score.alias("score"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """Shares of shortest paths through each node, each pair once: dependencies flow back level by level for all sources at once."""
-    edges, paths = settle(edges, "edges"), settle(paths, "paths")
-    deepest = paths.agg(F.max("dist")).first()[0] or 0
-    flow = None
-    parts = []
-    for level in range(deepest, 0, -1):
-        here = paths.where(F.col("dist") == level)
-        if flow is None:
-            here = here.withColumn("flow", F.lit(0.0))
-        else:
-            here = here.join(flow, ["structure_id", "source", "node_id"], "left").fillna(0.0, ["flow"])
-        here = settle(here, "flow")
-        parts.append(here)
-        above = paths.where(F.col("dist") == level - 1).select("structure_id", "source", F.col("node_id").alias("dst"), F.col("paths").alias("paths_above"))
-        down = here.select("structure_id", "source", F.col("node_id").alias("src"), ((1 + F.col("flow")) / F.col("paths")).alias("share")).join(edges, ["structure_id", "src"])
-        down = down.join(above, ["structure_id", "source", "dst"])
-        flow = down.groupBy("structure_id", "source", F.col("dst").alias("node_id")).agg(F.sum(F.col("share") * F.col("paths_above")).alias("flow"))
-    rows = nodes.select(*_KEY)
-    if not parts:
-        return rows.withColumn("score", F.lit(0.0))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    total = every.groupBy(*_KEY).agg((F.sum("flow") / 2).alias("score"))
-    return rows.join(total, _KEY, "left").fillna(0.0, ["score"])
-
-
-def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """structure_id, node_id, to, own: the edges, and each node to itself (own). A join with this and a sum by ``to`` is a matrix product that reads its vector once and loses no isolated node."""
-    loops = nodes.select(*_KEY, F.col("node_id").alias("to"), F.lit(True).alias("own"))
-    return edges.select("structure_id", F.col("src").alias("node_id"), F.col("dst").alias("to"), F.lit(False).alias("own")).unionByName(loops)
-
-
-def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 200, settle_every: int = 10) -> DataFrame:
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 200, settle_every: int = 40, chunk: int = CHUNK) -> DataFrame:
     """A fixed number of unshifted power steps from the uniform vector, scaled to unit length every few steps and at the end."""
-    every = Window.partitionBy("structure_id")
-    links, now = by_structure(settle(linked(nodes, edges), "links"), settle(nodes.select(*_KEY, (1 / F.sqrt(F.count("*").over(every))).alias("value")), "eigenvector"))
+    matrix = blocks(nodes, edges, chunk)
+    most = most_chunks(matrix)
+    first = nodes.select(*_KEY, F.lit(1.0).alias("w"), F.lit(0.0).alias("v"))
+    now = settle(chunks(first, chunk).select("structure_id", "chunk", F.slice("x", 1, (F.size("x") / 2).cast("int")).alias("x")), "eigenvector")
     done = 0
-    while done < rounds:
+    while True:
+        size = now.groupBy("structure_id").agg(F.sqrt(F.sum(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x))).alias("size"))
+        scaled = now.join(size, "structure_id").select("structure_id", "chunk", F.lit(True).alias("own"), F.when(F.col("size") > 1e-15, F.transform("x", lambda x: x / F.col("size"))).otherwise(F.col("x")).alias("x"))
+        if done == rounds:
+            return spread(nodes, scaled, "value", chunk=chunk).select(*_KEY, F.abs("value").alias("score"))
         steps = min(settle_every, rounds - done)
-        sql = "SELECT structure_id, node_id, value FROM {now}"
-        for _ in range(steps):  # one SQL text, as DataFrame calls would be analysed anew at each step
-            sql = f"SELECT s.structure_id, l.to AS node_id, sum(CASE WHEN l.own THEN 0D ELSE s.value END) AS value FROM ({sql}) s JOIN {{links}} l ON l.structure_id = s.structure_id AND l.node_id = s.node_id GROUP BY s.structure_id, l.to"
-        length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(every))
-        moved = nodes.sparkSession.sql(sql, now=now, links=links).withColumn("value", F.when(length > 1e-15, F.col("value") / length).otherwise(F.col("value")))
-        now, done = settle(moved, "eigenvector").repartition("structure_id"), done + steps
-    return now.select(*_KEY, F.abs("value").alias("score"))
+        later = settle(powers(matrix, scaled, steps, most, plain=True).select("structure_id", "chunk", "x"), "eigenvector")
+        discard(now)
+        now, done = later, done + steps
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions import is_difficult
-from meshwork.operators import graph, krylov, metrics, pockets, reports
+from meshwork.operators import graph, krylov, metrics, paths, pockets, reports
 from meshwork.operators.contacts import ContactRule, both_ways, contacts
 from meshwork.plans import workflows
 from meshwork.session import new_path, settle
@@ -88,29 +88,33 @@ def rho_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return krylov.backtrackless(*_graph(spark, sf_dir))[1].select("structure_id", F.round("rho", 6).alias("rho"))
 
 
-def _start(n: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
-    d = settle(graph.degrees(n, e), "degree")
-    return d, d.select("structure_id", "node_id", (1.0 + F.col("degree")).alias("w"), (1.0 / (1 + F.col("node_id"))).alias("v"))
+def _start(n: DataFrame, e: DataFrame) -> DataFrame:
+    return graph.degrees(n, e).select("structure_id", "node_id", (1.0 + F.col("degree")).alias("w"), (1.0 / (1 + F.col("node_id"))).alias("v"))
 
 
 def arnoldi_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The projected matrix of each structure, entry by entry."""
+    """The projected matrix of each structure, entry by entry, for a basis of three vectors."""
     n, e = _graph(spark, sf_dir)
-    d, start = _start(n, e)
-    _, h = krylov.arnoldi(d, e, DIMS, start)
-    columns = h.select("structure_id", F.posexplode("h").alias("j", "column"))
+    columns = krylov.projected(krylov.arnoldi(n, e, _start(n, e), DIMS)).select("structure_id", F.posexplode("h").alias("j", "column"))
     return columns.select("structure_id", "j", F.posexplode("column").alias("i", "entry")).select("structure_id", "i", "j", F.round("entry", 6).alias("entry"))
 
 
 def ritz_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The real eigenvalues of those matrices, with the norm of each lifted vector."""
     n, e = _graph(spark, sf_dir)
-    d, start = _start(n, e)
-    basis, h = krylov.arnoldi(d, e, DIMS, start)
-    lifted = krylov.lift(basis, krylov.ritz_pairs(h))
+    basis = krylov.arnoldi(n, e, _start(n, e), DIMS)
+    lifted = krylov.lift(basis, n, krylov.ritz_pairs(krylov.projected(basis)))
     return lifted.groupBy("structure_id", "place").agg(F.round(F.first("value"), 6).alias("value"), F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("size"))
 
 
+def arnoldi_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases of min(2n, 40) vectors: how many there are, whether they are orthonormal and M V = V H holds but for the last column, and the accepted pair of largest modulus."""
+    found = workflows.spectrum(*_graph(spark, sf_dir))
+    top = found.pairs.where("place = 0 AND accepted").select("structure_id", F.round("value", 6).alias("value"))
+    state = found.bases.select("structure_id", "dims", (F.col("orthogonal") < 1e-10).alias("orthonormal"), (F.col("relation") < 1e-6).alias("holds"))
+    return state.join(top, "structure_id", "left")
+
+
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
     return graph.max_normalised(graph.closeness(n, e)).withColumn("score", F.round("score", 6))
@@ -118,7 +122,13 @@ def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
-    return graph.max_normalised(graph.betweenness(n, e, graph.shortest_paths(e))).withColumn("score", F.round("score", 6))
+    return graph.max_normalised(paths.betweenness(n, e)).withColumn("score", F.round("score", 6))
+
+
+def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: how many nodes its searches reach, how far at most, and how many shortest paths there are to them."""
+    n, e = _graph(spark, sf_dir)
+    return paths.shortest_paths(n, e).groupBy("structure_id", "source").agg(F.count("*").alias("reached"), F.max("dist").alias("farthest"), F.sum("paths").cast("bigint").alias("n_paths"))
 
 
 def _pockets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -447,19 +457,15 @@ def pool_union_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_auc(both, ["method"]).withColumn("auc", F.round("auc", 9))
 
 
-_NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness pocket_components pocket_geometry structure_summary degree_auc
+_NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness path_counts pocket_components pocket_geometry structure_summary degree_auc
 roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
 composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods
-arnoldi_matrix ritz_pairs evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing target_detail model_predictions
+arnoldi_matrix ritz_pairs arnoldi_relation evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing target_detail model_predictions
 dump_row_level dump_tables dump_components first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors""".split()
 
 
-#: Names that queries had before, which still ask for the same.
-FORMER = {"graph_eigenvector_converged": "graph_eigenvector_k", "nb_centrality_converged": "nb_centrality", "rho_b_converged": "rho_b"}
-
-
 def queries() -> dict[str, Query]:
-    return {name: globals()[name] for name in _NAMES} | {old: globals()[name] for old, name in FORMER.items()}
+    return {name: globals()[name] for name in _NAMES}
 
 
 _NODES = """n AS MATERIALIZED (SELECT label::VARCHAR AS structure_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1)::INTEGER AS node_id, CASE WHEN vec_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain,
@@ -596,6 +602,7 @@ def oracle_sql() -> dict[str, str]:
     ranks = lambda keys: f"SELECT {keys}, sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2 AS rank FROM cmp) GROUP BY ALL"
     out = {
         "arnoldi_matrix": _arnoldi_sql(),
+        "arnoldi_relation": f"{with_graph}, {_SPECTRAL} SELECT structure_id, least(2 * count(*), 40)::INTEGER AS dims, true AS orthonormal, true AS holds, round(any_value(rho.rho), 6) AS value FROM n JOIN rho USING (structure_id) GROUP BY structure_id",
         "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, pos::INTEGER AS "at", method, {auc} FROM ({ranks("structure_id, method, pos")})
  JOIN (SELECT structure_id, count(*) AS nr FROM n GROUP BY ALL) USING (structure_id) JOIN (SELECT structure_id, count(*) AS nl FROM lb GROUP BY ALL) USING (structure_id)""",
         "evaluate_pooled": f"{_evaluation_sql()} SELECT method, {auc} FROM ({ranks('method')})",
@@ -631,6 +638,7 @@ def oracle_sql() -> dict[str, str]:
         "nb_centrality": f"{with_graph}, {_SPECTRAL} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sn",
         "rho_b": f"{with_graph}, {_SPECTRAL} SELECT structure_id, round(rho, 6) AS rho FROM rho",
         "closeness": f"{recursive}, {_PATHS}, {_CLOSENESS} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sl",
+        "path_counts": f"{recursive}, {_PATHS}, {_COUNTS} SELECT structure_id, source, count(*) AS reached, max(dist)::INTEGER AS farthest, sum(paths)::BIGINT AS n_paths FROM m GROUP BY ALL",
         "betweenness": f"{recursive}, {_PATHS}, {_COUNTS}, {_BETWEENNESS} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sb",
         "pocket_components": f"{recursive}, {_HOT} SELECT structure_id, rank, pocket, size, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score FROM rk",
         "pocket_geometry": f"""{recursive}, {_HOT} SELECT structure_id, rank, count(*) AS size, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z,
@@ -668,4 +676,4 @@ def oracle_sql() -> dict[str, str]:
         "first_wins": "SELECT l_orderkey, l_suppkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS l_partkey FROM lineitem GROUP BY ALL",
         "pool_union_methods": _AUC.format(keys="method,", part="PARTITION BY method", rows=f"SELECT 'chars' AS method, score, label FROM ({_SCORED}) UNION ALL SELECT 'id', doc_id, label FROM ({_SCORED})"),
     }
-    return out | {old: out[name] for old, name in FORMER.items()}
+    return out

@@ -53,14 +53,17 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         if path := getattr(df, "settled_at", None):
             spark = df.sparkSession
+            if name := getattr(df, "named", None):
+                spark.sql(f"DROP TABLE {name}")
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def by_structure(*frames: DataFrame, most: int = 5_000_000) -> list[DataFrame]:
-    """frames with each structure's rows in one partition, so that a chain of joins and sums by node needs no more shuffles; as they are where a structure has over ``most`` rows in one of them."""
-    spark = frames[0].sparkSession
-    if any((df.groupBy("structure_id").count().agg(F.max("count")).first()[0] or 0) > most for df in frames):
-        return list(frames)
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    return [df.repartition("structure_id") for df in frames]
+def bucketed(df: DataFrame, by: list[str], label: str = "bucketed") -> DataFrame:
+    """df, dealt by these columns and written as a table in the shared folder, bucketed by them: joins and groupings by them need no exchange."""
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    path, n = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *by).write.format("parquet").option("path", path).bucketBy(n, *by).saveAsTable(name)
+    out = spark.table(name)
+    out.settled_at, out.named = path, name
+    return out

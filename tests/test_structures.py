@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshwork.operators import graph, krylov, metrics, pockets
+from meshwork.operators import graph, krylov, metrics, paths, pockets
 from meshwork.operators.contacts import ContactRule, both_ways, contacts
 from meshwork.plans import workflows
 from meshwork.plans.catalog import FIXTURE, fixture_lines
@@ -186,17 +186,31 @@ def test_spectral_radius_of_known_shapes(spark):
     assert [r.score for r in found.where("structure_id = 'one'").collect()] == [None]
 
 
-def test_krylov_agrees_with_dense_eigenvalues(spark):
-    nodes, edges = small(spark, [(0, 1), (1, 2), (0, 2), (2, 3)], 4)
-    degree = graph.degrees(nodes, edges).cache()
-    start = degree.select("structure_id", "node_id", (F.col("degree") + F.col("node_id") * 0.1).cast("double").alias("w"), (1 + F.col("node_id") * 0.01).alias("v"))
-    basis_, h = krylov.arnoldi(degree, edges, 3, start)
-    columns = [list(c) for c in h.first().h]
-    a, d = np.zeros((4, 4)), np.diag([2.0, 2, 3, 1])
-    for x, y in ((0, 1), (1, 2), (0, 2), (2, 3)):
+def dense_form(edges, n):
+    a = np.zeros((n, n))
+    for x, y in edges:
         a[x, y] = a[y, x] = 1
-    m = np.block([[a, np.eye(4) - d], [np.eye(4), np.zeros((4, 4))]])
-    v = np.array([r.w for r in start.orderBy("node_id").collect()] + [r.v for r in start.orderBy("node_id").collect()])
+    return np.block([[a, np.eye(n) - np.diag(a.sum(axis=1))], [np.eye(n), np.zeros((n, n))]])
+
+
+def started(nodes, edges):
+    return graph.degrees(nodes, edges).select("structure_id", "node_id", (F.col("degree") + F.col("node_id") * 0.1).cast("double").alias("w"), (1 + F.col("node_id") * 0.01).alias("v")).cache()
+
+
+def vector_of(start):
+    rows = start.orderBy("node_id").collect()
+    return np.array([r.w for r in rows] + [r.v for r in rows])
+
+
+RANDOM = [(a, b) for a in range(60) for b in range(a) if (a * 7 + b * 13) % 11 == 0 or a - b == 1]
+
+
+def test_krylov_agrees_with_dense_eigenvalues(spark):
+    shape = [(0, 1), (1, 2), (0, 2), (2, 3)]
+    nodes, edges = small(spark, shape, 4)
+    start = started(nodes, edges)
+    columns = [list(c) for c in krylov.projected(krylov.arnoldi(nodes, edges, start, 3)).first().h]
+    m, v = dense_form(shape, 4), vector_of(start)
     basis = [v / np.linalg.norm(v)]
     for j in range(3):
         w = m @ basis[j]
@@ -206,13 +220,101 @@ def test_krylov_agrees_with_dense_eigenvalues(spark):
         basis.append(w / np.linalg.norm(w))
 
 
+@pytest.mark.parametrize("chunk,block", [(1024, 8), (16, 5)])
+def test_bases_and_pairs(spark, chunk, block):
+    """Over one chunk and over many: orthonormal bases whose relation holds, pairs that are the dense matrix's, and a space that closes early."""
+    nodes, edges = together(small(spark, RANDOM, 60, "r"), small(spark, [(a, b) for a in range(30) for b in range(a)], 30, "k30"))
+    start = started(nodes, edges).withColumn("w", F.when(F.col("structure_id") == "k30", 2.0).otherwise(F.col("w"))).withColumn("v", F.when(F.col("structure_id") == "k30", 1.0).otherwise(F.col("v")))
+    basis = krylov.arnoldi(nodes, edges, start, 40, block, chunk)
+    assert basis.most_chunks == -(-60 // chunk)
+    figures = {r.structure_id: r for r in krylov.projected(basis).collect()}
+    assert figures["r"].dims == 40 and figures["k30"].dims == 2
+    for r in figures.values():
+        assert r.orthogonal < 1e-11 and r.relation < 1e-6
+    pairs = krylov.ritz_pairs(krylov.projected(basis))
+    lifted = {}
+    for r in krylov.lift(basis, nodes, pairs.where("accepted"), chunk).collect():
+        lifted.setdefault((r.structure_id, r.place), {})[r.node_id] = (r.value, r.w)
+    values = np.linalg.eigvals(dense_form(RANDOM, 60))
+    top = max(values[np.abs(values.imag) < 1e-9].real, key=abs)
+    value = lifted["r", 0][0][0]
+    assert value == pytest.approx(top, abs=1e-8) and lifted["k30", 0][0][0] == pytest.approx(28, abs=1e-9)
+    w = np.array([lifted["r", 0][i][1] for i in range(60)])
+    dense_ = np.linalg.eig(dense_form(RANDOM, 60))
+    want = np.abs(dense_[1][:60, np.argmin(np.abs(dense_[0] - top))].real)
+    assert np.abs(w) / np.abs(w).max() == pytest.approx(want / want.max(), abs=1e-6)
+
+
+def counted(edges, n):
+    """Breadth-first distances and numbers of shortest paths, and each node's share of them."""
+    near = [[b for a, b in edges + [(b, a) for a, b in edges] if a == i] for i in range(n)]
+    dist, number, score = {}, {}, [0.0] * n
+    for s in range(n):
+        d, c, order, k = {s: 0}, {s: 1}, [s], 0
+        while k < len(order):
+            for y in near[order[k]]:
+                if y not in d:
+                    d[y], c[y] = d[order[k]] + 1, 0
+                    order.append(y)
+                if d[y] == d[order[k]] + 1:
+                    c[y] += c[order[k]]
+            k += 1
+        flow = dict.fromkeys(order, 0.0)
+        for y in reversed(order):
+            for x in near[y]:
+                if d[x] == d[y] - 1:
+                    flow[x] += c[x] / c[y] * (1 + flow[y])
+            if y != s:
+                score[y] += flow[y] / 2
+        dist |= {(s, y): d[y] for y in order if near[s]}
+        number |= {(s, y): c[y] for y in order if near[s]}
+    return dist, number, score
+
+
+@pytest.mark.parametrize("sources,chunk", [(64, 1024), (5, 1024), (8, 10)])
+def test_paths_by_blocks_of_sources(spark, sources, chunk):
+    shape = sorted({(a, b) for a in range(22) for b in range(a) if (a * 5 + b * 3) % 17 == 0} | {(i + 1, i) for i in range(9)})
+    nodes, edges = together(small(spark, shape, 24, "r"), small(spark, [(1, 0), (2, 1)], 4, "p"))
+    for name, (pairs, n) in {"r": (shape, 24), "p": ([(1, 0), (2, 1)], 4)}.items():
+        dist, number, score = counted(pairs, n)
+        mine = (nodes.where(F.col("structure_id") == name), edges.where(F.col("structure_id") == name))
+        if name == "r":
+            found = paths.shortest_paths(*mine, sources, chunk).collect()
+            assert {(r.source, r.node_id): r.dist for r in found} == dist and {(r.source, r.node_id): r.paths for r in found} == number
+        got = {r.node_id: r.score for r in paths.betweenness(*mine, sources, chunk).collect()}
+        assert [got[i] for i in range(n)] == pytest.approx(score, abs=1e-12)
+    assert paths.betweenness(nodes.limit(0), edges.limit(0), sources, chunk).count() == 0
+
+
+def test_chunks_give_the_same_scores(spark):
+    shapes = together(small(spark, RANDOM, 60, "r"), small(spark, [(i, (i + 1) % 7) for i in range(7)], 7, "c7"), small(spark, [], 20, "none"))
+    whole, parts = (krylov.backtrackless(*shapes, chunk=c) for c in (1024, 16))
+    for a, b in zip(whole, parts):
+        keys = [c for c in a.columns if c in ("structure_id", "node_id")]
+        value = "score" if "score" in a.columns else "rho"
+        get = lambda df: {tuple(r[k] for k in keys): r[value] for r in df.where("structure_id = 'r'").collect()}
+        assert get(a) == pytest.approx(get(b), abs=1e-8)
+    assert {(r.structure_id, r.converged) for r in whole[1].collect()} >= {("r", True)}
+    one, many = (scores(graph.eigenvector(*shapes, rounds=30, settle_every=7, chunk=c)) for c in (1024, 16))
+    assert one == pytest.approx(many, abs=1e-12)
+
+
+def test_cycles_end_structure_by_structure(spark):
+    """With a basis too small for one cycle, structures start again on their own until each has converged."""
+    shapes = together(small(spark, RANDOM, 60, "r"), small(spark, [(a, b) for a in range(6) for b in range(a)], 6, "k6"))
+    got = {r.structure_id: r for r in krylov.backtrackless(*shapes, cycles=40, dims=20)[1].collect()}
+    want = {r.structure_id: r.rho for r in krylov.backtrackless(*shapes)[1].collect()}
+    assert all(r.converged for r in got.values()) and {k: r.rho for k, r in got.items()} == pytest.approx(want, abs=1e-8)
+    cut = {r.structure_id: r.converged for r in krylov.backtrackless(*shapes, cycles=1, dims=4)[1].collect()}
+    assert cut == {"r": False, "k6": True}
+
+
 def test_arnoldi_over_the_whole_space_gives_the_centrality(spark):
     nodes, edges = small(spark, [(0, 1), (1, 2), (0, 2), (2, 3), (3, 1)], 4)
-    degree = graph.degrees(nodes, edges).cache()
-    start = degree.select("structure_id", "node_id", (F.col("degree") + F.col("node_id") * 0.1).cast("double").alias("w"), (1 + F.col("node_id") * 0.01).alias("v"))
-    got = scores(krylov.dominant(*krylov.arnoldi(degree, edges, 8, start)))
+    basis = krylov.arnoldi(nodes, edges, started(nodes, edges), 8)
+    got = scores(krylov.dominant(basis, nodes, krylov.projected(basis)))
     want = scores(krylov.backtrackless(nodes, edges)[0])
-    assert got == pytest.approx(want, abs=1e-6)
+    assert {k: v / max(got.values()) for k, v in got.items()} == pytest.approx({k: v / max(want.values()) for k, v in want.items()}, abs=1e-6)
 
 
 def test_product(spark):
@@ -221,9 +323,11 @@ def test_product(spark):
     assert {r.node_id: r.value for r in krylov.product(m, v).collect()} == {0: 10.0, 1: 13.0, 2: 16.0}
 
 
-def test_real_eigenvalues():
-    assert krylov.real_eigenvalues([[2.0, 1.0], [1.0, 2.0, 0.0]], 1e-12) == pytest.approx([3.0, 1.0])
-    assert krylov.real_eigenvalues([[0.0, 1.0], [-1.0, 0.0, 0.0]], 1e-12) == []
+def test_real_pairs_of_small_matrices():
+    one = lambda h: krylov.real_pairs(np.array(h), np.eye(2), np.array(h))
+    assert [x for x, *_ in one([[2.0, 1.0], [1.0, 2.0]])] == pytest.approx([3.0, 1.0])
+    assert one([[0.0, 1.0], [-1.0, 0.0]]) == []
+    assert [(x, r < 1e-9) for x, r, _ in one([[0.0, 2.0], [2.0, 0.0]])] == [(pytest.approx(2.0), True), (pytest.approx(-2.0), True)]
 
 
 def test_components_and_loops(spark):
