@@ -83,12 +83,12 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _discover(spark: SparkSession, a: argparse.Namespace) -> None:
     files = settle(read_files(spark, a.structures), "files")
-    targets = payloads.disease_targets(spark.read.text(a.disease_answers).select(F.col("value").alias("payload")), a.top)
+    targets = payloads.disease_answers(spark.read.text(a.disease_answers).select(F.lit("disease").alias("asked"), F.col("value").alias("payload")), a.top)
     answers = spark.read.text(a.predictions).select(F.split("value", "\t", 2).alias("f")).select(F.col("f")[0].alias("uniprot"), F.col("f")[1].alias("payload"))
-    done = workflows.discover(targets, payloads.predictions(answers), settle(residues(files), "nodes"), files, ContactRule(a.cutoff, a.min_seq_sep), a.top_percentile, a.difficult_only, a.ligand)
+    done = workflows.discover_answers(targets, payloads.prediction_answers(answers), settle(residues(files), "nodes"), files, rule=ContactRule(a.cutoff, a.min_seq_sep), share=a.top_percentile, difficult_only=a.difficult_only, ligand=a.ligand)
     for row in done.errors.toLocalIterator():
-        print(f"{row.symbol}: {row.error}", file=sys.stderr)
-    for name in ("summary", "reports", "grids", "restraints"):
+        print(f"{row.symbol}: {row.stage}: {row.error}", file=sys.stderr)
+    for name in ("summary", "reports", "grids", "restraints", "errors"):
         reports.write_json(getattr(done, name), f"{a.out}/{name}")
     reports.append_csv(done.docking, f"{a.out}/docking")
 

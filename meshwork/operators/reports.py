@@ -34,7 +34,7 @@ def target_reports(nodes: DataFrame, pairs: DataFrame, rho: DataFrame, found: Da
     shown = F.when(t.isNotNull(), F.struct(t["symbol"].alias("symbol"), t["uniprot"].alias("uniprot"), t["tdl"].alias("tdl"), t["family"].alias("family"), is_difficult(t["tdl"]).alias("is_difficult_target")))
     rows = sizes.join(links, "structure_id", "left").join(rho, "structure_id", "left").join(lists, "structure_id", "left").join(target.select("structure_id", "target"), "structure_id", "left")
     return rows.select(
-        "structure_id", "n_residues", F.coalesce("n_contacts", F.lit(0)).alias("n_contacts"), F.coalesce("rho", F.lit(0.0)).alias("global_coupling_rho_b"), shown.alias("target"), F.coalesce("pockets", empty).alias("pockets")
+        "structure_id", "n_residues", F.coalesce("n_contacts", F.lit(0)).alias("n_contacts"), F.coalesce("rho", F.lit(0.0)).alias("global_coupling_rho_b"), F.coalesce("converged", F.lit(False)).alias("converged"), shown.alias("target"), F.coalesce("pockets", empty).alias("pockets")
     )
 
 
@@ -48,7 +48,7 @@ def summary(reports: DataFrame, entries: DataFrame, boxes: DataFrame) -> DataFra
     """One flat row per target for the run's summary, understudied levels (as spelled) first, then by the number of pockets; place is the position."""
     best = boxes.where("rank = 1").select("structure_id", F.struct("center", "box_size", F.col("size").alias("n_residues")).alias("top_pocket"))
     rows = reports.join(entries, "structure_id").join(best, "structure_id", "left")
-    rows = rows.select("target.symbol", "target.uniprot", "target.tdl", "target.family", "entry", F.size("pockets").alias("n_pockets"), "global_coupling_rho_b", "top_pocket")
+    rows = rows.select("target.symbol", "target.uniprot", "target.tdl", "target.family", "entry", F.size("pockets").alias("n_pockets"), "global_coupling_rho_b", "converged", "top_pocket")
     return numbered(rows, [F.coalesce(~F.col("tdl").isin("Tdark", "Tbio"), F.lit(True)).asc(), F.col("n_pockets").desc(), F.col("symbol").asc(), F.col("uniprot").asc()])
 
 
@@ -87,13 +87,13 @@ def free_residues(grids: DataFrame) -> DataFrame:
     return grids.select("structure_id", "rank", F.to_json(F.struct("structure_id", "rank", free.alias("unrestrained"))).alias("restraint"))
 
 
-def benchmark_report(nodes: DataFrame, labelled: DataFrame, each: DataFrame, methods: tuple[str, ...]) -> DataFrame:
-    """One nested row per evaluated structure: n_residues, n_labeled, and its methods' figures in their fixed order."""
+def benchmark_report(nodes: DataFrame, labelled: DataFrame, each: DataFrame, methods: tuple[str, ...], rho: DataFrame) -> DataFrame:
+    """One nested row per evaluated structure: n_residues, n_labeled, converged (the spectral scores), and its methods' figures in their fixed order."""
     place = F.array_position(F.array(*map(F.lit, methods)), F.col("method"))
     lists = each.groupBy("structure_id").agg(F.sort_array(F.collect_list(F.struct(place.alias("at"), "method", "auc", "n_pos", "n_neg"))).alias("m"))
     sizes = nodes.groupBy("structure_id").agg(F.count("*").alias("n_residues"))
     known = labelled.groupBy("structure_id").agg(F.count("*").alias("n_labeled"))
-    return lists.join(sizes, "structure_id").join(known, "structure_id").select("structure_id", "n_residues", "n_labeled", F.transform("m", lambda x: x.dropFields("at")).alias("methods"))
+    return lists.join(sizes, "structure_id").join(known, "structure_id").join(rho, "structure_id").select("structure_id", "n_residues", "n_labeled", "converged", F.transform("m", lambda x: x.dropFields("at")).alias("methods"))
 
 
 def write_json(rows: DataFrame, folder: str) -> None:

@@ -20,6 +20,7 @@ from meshwork.plans import workflows
 from meshwork.session import new_path, settle
 from meshwork.sources import dumps, payloads, tables
 from meshwork.sources.structures import read_files, residues, write_files
+from meshwork.streaming import downloads
 
 RULE = ContactRule(0.12, 3)
 #: Steps of the registered Arnoldi process, whose projected matrix its SQL works out too.
@@ -248,6 +249,36 @@ def id_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.status_tally(tables.routed(wanted, run))
 
 
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a file and each of its items an attempt to fetch it."""
+    l = _table(spark, sf_dir, "lineitem")  # noqa: E741
+    order, number = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint")
+    kind = (order * 7 + number * 3) % 10
+    code = F.when(kind < 2, 200).when(kind == 2, 404).when(kind.isin(3, 4), 403).when(kind < 9, 503)
+    return l.select(
+        F.concat(F.when(order % 13 == 0, "af-").otherwise("o"), order.cast("string")).alias("id"), F.timestamp_seconds(number * 10).alias("at"), code.alias("code"), (kind == 3).alias("policy"),
+        F.when(kind < 2, order).when((kind == 9) & (order % 2 == 0), order).otherwise(F.lit(0)).alias("size"),
+    )
+
+
+def _states(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "status", "tries", F.unix_millis("due").alias("due_ms"))
+
+
+def download_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _states(downloads.states(_attempts(spark, sf_dir)))
+
+
+def download_states_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, as attempts arrive in two runs, the second of which goes on from the checkpoint of the first."""
+    given, folder, checkpoint = (new_path(spark, x) for x in ("attempts", "changes", "stream"))
+    attempts = settle(_attempts(spark, sf_dir), "attempts")
+    for part in (F.col("at") <= F.timestamp_seconds(F.lit(20)), F.col("at") > F.timestamp_seconds(F.lit(20))):
+        attempts.where(part).write.mode("append").parquet(given)
+        downloads.track(spark.readStream.schema(attempts.schema).parquet(given), folder, checkpoint).awaitTermination()
+    return _states(downloads.latest(spark.read.schema(downloads.STATES).parquet(folder)))
+
+
 def target_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One answer per supplier; every seventh is about nobody."""
     s = _table(spark, sf_dir, "supplier")
@@ -334,14 +365,30 @@ def discover_docking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discover_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grids and restraints of a run: how many residues each best pocket has, and how many its restraint leaves free."""
+    """The grids and restraints of a run: centre, box and residues of each best pocket, and the residues its restraint leaves free."""
     run = _discovery(spark, sf_dir)
-    free = run.restraints.select(F.col("structure_id").alias("s"), F.size(F.from_json("restraint", "unrestrained array<struct<chain:string,res_seq:int>>")["unrestrained"]).alias("free"))
-    return run.grids.join(free, F.col("structure_id") == F.col("s")).select("structure_id", "rank", F.size("residues").alias("n"), "free")
+    named = lambda r: F.array_join(F.transform(r, lambda x: F.concat(x["chain"], x["res_seq"].cast("string"))), " ")
+    free = run.restraints.select(F.col("structure_id").alias("s"), named(F.from_json("restraint", "unrestrained array<struct<chain:string,res_seq:int>>")["unrestrained"]).alias("free"))
+    places = [F.round(F.col(f"{s}.{c}"), 6).alias(f"{s}_{c}") for s in ("center", "box_size") for c in "xyz"]
+    return run.grids.join(free, F.col("structure_id") == F.col("s")).select("structure_id", "rank", *places, named("residues").alias("residues"), "free")
 
 
 def discover_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _discovery(spark, sf_dir).errors
+    return _discovery(spark, sf_dir).errors.drop("stage")
+
+
+def discover_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over answers some of which can't be used, and structures some of which can't be worked on: what was reported, and every error with its stage."""
+    n = settle(nodes(spark, sf_dir).withColumn("res_name", F.lit("ALA")), "nodes")
+    odd = n.withColumn("x", F.when((F.col("structure_id") == "2") & (F.col("node_id") == 0), float("nan")).otherwise(F.col("x"))).where("structure_id <> '4' AND (structure_id <> '3' OR node_id = 0)")
+    wanted, k = _targets(spark, sf_dir), F.col("line_no")
+    target = F.struct(F.col("symbol").alias("name"), F.col("symbol").alias("sym"), "uniprot", "tdl")
+    answer = F.when(k == 21, "{not json").when(k == 22, '{"errors":[{"message":"too many requests"}]}').when(k == 23, '{"data":{}}').when(k == 24, None).otherwise(F.to_json(F.struct(F.struct(target.alias("target")).alias("data"))))
+    model = F.when(k == 8, "oops").when(k < 10, F.to_json(F.array(F.struct(k.cast("string").alias("entryId"))))).otherwise("[]")
+    files = n.select("structure_id").distinct().withColumn("path", F.col("structure_id"))
+    run = workflows.discover_answers(payloads.target_answers(wanted.select(F.col("symbol").alias("asked"), answer.alias("payload"))), payloads.prediction_answers(wanted.select("uniprot", model.alias("payload"))), odd, files, rule=RULE)
+    done = run.reports.select(F.lit("report").alias("stage"), "structure_id", "target.symbol", "target.uniprot", F.lit(None).cast("string").alias("error"), "n_residues")
+    return done.unionByName(run.errors.withColumn("n_residues", F.lit(None).cast("bigint")))
 
 
 def degree_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -460,8 +507,8 @@ def pool_union_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness path_counts pocket_components pocket_geometry structure_summary degree_auc
 roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
 composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods
-arnoldi_matrix ritz_pairs arnoldi_relation evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing target_detail model_predictions
-dump_row_level dump_tables dump_components first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors""".split()
+arnoldi_matrix ritz_pairs arnoldi_relation evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing download_states download_states_streamed target_detail model_predictions
+dump_row_level dump_tables dump_components first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors discover_dead_letters""".split()
 
 
 def queries() -> dict[str, Query]:
@@ -592,6 +639,14 @@ def _discovery_sql() -> str:
  top AS MATERIALIZED (SELECT rk.structure_id, rk.size, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, max(y) - min(y) + 12.0 AS by FROM rk JOIN cm USING (structure_id, pocket) JOIN n USING (structure_id, node_id) WHERE rank = 1 GROUP BY ALL)"""
 
 
+_ATTEMPTS_SQL = """WITH a AS (SELECT CASE WHEN l_orderkey % 13 = 0 THEN 'af-' ELSE 'o' END || l_orderkey AS id, l_linenumber * 10000 AS t, (l_orderkey * 7 + l_linenumber * 3) % 10 AS kind, l_orderkey % 2 = 0 AS even FROM lineitem),
+ o AS (SELECT id, t, CASE WHEN id LIKE 'af-%' THEN 'skipped' WHEN kind < 2 OR kind = 9 AND even THEN 'ok' WHEN kind = 2 THEN 'not_found' WHEN kind = 3 THEN 'denied' ELSE 'again' END AS outcome FROM a),
+ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, outcome) AS k FROM o),
+ s AS (SELECT id, min(k) FILTER (outcome <> 'again') AS ended, max(k) AS n, max(t) AS t FROM k WHERE k <= 3 GROUP BY id)
+SELECT s.id, CASE WHEN ended IS NOT NULL THEN k.outcome WHEN n < 3 THEN 'waiting' ELSE 'failed' END AS status, coalesce(ended, n)::INTEGER AS tries, CASE WHEN ended IS NULL AND n < 3 THEN s.t + n * 1500 END::BIGINT AS due_ms
+FROM s LEFT JOIN k ON k.id = s.id AND k.k = ended"""
+
+
 _DATES = "SELECT o_orderdate::DATE AS ordered, l_shipdate::DATE AS shipped FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 
 
@@ -606,13 +661,15 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, pos::INTEGER AS "at", method, {auc} FROM ({ranks("structure_id, method, pos")})
  JOIN (SELECT structure_id, count(*) AS nr FROM n GROUP BY ALL) USING (structure_id) JOIN (SELECT structure_id, count(*) AS nl FROM lb GROUP BY ALL) USING (structure_id)""",
         "evaluate_pooled": f"{_evaluation_sql()} SELECT method, {auc} FROM ({ranks('method')})",
-        "evaluate_skipped": "SELECT '1' AS structure_id, 'no labels' AS reason UNION ALL SELECT 'empty', 'no residues'",
+        "evaluate_skipped": f"""WITH {_NODES}, lb AS (SELECT structure_id FROM n WHERE res_seq % 2 = 1 AND structure_id <> '1'), f AS (SELECT structure_id FROM n UNION SELECT 'empty')
+ SELECT structure_id, CASE WHEN structure_id IN (SELECT structure_id FROM n) THEN 'no labels' ELSE 'no residues' END AS reason FROM f WHERE structure_id NOT IN (SELECT structure_id FROM lb)""",
         "structure_files": f"WITH {_NODES} SELECT 's+' || structure_id || '.v1' AS structure_id, node_id, chain, res_seq, 'GLY' AS res_name, format('{{:.3f}}', x)::DOUBLE AS x, format('{{:.3f}}', y)::DOUBLE AS y, format('{{:.3f}}', z)::DOUBLE AS z FROM n",
         "targets_csv": """SELECT 'g' || s_suppkey AS symbol, CASE WHEN s_suppkey % 4 > 0 THEN 'P' || s_suppkey ELSE '' END AS uniprot, replace(s_name, '#', ';') AS name, 'Tdark' AS tdl, 'Other' AS family,
  CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey / 4 END AS novelty_score FROM supplier""",
         "labels_csv": "SELECT '1abC' AS structure_id, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS chain, doc_id::INTEGER AS res_seq, CASE WHEN doc_id % 5 = 0 THEN toxic = 1 ELSE quality = 1 END AS label FROM labels",
         "id_routing": """WITH i AS (SELECT (o_orderkey + d) % 7 = 0 AS af, o_orderkey * 2 + d AS k FROM orders, range(2) r(d))
  SELECT CASE WHEN af THEN 'skipped' WHEN k % 11 = 0 THEN 'failed' WHEN k % 5 > 1 THEN 'ok' WHEN k % 5 = 0 THEN 'denied' ELSE 'failed' END AS status, count(*) AS n FROM i GROUP BY ALL""",
+        **dict.fromkeys(("download_states", "download_states_streamed"), _ATTEMPTS_SQL),
         "target_detail": """SELECT s_name AS name, s_suppkey::VARCHAR AS symbol, 'P' || s_suppkey AS uniprot, CASE WHEN s_suppkey % 2 = 0 THEN 'Tbio' ELSE 'Tdark' END AS tdl, CASE WHEN s_suppkey % 3 = 0 THEN 'GPCR' ELSE 'Other' END AS family,
  s_acctbal AS novelty_score FROM supplier WHERE s_suppkey % 7 > 0""",
         "model_predictions": "SELECT s_suppkey::VARCHAR AS uniprot, 'AF-' || s_suppkey || '-1' AS entry, '2024-05-06' AS created, 1 AS version FROM supplier WHERE s_suppkey % 3 > 0",
@@ -628,8 +685,15 @@ def oracle_sql() -> dict[str, str]:
  FROM (SELECT run.*, (SELECT count(*) FROM rk WHERE rk.structure_id = run.entry) AS n_pockets FROM run) JOIN rho ON rho.structure_id = entry LEFT JOIN top ON top.structure_id = entry""",
         "discover_docking": f"""{_discovery_sql()} SELECT entry || '_pocket1' AS complex_name, '/models/' || entry || '.pdb' AS protein_path, 'L' AS ligand_description, format('{{:.3f}}', cx) AS pocket_center_x, format('{{:.3f}}', cy) AS pocket_center_y,
  format('{{:.3f}}', cz) AS pocket_center_z FROM run JOIN top ON top.structure_id = entry""",
-        "discover_grids": f"{_discovery_sql()} SELECT entry AS structure_id, 1 AS rank, size::INTEGER AS n, size::INTEGER AS free FROM run JOIN top ON top.structure_id = entry",
+        "discover_grids": f"""{_discovery_sql()}, pr AS (SELECT rk.structure_id, {", ".join(f"round(avg({c}), 6) AS center_{c}, round(max({c}) - min({c}) + 12.0, 6) AS box_size_{c}" for c in "xyz")},
+ string_agg(chain || res_seq, ' ' ORDER BY node_id) AS residues FROM rk JOIN cm USING (structure_id, pocket) JOIN n USING (structure_id, node_id) WHERE rank = 1 GROUP BY ALL)
+ SELECT entry AS structure_id, 1 AS rank, pr.* EXCLUDE (structure_id), residues AS free FROM run JOIN pr ON pr.structure_id = entry""",
         "discover_errors": f"{_discovery_sql()} SELECT entry AS structure_id, symbol, uniprot, 'no residues in the structure' AS error FROM gone",
+        "discover_dead_letters": f"""WITH {_NODES}, c AS (SELECT structure_id, count(*) AS n FROM n GROUP BY ALL), t AS (SELECT n_nationkey AS k, n_name AS symbol, 'k' || n_nationkey AS uniprot FROM nation)
+SELECT CASE WHEN k > 20 THEN 'target' WHEN k = 8 THEN 'prediction' WHEN k IN (2, 3, 4) OR c.n IS NULL THEN 'structure' ELSE 'report' END AS stage, CASE WHEN k < 10 AND k <> 8 THEN k::VARCHAR END AS structure_id, symbol, CASE WHEN k < 10 THEN uniprot END AS uniprot,
+ CASE WHEN k = 21 THEN 'not readable: {{not json' WHEN k = 22 THEN 'too many requests' WHEN k = 23 THEN 'unknown target' WHEN k = 24 THEN 'no answer' WHEN k = 8 THEN 'not readable: oops' WHEN k = 2 THEN 'coordinates that are not finite'
+  WHEN k = 3 THEN 'fewer than two residues' WHEN k = 4 OR c.n IS NULL THEN 'no residues in the structure' END AS error, CASE WHEN k < 10 AND k NOT IN (2, 3, 4, 8) THEN c.n END AS n_residues
+FROM t LEFT JOIN c ON c.structure_id = k::VARCHAR WHERE k < 10 OR k > 20""",
         "pdb_fixed_width_scan": _scan_sql(),
         "contact_self_join": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, src, dst, round(distance, 6) AS distance FROM p",
         "edge_count": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, count(*) AS n_edges FROM p GROUP BY ALL",
@@ -638,7 +702,7 @@ def oracle_sql() -> dict[str, str]:
         "nb_centrality": f"{with_graph}, {_SPECTRAL} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sn",
         "rho_b": f"{with_graph}, {_SPECTRAL} SELECT structure_id, round(rho, 6) AS rho FROM rho",
         "closeness": f"{recursive}, {_PATHS}, {_CLOSENESS} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sl",
-        "path_counts": f"{recursive}, {_PATHS}, {_COUNTS} SELECT structure_id, source, count(*) AS reached, max(dist)::INTEGER AS farthest, sum(paths)::BIGINT AS n_paths FROM m GROUP BY ALL",
+        "path_counts": f"{recursive}, {_PATHS}, {_COUNTS} SELECT structure_id, source::BIGINT AS source, count(*) AS reached, max(dist)::INTEGER AS farthest, sum(paths)::BIGINT AS n_paths FROM m GROUP BY ALL",
         "betweenness": f"{recursive}, {_PATHS}, {_COUNTS}, {_BETWEENNESS} SELECT structure_id, node_id, round({_NORMAL}, 6) AS score FROM sb",
         "pocket_components": f"{recursive}, {_HOT} SELECT structure_id, rank, pocket, size, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score FROM rk",
         "pocket_geometry": f"""{recursive}, {_HOT} SELECT structure_id, rank, count(*) AS size, round(avg(x), 6) AS center_x, round(avg(y), 6) AS center_y, round(avg(z), 6) AS center_z,

@@ -44,3 +44,36 @@ def predictions(payloads: DataFrame) -> DataFrame:
     """uniprot, entry, urls, created, version of the first model of each answer; empty answers give none."""
     rows = payloads.select("uniprot", F.try_element_at(F.from_json("payload", _MODELS), F.lit(1)).alias("m")).where("m is not null")
     return rows.select("uniprot", F.col("m.entryId").alias("entry"), F.col("m.pdbUrl").alias("pdb_url"), F.col("m.cifUrl").alias("cif_url"), F.to_date("m.modelCreatedDate").alias("created"), F.col("m.latestVersion").alias("version"))
+
+
+def _read(payloads: DataFrame, schema: str) -> DataFrame:
+    """payloads with a (the parsed answer) and error (why it can't be used): no answer, one that is no such JSON, or one that holds errors."""
+    whole = F.from_json(F.concat(F.lit('{"a":'), "payload", F.lit("}")), f"struct<a:{schema},_corrupt:string>", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = payloads.withColumn("_p", whole)
+    told = F.concat_ws("; ", F.transform("_p.a.errors", lambda e: e["message"])) if "errors" in schema else F.lit("")
+    none = F.when(F.coalesce(F.trim("payload"), F.lit("")) == "", "no answer")
+    wrong = none.when(F.col("_p._corrupt").isNotNull() | F.col("_p.a").isNull(), F.concat(F.lit("not readable: "), F.left("payload", F.lit(60)))).when(told != "", told)
+    return rows.select(*payloads.columns, F.col("_p.a").alias("a"), wrong.alias("error"))
+
+
+_NAMES = ("name", "symbol", "uniprot", "tdl", "family", "novelty_score", "description")
+
+
+def target_answers(payloads: DataFrame) -> DataFrame:
+    """asked, the target's columns, error: as target_detail, but an answer that can't be used is a row with its error (so is an unknown target, or one without uniprot)."""
+    rows = _read(payloads.select("asked", "payload"), _DETAIL).withColumn("t", F.col("a.data.target"))
+    error = F.coalesce("error", F.when(F.col("t").isNull(), "unknown target").when(F.coalesce(F.col("t.uniprot"), F.lit("")) == "", "no uniprot"))
+    return rows.select("asked", *(F.when(error.isNull(), c).alias(n) for c, n in zip(_columns("t"), _NAMES)), error.alias("error"))
+
+
+def disease_answers(payloads: DataFrame, top: int = 25) -> DataFrame:
+    """asked, the columns of the first targets of each answer (those without uniprot left out), error: one row for an answer that can't be used."""
+    rows = _read(payloads.select("asked", "payload"), _LIST).select("asked", "error", F.posexplode_outer("a.data.targets.targets").alias("at", "t"))
+    kept = rows.where(F.col("error").isNotNull() & (F.coalesce("at", F.lit(0)) == 0) | F.col("error").isNull() & (F.col("at") < top) & (F.coalesce(F.col("t.uniprot"), F.lit("")) != ""))
+    return kept.select("asked", *(F.when(F.col("error").isNull(), c).alias(n) for c, n in zip(_columns("t"), _NAMES)), "error")
+
+
+def prediction_answers(payloads: DataFrame) -> DataFrame:
+    """uniprot, entry, error: the first model of each answer; an empty list gives no row, an answer that can't be used its error."""
+    rows = _read(payloads.select("uniprot", "payload"), _MODELS).withColumn("m", F.try_element_at("a", F.lit(1)))
+    return rows.where("error IS NOT NULL OR m IS NOT NULL").select("uniprot", F.when(F.col("error").isNull(), F.col("m.entryId")).alias("entry"), "error")
