@@ -45,15 +45,15 @@ WASTE, LEAST = 0.01, 16
 RISE = 64
 CACHED = 500_000
 
-#: ASCII letters, and what follows them from another ASCII character on.
-_stem = re.compile(r"([A-Za-z]+)([\x21-\x40\x5B-\x60\x7B-\x7E].*)", re.DOTALL).fullmatch
+#: Letters, and what follows them from an ASCII character on that is none.
+_stem = re.compile(r"([^\W\d_]+)([\x21-\x40\x5B-\x60\x7B-\x7E].*)", re.DOTALL).fullmatch
 
 
 class Encoder:
     """Whole texts to uint32 ids, with the tokenizers library.
 
     Where the model drops white space and splits words from it and letters from what are none, texts are cut at ASCII white
-    space and each distinct word of a batch is encoded once, its leading letters apart from the rest; parts seen before
+    space and each distinct word of a batch is encoded once, its leading letters apart from the rest, and letters many at a time; parts seen before
     come from tables of at most ``CACHED`` entries. Other models get whole texts.
     """
 
@@ -70,17 +70,36 @@ class Encoder:
         by_word = by_word and all(re.fullmatch("'[a-z]+", x) for x in pattern[:-3]) and changes == ["NFC", "Replace", "Lowercase"] and given["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"} and given["post_processor"] is None
         self.by_word = by_word and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or re.search(r"\s|^\w", x["content"]) for x in given["added_tokens"])
         self.seen: dict[str, bytes] = {"": b""}
+        suffix = given["model"].get("end_of_word_suffix")
+        self.by_word = self.by_word and bool(suffix)
+        if self.by_word:
+            self.ends = np.array([(self.model.id_to_token(i) or "").endswith(suffix) for i in range(self.model.get_vocab_size(with_added_tokens=True))])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learned(self, new: list[str]) -> dict[str, bytes]:
+        """ids of each word part; those of letters only in one call for many, cut after the tokens that end words."""
+        made: dict[str, bytes] = {}
+        letters = [x for x in new if x.isalpha()]
+        for k in range(0, len(letters), 20_000):
+            some = letters[k : k + 20_000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(some):
+                data, begin = ids.tobytes(), [0, *(4 * at[:-1]).tolist()]
+                made.update(zip(some, map(data.__getitem__, map(slice, begin, (4 * at).tolist()))))
+        rest = [x for x in new if x not in made]
+        made.update(zip(rest, self._whole(rest)))
+        return made
+
     def _ids(self, words: list[str]) -> list[bytes]:
         seen = self.seen
         out = list(map(seen.get, words))
         missing = [i for i, x in enumerate(out) if x is None]
         parts = [m.groups() if (m := _stem(words[i])) else (words[i], "") for i in missing]
         new = list(dict.fromkeys(x for pair in parts for x in pair if x not in seen))
-        made = dict(zip(new, self._whole(new)))
+        made = self._learned(new)
         for i, (x, y) in zip(missing, parts):
             out[i] = (made[x] if x in made else seen[x]) + (made[y] if y in made else seen[y])
         seen.update(islice(made.items(), max(0, CACHED - len(seen))))
@@ -98,11 +117,9 @@ class Encoder:
         table = [*self._ids(words.dictionary.to_pylist()), self.end.tobytes()]
         first = np.concatenate([[0], np.cumsum(np.diff(split.offsets.to_numpy()))])
         codes = np.insert(words.indices.to_numpy().astype(np.int64), first[1:], len(table) - 1)
-        length = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        begin, many = np.cumsum(length) - length, length[codes]
-        upto = np.concatenate([[0], np.cumsum(many)])
-        ids = np.frombuffer(b"".join(table), "<u4")[np.repeat(begin[codes] - upto[:-1], many) + np.arange(upto[-1])]
-        return ids, np.diff(upto[first + np.arange(len(first))])
+        taken = pa.array(table, pa.binary()).take(pa.array(codes))
+        upto = np.frombuffer(taken.buffers()[1], np.int32, len(taken) + 1) // 4
+        return np.frombuffer(taken.buffers()[2], "<u4", upto[-1]), np.diff(upto[first + np.arange(len(first))]).astype(np.int64)
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
