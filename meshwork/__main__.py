@@ -8,8 +8,8 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from meshwork.operators import reports
-from meshwork.operators.contacts import ContactRule
+from meshwork.operators import krylov, reports
+from meshwork.operators.contacts import ContactRule, both_ways, contacts
 from meshwork.plans import workflows
 from meshwork.session import session, settle
 from meshwork.sources import dumps, payloads, tables
@@ -34,6 +34,9 @@ def _arguments() -> argparse.ArgumentParser:
     report.add_argument("--uniprot")
     evaluate = commands.add_parser("evaluate", parents=[shared])
     evaluate.add_argument("--labels", required=True)
+    evaluate.add_argument("--seed", type=int, help="of a pseudo-random start of the spectral method")
+    spectrum = commands.add_parser("spectrum", parents=[shared])
+    spectrum.add_argument("--dims", type=int, default=krylov.DIMS)
     discover = commands.add_parser("discover", parents=[shared, pocket])
     discover.add_argument("--disease-answers", required=True, help="recorded answers of the target service, one JSON text a line")
     discover.add_argument("--predictions", required=True, help="recorded answers of the model service: uniprot, tab, JSON text")
@@ -70,7 +73,7 @@ def _report(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     files = settle(read_files(spark, a.structures), "files")
-    done = workflows.evaluate(settle(residues(files), "nodes"), tables.labels(tables.numbered_lines(spark, a.labels)), ContactRule(a.cutoff, a.min_seq_sep), files=files)
+    done = workflows.evaluate(settle(residues(files), "nodes"), tables.labels(tables.numbered_lines(spark, a.labels)), ContactRule(a.cutoff, a.min_seq_sep), files=files, seed=a.seed)
     for row in done.skipped.toLocalIterator():
         print(f"{row.reason} for {row.structure_id}", file=sys.stderr)
     if done.each.isEmpty():
@@ -81,6 +84,13 @@ def _evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     reports.write_json(done.pooled.orderBy(place), f"{a.out}/pooled")
 
 
+def _spectrum(spark: SparkSession, a: argparse.Namespace) -> None:
+    nodes = settle(residues(read_files(spark, a.structures)), "nodes")
+    done = workflows.spectrum(nodes, settle(both_ways(contacts(nodes, ContactRule(a.cutoff, a.min_seq_sep))), "edges"), a.dims)
+    for name in ("bases", "pairs", "vectors"):
+        reports.write_json(getattr(done, name), f"{a.out}/{name}")
+
+
 def _discover(spark: SparkSession, a: argparse.Namespace) -> None:
     files = settle(read_files(spark, a.structures), "files")
     targets = payloads.disease_answers(spark.read.text(a.disease_answers).select(F.lit("disease").alias("asked"), F.col("value").alias("payload")), a.top)
@@ -88,8 +98,10 @@ def _discover(spark: SparkSession, a: argparse.Namespace) -> None:
     done = workflows.discover_answers(targets, payloads.prediction_answers(answers), settle(residues(files), "nodes"), files, rule=ContactRule(a.cutoff, a.min_seq_sep), share=a.top_percentile, difficult_only=a.difficult_only, ligand=a.ligand)
     for row in done.errors.toLocalIterator():
         print(f"{row.symbol}: {row.stage}: {row.error}", file=sys.stderr)
-    for name in ("summary", "reports", "grids", "restraints", "errors"):
+    for name in ("grids", "restraints", "errors"):
         reports.write_json(getattr(done, name), f"{a.out}/{name}")
+    done.reports.write.mode("overwrite").partitionBy("structure_id").json(f"{a.out}/reports")  # a folder per target
+    reports.write_json(done.summary.withColumn("report_path", F.concat(F.lit(f"{a.out}/reports/structure_id="), "entry")), f"{a.out}/summary")
     reports.append_csv(done.docking, f"{a.out}/docking")
 
 
@@ -104,7 +116,7 @@ def _assemble(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def main(arguments: list[str] | None = None) -> None:
     a = _arguments().parse_args(arguments)
-    {"report": _report, "evaluate": _evaluate, "discover": _discover, "assemble": _assemble}[a.command](session(), a)
+    {"report": _report, "evaluate": _evaluate, "spectrum": _spectrum, "discover": _discover, "assemble": _assemble}[a.command](session(), a)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,20 +61,41 @@ def docking_rows(boxes: DataFrame, paths: DataFrame, ligand: str) -> DataFrame:
     return rows.select(F.concat("structure_id", F.lit("_pocket"), F.col("rank").cast("string")).alias("complex_name"), F.col("path").alias("protein_path"), F.lit(ligand).alias("ligand_description"), *at)
 
 
-def append_csv(rows: DataFrame, folder: str) -> None:
-    """Adds rows to a folder of CSV parts: the header is a part of its own, written once when the folder is new."""
-    spark = rows.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        spark.range(1).select(*(F.lit(c).alias(c) for c in rows.columns)).coalesce(1).write.csv(folder)
-    rows.write.mode("append").csv(folder)
+def _moved(spark: SparkSession, written: str, place: str) -> bool:
+    """Gives what was written its final name in one step; where that is taken, someone was first, and what was written goes."""
+    path = lambda x: spark._jvm.org.apache.hadoop.fs.Path(x)
+    fs = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(place)) and fs.rename(path(written), path(place)) and not fs.exists(path(f"{place}/{written.rsplit('/', 1)[1]}")):
+        return True
+    fs.delete(path(written), True)
+    fs.delete(path(f"{place}/{written.rsplit('/', 1)[1]}"), True)  # where a rename moved it into the folder of the one who was first
+    return False
+
+
+def append_csv(rows: DataFrame, folder: str, run: str | None = None) -> bool:
+    """Adds rows to a folder of CSV parts, once for each run id: a run is a folder of its own, named by its id when it is complete, so a repeated run adds nothing. Returns whether rows were added.
+
+    The header is a part of its own, made with the first run. Names that start with a dot are unfinished, and no reader sees them.
+    """
+    spark, place = rows.sparkSession, f"{folder}/run-{run or uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        return False
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/header")):
+        head = f"{folder}/.{uuid.uuid4().hex}"
+        spark.range(1).select(*(F.lit(c).alias(c) for c in rows.columns)).coalesce(1).write.csv(head)
+        _moved(spark, head, f"{folder}/header")
+    draft = f"{folder}/.{uuid.uuid4().hex}"
+    rows.write.csv(draft)
+    return _moved(spark, draft, place)
 
 
 def read_csv(spark: SparkSession, folder: str) -> DataFrame:
     """What append_csv wrote, as strings: its header names the columns and is no row."""
-    every = spark.read.csv(folder)
     names = ["complex_name", "protein_path", "ligand_description", *(f"pocket_center_{c}" for c in "xyz")]
-    return every.toDF(*names).where(F.col(names[0]) != names[0])
+    every = spark.read.schema(", ".join(f"{c} string" for c in names)).csv(f"{folder}/{{header,run-*}}")
+    return every.where(F.col(names[0]) != names[0])
 
 
 def pocket_grids(boxes: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:

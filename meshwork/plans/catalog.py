@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.functions import is_difficult
-from meshwork.operators import graph, krylov, metrics, paths, pockets, reports
+from meshwork.operators import graph, krylov, metrics, paths, pockets, reports, starts
 from meshwork.operators.contacts import ContactRule, both_ways, contacts
 from meshwork.plans import workflows
 from meshwork.session import new_path, settle
-from meshwork.sources import dumps, payloads, tables
+from meshwork.sources import dumps, footers, payloads, tables
 from meshwork.sources.structures import read_files, residues, write_files
 from meshwork.streaming import downloads
 
@@ -116,6 +116,11 @@ def arnoldi_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.join(top, "structure_id", "left")
 
 
+def seeded_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-random start of each structure, from seed 42, with the generator's bits."""
+    return starts.seeded(nodes(spark, sf_dir), 42)
+
+
 def closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e = _graph(spark, sf_dir)
     return graph.max_normalised(graph.closeness(n, e)).withColumn("score", F.round("score", 6))
@@ -325,6 +330,12 @@ def dump_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dumps.component_figures(spark.read.parquet(made["partial_col_0004"]), "vector_partial").withColumn("mean", F.round("mean", 6))
 
 
+def footer_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, nulls, least and greatest of the orders' whole-numbered columns, from the footers of their files."""
+    found = footers.footers(spark, f"{sf_dir}/orders.parquet").where(F.col("column").isin("o_orderkey", "o_custkey"))
+    return footers.column_figures(found, "bigint")
+
+
 def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dumps.head(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", 20)
 
@@ -357,10 +368,11 @@ def discover_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discover_docking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The docking rows of a run, appended to a new folder in two parts and read again."""
+    """The docking rows of a run, appended to a new folder in two runs, one of them twice, and read again."""
     rows, folder = settle(_discovery(spark, sf_dir).docking, "docking"), new_path(spark, "docking")
-    reports.append_csv(rows.where("complex_name < '5'"), folder)
+    reports.append_csv(rows.where("complex_name < '5'"), folder, "first")
     reports.append_csv(rows.where("complex_name >= '5'"), folder)
+    reports.append_csv(rows.where("complex_name < '5'"), folder, "first")  # once more, which adds nothing
     return reports.read_csv(spark, folder)
 
 
@@ -507,8 +519,8 @@ def pool_union_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree graph_eigenvector_k nb_centrality rho_b closeness betweenness path_counts pocket_components pocket_geometry structure_summary degree_auc
 roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
 composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods
-arnoldi_matrix ritz_pairs arnoldi_relation evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing download_states download_states_streamed target_detail model_predictions
-dump_row_level dump_tables dump_components first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors discover_dead_letters""".split()
+arnoldi_matrix ritz_pairs arnoldi_relation seeded_start evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing download_states download_states_streamed target_detail model_predictions
+dump_row_level dump_tables dump_components footer_figures first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors discover_dead_letters""".split()
 
 
 def queries() -> dict[str, Query]:
@@ -657,6 +669,12 @@ def oracle_sql() -> dict[str, str]:
     ranks = lambda keys: f"SELECT {keys}, sum(rank) FILTER (label) AS r, count(*) FILTER (label) AS p, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY score) + (count(*) OVER (PARTITION BY {keys}, score) - 1) / 2 AS rank FROM cmp) GROUP BY ALL"
     out = {
         "arnoldi_matrix": _arnoldi_sql(),
+        "seeded_start": f"""WITH RECURSIVE {_NODES}, c AS (SELECT structure_id, count(*) AS n FROM n GROUP BY ALL),
+ s AS (SELECT 0 AS i, ((42::UHUGEINT * 2685821657736338717 + 1) % 18446744073709551616)::UBIGINT AS s UNION ALL
+  SELECT i + 1, xor(b, ((b::UHUGEINT * 131072) % 18446744073709551616)::UBIGINT) FROM (SELECT i, xor(a, a >> 7) AS b FROM (SELECT i, xor(s, ((s::UHUGEINT * 8192) % 18446744073709551616)::UBIGINT) AS a FROM s WHERE i < (SELECT 2 * max(n) FROM c)))),
+ v AS (SELECT i, s::DOUBLE / 18446744073709551616.0 - 0.5 AS v, lpad(lower(hex(s)), 16, '0') AS bits FROM s)
+ SELECT n.structure_id, n.node_id, a.v AS w, b.v AS v, a.bits AS w_bits, b.bits AS v_bits FROM n JOIN c USING (structure_id) JOIN v a ON a.i = n.node_id + 1 JOIN v b ON b.i = n.node_id + 1 + c.n""",
+        "footer_figures": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, (count(*) - count({c}))::BIGINT AS n_null, min({c})::BIGINT AS least, max({c})::BIGINT AS greatest FROM orders" for c in ("o_orderkey", "o_custkey")),
         "arnoldi_relation": f"{with_graph}, {_SPECTRAL} SELECT structure_id, least(2 * count(*), 40)::INTEGER AS dims, true AS orthonormal, true AS holds, round(any_value(rho.rho), 6) AS value FROM n JOIN rho USING (structure_id) GROUP BY structure_id",
         "evaluate_structures": f"""{_evaluation_sql()} SELECT structure_id, nr AS n_residues, nl AS n_labeled, pos::INTEGER AS "at", method, {auc} FROM ({ranks("structure_id, method, pos")})
  JOIN (SELECT structure_id, count(*) AS nr FROM n GROUP BY ALL) USING (structure_id) JOIN (SELECT structure_id, count(*) AS nl FROM lb GROUP BY ALL) USING (structure_id)""",

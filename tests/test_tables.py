@@ -176,7 +176,7 @@ def test_csv_has_one_header(spark, tmp_path):
     rows = spark.createDataFrame([("a", "p", "L", "1.000", "2.000", "3.000")], "complex_name string, protein_path string, ligand_description string, pocket_center_x string, pocket_center_y string, pocket_center_z string")
     for _ in range(2):
         reports.append_csv(rows, f"file://{tmp_path}/out")
-    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("*/part-*")))
     assert text.count("complex_name") == 1 and reports.read_csv(spark, f"{tmp_path}/out").count() == 2
 
 
