@@ -214,9 +214,9 @@ def structure_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text(lines: DataFrame, label: str) -> str:
-    """Lines (at, value) as a text file of several blocks; returns its path."""
+    """Lines (at, value) as a text in several files, one for each range of at; returns the folder."""
     path = new_path(lines.sparkSession, label)
-    lines.repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    lines.repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(path)
     return path
 
 

@@ -8,12 +8,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshwork.session import settle
+from meshwork.sources.footers import footers, table_rows
 from meshwork.sources.tables import numbered_lines
 
+#: Values of a .npy file that one task reads or writes.
+PORTION = 1_000_000
 _MANIFEST = "status string, arrays array<struct<idx:int,shape:array<bigint>,dtype:string,kind:string,file:string,n_written:bigint,n_total:bigint>>"
 
 
@@ -39,20 +43,20 @@ def _open(file: str):
     return fs.open_input_file(name)
 
 
-def numeric_column(spark: SparkSession, path: str, kind: str = "double", portion: int = 1_000_000) -> DataFrame:
-    """at, value of .npy files, flattened; days and times come as timestamp_ntz. A file is read in portions of so many values by as many tasks."""
+def numeric_column(spark: SparkSession, path: str, kind: str = "double", portion: int = PORTION) -> DataFrame:
+    """at, value of a .npy file, flattened, or of a folder's files as one array in order of their paths; days and times come as timestamp_ntz. A file is read in portions of so many values by as many tasks."""
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            n = []
             for file in batch.column(0).to_pylist():
                 with _open(file) as source:
-                    n, _ = _header(source)
-                starts = list(range(0, n, portion))
-                yield pa.RecordBatch.from_arrays([pa.array([file] * len(starts), pa.string()), pa.array(starts, pa.int64())], ["path", "start"])
+                    n.append(_header(source)[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["path", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for file, first, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 with _open(file) as source:
                     n, dtype = _header(source)
                     count = min(portion, n - start)
@@ -60,10 +64,13 @@ def numeric_column(spark: SparkSession, path: str, kind: str = "double", portion
                     some = np.frombuffer(source.read(count * dtype.itemsize), dtype)
                 values = some.astype("datetime64[us]") if dtype.kind == "M" else some
                 arrow = {"timestamp_ntz": pa.timestamp("us"), "double": pa.float64(), "bigint": pa.int64()}[kind]
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, start + count)), pa.array(values).cast(arrow)], ["at", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(start, start + count)), pa.array(values).cast(arrow)], ["at", "value"])
 
-    files = spark.read.format("binaryFile").load(path).select("path")
-    return files.mapInArrow(parts, "path string, start bigint").repartition("path", "start").mapInArrow(run, f"at bigint, value {kind}")
+    files = spark.read.format("binaryFile").load(path).select("path").mapInArrow(sizes, "path string, n bigint")
+    earlier = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = files.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where("n > 0")
+    parts = files.select("path", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(portion).cast("bigint"))).alias("start"))
+    return parts.repartition("path", "start").mapInArrow(run, f"at bigint, value {kind}")
 
 
 def assemble(spark: SparkSession, folder: str, out: str, n_rows: int, names: dict[int, str]) -> dict[str, str]:
@@ -115,14 +122,17 @@ def head(rows: DataFrame, at: str, n: int) -> DataFrame:
 
 
 def verify(spark: SparkSession, folder: str, made: dict[str, str], n_rows: int) -> DataFrame:
-    """table, n, expected, ok of every table that assemble wrote, against the manifest's counts; the row-level table must have n_rows rows."""
+    """table, n, expected, ok of every table that assemble wrote, against the manifest's counts and, of whole arrays, shapes; the row-level table must have n_rows rows. Rows are counted in footers; no data is read."""
     arrays = {a.idx: a for a in manifest(spark, f"{folder}/manifest.json").where("file is not null").toLocalIterator()}
-    expected = lambda table: n_rows if table == "row_level" else arrays[int(table.split("_")[2 if table.startswith("partial") else 1])].n_written
     out = None
     for table, path in sorted(made.items()):
-        one = spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit(table).alias("table"), "n", F.lit(expected(table)).cast("bigint").alias("expected"))
+        array = None if table == "row_level" else arrays[int(table.split("_")[2 if table.startswith("partial") else 1])]
+        expected = n_rows if array is None else array.n_written
+        shaped = array is None or array.kind == "object-partial" or array.shape is None or int(np.prod(array.shape)) == expected
+        n = F.coalesce(F.sum("n"), F.lit(0)).alias("n")
+        one = table_rows(footers(spark, path)).agg(n).select(F.lit(table).alias("table"), "n", F.lit(expected).cast("bigint").alias("expected"), F.lit(shaped).alias("shaped"))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("ok", F.col("n") == F.col("expected"))
+    return out.select("table", "n", "expected", ((F.col("n") == F.col("expected")) & F.col("shaped")).alias("ok"))
 
 
 def component_figures(rows: DataFrame, column: str) -> DataFrame:
@@ -131,35 +141,59 @@ def component_figures(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count(c).alias("n"), F.count_if(c != 0).alias("nonzero"), F.avg(c).alias("mean"), F.min(c).alias("least"), F.max(c).alias("greatest"))
 
 
-def write_dump(arrays: dict[int, tuple[DataFrame, str, str]], folder: str) -> None:
-    """Writes a dump: by idx, frames (at, value) with their kind (numeric, object, object-partial) and dtype, one file each, and their manifest. A file is one stream in order, so one task writes it."""
+def write_dump(arrays: dict[int, tuple[DataFrame, str, str]], folder: str, portion: int = PORTION) -> None:
+    """Writes a dump: by idx, frames (at, value) with their kind (numeric, object, object-partial) and dtype, and their manifest. Each array is a folder of files, one after the other, which as many tasks write.
+
+    at of numeric arrays goes up by one from any number, so each portion's place and size is known before it is written; anything else is an error.
+    """
     entries = []
     for idx, (rows, kind, dtype) in sorted(arrays.items()):
         rows = settle(rows, "array")
-        n, name = rows.count(), f"array_{idx:04d}.{'npy' if kind == 'numeric' else 'ndjson'}"
-        value = F.unix_micros(F.col("value").cast("timestamp")).cast("double") if dtype.startswith("datetime") else F.col("value").cast("double") if kind == "numeric" else F.to_json(F.struct(F.col("value").alias("v")))
-        rows.select("at", value.alias("value")).repartition(1).sortWithinPartitions("at").mapInArrow(_array_writer(f"{folder}/{name}", kind, dtype, n), "n bigint").collect()
+        n, least, greatest = rows.agg(F.count("*"), F.min("at"), F.max("at")).first()
+        name = f"array_{idx:04d}.{'npy' if kind == 'numeric' else 'ndjson'}"
+        if kind == "numeric":
+            if n and greatest - least + 1 != n:
+                raise ValueError(f"array {idx} has gaps or repeated places")
+            value = F.unix_micros(F.col("value").cast("timestamp")).cast("double") if dtype.startswith("datetime") else F.col("value").cast("double")
+            parts = rows.select((F.col("at") - (least or 0)).alias("at"), value.alias("value")).withColumn("part", F.floor(F.col("at") / portion))
+            parts = parts.repartitionByRange(max(1, -(-n // portion)), "part").sortWithinPartitions("at").select("part", "value")
+            parts.mapInArrow(_portions(f"{folder}/{name}", dtype, n, portion), "n bigint").write.format("noop").mode("overwrite").save()
+        else:
+            text = F.to_json(F.struct(F.col("value").alias("v")))
+            text = F.when(F.col("value").isNull(), "null").otherwise(F.substring(text, F.lit(6), F.length(text) - 6))
+            rows.select("at", text.alias("value")).repartitionByRange("at").sortWithinPartitions("at").select("value").write.text(f"{folder}/{name}")
         entries.append({"idx": idx, "shape": [n], "dtype": dtype, "kind": kind, "file": name, "n_written": n, "n_total": n if kind != "object-partial" else None})
     fs, base = pyarrow.fs.FileSystem.from_uri(folder)
     with fs.open_output_stream(f"{base}/manifest.json") as out:
         out.write(json.dumps({"status": "complete", "arrays": entries}).encode())
 
 
-def _array_writer(path: str, kind: str, dtype: str, n: int):
+def _portions(path: str, dtype: str, n: int, portion: int):
+    """Writes a file for each portion, under its name when it is whole, so a repeated task leaves the same file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, name = pyarrow.fs.FileSystem.from_uri(path)
-        fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
-        written = 0
-        with fs.open_output_stream(name) as out:
-            if kind == "numeric":
-                np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(np.dtype(dtype)), "fortran_order": False, "shape": (n,)})
-            for batch in batches:
-                written += batch.num_rows
-                if kind == "numeric":
-                    values = batch.column(1).to_numpy()
-                    out.write((values.astype("datetime64[us]").astype(dtype) if dtype.startswith("datetime") else values.astype(dtype)).tobytes())
-                else:
-                    out.write("".join(x[5:-1] + "\n" if x != "{}" else "null\n" for x in batch.column(1).to_pylist()).encode())
-        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], ["n"])
+        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(base, recursive=True)
+        now, out, draft = None, None, f"{base}/.draft-{TaskContext.get().taskAttemptId()}"
+
+        def done():
+            out.close()
+            fs.move(draft, f"{base}/part-{now:08d}.npy")
+
+        for batch in batches:
+            part, values = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            values = values.astype("datetime64[us]").astype(dtype) if dtype.startswith("datetime") else values.astype(dtype)
+            for some in np.split(np.arange(len(part)), np.flatnonzero(np.diff(part)) + 1):
+                if len(some) and part[some[0]] != now:
+                    if out is not None:
+                        done()
+                    now = int(part[some[0]])
+                    out = fs.open_output_stream(draft)
+                    shape = (min(portion, n - now * portion),)
+                    np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(np.dtype(dtype)), "fortran_order": False, "shape": shape})
+                out.write(values[some].tobytes())
+        if out is not None:
+            done()
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int64())], ["n"])
 
     return run

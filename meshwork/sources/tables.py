@@ -16,13 +16,13 @@ LABEL_HEADER = "structure_id"
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1) and line of one text file, read in the blocks it is split into: each block's lines count on from those before it."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    """line_no (from 1) and line of a text file, or of a folder's files as one text in order of their paths, read in the blocks they are split into: each block's lines count on from those before it."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line"))
     rows = settle(rows, "lines")
-    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    # one row per block of the file
-    blocks = blocks.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(F.broadcast(blocks.drop("n")), "block").select((F.col("start") + F.col("at") - F.col("first") + 1).cast("int").alias("line_no"), "line")
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # one row per block of a file
+    blocks = blocks.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(blocks.drop("n"), ["file", "block"]).select((F.col("start") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
 
 
 def targets(lines: DataFrame) -> DataFrame:

@@ -172,6 +172,33 @@ def test_lines_count_on_over_blocks(spark, tmp_path):
     assert sorted((r.line_no, r.line) for r in got) == [(i, f"line {i}") for i in range(1, 4001)]
 
 
+def test_lines_of_several_files(spark, tmp_path):
+    for k, name in enumerate(("a", "b", "c")):
+        (tmp_path / f"{name}.txt").write_text("".join(f"line {k * 700 + i}\n" for i in range(1, 701)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = tables.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line_no, r.line) for r in got) == [(i, f"line {i}") for i in range(1, 2101)]
+
+
+def test_dumps_in_portions(spark, tmp_path):
+    """Arrays over several files each, written by several tasks, come back in order; a gap is an error."""
+    rows = spark.range(1000).select((F.col("id") + 5).alias("at"), (F.col("id") * 0.5).alias("value")).repartition(7)
+    texts = spark.range(300).select(F.col("id").alias("at"), F.when(F.col("id") % 7 > 0, F.concat(F.lit('a "b"\n'), F.col("id").cast("string"))).alias("value")).repartition(5)
+    folder = f"file://{tmp_path}/dump"
+    dumps.write_dump({1: (rows, "numeric", "float64"), 2: (texts, "object", "object"), 3: (rows.limit(0), "numeric", "float64")}, folder, portion=64)
+    assert len(list((tmp_path / "dump" / "array_0001.npy").glob("part-*.npy"))) == 16
+    back = dumps.numeric_column(spark, f"{folder}/array_0001.npy", portion=50).collect()
+    assert sorted((r.at, r.value) for r in back) == [(i, i * 0.5) for i in range(1000)]
+    words = dumps.object_column(spark, f"{folder}/array_0002.ndjson").collect()
+    assert sorted((r.at, r.value) for r in words) == [(i, f'a "b"\n{i}' if i % 7 else None) for i in range(300)]
+    with pytest.raises(ValueError, match="gaps"):
+        dumps.write_dump({1: (rows.where("at <> 9"), "numeric", "float64")}, f"{folder}2")
+
+
 def test_csv_has_one_header(spark, tmp_path):
     rows = spark.createDataFrame([("a", "p", "L", "1.000", "2.000", "3.000")], "complex_name string, protein_path string, ligand_description string, pocket_center_x string, pocket_center_y string, pocket_center_z string")
     for _ in range(2):
