@@ -18,7 +18,7 @@ from meshwork.operators import graph, krylov, metrics, paths, pockets, reports,
 from meshwork.operators.contacts import ContactRule, both_ways, contacts
 from meshwork.plans import workflows
 from meshwork.session import new_path, settle
-from meshwork.sources import dumps, footers, payloads, tables
+from meshwork.sources import dumps, footers, formats, payloads, tables
 from meshwork.sources.structures import read_files, residues, write_files
 from meshwork.streaming import downloads
 
@@ -59,8 +59,20 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def pdb_fixed_width_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(fixture_lines())), "line_no int, line string")
-    return residues(lines.withColumn("structure_id", F.lit("fixture")))
+    """Each structure as a coordinate file, read in ranges of 1,500 bytes through its format."""
+    folder = new_path(spark, "scan")
+    settle(write_files(nodes(spark, sf_dir).withColumn("res_name", F.lit("GLY")), folder), "files")
+    formats.register(spark)
+    return residues(spark.read.format("pdb").option("portion", "1500").load(folder).where("atom = 'CA'"))
+
+
+def npy_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of all orders as an array of several files, and its places from 500 up to 12,000 read through its format."""
+    folder = new_path(spark, "prices")
+    prices = metrics.numbered(_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("value")), [F.col("o_orderkey").asc()], "at")
+    dumps.write_dump({1: (prices.select("at", "value"), "numeric", "float64")}, folder, portion=4000)
+    formats.register(spark)
+    return spark.read.format("npy").option("portion", "3000").load(f"{folder}/array_0001.npy").where("at >= 500 AND at < 12000")
 
 
 def contact_self_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -520,7 +532,7 @@ _NAMES = """pdb_fixed_width_scan contact_self_join edge_count contact_degree gra
 roc_auc_by_lang roc_auc_pooled avg_rank_ties index_percentile dim_lookup_fallback label_semi label_anti rank_targets date_gap_stats value_census list_first_nonzero lookup_distinct
 composite_id json_payload disease_payload target_rows status_tally first_wins pool_union_methods
 arnoldi_matrix ritz_pairs arnoldi_relation seeded_start evaluate_structures evaluate_pooled evaluate_skipped structure_files targets_csv labels_csv id_routing download_states download_states_streamed target_detail model_predictions
-dump_row_level dump_tables dump_components footer_figures first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors discover_dead_letters""".split()
+dump_row_level dump_tables dump_components footer_figures npy_range first_orders second_pockets label_residues discover_summary discover_docking discover_grids discover_errors discover_dead_letters""".split()
 
 
 def queries() -> dict[str, Query]:
@@ -611,19 +623,6 @@ _AUC = """SELECT {keys} round(CASE WHEN p > 0 AND n - p > 0 THEN (r - p * (p + 1
 _SCORED = "SELECT d.doc_id, d.lang, d.n_chars AS score, l.quality = 1 AS label FROM documents d JOIN labels l USING (doc_id)"
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def _scan_sql() -> str:
-    lines = ", ".join(f"({i}, {_quoted(x)})" for i, x in enumerate(fixture_lines()))
-    real = lambda a: f"CASE WHEN regexp_full_match(trim(substring(line, {a}, 8)), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN trim(substring(line, {a}, 8))::DOUBLE END"
-    return f"""WITH l(line_no, line) AS (VALUES {lines}),
- a AS (SELECT *, substring(line, 22, 1) AS chain, TRY_CAST(trim(substring(line, 23, 4)) AS INTEGER) AS res_seq FROM l WHERE (line LIKE 'ATOM%' OR line LIKE 'HETATM%') AND strlen(line) >= 54 AND trim(substring(line, 13, 4)) = 'CA'),
- f AS (SELECT *, trim(substring(line, 18, 3)) AS res_name, {real(31)} AS x, {real(39)} AS y, {real(47)} AS z FROM (SELECT *, row_number() OVER (PARTITION BY chain, res_seq ORDER BY line_no) AS k FROM a WHERE res_seq IS NOT NULL) WHERE k = 1)
- SELECT 'fixture' AS structure_id, (row_number() OVER (ORDER BY line_no) - 1)::INTEGER AS node_id, chain, res_seq, res_name, x, y, z FROM f WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL"""
-
-
 _CLOSENESS = """fc AS (SELECT structure_id, source AS node_id, count(*) AS r, sum(dist) AS far FROM d WHERE dist > 0 GROUP BY ALL),
  sl AS MATERIALIZED (SELECT n.structure_id, n.node_id, CASE WHEN f.far > 0 THEN f.r::DOUBLE * f.r / ((count(*) OVER (PARTITION BY n.structure_id) - 1) * f.far) ELSE 0 END AS s FROM n LEFT JOIN fc f USING (structure_id, node_id))"""
 _BETWEENNESS = """tb AS (SELECT a.structure_id, b.node_id, sum(a.paths_to * b2.paths / st.paths) / 2 AS s FROM (SELECT structure_id, source AS s0, node_id AS v, dist, paths AS paths_to FROM m WHERE dist > 0) a
@@ -712,7 +711,8 @@ SELECT CASE WHEN k > 20 THEN 'target' WHEN k = 8 THEN 'prediction' WHEN k IN (2,
  CASE WHEN k = 21 THEN 'not readable: {{not json' WHEN k = 22 THEN 'too many requests' WHEN k = 23 THEN 'unknown target' WHEN k = 24 THEN 'no answer' WHEN k = 8 THEN 'not readable: oops' WHEN k = 2 THEN 'coordinates that are not finite'
   WHEN k = 3 THEN 'fewer than two residues' WHEN k = 4 OR c.n IS NULL THEN 'no residues in the structure' END AS error, CASE WHEN k < 10 AND k NOT IN (2, 3, 4, 8) THEN c.n END AS n_residues
 FROM t LEFT JOIN c ON c.structure_id = k::VARCHAR WHERE k < 10 OR k > 20""",
-        "pdb_fixed_width_scan": _scan_sql(),
+        "pdb_fixed_width_scan": f"WITH {_NODES} SELECT structure_id, node_id, chain, res_seq, 'GLY' AS res_name, format('{{:.3f}}', x)::DOUBLE AS x, format('{{:.3f}}', y)::DOUBLE AS y, format('{{:.3f}}', z)::DOUBLE AS z FROM n",
+        "npy_range": "SELECT i AS \"at\", value FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, o_totalprice::DOUBLE AS value FROM orders) WHERE i >= 500 AND i < 12000",
         "contact_self_join": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, src, dst, round(distance, 6) AS distance FROM p",
         "edge_count": f"WITH {_NODES}, {_PAIRS} SELECT structure_id, count(*) AS n_edges FROM p GROUP BY ALL",
         "contact_degree": f"{with_graph}, s AS (SELECT *, degree::DOUBLE AS s FROM g) SELECT structure_id, node_id, degree, round({_NORMAL}, 6) AS score FROM s",

@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import metrics, reports, starts
-from meshwork.sources import footers
+from meshwork.plans.catalog import fixture_lines
+from meshwork.sources import footers, formats
+from meshwork.sources.structures import read_files, residues
 
 
 def test_footers_tell_what_the_data_holds(spark, tmp_path):
@@ -81,3 +83,42 @@ def test_selection_without_order(spark, share):
     assert got == {g: sorted(xs)[int((len(xs) - 1) * share + 0.5)] for g, xs in groups.items()}
     plan = metrics.index_threshold(frame, ["g"], "v", share)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_coordinate_files_in_ranges(spark, tmp_path):
+    """Ranges of any size give the residues that whole files give, also where they meet in the middle of a line; filters are pushed."""
+    lines = fixture_lines()
+    (tmp_path / "my name.v1.PDB").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "b.ent").write_bytes(("\n".join(lines * 3) + "\n").encode())
+    (tmp_path / "empty.pdb").write_bytes(b"")
+    (tmp_path / "long.pdb").write_bytes(b"REMARK " + b"x" * 5000 + b"\n" + lines[2].encode())
+    (tmp_path / "c.txt").write_text("\n".join(lines))
+    formats.register(spark)
+    want = sorted(map(tuple, residues(read_files(spark, str(tmp_path))).collect()))
+    assert {r[0] for r in want} == {"my name.v1", "b", "long"}
+    every = {}
+    for portion in (1, 2, 80, 81, 82, 1 << 20):
+        reader = formats.LineReader({"path": f"file://{tmp_path}", "portion": str(portion)})
+        every[portion] = sorted((p.path, at, line) for p in reader.partitions() for at, line in reader.lines(p) if line)
+    assert all(x == every[1 << 20] for x in every.values()) and len(every[1]) == 4 * len(lines) + 2
+    given = spark.read.format("pdb").option("portion", "400").load(f"file://{tmp_path}")
+    assert given.rdd.getNumPartitions() > 10
+    assert sorted(map(tuple, residues(given).collect())) == want
+    some = given.where("atom = 'CA' AND chain = 'B'")
+    reader = formats.LineReader({"path": f"file://{tmp_path}"})
+    assert list(reader.pushFilters([formats.EqualTo(("atom",), "CA"), formats.EqualTo(("line",), "x")])) == [formats.EqualTo(("line",), "x")] and reader.wanted == {"atom": "CA"}
+    assert {r.chain for r in some.collect()} == {"B"} and some.count() == given.where(F.substring("line", 22, 1) == "B").where(F.trim(F.substring("line", 13, 4)) == "CA").count()
+
+
+def test_arrays_in_ranges(spark, tmp_path):
+    np.save(tmp_path / "a.npy", np.arange(1000) * 0.5)
+    np.save(tmp_path / "b.npy", np.arange(1000, 1300).reshape(30, 10) * 0.5)
+    np.save(tmp_path / "c.npy", np.zeros((0, 3)))
+    formats.register(spark)
+    given = spark.read.format("npy").option("portion", "70").load(f"file://{tmp_path}")
+    assert sorted((r.at, r.value) for r in given.collect()) == [(i, i * 0.5) for i in range(1300)]
+    assert sorted(r.at for r in given.where("at > 990 AND at <= 1010").collect()) == list(range(991, 1011)) and [r.value for r in given.where("at = 1299").collect()] == [649.5]
+    reader = formats.ArrayReader({"path": f"file://{tmp_path}", "portion": "70"})
+    assert list(reader.pushFilters([formats.GreaterThanOrEqual(("at",), 995), formats.LessThan(("at",), 1005)])) == []
+    assert [(p.path.rsplit("/", 1)[1], p.start, p.end) for p in reader.partitions()] == [("a.npy", 995, 1000), ("b.npy", 0, 5)]
+    assert given.where("at > 5000").count() == 0
