@@ -1,13 +1,15 @@
 """Exact top-k search by inner product with dual-tree cover-tree search.
 
 Vectors become integers, floor(256 x). The candidates of a task go into cover trees, the queries
-into another; node pairs are visited together, best bound first. The inner product of any query
-and candidate under two nodes is at most
+into another, whose leaves are small. Of all node pairs the one with the best bound comes next, so near
+candidates are met first and each query group's worst k-th score rises early. The inner product of any
+query and candidate under two nodes is at most
 
     c_q.c_d + r_q |c_d| + r_d |c_q| + r_q r_d        (c centre, r covering radius)
 
-and a pair is pruned when that is below the worst k-th score of the queries under the query node.
-Where a pair of leaves remains, all their scores are computed at once.
+and at most the product of their longest vectors' lengths; a pair is pruned when the smaller of both is below
+the worst k-th score of the queries under the query node. Where a pair of leaves remains, all their scores are
+computed at once.
 
 Queries are sent to the tasks in blocks of at most ``BLOCK`` vectors, one pass over the candidates
 each, so nothing unbounded is broadcast; each task returns at most k rows per query, and a ranking
@@ -23,7 +25,9 @@ components are taken to be small enough (2^28 for 64 of them) for their products
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,38 +37,45 @@ from pyspark.sql import functions as F
 from meshwork.llm.common import cut
 
 BLOCK = 16_384
-LEAF = 256
-SMALL = 32
+#: Rows of a leaf, and of a child, at least, of candidates' and of queries' trees.
+LEAF, SMALL = 128, 16
+QUERY_LEAF, QUERY_SMALL = 4, 1
 TRIES = 64
 TREE = 8_192
 _BASE = 1.5
 
 
 class Node:
-    """centre (row), covering radius, rows of a leaf or children; worst: k-th scores can't be below it."""
+    """centre, covering radius, longest vector's length (top), rows of a leaf or children, parent; worst: k-th scores can't be below it."""
 
-    __slots__ = ("centre", "norm", "radius", "rows", "children", "worst")
+    __slots__ = ("centre", "norm", "radius", "top", "rows", "children", "parent", "worst")
 
     def __init__(self, points: np.ndarray, rows: np.ndarray, centre: int, radius: float):
         self.centre, self.radius, self.rows = points[centre], radius, rows
         self.norm = float(np.sqrt(self.centre @ self.centre))
+        self.top = float(np.sqrt(np.einsum("ij,ij->i", points[rows], points[rows]).max()))
         self.children: list[Node] = []
+        self.parent: Node | None = None
         self.worst = -np.inf
 
+    def add(self, child: Node) -> None:
+        child.parent = self
+        self.children.append(child)
 
-def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, centre: int | None = None) -> Node:
-    """Children cover rows within 1 / _BASE of their parent's radius; a centre is its own first child. Rows so far from others that they make no child of ``SMALL`` rows stay in leaves around their parent's centre."""
+
+def cover_tree(points: np.ndarray, leaf: int = LEAF, small: int = SMALL, rows: np.ndarray | None = None, centre: int | None = None) -> Node:
+    """Children cover rows within 1 / _BASE of their parent's radius; a centre is its own first child. Rows so far from others that they make no child of ``small`` rows stay in leaves around their parent's centre."""
     rows = np.arange(len(points)) if rows is None else rows
     centre = int(rows[0]) if centre is None else centre
     away = _distance(points, rows, centre)
     node = Node(points, rows, centre, float(away.max()))
-    if len(rows) <= LEAF or node.radius == 0:
+    if len(rows) <= leaf or node.radius == 0:
         return node
     reach, left, at, loose = node.radius / _BASE, np.arange(len(rows)), centre, []
     for _ in range(TRIES):
         near = _distance(points, rows[left], at) <= reach
-        if SMALL <= near.sum() < len(rows):
-            node.children.append(cover_tree(points, rows[left[near]], at))
+        if small <= near.sum() < len(rows):
+            node.add(cover_tree(points, leaf, small, rows[left[near]], at))
         else:
             loose.append(left[near])
         left = left[~near]
@@ -73,9 +84,9 @@ def cover_tree(points: np.ndarray, rows: np.ndarray | None = None, centre: int |
         at = int(rows[left[0]])
     loose = np.concatenate([*loose, left])
     loose = loose[np.argsort(away[loose], kind="stable")]
-    for i in range(0, len(loose), LEAF):
-        some = loose[i : i + LEAF]
-        node.children.append(Node(points, rows[some], centre, float(away[some].max())))
+    for i in range(0, len(loose), leaf):
+        some = loose[i : i + leaf]
+        node.add(Node(points, rows[some], centre, float(away[some].max())))
     return node
 
 
@@ -94,36 +105,44 @@ class Search:
         self.score = np.full((len(ids), k), np.iinfo(np.int64).min, np.int64)
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max, np.int64)
         self.filled = np.zeros(len(ids), np.int64)
-        self.root = cover_tree(self.points) if len(ids) else None
+        self.root = cover_tree(self.points, QUERY_LEAF, QUERY_SMALL) if len(ids) else None
+        #: pairs whose score was worked out, and all pairs
+        self.compared = self.pairs = 0
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         points = vectors.astype(float)
         top = float(np.abs(points).max(initial=0)) * float(np.abs(self.points).max(initial=0)) * max(1, points.shape[1])
         self.safe = top < 2.0**53
-        self.visit(self.root, cover_tree(points), ids, vectors, points)
+        self.pairs += len(self.ids) * len(ids)
+        self.visit(cover_tree(points), ids, vectors, points)
 
     def bound(self, q: Node, d: Node) -> float:
         top = q.centre @ d.centre + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
-        return top + 1e-9 * (abs(top) + q.norm * d.norm + 1)
-
-    def visit(self, q: Node, d: Node, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
-        if not q.children and not d.children:
-            self.compare(q, d, ids, vectors, points)
-        elif d.children and (not q.children or d.radius >= q.radius):
-            for top, child in sorted(((self.bound(q, c), i) for i, c in enumerate(d.children)), reverse=True):
-                if top >= q.worst:
-                    self.visit(q, d.children[child], ids, vectors, points)
-        else:
-            for child in q.children:
-                if self.bound(child, d) >= child.worst:
-                    self.visit(child, d, ids, vectors, points)
-            q.worst = min(c.worst for c in q.children)
+        top = min(top, q.top * d.top)
+        return top + 1e-9 * (abs(top) + q.norm * d.norm + q.top * d.top + 1)
+
+    def visit(self, root: Node, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
+        order = count()
+        todo = [(-self.bound(self.root, root), next(order), self.root, root)]
+        while todo:
+            bound, _, q, d = heapq.heappop(todo)
+            if -bound < q.worst:
+                continue
+            if not q.children and not d.children:
+                self.compare(q, d, ids, vectors, points)
+                continue
+            split_candidates = d.children and (not q.children or d.radius >= q.radius)
+            for a, b in ((q, c) for c in d.children) if split_candidates else ((c, d) for c in q.children):
+                top = self.bound(a, b)
+                if top >= a.worst:
+                    heapq.heappush(todo, (-top, next(order), a, b))
 
     def compare(self, q: Node, d: Node, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray) -> None:
         if self.safe:
             scores = self.points[q.rows] @ points[d.rows].T
         else:
             scores = self.exact[q.rows] @ vectors[d.rows].T
+        self.compared += scores.size
         able = ids[d.rows][None, :] != self.ids[q.rows][:, None]
         able &= (scores >= self.score[q.rows, -1][:, None]) | (self.filled[q.rows] < self.k)[:, None]
         for i in np.flatnonzero(able.any(axis=1)).tolist():
@@ -134,6 +153,8 @@ class Search:
             n = self.filled[row] = len(best)
             self.score[row, :n], self.found[row, :n] = value[best], names[best]
         q.worst = float(self.score[q.rows, -1].min()) if (self.filled[q.rows] >= self.k).all() else -np.inf
+        while (q := q.parent) is not None:
+            q.worst = min(c.worst for c in q.children)
 
 
 def matrix(column: pa.ListArray, width: int) -> np.ndarray:

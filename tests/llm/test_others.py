@@ -353,3 +353,16 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         assert set(kept["ngram_jaccard_join"]) - set(kept["benchmark_decontamination"]) == {11}
         assert max(count("source_mixing", d) / count("benchmark_decontamination", d) for d in set(kept["source_mixing"])) <= 3 and sorted(map(str, kept["token_files"])) == sorted(map(str, kept["source_mixing"]))
     assert pipeline.run(spark, f"file://{tmp_path}/full").count() == len(pipeline.run(spark, f"file://{tmp_path}/full").collect()) > 100
+
+
+@pytest.mark.parametrize("dims,spread", [(8, 8), (64, 16)])
+def test_clusters_are_pruned(dims, spread):
+    """160 queries over 40 tight clusters: under a tenth of all pairs are scored, and the best are the best of all."""
+    rnd = np.random.default_rng(dims)
+    middles = rnd.normal(size=(40, dims)) * 1000
+    points = np.floor(np.repeat(middles, 200, axis=0) + rnd.normal(size=(8000, dims)) * spread).astype(np.int64)
+    search = vector_search.Search(np.arange(160), points[::50], 5)
+    for at in range(0, 8000, 2000):
+        search.add(np.arange(at, at + 2000) + 1_000_000, points[at : at + 2000])
+    scores = np.sort(points[::50] @ points.T, axis=1)[:, ::-1][:, :5]
+    assert (search.score == scores).all() and search.pairs == 160 * 8000 and search.compared < search.pairs / 10
