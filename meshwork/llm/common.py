@@ -70,6 +70,19 @@ def clear(spark: SparkSession, paths: list[str]) -> None:
         _written.remove(path)
 
 
+def training_rows(docs: DataFrame, known: DataFrame, sample: int, doc_id: str, text: str) -> DataFrame:
+    """_id, _key, _class, _text of at most ``sample`` different rows of each class, and of their copies: known has _id and _class (0 or 1).
+
+    The choice is made on ids and hashes of texts, so one id with any number of rows doesn't add to it; whoever takes the rows keeps one of each (_id, _key).
+    """
+    keyed = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"))
+    labelled = keyed.join(known, "_id").distinct()
+    first = [F.xxhash64("_id"), F.col("_id"), F.col("_key")]
+    some = [labelled.where(F.col("_class") == y).orderBy(*first).limit(sample) for y in (0, 1)]
+    chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * sample rows of three numbers
+    return docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text")).join(chosen, ["_id", "_key"]).select("_id", "_key", "_class", "_text")
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -238,14 +239,31 @@ def merged(first: DataFrame, rest: list[DataFrame], doc_id: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows of docs, whole, in which no window occurs: one narrow pass per chunk of the benchmark."""
+    """The rows of docs, whole, in which no window occurs.
+
+    Where the benchmark is one chunk, one narrow pass. Else each chunk has a pass of its own, which writes the hashes of the rows it hits, and
+    these rows go by an anti-join: a task never holds more than one chunk's tables.
+    """
     at = docs.columns.index(text)
-    for _, texts in chunks(benchmark, item_id, text, chunk_bytes):
-        docs = docs.mapInArrow(_keeps(docs.sparkSession.sparkContext.broadcast((None, texts, uuid.uuid4().hex)), window, at), docs.schema)
-    return docs
+    parts = (texts for _, texts in chunks(benchmark, item_id, text, chunk_bytes))
+    spark = docs.sparkSession
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return docs.mapInArrow(_keeps(spark.sparkContext.broadcast((None, first, uuid.uuid4().hex)), window, at), docs.schema)
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    keyed = docs.toDF(*names)
+    keys = [F.xxhash64(F.lit(k), F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).alias(n) for k, n in ((1, "_a"), (2, "_b"))]
+    hit = None
+    for texts in chain((first, second), parts):
+        sent = spark.sparkContext.broadcast((None, texts, uuid.uuid4().hex))
+        one = cut(keyed.select(F.col(names[at]), *keys).mapInArrow(_keeps(sent, window, 0, hits=True), "_text string, _a bigint, _b bigint").select("_a", "_b"), "hits")
+        hit = one if hit is None else hit.unionByName(one)
+    return keyed.withColumns({"_a": keys[0], "_b": keys[1]}).join(hit.distinct(), ["_a", "_b"], "left_anti").select(*names).toDF(*docs.columns)
+
 
+def _keeps(sent, window: int, at: int, hits: bool = False):
+    """Batches without the rows in which a window occurs; hits: with these rows alone."""
 
-def _keeps(sent, window: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(sent, window)
         for batch in pieces(batches, at):
@@ -253,7 +271,7 @@ def _keeps(sent, window: int, at: int):
             hit = np.zeros(batch.num_rows, bool)
             for place, _, _ in occurrences:
                 hit[np.searchsorted(upto, place, "right")] = True
-            yield batch.filter(pa.array(~hit))
+            yield batch.filter(pa.array(hit if hits else ~hit))
 
     return run
 

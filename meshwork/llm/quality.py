@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import cut, pieces
+from meshwork.llm.common import cut, pieces, training_rows
 
 SAMPLE = 4000
 KEEP = 0.5
@@ -80,18 +80,17 @@ def known_labels(labels: DataFrame, doc_id: str, quality: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> tuple[Logistic | None, float]:
-    """The model (None if a class is missing) and the rate of good documents among all labels."""
+    """The model (None if a class is missing), fitted on at most sample documents of each class (copies under one doc_id being one), and the rate of good documents among all labels."""
     known = known_labels(labels, doc_id, quality)
     rate = known.agg(F.avg("_good")).first()[0]
-    some = [known.where(F.col("_good") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample) for y in (0, 1)]
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(some[0].unionByName(some[1])), "_id")
+    rows = training_rows(docs, known.withColumnRenamed("_good", "_class"), sample, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([measures(x) for x in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["id", "good", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([measures(x) for x in batch.column(3).to_pylist()], pa.list_(pa.float64()))], ["id", "key", "good", "x"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = rows.select("_id", "_text", "_good").mapInArrow(run, f"id {kind}, good int, x array<double>").toArrow()
+    found = rows.mapInArrow(run, f"id {kind}, key bigint, good int, x array<double>").dropDuplicates(["id", "key"]).toArrow()
     order = sorted(range(found.num_rows), key=lambda i: (found["id"][i].as_py(), found["x"][i].as_py()))
     y = np.array(found["good"].to_pylist(), float)[order]
     if not len(y) or y.min() == y.max():

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from meshwork.llm.common import pieces
+from meshwork.llm.common import pieces, training_rows
 
 BUCKETS = 1 << 20
 SAMPLE = 4000
@@ -162,22 +162,19 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", label_id: str = "doc_id") -> Model | None:
-    """Fits on at most sample toxic and sample other labelled documents; None if either class is missing."""
-    known = labels.where(F.col(toxic).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_toxic"))
-    first = F.xxhash64("_id")
-    some = [known.where(F.col("_toxic") == y).orderBy(first, "_id").limit(sample) for y in (0, 1)]
-    chosen = F.broadcast(some[0].unionByName(some[1]))  # at most 2 * sample rows of two numbers
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(chosen, "_id").select("_id", "_toxic", "_text")
+    """Fits on at most sample toxic and sample other labelled documents, copies of a document under one doc_id being one; None if either class is missing."""
+    known = labels.where(F.col(toxic).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_class"))
+    rows = training_rows(docs, known, sample, doc_id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2):
-            made = [sorted({k for w in words_of(x) for k in features_of(w)}) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(made, pa.list_(pa.int32()))], ["id", "toxic", "x"])
+        for batch in pieces(batches, 3):
+            made = [sorted({k for w in words_of(x) for k in features_of(w)}) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.list_(pa.int32()))], ["id", "key", "toxic", "x"])
 
-    found = rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, toxic int, x array<int>").toArrow()
+    found = rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, key bigint, toxic int, x array<int>").dropDuplicates(["id", "key"]).toArrow()
     features = [np.asarray(x.values) for x in found["x"]]
     ids = found["id"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tolist()))  # at most 2 * sample rows, more where documents repeat
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tolist()))  # at most 2 * sample rows
     features, bad = [features[i] for i in order], np.array(found["toxic"].to_pylist(), bool)[order]
     if not bad.any() or bad.all():
         return None

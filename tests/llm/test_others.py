@@ -14,7 +14,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from meshwork.llm import chat, quality, token_files, toxicity, vector_search
+from meshwork.llm import chat, common, quality, token_files, toxicity, vector_search
 from meshwork.llm.common import new_path
 
 # --- vectors
@@ -366,3 +366,16 @@ def test_clusters_are_pruned(dims, spread):
         search.add(np.arange(at, at + 2000) + 1_000_000, points[at : at + 2000])
     scores = np.sort(points[::50] @ points.T, axis=1)[:, ::-1][:, :5]
     assert (search.score == scores).all() and search.pairs == 160 * 8000 and search.compared < search.pairs / 10
+
+
+def test_training_rows_are_bounded(spark):
+    """One labelled doc_id with very many rows, copies and others: no more rows than asked for are learned from, each of them once."""
+    rows = [(7, f"text {i % 900}") for i in range(2000)] + [(i, f"other {i}") for i in range(100, 140)] + [(8, None)] * 3 + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    known = spark.createDataFrame([(7, 1), (8, 1)] + [(i, 0) for i in range(100, 140)], "_id bigint, _class int")
+    got = common.training_rows(docs, known, 30, "doc_id", "text").dropDuplicates(["_id", "_key"]).collect()
+    assert collections.Counter(r._class for r in got) == {0: 30, 1: 30} and len({(r._id, r._text) for r in got}) == 60
+    again = common.training_rows(docs.repartition(5), known, 30, "doc_id", "text").select("_id", "_text").distinct().collect()
+    assert set(map(tuple, again)) == {(r._id, r._text) for r in got}
+    labels = known.select(F.col("_id").alias("doc_id"), F.col("_class").alias("toxic"), (1 - F.col("_class")).alias("quality"))
+    assert toxicity.train(docs, labels, 30) is not None and quality.train(docs, labels, 30)[0] is not None

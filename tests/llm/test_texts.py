@@ -215,6 +215,7 @@ def test_decontamination(spark, docs, empty):
     assert sorted((key(r.doc_id), (r.n_words, r.n_hit, r.n_items)) for r in by_chunk.collect()) == [(k, v[:3]) for k, v in want]
     clean = decontamination.clean(docs, benchmark, chunk_bytes=200)
     assert clean.columns == docs.columns and clean.count() == sum(not v[4] for _, v in want)
+    assert "MapInArrow" not in clean._jdf.queryExecution().executedPlan().toString()  # each chunk's pass is over and written
     assert decontamination.report(empty, benchmark).count() == 0
     assert decontamination.report(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
