@@ -313,45 +313,50 @@ def test_language_model_without_training_documents(spark):
     assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(0, 0, 0.0, 0.0)] * 3
 
 
-def plain_tree(texts, depth, state_count, next_count, mu):
-    """A suffix tree in dictionaries; returns P(word | words before it) and the states."""
+def plain_tree(texts, depth, state_count, next_count, mu, hot=0.0, heavy=math.inf):
+    """A suffix tree in dictionaries; returns P(word | words before it) and the states.
+
+    hot and heavy as in the operator: words rarer than hot count as so frequent in the test, and contexts of more than heavy occurrences know next words of that frequency.
+    """
     tokens = [[*t.encode().lower().split(), None] for t in texts]
     counts = collections.Counter(tuple(t[i : i + k]) for t in tokens for k in range(1, depth + 2) for i in range(len(t) - k + 1))
     n, v = sum(map(len, tokens)), len({w for t in tokens for w in t})
     unigram = lambda w: (counts[(w,)] + 0.1) / (n + 0.1 * (v + 1))
-    states = {}
+    states, often = {}, max(1.0, hot * n)
+    most = lambda w: unigram(w) if counts[(w,)] >= often else (often + 0.1) / (n + 0.1 * (v + 1))
 
-    def chance(word, context):
+    def chance(word, context, unigram=unigram):
         for k in range(len(context) + 1):
             s = context[k:]
             if s in states:
                 known, back = states[s]
-                lower = chance(word, s[1:])
+                lower = chance(word, s[1:], unigram)
                 return known.get(word, 0) + back * lower
         return unigram(word)
 
     for k in range(1, depth + 1):
         for s in [g for g, c in counts.items() if len(g) == k and c >= state_count and None not in g]:
-            nexts = {g[-1]: c for g, c in counts.items() if len(g) == k + 1 and g[:-1] == s and c >= next_count}
+            least = max(next_count, often) if counts[s] > max(heavy, hot * n) else next_count
+            nexts = {g[-1]: c for g, c in counts.items() if len(g) == k + 1 and g[:-1] == s and c >= least}
             if not nexts:
                 continue
             times = counts[s]
             known = {w: (c - suffix_tree_lm.DISCOUNT) / (times + mu) for w, c in nexts.items()}
             back = (times - sum(c - suffix_tree_lm.DISCOUNT for c in nexts.values()) + mu) / (times + mu)
-            gain = sum(c * math.log((known[w] + back * chance(w, s[1:])) / chance(w, s[1:])) for w, c in nexts.items()) + max(0, times - sum(nexts.values())) * math.log(back)
+            gain = sum(c * math.log((known[w] + back * chance(w, s[1:], most)) / chance(w, s[1:], most)) for w, c in nexts.items()) + max(0, times - sum(nexts.values())) * math.log(back)
             if gain > 0.5 * math.log(times + 1) * len(nexts):
                 states[s] = (known, back)
     return chance, states, {w for t in tokens for w in t}
 
 
-@pytest.mark.parametrize("hot", [0.0, 0.02])
-def test_language_model_agrees_with_a_plain_tree(spark, hot):
+@pytest.mark.parametrize(("hot", "heavy"), [(0.0, 10**9), (0.02, 10**9), (0.0, 60), (0.02, 60), (0.0, 3)])
+def test_language_model_agrees_with_a_plain_tree(spark, hot, heavy):
     rnd = random.Random(5)
     texts = [" ".join(rnd.choice(["a b c d", "a b d c", "e f", "c a", "x b c e", "rare%d" % rnd.randrange(40)]) for _ in range(12)) for _ in range(80)] + ["", "A  b\tc unseen", "a b c d a b c d"]
     frame = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (None, texts[3])], "doc_id bigint, text string")
     held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
     options = {"depth": 3, "state_count": 4, "next_count": 2, "mu": 3.0}
-    chance, states, words = plain_tree([t for i, t in [*enumerate(texts), (5, texts[5])] if not held(i)], **options)
+    chance, states, words = plain_tree([t for i, t in [*enumerate(texts), (5, texts[5])] if not held(i)], hot=hot, heavy=heavy, **options)
     assert {1, 2, 3} == {len(x) for x in states} and len({len(x) for x in states if x[-1] == b"b"}) > 1
     for s in list(states)[:40]:  # a distribution
         assert sum(chance(w, s) for w in words) + chance("new", s) == pytest.approx(1, abs=1e-9)
@@ -360,31 +365,12 @@ def test_language_model_agrees_with_a_plain_tree(spark, hot):
         t = [*text.encode().lower().split(), None]
         return sum(math.log10(chance(w, tuple(t[max(0, i - 3) : i]))) for i, w in enumerate(t))
 
-    got = suffix_tree_lm.score(frame, hot=hot, **options).collect()
+    got = suffix_tree_lm.score(frame, hot=hot, heavy=heavy, **options).collect()
     assert len(got) == len(texts) + 2
     for r in got:
         assert r.score == pytest.approx(plain(texts[3 if r.doc_id is None else r.doc_id]), abs=1e-6)
 
 
-def test_screening_lets_every_frequent_pair_through(spark, monkeypatch):
-    monkeypatch.setattr(suffix_tree_lm, "CELLS", 64)  # many blocks of cells
-    texts = made_up(40, 3, 30)
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    every = np.full(suffix_tree_lm.BITS // 64, 2**64 - 1, np.uint64)
-    sent = spark.sparkContext.broadcast([every, every])
-    tokens = sum(len(t.split()) + 1 for t in texts)
-    cells, bits = suffix_tree_lm._screen(frame, 2, sent, tokens, 5)
-    assert cells > 64 * 10
-    made, before, _ = suffix_tree_lm.grams(texts, 2)
-    counts = collections.Counter(made[1][before >= 1].tolist())
-    by_cell = collections.Counter()
-    for g, n in counts.items():
-        by_cell[g % cells] += n
-    for g, n in counts.items():
-        assert bool(suffix_tree_lm.marked(bits, np.array([g % cells], np.uint64))[0]) == (by_cell[g % cells] >= 5)
-    assert any(n >= 5 for n in counts.values()) and any(by_cell[g % cells] < 5 for g in counts)
-
-
 def test_packed_columns_come_back():
     columns = [np.array([0, 7, 2**40], np.uint64), np.array([1, 255, 3], np.uint8), np.array([0.5, -2.25, 1e300])]
     back = suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), np.uint64, np.uint8, np.float64)
