@@ -15,13 +15,16 @@ that is A + B P(w) with one A and B per context and next word.
 
 The tree is never a table. Each token goes once, with the words before it, to the bucket of its shortest context that isn't heavy;
 all of that context's subtree is in this bucket, which counts it, tests it and gives each token its A and B. So one shuffle, linear in the
-tokens, both trains and scores. Words that have a share of ``hot`` of all tokens are broadcast with their counts (at most 1 / hot) and sent by rank; tokens
-of other words go on, with A and B, to the bucket of the word, which knows its count. In the divergence test such a word counts as
-being as frequent as ``hot``, the most that it can be.
+tokens, both trains and scores. Words that have a share of ``shared`` of all tokens are broadcast with their counts (at most 1 / shared) and sent by rank.
+Tokens of other words that occur twice first go to the bucket of the word, which adds its count; a word that isn't in the bit map of these occurs once.
 
-Heavy contexts (more than ``heavy`` training occurrences, and a share of ``hot``) would make their buckets too large: they are counted beforehand, level by
-level, know the next words that follow them ``next_count`` times and with a share of ``hot``, and are broadcast (at most 1 / hot of each length, as are
-their next words).
+Heavy contexts (more than ``heavy`` training occurrences, and a share of ``shared``) would make their buckets too large: they are counted beforehand, level by
+level, with all next words that follow them ``next_count`` times, and are broadcast with those next words that have a share of ``shared`` (at most 1 / shared of
+each length). Other runs of a heavy context and a next word are only summed up for the test, as tables; their tokens first go to the bucket of the run
+(or of its word, where it is a rare one), which counts it. ``shared`` and ``heavy`` don't change results, whatever the input's size.
+
+``hot`` is an option that prunes the tree (0: not at all): in the divergence test rarer words count as having this share of all tokens, and heavy contexts know only
+next words that follow them so often.
 
 Grams are known by 64-bit hashes. Defined results: a null text is only its end; training documents
 are those whose crc32 of the doc_id as text isn't divisible by 10, and a null doc_id (as an empty text)
@@ -52,12 +55,12 @@ STATE_COUNT = 2
 NEXT_COUNT = 2
 MU = 20.0
 DISCOUNT = 0.75
-#: Words (and heavy contexts) with this share of the training tokens are broadcast, so at most 1 / HOT of each length; bits of a map.
-HOT = 1e-7
+#: Words (and heavy contexts) with this share of the training tokens are broadcast, so at most 1 / SHARED of each length; bits of a map.
+SHARED = 1e-7
 BITS = 1 << 26
 #: A context with more training occurrences doesn't go to one bucket; tokens of a bucket; values of words in one.
-HEAVY = 1_000_000
-BUCKET_TOKENS = 1_000_000
+HEAVY = 400_000
+BUCKET_TOKENS = 600_000
 BUCKET = 1 << 20
 _FLUSH = 1_500_000
 #: Tokens that a task holds, with the words before them, until it sends them.
@@ -157,49 +160,68 @@ def _buckets(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, li
 
 
 def _added_up(rows: DataFrame, keys, schema: str) -> DataFrame:
-    """schema (key, n): how often each key occurs that keys(texts) gives; tasks add up before the shuffle."""
+    """How often each key occurs (n) that keys(texts) gives; tasks add up before the shuffle. Where keys gives more columns, which follow from the key, they stand for it."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def counted(columns: list[np.ndarray], n: np.ndarray | None = None) -> list[np.ndarray]:
+        _, first, back = np.unique(columns[0], return_index=True, return_inverse=True)
+        return [*(c[first] for c in columns), np.bincount(back, n, len(first)).astype(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            found, n = (np.concatenate(x) for x in zip(*held))
-            found, back = np.unique(found, return_inverse=True)
-            return found, np.bincount(back, n, len(found)).astype(np.int64)
+        def merged() -> list[np.ndarray]:
+            *columns, n = (np.concatenate(x) for x in zip(*held))
+            return counted(columns, n)
 
         for batch in pieces(batches):
-            held.append(np.unique(keys(batch.column(1).to_pylist()), return_counts=True))
+            held.append(counted(keys(batch.column(1).to_pylist())))
             size += len(held[-1][0])
             if size > _FLUSH:
                 held = [merged()]
                 size = len(held[0][0])
                 if size > _FLUSH // 2:
-                    yield _batch(["key", "n"], *held[0])
+                    yield _batch(names, *held[0][-len(names) :])
                     held, size = [], 0
         if held:
-            yield _batch(["key", "n"], *merged())
+            yield _batch(names, *merged()[-len(names) :])
 
-    return rows.mapInArrow(run, schema).groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
-    return _added_up(rows, lambda texts: tokens(texts)[0], "key bigint, n bigint")
+    return _added_up(rows, lambda texts: [tokens(texts)[0]], "key bigint, n bigint")
 
 
 def _followers(rows: DataFrame, k: int, sent) -> DataFrame:
-    """key, n: how often a run of k words has the beginning with this number (times how many ends there are) and the end with this number, both among the ascending grams in sent."""
+    """of, parent, n: how often a run of k words begins with the context of this number among the ascending grams in sent and ends with the gram parent of k - 1 words."""
 
-    def keys(texts: list[str | None]) -> np.ndarray:
-        contexts, ends = sent.value
+    def keys(texts: list[str | None]) -> list[np.ndarray]:
+        contexts = sent.value[0]
         made, before = grams(texts, k)
         at = np.flatnonzero(before >= k - 1)
-        c = _find(contexts, made[-2][at - 1])
-        at, c = at[c >= 0], c[c >= 0]
-        p = _find(ends, made[-2][at])
-        return (c * len(ends) + p)[p >= 0]
+        of = _find(contexts, made[-2][at - 1])
+        at, of = at[of >= 0], of[of >= 0]
+        return [made[-1][at], of.astype(np.int32), made[-2][at]]
+
+    return _added_up(rows, keys, "of int, parent bigint, n bigint")
+
+
+def _rare_runs(table: DataFrame, sent, lowers: DataFrame) -> DataFrame:
+    """From of, parent, n: key (the run), of, n, and lower, the probability after the parent: from the frequent grams in sent, or from lowers (key, lower)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, g, lower = sent.value
+        for batch in batches:
+            of, parent = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(U)
+            at = _find(g, parent)
+            value = pa.array(lower[at], mask=at < 0) if len(g) else pa.nulls(len(at), pa.float64())
+            yield _batch(["key", "of", "parent", "n", "lower"], longer(parent, first[of]), batch.column(0), batch.column(1), batch.column(2), value)
 
-    return _added_up(rows, keys, "key bigint, n bigint")
+    made = table.mapInArrow(run, "key bigint, of int, parent bigint, n bigint, lower double")
+    more = made.where("lower is null").drop("lower").join(lowers.select(F.col("key").alias("parent"), "lower"), "parent")
+    return cut(made.where("lower is not null").select("key", "of", "n", "lower").unionByName(more.select("key", "of", "n", "lower")), "rare-runs")
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -217,17 +239,21 @@ def diverging(of: np.ndarray, times: np.ndarray, n: np.ndarray, lower: np.ndarra
 
 @dataclass
 class Words:
-    """What every task knows: N, V; the frequent words by rank (hash, count), and their ranks by ascending hash; bit maps of the other words, and of those that may be in a context; the heavy contexts by length."""
+    """What every task knows: N, V; the frequent words by rank (hash, count), and their ranks by ascending hash; bit maps of the other words, of those that occur again, of those that may be in a context,
+    and of the rare runs after heavy contexts (None: there are none); the heavy contexts by length. least: how often a next word must follow a heavy context; floor: the least that counts as a word's count in the divergence test."""
 
     n: int
     v: int
-    often: float
+    least: float
+    floor: float
     by_rank: np.ndarray
     counts: np.ndarray
     keys: np.ndarray
     rank: np.ndarray
     seen: np.ndarray
+    again: np.ndarray
     inner: np.ndarray
+    pairs: np.ndarray | None
     heavy: list[Heavy]
 
     def chance(self, count: np.ndarray | float) -> np.ndarray:
@@ -236,50 +262,81 @@ class Words:
 
 @dataclass
 class Heavy:
-    """Heavy contexts of one length, ascending: whether they are states, B; the grams of these states and their known next words, ascending, and what they add."""
+    """Heavy contexts of one length, ascending: their occurrences, whether they are states, B; the grams of these states and their frequent next words, ascending, and what they add."""
 
     contexts: np.ndarray
+    times: np.ndarray
     state: np.ndarray
     back: np.ndarray
     grams: np.ndarray
     own: np.ndarray
 
 
-def heavy_contexts(rows: DataFrame, words: tuple[np.ndarray, np.ndarray], chance, depth: int, least: float, heavy: float, state_count: int, mu: float) -> list[Heavy]:
-    """By length the contexts with more than ``heavy`` occurrences; words are the frequent ones (ascending grams, counts). All on the driver: at most 1 / HOT rows a length."""
-    spark, out = rows.sparkSession, []
-    g, n = words
-    oldest, lower = g, chance(n)
+def heavy_contexts(rows: DataFrame, counted: DataFrame, known: Words, depth: int, often: float, heavy: float, state_count: int, mu: float) -> tuple[list[Heavy], list[DataFrame]]:
+    """By length the contexts with more than ``heavy`` occurrences, and tables (key) of those runs of states and known next words that occur less than ``often`` times.
+
+    What is frequent is on the driver (at most 1 / SHARED rows a length), the other runs stay in tables.
+    """
+    spark, out, pairs = rows.sparkSession, [], []
+    g, n = known.keys, known.counts[known.rank]
+    oldest, lower = g, known.chance(np.maximum(n, known.floor))
+    most = max(known.least, often)
+    smoothed = (F.greatest(F.col("n").cast("double"), F.lit(known.floor)) + 0.1) / F.lit(known.n + 0.1 * (known.v + 1))
+    lowers = counted.where((F.col("n") >= known.least) & (F.col("n") < often)).select("key", smoothed.alias("lower"))
     for k in range(2, depth + 2):
         some = n > heavy
         contexts, times, first = g[some], n[some], oldest[some]
         if not len(contexts):
             break
-        found = _followers(rows, k, spark.sparkContext.broadcast((contexts, g))).where(F.col("n") >= least).toArrow()
-        of, end = np.divmod(found["key"].to_numpy(), len(g))  # an end is as frequent as the run, so it is in g
+        sent = spark.sparkContext.broadcast((contexts, first, g, lower))
+        table = cut(_followers(rows, k, sent).where(F.col("n") >= known.least), "followers")
+        found = table.where(F.col("n") >= most).toArrow()
+        of, end = found["of"].to_numpy(), _find(g, found["parent"].to_numpy().view(U))  # an end is as frequent as the run, so it is in g
         runs = longer(g[end], first[of])
         order = np.argsort(runs)
         runs, of, end, times_of = runs[order], of[order], end[order], found["n"].to_numpy()[order]
         parent = lower[end]
-        back, state = diverging(of, times, times_of, parent, mu)
-        state &= times >= state_count
+        sums = np.stack([np.bincount(of, x, len(times)) for x in (times_of - DISCOUNT, times_of, np.ones(len(of)))])
+        rare = _rare_runs(table.where(F.col("n") < most), sent, lowers) if known.least < often else None
+        if rare is not None:
+            summed = rare.groupBy("of").agg(F.sum(F.col("n") - DISCOUNT).alias("known"), F.sum("n").alias("total"), F.count("*").alias("types")).toArrow()
+            sums[:, summed["of"].to_numpy()] += np.stack([summed[x].to_numpy() for x in ("known", "total", "types")])
+        total, types = sums[1:]
+        back = (times - sums[0] + mu) / (times + mu)
         own = (times_of - DISCOUNT) / (times[of] + mu)
+        after = own + back[of] * parent
+        gain = np.bincount(of, times_of * np.log(after / parent), len(times)) + np.maximum(0, times - total) * np.log(back)
+        if rare is not None:
+            figures = spark.createDataFrame(pa.table({"of": np.arange(len(times), dtype=np.int32), "times": times, "back": back}))
+            rare = rare.join(F.broadcast(figures), "of").withColumn("after", (F.col("n") - DISCOUNT) / (F.col("times") + mu) + F.col("back") * F.col("lower"))
+            gains = rare.groupBy("of").agg(F.sum(F.col("n") * F.log(F.col("after") / F.col("lower"))).alias("gain")).toArrow()
+            gain[gains["of"].to_numpy()] += gains["gain"].to_numpy()
+        state = (types > 0) & (gain > 0.5 * np.log(times + 1.0) * types) & (times >= state_count)
+        if rare is not None:
+            states = spark.createDataFrame(pa.table({"of": np.arange(len(times), dtype=np.int32), "state": state}))
+            rare = rare.join(F.broadcast(states), "of")
+            lowers = rare.select("key", F.when(F.col("state"), F.col("after")).otherwise(F.col("lower")).alias("lower"))
+            pairs.append(rare.where("state").select("key"))
         stays = state[of]
-        out.append(Heavy(contexts, state, back, runs[stays], own[stays]))
-        g, n, oldest, lower = runs, times_of, first[of], np.where(stays, own + back[of] * parent, parent)
-    return out
+        out.append(Heavy(contexts, times, state, back, runs[stays], own[stays]))
+        g, n, oldest, lower = runs, times_of, first[of], np.where(stays, after, parent)
+    return out, pairs
 
 
-def _after_heavy(heavy: list[Heavy], contexts: list[np.ndarray], runs: list[np.ndarray], most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By token A and B after its heavy contexts, and how many of its contexts are heavy, of the most that it has."""
+def _after_heavy(known: Words, contexts: list[np.ndarray], runs: list[np.ndarray], most: np.ndarray, times: np.ndarray | None = None, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By token A and B after its heavy contexts, and how many of its contexts are heavy, of the most that it has. times: by length how often the token's run occurs, where it is a rare one."""
     a, b, levels = np.zeros(len(most)), np.ones(len(most)), np.zeros(len(most), np.int64)
-    for k, (tree, c, g) in enumerate(zip(heavy, contexts, runs), 1):
+    for k, (tree, c, g) in enumerate(zip(known.heavy, contexts, runs), 1):
         at = np.where((most >= k) & (levels == k - 1), _find(tree.contexts, c), -1)
         levels[at >= 0] = k
         here = np.flatnonzero((at >= 0) & tree.state[at])
         back, found = tree.back[at[here]], _find(tree.grams, g[here])
         add = np.zeros(len(here))
         add[found >= 0] = tree.own[found[found >= 0]]
+        if times is not None:
+            n = times[k - 1][here]
+            rare = (found < 0) & (n >= known.least)
+            add[rare] = (n[rare] - DISCOUNT) / (tree.times[at[here[rare]]] + mu)
         a[here], b[here] = add + back * a[here], back * b[here]
     return a, b, levels
 
@@ -294,43 +351,44 @@ def _hashes(words: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]
     return contexts, runs
 
 
-def grown(words: list[np.ndarray], most: np.ndarray, train: np.ndarray, chance: np.ndarray, known: Words, state_count: int, next_count: int, mu: float) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """A and B of the tokens of one bucket, and how many states of each length it has.
+def grown(words: list[np.ndarray], most: np.ndarray, train: np.ndarray, again: np.ndarray, chance: np.ndarray, times: np.ndarray, known: Words, state_count: int, next_count: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
+    """A and B of the tokens of one bucket.
 
-    words: hashes of the token and of those before it; most: how many of these may be its context; train: whether it is to be learnt from; chance: P(w), or the most that it can be.
+    words: hashes of the token and of those before it; most: how many of these may be its context; train: whether it is to be learnt from; again: whether its word can follow a context again;
+    chance: P(w); times: by length how often its run after a heavy context occurs, where that is rare.
     """
     contexts, runs = _hashes(words)
-    a, b, levels = _after_heavy(known.heavy, contexts, runs, most)
-    states = []
+    a, b, levels = _after_heavy(known, contexts, runs, most, times, mu)
     for k in range(1, len(words)):
         here = np.flatnonzero((most >= k) & (levels < k))
-        states.append(0)
         if not len(here):
             continue
         _, of = np.unique(contexts[k - 1][here], return_inverse=True)
-        times = np.bincount(of[train[here]], minlength=int(of.max()) + 1)
-        often = times[of] >= state_count
+        total = np.bincount(of[train[here]], minlength=int(of.max()) + 1)
+        often = total[of] >= state_count
         here, of = here[often], of[often]
         _, first, run = np.unique(runs[k - 1][here], return_index=True, return_inverse=True)
-        n = np.bincount(run[train[here]], minlength=len(first))
+        n = np.bincount(run[(train & again)[here]], minlength=len(first))
         pairs = np.flatnonzero(n >= next_count)
         at = here[first[pairs]]
-        back, state = diverging(of[first[pairs]], times, n[pairs], a[at] + b[at] * chance[at], mu)
+        back, state = diverging(of[first[pairs]], total, n[pairs], a[at] + b[at] * chance[at], mu)
         add = np.zeros(len(first))
-        add[pairs] = (n[pairs] - DISCOUNT) / (times[of[first[pairs]]] + mu)
+        add[pairs] = (n[pairs] - DISCOUNT) / (total[of[first[pairs]]] + mu)
         stays = state[of]
         here, of, run = here[stays], of[stays], run[stays]
         a[here], b[here] = add[run] + back[of] * a[here], back[of] * b[here]
-        states[-1] = int(state.sum())
-    return a, b, states
+    return a, b
 
 
 FIGURES = ["id", "place", "doc_id", "n_tokens", "n_known", "base", "score", "data"]
 _TYPES = "id bigint, place int, doc_id bigint, n_tokens bigint, n_known bigint, base double, score double, data binary"
 
 
+_SENT_TYPES = f"{_TYPES}, rare binary, more binary, bucket int"
+
+
 def score(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, state_count: int = STATE_COUNT, next_count: int = NEXT_COUNT, mu: float = MU, hot: float = HOT, heavy: int = HEAVY
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, state_count: int = STATE_COUNT, next_count: int = NEXT_COUNT, mu: float = MU, hot: float = 0.0, heavy: int = HEAVY, shared: float = SHARED
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the whole text)."""
     spark = docs.sparkSession
@@ -340,23 +398,25 @@ def score(
     counted = cut(_word_counts(learnt), "word-counts")
     total = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n or 0), int(total.v)
-    often = max(1.0, hot * n)
-    known = _words(learnt, counted, n, v, often, depth, state_count, next_count, mu, max(heavy, hot * n))
+    often = max(1.0, shared * n)
+    known = _words(learnt, counted, n, v, often, depth, state_count, next_count, mu, max(1.0, hot * n), max(heavy, often, hot * n))
     sent = spark.sparkContext.broadcast(known)
-    tail = counted.where(F.col("n") < often).select("key", F.log10((F.col("n") + 0.1) / F.lit(n + 0.1 * (v + 1))).alias("value"))
-    floor = float(np.log10(known.chance(0)))
     buckets = max(partitions(spark), 1 + n // BUCKET_TOKENS, 1 + v // BUCKET)
-    made = rows.select("doc_id", "text", (remainder != 0).alias("learnt")).mapInArrow(_sender(sent, depth, buckets), f"{_TYPES}, rare binary, bucket int")
-    met = made.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id")  # rows of one bucket after another
-    met = met.mapInArrow(_grower(sent, depth, state_count, next_count, mu, buckets), f"{_TYPES}, bucket int")
-    met = met.unionByName(tail.mapInArrow(_chunks(buckets), "bucket int, id bigint, data binary"), allowMissingColumns=True)
-    met = met.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id", "place").mapInArrow(_answers(floor), _TYPES)
+    all_rows = rows.select("doc_id", "text", (remainder != 0).alias("learnt"))
+    made = all_rows.mapInArrow(_sender(sent, depth, buckets, False), _SENT_TYPES)
+    if often > 1:  # not all is broadcast
+        asked = all_rows.mapInArrow(_sender(sent, depth, buckets, True), _SENT_TYPES)
+        tail = counted.where(F.col("n") < often).select("key", "n")
+        asked = asked.unionByName(tail.mapInArrow(_chunks(buckets), "bucket int, id bigint, data binary"), allowMissingColumns=True)
+        asked = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id")  # rows of one bucket after another
+        made = made.unionByName(asked.mapInArrow(_counter(sent, depth, buckets), _SENT_TYPES))
+    met = made.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(_grower(sent, depth, state_count, next_count, mu), _TYPES)
     both = met.repartition("id").sortWithinPartitions("id", "place")  # what is added to documents stands before these
     out = both.mapInArrow(_added, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
     return out.select(F.col("doc_id").alias(doc_id), (remainder == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
-def _words(rows: DataFrame, counted: DataFrame, n: int, v: int, often: float, depth: int, state_count: int, next_count: int, mu: float, heavy: float) -> Words:
+def _words(rows: DataFrame, counted: DataFrame, n: int, v: int, often: float, depth: int, state_count: int, next_count: int, mu: float, floor: float, heavy: float) -> Words:
     found = counted.where(F.col("n") >= often).toArrow()
     g, counts = found["key"].to_numpy().view(U), found["n"].to_numpy()
     order = np.argsort(g)
@@ -364,9 +424,12 @@ def _words(rows: DataFrame, counted: DataFrame, n: int, v: int, often: float, de
     ranked = np.argsort(-counts, kind="stable")
     rank = np.empty(len(g), np.uint32)
     rank[ranked] = np.arange(len(g))
-    seen, inner = (bitmap(counted.where((F.col("n") < often) & (F.col("n") >= least)).select("key")) for least in (1, state_count))
-    known = Words(n, v, often, g[ranked], counts[ranked], g, rank, seen, inner, [])
-    known.heavy = heavy_contexts(rows, (g, counts), known.chance, depth, max(next_count, often), heavy, state_count, mu)
+    several = 2 if min(state_count, next_count) > 1 else 1
+    maps = {least: bitmap(counted.where((F.col("n") < often) & (F.col("n") >= least)).select("key")) for least in {1, several, state_count}}
+    known = Words(n, v, max(next_count, floor), floor, g[ranked], counts[ranked], g, rank, maps[1], maps[several], maps[state_count], None, [])
+    known.heavy, pairs = heavy_contexts(rows, counted, known, depth, often, heavy, state_count, mu)
+    if pairs:
+        known.pairs = np.bitwise_or.reduce([bitmap(x) for x in pairs])
     return known
 
 
@@ -374,10 +437,44 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(32)) % U(buckets)).astype(np.int32)
 
 
-def _sender(sent, depth: int, buckets: int):
-    """Rows of documents with what is certain at once (all of base but for rare words); and rows (place is null) of tokens for a bucket.
-
-    Words are numbered: 0 none, then the frequent ones by rank, one number for all words never learnt, then the row's own list of other words (rare).
+def _levels(words: list[np.ndarray], most: np.ndarray, known: Words, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of tokens: the runs, A and B after heavy contexts, how many of the contexts are heavy, and the bucket of the first other one (of the word, where there is none)."""
+    contexts, runs = _hashes(words)
+    a, b, levels = _after_heavy(known, contexts, runs, most)
+    to = _bucket(words[0], buckets)
+    for k, c in enumerate(contexts):
+        here = (levels == k) & (most > k)
+        to[here] = _bucket(c[here], buckets)
+    return runs, a, b, levels, to
+
+
+def _rare_run(known: Words, contexts: list[np.ndarray], runs: list[np.ndarray], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a token's run after one of its heavy contexts may be known but isn't broadcast, and the shortest such run."""
+    asks, key = np.zeros(len(levels), bool), np.zeros(len(levels), U)
+    if known.pairs is not None:
+        for k, tree in enumerate(known.heavy, 1):
+            here = np.flatnonzero((levels >= k) & ~asks)
+            here = here[marked(known.pairs, runs[k - 1][here])]
+            here = here[tree.state[_find(tree.contexts, contexts[k - 1][here])] & (_find(tree.grams, runs[k - 1][here]) < 0)]
+            asks[here], key[here] = True, runs[k - 1][here]
+    return asks, key
+
+
+def _packed(numbers: np.ndarray, words: np.ndarray, frequent: int, places: np.ndarray) -> tuple[bytes, bytes | None]:
+    """Tokens by numbers, other words than frequent ones by their place in a list of their hashes; that list."""
+    table = numbers.astype("<u4")
+    own = table > frequent + 2
+    if not own.any():
+        return pack(*table, places), None
+    rare, mine = np.unique(words[own], return_inverse=True)
+    table[own] = frequent + 3 + mine
+    return pack(*table, places), pack(rare)
+
+
+def _sender(sent, depth: int, buckets: int, asking: bool):
+    """Rows of documents with what is certain at once; and rows (place is null) of tokens for a bucket. asking: only the tokens that need the count of their word or run, for the bucket that counts it; else all others.
+
+    Words are numbered: 0 none, then the frequent ones by rank, one number for all words never learnt, one for all that occur once, then the row's own list of other words (rare).
     Tokens hold their own word's number, those of the ``depth`` words before, and twice their document's place among those with this id (plus one if it is to be learnt from).
     """
 
@@ -390,47 +487,54 @@ def _sender(sent, depth: int, buckets: int):
             ids, learnt = (pa.chunked_array([x[i] for x in held]).combine_chunks() for i in (0, 1))
             word, before = (np.concatenate([x[j] for x in held]) for j in (2, 3))
             sizes = np.concatenate([np.diff(x[4], prepend=0) for x in held])
-            of = np.repeat(np.arange(len(sizes)), sizes)
+            held.clear()
+            of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            train = np.asarray(learnt.to_numpy(zero_copy_only=False), bool)[of]
             frequent = len(known.keys)
             at = _find(known.keys, word)
-            number = np.full(len(word), frequent + 1, np.int64)
+            number = np.full(len(word), frequent + 1, np.uint32)
             number[at >= 0] = known.rank[at[at >= 0]] + 1
-            other = np.flatnonzero((at < 0) & marked(known.seen, word))
-            rare, mine = np.unique(word[other], return_inverse=True)
-            number[other] = frequent + 2 + mine
-            counts = np.append(known.counts, 0)
-            certain = number <= frequent + 1
-            base = np.zeros(len(word))
-            base[certain] = np.log10(known.chance(counts[number[certain] - 1]))
+            other = (at < 0) & marked(known.seen, word)
+            once = other & train & ~marked(known.again, word)
+            number[other] = frequent + 3
+            number[once] = frequent + 2
             inner = (at >= 0) | marked(known.inner, word)
+            del at
             most = np.zeros(len(word), np.int64)
             words, numbers = [word], [number]
             for k in range(1, depth + 1):
                 most += (most == k - 1) & (before >= k) & _shifted(inner, k)
                 words.append(_shifted(word, k))
                 numbers.append(np.where(most >= k, _shifted(number, k), 0))
+            certain = number <= frequent + 2
             contexts, runs = _hashes(words)
-            levels = _after_heavy(known.heavy, contexts, runs, most)[2]
-            at = np.where(levels < most, levels, -1)
-            to = _bucket(word, buckets)  # tokens all of whose contexts are heavy, or that have none
-            for k in range(depth):
-                to[at == k] = _bucket(contexts[k][at == k], buckets)
-            sums = [np.bincount(of, x, len(sizes)) for x in (number <= frequent, base)]
-            docs, none = len(sizes), pa.nulls
-            zero = np.zeros(docs)
-            yield _batch(
-                [*FIGURES, "rare", "bucket"], np.full(docs, upto), np.arange(docs, dtype=np.int32), ids, sizes, sums[0].astype(np.int64), sums[1], zero, none(docs, pa.binary()), none(docs, pa.binary()),
-                np.full(docs, upto % buckets, np.int32),
-            )
-            place = of * 2 + np.asarray(learnt.to_numpy(zero_copy_only=False), bool)[of]
-            for bucket, columns in _buckets(to, *numbers, place):
-                table = np.stack(columns[:-1])
-                own = table > frequent + 1
-                dictionary, mine = np.unique(table[own], return_inverse=True)
-                table[own] = frequent + 2 + mine
-                data = pack(*table.astype("<u4"), steps(columns[-1]))
-                extra = pack(rare[dictionary - frequent - 2]) if len(dictionary) else None
-                yield _batch([*FIGURES, "rare", "bucket"], np.array([upto]), *_nothing(1), pa.array([data], pa.binary()), pa.array([extra], pa.binary()), np.array([bucket], np.int32))
+            a, b, levels = _after_heavy(known, contexts, runs, most)
+            asks, key = _rare_run(known, contexts, runs, np.where(number <= frequent, levels, 0))
+            asks[~certain], key[~certain] = True, word[~certain]
+            if asking:
+                sent_on, to = asks, _bucket(key, buckets)
+            else:
+                sent_on, to = ~asks & (levels < most), np.zeros(len(word), np.int32)
+                for k in range(depth):
+                    to[levels == k] = _bucket(contexts[k][levels == k], buckets)
+                chance = known.chance(np.append(known.counts, [0, 1])[number[certain] - 1])
+                base, score = np.zeros(len(word)), np.zeros(len(word))
+                base[certain] = np.log10(chance)
+                score[certain] = np.log10(a[certain] + b[certain] * chance)
+                score[sent_on | asks] = 0
+                sums = [np.bincount(of, x, len(sizes)) for x in ((number <= frequent) | (number == frequent + 2), base, score)]
+                docs, none = len(sizes), pa.nulls
+                yield _batch(
+                    [*FIGURES, "rare", "more", "bucket"], np.full(docs, upto), np.arange(docs, dtype=np.int32), ids, sizes, sums[0].astype(np.int64), *sums[1:], *(none(docs, pa.binary()) for _ in range(3)),
+                    np.full(docs, upto % buckets, np.int32),
+                )
+            del contexts, runs, a, b
+            here = np.flatnonzero(sent_on)
+            place = of[here] * 2 + train[here]
+            for bucket, columns in _buckets(to[here], here, place):
+                at = columns[0]
+                data, rare = _packed(np.stack([x[at] for x in numbers]), np.stack([x[at] for x in words]), frequent, steps(columns[1]))
+                yield _tokens(upto, data, rare, None, bucket)
 
         size = 0
         for batch in pieces(batches):
@@ -439,7 +543,7 @@ def _sender(sent, depth: int, buckets: int):
             size += len(token)
             if size > _SENT:
                 yield from flush()
-                held, size = [], 0
+                size = 0
                 upto += 1
         if held:
             yield from flush()
@@ -447,48 +551,116 @@ def _sender(sent, depth: int, buckets: int):
     return run
 
 
-def _grower(sent, depth: int, state_count: int, next_count: int, mu: float, buckets: int):
-    """From the tokens of one bucket after another: what those of frequent words add to each document, at place -1; tokens of other words, with A and B, for the bucket of the word. Rows of documents pass."""
-    names = [*FIGURES, "bucket"]
+def _tokens(i: int, data: bytes, rare: bytes | None, more: bytes | None, bucket: int) -> pa.RecordBatch:
+    return _batch([*FIGURES, "rare", "more", "bucket"], np.array([i]), *_nothing(1), *(pa.array([x], pa.binary()) for x in (data, rare, more)), np.array([bucket], np.int32))
+
+
+@dataclass
+class Tokens:
+    """Of rows' tokens: numbers and hashes of their words, how many of the words before may be a context, the document's id and place, whether to learn from it, the count of the word, and by length that of its rare runs."""
+
+    numbers: np.ndarray
+    words: np.ndarray
+    most: np.ndarray
+    ids: np.ndarray
+    place: np.ndarray
+    train: np.ndarray
+    count: np.ndarray
+    times: np.ndarray
+
+
+def _opened(held: list[list], known: Words, depth: int) -> Tokens:
+    """From id, data, rare, more."""
+    frequent = len(known.keys)
+    counts = np.append(known.counts, [0, 1])
+    parts = []
+    for i, data, extra, more in held:
+        *table, step = unpack(data, *["<u4"] * (depth + 2))
+        numbers = np.stack(table)
+        words = np.zeros(numbers.shape, U)
+        inner = (numbers > 0) & (numbers <= frequent)
+        words[inner] = known.by_rank[numbers[inner] - 1]
+        if extra is not None:
+            own = numbers > frequent + 2
+            words[own] = unpack(extra, U)[0][numbers[own] - (frequent + 3)]
+        if more is None:
+            ids, place = np.full(len(step), i), np.cumsum(step, dtype=np.int64)
+            count, times = counts[np.minimum(numbers[0], frequent + 2) - 1], np.zeros((depth, len(step)), np.uint32)
+        else:
+            ids, place, count, *times = unpack(more, np.int64, "<u4", "<i8", *["<u4"] * depth)
+            times = np.stack(times)
+        parts.append((numbers, words, (numbers[1:] > 0).sum(axis=0), ids, place >> 1, (place & 1).astype(bool), count, times))
+    return Tokens(*(np.concatenate(x, axis=-1) for x in zip(*parts)))
+
+
+def _counter(sent, depth: int, buckets: int):
+    """From the rows of one bucket after another, its words (id -2) first: its tokens, with the counts of their words and of their runs after heavy contexts, for the bucket of their context."""
+
+    def finished(words: list[bytes], held: list[list]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        frequent = len(known.keys)
+        keys, values = (np.concatenate(x) for x in zip(*(unpack(x, U, "<u4") for x in words))) if words else (np.zeros(0, U), np.zeros(0, np.uint32))
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        t = _opened(held, known, depth)
+        rare = np.flatnonzero(t.numbers[0] > frequent + 2)
+        at = _find(keys, t.words[0][rare])
+        t.count[rare] = np.where(at >= 0, values[at], 0) if len(keys) else 0
+        runs, _, _, levels, to = _levels(list(t.words), t.most, known, buckets)
+        for k in range(1, len(known.heavy) + 1):
+            here = np.flatnonzero(levels >= k)
+            _, run = np.unique(runs[k - 1][here], return_inverse=True)
+            if len(here):
+                t.times[k - 1, here] = np.bincount(run[t.train[here]], minlength=int(run.max()) + 1)[run]
+        place = (t.place * 2 + t.train).astype("<u4")
+        for bucket, (at,) in _buckets(to, np.arange(len(to))):
+            data, extra = _packed(t.numbers[:, at], t.words[:, at], frequent, np.zeros(len(at), "<u4"))
+            yield _tokens(-1, data, extra, pack(t.ids[at], place[at], t.count[at], *t.times[:, at]), bucket)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, held = None, [], []
+        for batch in batches:
+            for bucket, kind, data, rare, more in zip(*(batch.column(x).to_pylist() for x in ("bucket", "id", "data", "rare", "more"))):
+                if bucket != now:
+                    if held:
+                        yield from finished(words, held)
+                    now, words, held = bucket, [], []
+                if kind == -2:
+                    words.append(data)
+                else:
+                    held.append([kind, data, rare, more])
+        if held:
+            yield from finished(words, held)
+
+    return run
+
+
+def _grower(sent, depth: int, state_count: int, next_count: int, mu: float):
+    """From the tokens of one bucket after another: what they add to each document (base, score, known words: of rare words the last two and base, of others the score), at place -1. Rows of documents pass."""
 
-    def finished(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def finished(held: list[list]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         frequent = len(known.keys)
-        parts, ids, counts = [], [], np.append(known.counts, 0)
-        for i, data, extra in held:
-            columns = unpack(data, *["<u4"] * (depth + 2))
-            rare = unpack(extra, U)[0] if extra is not None else np.zeros(0, U)
-            named = np.concatenate([np.zeros(1, U), rare])
-            numbers = np.stack(columns[:-1]).astype(np.int64)
-            hashed = np.where(numbers >= frequent + 2, named[np.maximum(0, numbers - frequent - 1)], 0)
-            inner = (numbers > 0) & (numbers <= frequent)
-            hashed[inner] = known.by_rank[numbers[inner] - 1]
-            parts.append((hashed, (numbers[1:] > 0).sum(axis=0), numbers[0], np.cumsum(columns[-1], dtype=np.int64)))
-            ids.append(np.full(len(columns[-1]), i))
-        hashed, most, number, place = (np.concatenate([x[j] for x in parts], axis=-1) for j in range(4))
-        i, train, place = np.concatenate(ids), place & 1 == 1, place >> 1
-        certain = number <= frequent + 1
-        chance = np.full(len(number), known.chance(known.often))
-        chance[certain] = known.chance(counts[number[certain] - 1])
-        a, b, _ = grown(list(hashed), most, train, chance, known, state_count, next_count, mu)
-        value = np.log10(a + b * chance)
-        for doc, (at, x) in _buckets(i[certain], place[certain], value[certain]):
-            total = np.bincount(at, x)
-            here = np.flatnonzero(np.bincount(at))
-            none = np.zeros(len(here))
-            yield _batch(names, np.array([doc]), np.array([-1], np.int32), *_nothing(1)[1:], pa.array([pack(steps(here), none, rounded(total[here]), none.astype("<u4"))]), np.array([doc % buckets], np.int32))
-        rest = np.flatnonzero(~certain)
-        word = hashed[0][rest]
-        for bucket, columns in _buckets(_bucket(word, buckets), word, i[rest], place[rest].astype("<u4"), a[rest].astype(np.float32), b[rest].astype(np.float32)):
-            yield _batch(names, np.array([-1]), *_nothing(1), pa.array([pack(*columns)]), np.array([bucket], np.int32))
+        t = _opened(held, known, depth)
+        held.clear()
+        number = t.numbers[0]
+        again = (number <= frequent) | (number > frequent + 2)
+        a, b = grown(list(t.words), t.most, t.train, again, known.chance(np.maximum(t.count, known.floor)), t.times, known, state_count, next_count, mu)
+        chance = known.chance(t.count)
+        value, rare = np.log10(a + b * chance), number > frequent + 2
+        base = np.where(rare, np.log10(chance), 0.0)
+        for i, (of, *sums) in _buckets(t.ids, t.place, base, value, rare & (t.count > 0)):
+            here = np.flatnonzero(np.bincount(of))
+            base_sum, value_sum, seen = (np.bincount(of, x)[here] for x in sums)
+            yield _batch(FIGURES, np.array([i]), np.array([-1], np.int32), *_nothing(1)[1:], pa.array([pack(steps(here), base_sum, rounded(value_sum), seen.astype("<u4"))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
             document = batch.column("place").is_valid()
-            yield batch.filter(document).select(names)
+            yield batch.filter(document).select(FIGURES)
             batch = batch.filter(pa.compute.invert(document))
-            for bucket, *row in zip(*(batch.column(x).to_pylist() for x in ("bucket", "id", "data", "rare"))):
+            for bucket, *row in zip(*(batch.column(x).to_pylist() for x in ("bucket", "id", "data", "rare", "more"))):
                 if bucket != now and held:
                     yield from finished(held)
                     held = []
@@ -506,11 +678,11 @@ def _nothing(n: int) -> list[pa.Array]:
 
 
 def _chunks(buckets: int):
-    """Rows of words and the logs of their probabilities for a bucket; id is -2."""
+    """Rows of words and their counts for a bucket; id is -2."""
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, value = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in range(2))
-        for bucket, columns in _buckets(_bucket(key.view(U), buckets), key, value):
+        for bucket, columns in _buckets(_bucket(key.view(U), buckets), key, value.astype("<u4")):
             yield _batch(["bucket", "id", "data"], np.array([bucket], np.int32), np.array([-2]), pa.array([pack(*columns)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -526,40 +698,6 @@ def _chunks(buckets: int):
     return run
 
 
-def _answers(floor: float):
-    """From the rows of one bucket after another, its words (id -2) and tokens (-1) first: what the tokens add to each document (base, score, known words), at place -1; documents, with what was added so far."""
-
-    def finished(words: list[bytes], asked: list[bytes]) -> Iterator[pa.RecordBatch]:
-        keys, values = (np.concatenate(x) for x in zip(*(unpack(x, U, np.float64) for x in words))) if words else (np.zeros(0, U), np.zeros(1))
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order] if len(keys) else values
-        word, doc, place, a, b = (np.concatenate(x) for x in zip(*(unpack(x, U, np.int64, "<u4", np.float32, np.float32) for x in asked)))
-        at = _find(keys, word)
-        base = np.where(at >= 0, values[at], floor)
-        value = np.log10(a.astype(float) + b.astype(float) * 10.0**base)
-        for i, (of, *sums) in _buckets(doc, place, base, value, at >= 0):
-            here = np.flatnonzero(np.bincount(of))
-            base_sum, value_sum, seen = (np.bincount(of, x)[here] for x in sums)
-            yield _batch(FIGURES, np.array([i]), np.array([-1], np.int32), *_nothing(1)[1:], pa.array([pack(steps(here), base_sum, rounded(value_sum), seen.astype("<u4"))]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, asked, adder = None, [], [], Adder()
-        for batch in batches:
-            document = batch.column("place").is_valid()
-            yield from adder.add(batch.filter(document).select(FIGURES))
-            batch = batch.filter(pa.compute.invert(document))
-            for bucket, kind, data in zip(*(batch.column(x).to_pylist() for x in ("bucket", "id", "data"))):
-                if bucket != now:
-                    if asked:
-                        yield from finished(words, asked)
-                    now, words, asked = bucket, [], []
-                (words if kind == -2 else asked).append(data)
-        if asked:
-            yield from finished(words, asked)
-
-    return run
-
-
 class Adder:
     """From rows by id and place: those of documents, with the sums of the rows at place -1 of their id."""
 

@@ -371,6 +371,31 @@ def test_language_model_agrees_with_a_plain_tree(spark, hot, heavy):
         assert r.score == pytest.approx(plain(texts[3 if r.doc_id is None else r.doc_id]), abs=1e-6)
 
 
+@pytest.mark.parametrize(("shared", "heavy"), [(0.02, 60), (0.004, 20), (0.02, 10**9), (0.3, 3), (1e-3, 3)])
+def test_what_is_broadcast_does_not_change_the_language_model(spark, shared, heavy):
+    rnd = random.Random(6)
+    pick = ["a b c d", "a b d c", "e f", "c a", "x b c e", "a b rare%d", "b rare%d c", "rare%d"]
+    texts = [" ".join(rnd.choice(pick).replace("%d", str(rnd.randrange(40))) for _ in range(12)) for _ in range(120)] + ["", "A  b\tc unseen", "a b rare1 unseen rare2", "a b c d a b c d"]
+    texts += [f"a b once{i} c" for i in range(30)]
+    frame = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (None, texts[3])], "doc_id bigint, text string")
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    options = {"depth": 3, "state_count": 2, "next_count": 2, "mu": 3.0}
+    learnt = [t for i, t in [*enumerate(texts), (5, texts[5])] if not held(i)]
+    chance, states, _ = plain_tree(learnt, **options)
+    assert any(w and w.startswith(b"rare") for s in states if s[-1] in (b"a", b"b") for w in states[s][0])
+    counts = collections.Counter(w for x in learnt for w in [*x.encode().lower().split(), None])
+
+    def plain(text):
+        t = [*text.encode().lower().split(), None]
+        return sum(math.log10(chance(w, tuple(t[max(0, i - 3) : i]))) for i, w in enumerate(t)), sum(counts[w] > 0 for w in t)
+
+    got = suffix_tree_lm.score(frame, shared=shared, heavy=heavy, **options).collect()
+    assert len(got) == len(texts) + 2
+    for r in got:
+        score, known = plain(texts[3 if r.doc_id is None else r.doc_id])
+        assert (r.score, r.n_known) == (pytest.approx(score, abs=1e-6), known)
+
+
 def test_packed_columns_come_back():
     columns = [np.array([0, 7, 2**40], np.uint64), np.array([1, 255, 3], np.uint8), np.array([0.5, -2.25, 1e300])]
     back = suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), np.uint64, np.uint8, np.float64)
