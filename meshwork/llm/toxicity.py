@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from meshwork.llm.common import pieces, training_rows
+from meshwork.llm.common import pieces, released, training_rows
 
 BUCKETS = 1 << 20
 SAMPLE = 4000
@@ -171,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
             made = [sorted({k for w in words_of(x) for k in features_of(w)}) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.list_(pa.int32()))], ["id", "key", "toxic", "x"])
 
-    found = rows.mapInArrow(run, f"id {docs.schema[doc_id].dataType.simpleString()}, key bigint, toxic int, x array<int>").dropDuplicates(["id", "key"]).toArrow()
+    found = rows.mapInArrow(released(run), f"id {docs.schema[doc_id].dataType.simpleString()}, key bigint, toxic int, x array<int>").dropDuplicates(["id", "key"]).toArrow()
     features = [np.asarray(x.values) for x in found["x"]]
     ids = found["id"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tolist()))  # at most 2 * sample rows
@@ -204,7 +204,7 @@ def apply(docs: DataFrame, model: Model | None, text: str = "text", keep: list[s
             made = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] > REJECT)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *made], [f.name for f in schema])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

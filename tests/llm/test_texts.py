@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.llm import decontamination, jaccard_join, mixing, secrets, suffix_tree_lm
+from meshwork.llm.common import released
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kind int, sign bigint, _row string, word string"
 
@@ -396,6 +397,23 @@ def test_what_is_broadcast_does_not_change_the_language_model(spark, shared, hea
         assert (r.score, r.n_known) == (pytest.approx(score, abs=1e-6), known)
 
 
+def test_workers_give_memory_back():
+    size = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 >> 20
+    kept = []
+
+    def run(batches):
+        held = []
+        for i in range(40_000):
+            held.append(np.ones(1000))
+            if i % 1000 == 999:
+                kept.append(np.ones(900))  # lies between what is freed
+        yield len(held)
+
+    before = size()
+    assert list(released(run)(iter([]))) == [40_000]
+    assert kept and size() - before < 100  # of 320 MB
+
+
 def test_packed_columns_come_back():
     columns = [np.array([0, 7, 2**40], np.uint64), np.array([1, 255, 3], np.uint8), np.array([0.5, -2.25, 1e300])]
     back = suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), np.uint64, np.uint8, np.float64)
