@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import cut, partitions, pieces
+from meshwork.llm.common import cut, partitions, pieces, released
 from meshwork.llm.word_hash import M1, M3, U, mix, word_hashes
 
 DEPTH = 3
@@ -57,9 +57,11 @@ MU = 20.0
 DISCOUNT = 0.75
 #: Words (and heavy contexts) with this share of the training tokens are broadcast, so at most 1 / SHARED of each length; bits of a map.
 SHARED = 1e-7
+#: Rarer words and runs are never broadcast, however few tokens there are, so that small inputs go the same way as large ones.
+SELDOM = 10
 BITS = 1 << 26
 #: A context with more training occurrences doesn't go to one bucket; tokens of a bucket; values of words in one.
-HEAVY = 400_000
+HEAVY = 700_000
 BUCKET_TOKENS = 600_000
 BUCKET = 1 << 20
 _FLUSH = 1_500_000
@@ -111,6 +113,14 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key, in ascending order of keys, and each key's number among these."""
+    found, back = np.unique(keys, return_inverse=True)
+    some = np.empty(len(found), np.int64)
+    some[back] = np.arange(len(keys))
+    return some, back
+
+
 def bitmap(keys: DataFrame) -> np.ndarray:
     """BITS bits of the keys in column key; at most BITS / 64 rows come to the driver."""
     at = F.expr(f"key & {BITS - 1}L")
@@ -152,7 +162,7 @@ def steps(places: np.ndarray) -> np.ndarray:
 
 def _buckets(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The columns by bucket."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 and bucket.min() >= 0 else bucket, kind="stable")  # short numbers are sorted by digits
     bucket, columns = bucket[order], [c[order] for c in columns]
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1], edges[1:]):
@@ -164,8 +174,10 @@ def _added_up(rows: DataFrame, keys, schema: str) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
 
     def counted(columns: list[np.ndarray], n: np.ndarray | None = None) -> list[np.ndarray]:
-        _, first, back = np.unique(columns[0], return_index=True, return_inverse=True)
-        return [*(c[first] for c in columns), np.bincount(back, n, len(first)).astype(np.int64)]
+        if len(columns) == 1 and n is None:
+            return list(np.unique(columns[0], return_counts=True))
+        some, back = _distinct(columns[0])
+        return [*(c[some] for c in columns), np.bincount(back, n, len(some)).astype(np.int64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -187,7 +199,7 @@ def _added_up(rows: DataFrame, keys, schema: str) -> DataFrame:
         if held:
             yield _batch(names, *merged()[-len(names) :])
 
-    return rows.mapInArrow(run, schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(released(run), schema).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
 
 
 def _word_counts(rows: DataFrame) -> DataFrame:
@@ -219,7 +231,7 @@ def _rare_runs(table: DataFrame, sent, lowers: DataFrame) -> DataFrame:
             value = pa.array(lower[at], mask=at < 0) if len(g) else pa.nulls(len(at), pa.float64())
             yield _batch(["key", "of", "parent", "n", "lower"], longer(parent, first[of]), batch.column(0), batch.column(1), batch.column(2), value)
 
-    made = table.mapInArrow(run, "key bigint, of int, parent bigint, n bigint, lower double")
+    made = table.mapInArrow(released(run), "key bigint, of int, parent bigint, n bigint, lower double")
     more = made.where("lower is null").drop("lower").join(lowers.select(F.col("key").alias("parent"), "lower"), "parent")
     return cut(made.where("lower is not null").select("key", "of", "n", "lower").unionByName(more.select("key", "of", "n", "lower")), "rare-runs")
 
@@ -367,7 +379,7 @@ def grown(words: list[np.ndarray], most: np.ndarray, train: np.ndarray, again: n
         total = np.bincount(of[train[here]], minlength=int(of.max()) + 1)
         often = total[of] >= state_count
         here, of = here[often], of[often]
-        _, first, run = np.unique(runs[k - 1][here], return_index=True, return_inverse=True)
+        first, run = _distinct(runs[k - 1][here])
         n = np.bincount(run[(train & again)[here]], minlength=len(first))
         pairs = np.flatnonzero(n >= next_count)
         at = here[first[pairs]]
@@ -398,21 +410,20 @@ def score(
     counted = cut(_word_counts(learnt), "word-counts")
     total = counted.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = int(total.n or 0), int(total.v)
-    often = max(1.0, shared * n)
+    often = max(float(SELDOM), shared * n)
     known = _words(learnt, counted, n, v, often, depth, state_count, next_count, mu, max(1.0, hot * n), max(heavy, often, hot * n))
     sent = spark.sparkContext.broadcast(known)
     buckets = max(partitions(spark), 1 + n // BUCKET_TOKENS, 1 + v // BUCKET)
     all_rows = rows.select("doc_id", "text", (remainder != 0).alias("learnt"))
-    made = all_rows.mapInArrow(_sender(sent, depth, buckets, False), _SENT_TYPES)
-    if often > 1:  # not all is broadcast
-        asked = all_rows.mapInArrow(_sender(sent, depth, buckets, True), _SENT_TYPES)
-        tail = counted.where(F.col("n") < often).select("key", "n")
-        asked = asked.unionByName(tail.mapInArrow(_chunks(buckets), "bucket int, id bigint, data binary"), allowMissingColumns=True)
-        asked = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id")  # rows of one bucket after another
-        made = made.unionByName(asked.mapInArrow(_counter(sent, depth, buckets), _SENT_TYPES))
-    met = made.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(_grower(sent, depth, state_count, next_count, mu), _TYPES)
+    asked = all_rows.mapInArrow(released(_sender(sent, depth, buckets, True)), _SENT_TYPES)
+    tail = counted.where(F.col("n") < often).select("key", "n")
+    asked = asked.unionByName(tail.mapInArrow(released(_chunks(buckets)), "bucket int, id bigint, data binary"), allowMissingColumns=True)
+    asked = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id")  # rows of one bucket after another
+    made = all_rows.mapInArrow(released(_sender(sent, depth, buckets, False)), _SENT_TYPES)
+    made = made.unionByName(asked.mapInArrow(released(_counter(sent, depth, buckets)), _SENT_TYPES))
+    met = made.repartition(buckets, "bucket").sortWithinPartitions("bucket", "id").mapInArrow(released(_grower(sent, depth, state_count, next_count, mu)), _TYPES)
     both = met.repartition("id").sortWithinPartitions("id", "place")  # what is added to documents stands before these
-    out = both.mapInArrow(_added, "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
+    out = both.mapInArrow(released(_added), "doc_id bigint, n_tokens bigint, n_known bigint, base double, score double")
     return out.select(F.col("doc_id").alias(doc_id), (remainder == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
