@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import cut, pieces
+from meshwork.llm.common import cut, pieces, released
 from meshwork.llm.word_hash import LETTERS, M1, M3, U, mix, word_places
 
 WINDOW = 10
@@ -249,7 +249,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_id:
     spark = docs.sparkSession
     first, second = next(parts, []), next(parts, None)
     if second is None:
-        return docs.mapInArrow(_keeps(spark.sparkContext.broadcast((None, first, uuid.uuid4().hex)), window, at), docs.schema)
+        return docs.mapInArrow(released(_keeps(spark.sparkContext.broadcast((None, first, uuid.uuid4().hex)), window, at)), docs.schema)
     names = [f"_{i}" for i in range(len(docs.columns))]
     keyed = docs.toDF(*names)
     keys = [F.xxhash64(F.lit(k), F.to_json(F.struct(*names), {"ignoreNullFields": "false"})).alias(n) for k, n in ((1, "_a"), (2, "_b"))]

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from meshwork.llm.common import cut, new_path, partitions, pieces
+from meshwork.llm.common import cut, new_path, partitions, pieces, released
 
 END_ID = 2
 FRAME_IDS = 1 << 16
@@ -278,7 +278,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, do
             fs.move(draft, name)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/part-{part:06d}.ids.zst"]), pa.array([part], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["file", "part", "n_docs", "n_ids"])
 
-    made = cut(rows.mapInArrow(run, "file string, part bigint, n_docs bigint, n_ids bigint"), "token-manifest")
+    made = cut(rows.mapInArrow(released(run), "file string, part bigint, n_docs bigint, n_ids bigint"), "token-manifest")
     # one row per file, a few thousand at most
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return made.withColumn("start", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)))
@@ -304,7 +304,7 @@ def read(manifest: DataFrame, columns: str, row) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return manifest.select("file", "start").repartition(partitions(spark), "file").mapInArrow(run, columns)
+    return manifest.select("file", "start").repartition(partitions(spark), "file").mapInArrow(released(run), columns)
 
 
 def digest_row(doc: int | None, start: int, ids: np.ndarray) -> tuple:

@@ -23,6 +23,7 @@ rows are each scored; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from meshwork.llm.common import pieces, released, training_rows
+from meshwork.llm.common import pieces, released, rest, training_rows
 
 BUCKETS = 1 << 20
 SAMPLE = 4000
@@ -87,7 +88,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 500, l1: float
     """Proximal Adam on the mean negative log-likelihood of the cumulative-link model. rows: each document's feature buckets, distinct and ascending."""
     names = associated(rows, grades > 0)
     n, k = len(rows), GRADES
-    of = np.repeat(np.arange(n), [len(r) for r in rows])
+    of = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     at = np.concatenate(rows) if n else np.zeros(0, np.int32)
     place = np.full(BUCKETS, -1, np.int32)
     place[names] = np.arange(len(names))
@@ -161,6 +162,12 @@ def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     return np.where(toxic, 1 + sum((counts > e).astype(int) for e in edges), 0)
 
 
+def in_order(ids: list, features: list[np.ndarray]) -> list[int]:
+    """Places of the training rows by id, then features; only those of rows that share an id become Python numbers, or all of them would be hundreds of MB on the driver."""
+    rows = Counter(ids)
+    return sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tolist() if rows[ids[i]] > 1 else []))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", label_id: str = "doc_id") -> Model | None:
     """Fits on at most sample toxic and sample other labelled documents, copies of a document under one doc_id being one; None if either class is missing."""
     known = labels.where(F.col(toxic).isNotNull() & F.col(label_id).isNotNull()).groupBy(F.col(label_id).alias("_id")).agg(F.max(toxic).cast("int").alias("_class"))
@@ -174,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     found = rows.mapInArrow(released(run), f"id {docs.schema[doc_id].dataType.simpleString()}, key bigint, toxic int, x array<int>").dropDuplicates(["id", "key"]).toArrow()
     features = [np.asarray(x.values) for x in found["x"]]
     ids = found["id"].to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], features[i].tolist()))  # at most 2 * sample rows
+    order = in_order(ids, features)
     features, bad = [features[i] for i in order], np.array(found["toxic"].to_pylist(), bool)[order]
     if not bad.any() or bad.all():
         return None
@@ -189,6 +196,7 @@ def grade(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
 def apply(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those of keep) with severity, p_toxic, toxic; columns of docs with these names give way."""
     own = [c for c in (keep or docs.columns) if c not in ("severity", "p_toxic", "toxic")]
+    rest(docs.sparkSession)  # of training
     sent = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.weights, model.thresholds))
     schema = StructType([*(docs.schema[c] for c in own), *StructType.fromDDL("severity double, p_toxic double, toxic boolean")])
     rows = docs.select(*own) if text in own else docs.select(*own, text)

@@ -6,6 +6,7 @@ import importlib
 import io
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -192,6 +193,18 @@ def labelled(spark):
     return docs.repartition(3).cache(), labels.cache(), rows
 
 
+def test_order_of_training_rows_takes_little_of_the_driver():
+    rng = np.random.default_rng(3)
+    features = [np.sort(rng.integers(300, 1 << 20, 2000).astype(np.int32)) for _ in range(300)]
+    ids = [*range(290, 0, -1), *[7] * 10]
+    tracemalloc.start()
+    got = toxicity.in_order(ids, features)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == sorted(range(300), key=lambda i: (ids[i], features[i].tolist()))
+    assert most < 4_000_000  # all features as Python's numbers: over 20 MB
+
+
 def test_toxicity(labelled):
     docs, labels, rows = labelled
     got = toxicity.grade(docs, labels).collect()
