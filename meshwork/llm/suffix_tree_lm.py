@@ -35,9 +35,11 @@ must come in the same order within each partition each time, as a table's do; wr
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,8 +67,9 @@ HEAVY = 700_000
 BUCKET_TOKENS = 600_000
 BUCKET = 1 << 20
 _FLUSH = 1_500_000
-#: Tokens that a task holds, with the words before them, until it sends them.
-_SENT = 700_000
+#: Tokens that a task holds, with the words before them, until it sends them; bytes of text that it works on at once, so that what it makes of them stays in the processor's cache.
+_SENT = 1_200_000
+_PIECE = 1_000_000
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -113,12 +116,43 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+class Index:
+    """Ascending 64-bit hashes and where those with the same first bits begin: finds many at once without a binary search."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(12, len(keys).bit_length() - 1)
+        self.keys, self.shift = keys, U(64 - bits)
+        self.start = np.minimum(np.searchsorted(keys, np.arange(1 << bits, dtype=U) << self.shift), max(len(keys) - 1, 0)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of wanted, -1 for others."""
+        keys, last = self.keys, len(self.keys) - 1
+        if last < 0:
+            return np.full(len(wanted), -1, np.int32)
+        at = self.start[wanted >> self.shift]
+        found = keys[at]
+        out = np.where(found == wanted, at, np.int32(-1))
+        left = np.flatnonzero((found < wanted) & (at < last))
+        at, wanted = at[left], wanted[left]
+        while len(left):
+            at = at + np.int32(1)
+            found = keys[at]
+            equal = found == wanted
+            out[left[equal]] = at[equal]
+            more = (found < wanted) & (at < last)
+            left, at, wanted = left[more], at[more], wanted[more]
+        return out
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each different key, in ascending order of keys, and each key's number among these."""
-    found, back = np.unique(keys, return_inverse=True)
-    some = np.empty(len(found), np.int64)
-    some[back] = np.arange(len(keys))
-    return some, back
+    order = np.argsort(keys)
+    ascending = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
@@ -134,19 +168,31 @@ def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[((keys & U(BITS - 1)) >> U(6)).astype(np.int64)] >> (keys & U(63))) & U(1) == U(1)
 
 
+_COMPRESSOR, _DECOMPRESSOR = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length, not empty, compressed byte by byte of their items."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+    """Columns of one length, not empty, compressed byte by byte of their items; a table stands for its rows."""
+    planes = []
+    for c in columns:
+        bits = np.atleast_2d(c).view(f"<u{c.itemsize}")
+        plane = np.empty((len(bits), c.itemsize, bits.shape[1]), np.uint8)
+        for i in range(c.itemsize):
+            plane[:, i] = bits if i == 0 else bits >> bits.dtype.type(8 * i)  # assignment keeps the last byte
+        planes.append(plane.tobytes())
+    return _COMPRESSOR.compress(b"".join(planes))
 
 
 def unpack(data: bytes, *types) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    sizes = [np.dtype(t).itemsize for t in types]
-    n, at, out = len(raw) // sum(sizes), 0, []
-    for t, size in zip(types, sizes):
-        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(t).ravel())
-        at += n * size
+    """The columns; of neighbours of one type each is a row of one table."""
+    raw = np.frombuffer(_DECOMPRESSOR.decompress(data), np.uint8)
+    types = [np.dtype(t) for t in types]
+    n, at, out = len(raw) // sum(t.itemsize for t in types), 0, []
+    for t, same in itertools.groupby(types):
+        k = len(list(same))
+        size = k * t.itemsize * n
+        out.extend(np.ascontiguousarray(raw[at : at + size].reshape(k, t.itemsize, n).transpose(0, 2, 1)).view(t).reshape(k, n))
+        at += size
     return out
 
 
@@ -232,8 +278,9 @@ def _rare_runs(table: DataFrame, sent, lowers: DataFrame) -> DataFrame:
             yield _batch(["key", "of", "parent", "n", "lower"], longer(parent, first[of]), batch.column(0), batch.column(1), batch.column(2), value)
 
     made = table.mapInArrow(released(run), "key bigint, of int, parent bigint, n bigint, lower double")
-    more = made.where("lower is null").drop("lower").join(lowers.select(F.col("key").alias("parent"), "lower"), "parent")
-    return cut(made.where("lower is not null").select("key", "of", "n", "lower").unionByName(more.select("key", "of", "n", "lower")), "rare-runs")
+    others = lowers.select(F.col("key").alias("parent"), F.col("lower").alias("other"))
+    out = made.join(others, "parent", "left").select("key", "of", "n", F.coalesce("lower", "other").alias("lower"))  # one join of all, so that the map runs once
+    return cut(out.where("lower is not null"), "rare-runs")
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -268,6 +315,20 @@ class Words:
     pairs: np.ndarray | None
     heavy: list[Heavy]
 
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.keys)
+
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        """By place in keys, the word's number in a task's tokens; that of words never learnt stands at -1."""
+        return np.append(self.rank + np.uint32(1), np.uint32(len(self.keys) + 1))
+
+    @cached_property
+    def bases(self) -> np.ndarray:
+        """By number - 1, log10 P(w) of words whose counts are certain, 0 of others."""
+        return np.append(np.log10(self.chance(np.append(self.counts, [0, 1]))), 0.0)
+
     def chance(self, count: np.ndarray | float) -> np.ndarray:
         return (count + 0.1) / (self.n + 0.1 * (self.v + 1))
 
@@ -283,6 +344,14 @@ class Heavy:
     grams: np.ndarray
     own: np.ndarray
 
+    @cached_property
+    def context_index(self) -> Index:
+        return Index(self.contexts)
+
+    @cached_property
+    def gram_index(self) -> Index:
+        return Index(self.grams)
+
 
 def heavy_contexts(rows: DataFrame, counted: DataFrame, known: Words, depth: int, often: float, heavy: float, state_count: int, mu: float) -> tuple[list[Heavy], list[DataFrame]]:
     """By length the contexts with more than ``heavy`` occurrences, and tables (key) of those runs of states and known next words that occur less than ``often`` times.
@@ -319,48 +388,58 @@ def heavy_contexts(rows: DataFrame, counted: DataFrame, known: Words, depth: int
         after = own + back[of] * parent
         gain = np.bincount(of, times_of * np.log(after / parent), len(times)) + np.maximum(0, times - total) * np.log(back)
         if rare is not None:
-            figures = spark.createDataFrame(pa.table({"of": np.arange(len(times), dtype=np.int32), "times": times, "back": back}))
-            rare = rare.join(F.broadcast(figures), "of").withColumn("after", (F.col("n") - DISCOUNT) / (F.col("times") + mu) + F.col("back") * F.col("lower"))
-            gains = rare.groupBy("of").agg(F.sum(F.col("n") * F.log(F.col("after") / F.col("lower"))).alias("gain")).toArrow()
+            number = np.arange(len(times), dtype=np.int32)
+            in_state = (F.col("n") - DISCOUNT) / (F.col("times") + mu) + F.col("back") * F.col("lower")
+            figures = spark.createDataFrame(pa.table({"of": number, "times": times, "back": back}))
+            gains = rare.join(F.broadcast(figures), "of").groupBy("of").agg(F.sum(F.col("n") * F.log(in_state / F.col("lower"))).alias("gain")).toArrow()
             gain[gains["of"].to_numpy()] += gains["gain"].to_numpy()
         state = (types > 0) & (gain > 0.5 * np.log(times + 1.0) * types) & (times >= state_count)
         if rare is not None:
-            states = spark.createDataFrame(pa.table({"of": np.arange(len(times), dtype=np.int32), "state": state}))
-            rare = rare.join(F.broadcast(states), "of")
-            lowers = rare.select("key", F.when(F.col("state"), F.col("after")).otherwise(F.col("lower")).alias("lower"))
-            pairs.append(rare.where("state").select("key"))
+            states = spark.createDataFrame(pa.table({"of": number[state], "times": times[state], "back": back[state]}), "of int, times bigint, back double")
+            lowers = rare.join(F.broadcast(states), "of", "left").select("key", F.coalesce(in_state, "lower").alias("lower"))  # only where there are longer heavy contexts
+            pairs.append(rare.join(F.broadcast(states), "of", "left_semi").select("key"))
         stays = state[of]
         out.append(Heavy(contexts, times, state, back, runs[stays], own[stays]))
         g, n, oldest, lower = runs, times_of, first[of], np.where(stays, after, parent)
     return out, pairs
 
 
-def _after_heavy(known: Words, contexts: list[np.ndarray], runs: list[np.ndarray], most: np.ndarray, times: np.ndarray | None = None, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By token A and B after its heavy contexts, and how many of its contexts are heavy, of the most that it has. times: by length how often the token's run occurs, where it is a rare one."""
-    a, b, levels = np.zeros(len(most)), np.ones(len(most)), np.zeros(len(most), np.int64)
-    for k, (tree, c, g) in enumerate(zip(known.heavy, contexts, runs), 1):
-        at = np.where((most >= k) & (levels == k - 1), _find(tree.contexts, c), -1)
-        levels[at >= 0] = k
-        here = np.flatnonzero((at >= 0) & tree.state[at])
-        back, found = tree.back[at[here]], _find(tree.grams, g[here])
-        add = np.zeros(len(here))
+def _after_heavy(known: Words, words: list[np.ndarray], most: np.ndarray, times: np.ndarray | None = None, mu: float = MU) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """By token A and B after its heavy contexts, how many of its contexts are heavy, of the most that it has, and by length the tokens with a heavy one, its place in the tree, and their runs.
+
+    words: hashes of the token and of those before it; times: by length how often the token's run occurs, where it is a rare one.
+    """
+    a, b, levels, met = np.zeros(len(most)), np.ones(len(most)), np.zeros(len(most), np.int8), []
+    here, context, run = np.arange(len(most)), words[1][:0], words[0]
+    for k, tree in enumerate(known.heavy, 1):
+        some = most[here] >= k
+        here, run = here[some], run[some]
+        context = longer(context[some], words[k][here]) if k > 1 else words[1][here]
+        at = tree.context_index.find(context)
+        some = at >= 0
+        here, context, at = here[some], context[some], at[some]
+        run = longer(run[some], words[k][here])
+        levels[here] = k
+        met.append((here, at, run))
+        states = np.flatnonzero(tree.state[at])
+        of, at = here[states], at[states]
+        back, found = tree.back[at], tree.gram_index.find(run[states])
+        add = np.zeros(len(of))
         add[found >= 0] = tree.own[found[found >= 0]]
         if times is not None:
-            n = times[k - 1][here]
+            n = times[k - 1][of]
             rare = (found < 0) & (n >= known.least)
-            add[rare] = (n[rare] - DISCOUNT) / (tree.times[at[here[rare]]] + mu)
-        a[here], b[here] = add + back * a[here], back * b[here]
-    return a, b, levels
+            add[rare] = (n[rare] - DISCOUNT) / (tree.times[at[rare]] + mu)
+        a[of], b[of] = add + back * a[of], back * b[of]
+    return a, b, levels, met
 
 
-def _hashes(words: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """From each token's word and those before it, nearest first: hashes of its contexts by length, and of these with the token."""
-    contexts, runs, gram = [], [], words[0]
-    for k, word in enumerate(words[1:]):
-        contexts.append(longer(contexts[-1], word) if k else word)
-        gram = longer(gram, word)
-        runs.append(gram)
-    return contexts, runs
+def _hashes(words: list[np.ndarray], here: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tokens at these places, from their words and those before them, nearest first: hashes of their contexts of k words, and of these with the token."""
+    context, run = words[1][here], longer(words[0][here], words[1][here])
+    for word in words[2 : k + 1]:
+        context, run = longer(context, word[here]), longer(run, word[here])
+    return context, run
 
 
 def grown(words: list[np.ndarray], most: np.ndarray, train: np.ndarray, again: np.ndarray, chance: np.ndarray, times: np.ndarray, known: Words, state_count: int, next_count: int, mu: float) -> tuple[np.ndarray, np.ndarray]:
@@ -369,26 +448,32 @@ def grown(words: list[np.ndarray], most: np.ndarray, train: np.ndarray, again: n
     words: hashes of the token and of those before it; most: how many of these may be its context; train: whether it is to be learnt from; again: whether its word can follow a context again;
     chance: P(w); times: by length how often its run after a heavy context occurs, where that is rare.
     """
-    contexts, runs = _hashes(words)
-    a, b, levels = _after_heavy(known, contexts, runs, most, times, mu)
+    a, b, levels, _ = _after_heavy(known, words, most, times, mu)
+    counts = train & again
+    here, context, run = np.zeros(0, np.int64), words[0][:0], words[0][:0]
     for k in range(1, len(words)):
-        here = np.flatnonzero((most >= k) & (levels < k))
+        some = most[here] >= k  # a context is no more frequent than without its oldest word, so only those that were frequent enough go on
+        here, context, run = here[some], longer(context[some], words[k][here[some]]), longer(run[some], words[k][here[some]])
+        new = np.flatnonzero((levels == k - 1) & (most >= k))
+        if len(new):
+            context, run = (np.concatenate(x) for x in zip((context, run), _hashes(words, new, k)))
+            here = np.concatenate([here, new])
         if not len(here):
             continue
-        _, of = np.unique(contexts[k - 1][here], return_inverse=True)
-        total = np.bincount(of[train[here]], minlength=int(of.max()) + 1)
+        first, of = _distinct(context)
+        total = np.bincount(of[train[here]], minlength=len(first))
         often = total[of] >= state_count
-        here, of = here[often], of[often]
-        first, run = _distinct(runs[k - 1][here])
-        n = np.bincount(run[(train & again)[here]], minlength=len(first))
+        here, of, context, run = here[often], of[often], context[often], run[often]
+        first, at = _distinct(run)
+        n = np.bincount(at[counts[here]], minlength=len(first))
         pairs = np.flatnonzero(n >= next_count)
-        at = here[first[pairs]]
-        back, state = diverging(of[first[pairs]], total, n[pairs], a[at] + b[at] * chance[at], mu)
+        one, of_pair = here[first[pairs]], of[first[pairs]]
+        back, state = diverging(of_pair, total, n[pairs], a[one] + b[one] * chance[one], mu)
         add = np.zeros(len(first))
-        add[pairs] = (n[pairs] - DISCOUNT) / (total[of[first[pairs]]] + mu)
+        add[pairs] = (n[pairs] - DISCOUNT) / (total[of_pair] + mu)
         stays = state[of]
-        here, of, run = here[stays], of[stays], run[stays]
-        a[here], b[here] = add[run] + back[of] * a[here], back[of] * b[here]
+        place, of, at = here[stays], of[stays], at[stays]
+        a[place], b[place] = add[at] + back[of] * a[place], back[of] * b[place]
     return a, b
 
 
@@ -448,38 +533,39 @@ def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> U(32)) % U(buckets)).astype(np.int32)
 
 
-def _levels(words: list[np.ndarray], most: np.ndarray, known: Words, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of tokens: the runs, A and B after heavy contexts, how many of the contexts are heavy, and the bucket of the first other one (of the word, where there is none)."""
-    contexts, runs = _hashes(words)
-    a, b, levels = _after_heavy(known, contexts, runs, most)
+def _next_bucket(words: list[np.ndarray], most: np.ndarray, levels: np.ndarray, buckets: int) -> np.ndarray:
+    """Of tokens with so many heavy contexts: the bucket of the first other one (of the word, where there is none)."""
     to = _bucket(words[0], buckets)
-    for k, c in enumerate(contexts):
-        here = (levels == k) & (most > k)
-        to[here] = _bucket(c[here], buckets)
-    return runs, a, b, levels, to
+    for k in range(1, len(words)):
+        here = np.flatnonzero((levels == k - 1) & (most >= k))
+        context = words[1][here]
+        for word in words[2 : k + 1]:
+            context = longer(context, word[here])
+        to[here] = _bucket(context, buckets)
+    return to
 
 
-def _rare_run(known: Words, contexts: list[np.ndarray], runs: list[np.ndarray], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rare_run(known: Words, met: list[tuple], tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether a token's run after one of its heavy contexts may be known but isn't broadcast, and the shortest such run."""
-    asks, key = np.zeros(len(levels), bool), np.zeros(len(levels), U)
+    asks, key = np.zeros(tokens, bool), np.zeros(tokens, U)
     if known.pairs is not None:
-        for k, tree in enumerate(known.heavy, 1):
-            here = np.flatnonzero((levels >= k) & ~asks)
-            here = here[marked(known.pairs, runs[k - 1][here])]
-            here = here[tree.state[_find(tree.contexts, contexts[k - 1][here])] & (_find(tree.grams, runs[k - 1][here]) < 0)]
-            asks[here], key[here] = True, runs[k - 1][here]
+        for tree, (here, at, run) in zip(known.heavy, met):
+            some = tree.state[at] & ~asks[here]
+            some[some] = marked(known.pairs, run[some])
+            some[some] = tree.gram_index.find(run[some]) < 0
+            asks[here[some]], key[here[some]] = True, run[some]
     return asks, key
 
 
-def _packed(numbers: np.ndarray, words: np.ndarray, frequent: int, places: np.ndarray) -> tuple[bytes, bytes | None]:
-    """Tokens by numbers, other words than frequent ones by their place in a list of their hashes; that list."""
-    table = numbers.astype("<u4")
-    own = table > frequent + 2
+def _packed(table: np.ndarray, words: np.ndarray, frequent: int) -> tuple[bytes, bytes | None]:
+    """Tokens by numbers, other words than frequent ones by their place in words, ascending hashes: packed with the row's own list of these; that list. The last row of the table is taken as it is."""
+    numbers = table[:-1]
+    own = numbers > frequent + 2
     if not own.any():
-        return pack(*table, places), None
-    rare, mine = np.unique(words[own], return_inverse=True)
-    table[own] = frequent + 3 + mine
-    return pack(*table, places), pack(rare)
+        return pack(table), None
+    rare, mine = np.unique(numbers[own] - np.uint32(frequent + 3), return_inverse=True)
+    numbers[own] = frequent + 3 + mine
+    return pack(table), pack(words[rare])
 
 
 def _sender(sent, depth: int, buckets: int, asking: bool):
@@ -491,79 +577,92 @@ def _sender(sent, depth: int, buckets: int, asking: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
+        frequent = len(known.keys)
         upto = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            ids, learnt = (pa.chunked_array([x[i] for x in held]).combine_chunks() for i in (0, 1))
-            word, before = (np.concatenate([x[j] for x in held]) for j in (2, 3))
-            sizes = np.concatenate([np.diff(x[4], prepend=0) for x in held])
+        def flush() -> pa.RecordBatch:
+            table, to = (np.concatenate(x, axis=-1) for x in list(zip(*held))[:2])
+            words, mine = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
+            at = used = 0
+            for part, _, own in held:  # its other words stand in the order of its table
+                numbers = table[:-1, at : at + part.shape[1]]
+                numbers[part[:-1] > frequent + 2] = frequent + 3 + mine[used : used + len(own)]
+                at, used = at + part.shape[1], used + len(own)
             held.clear()
-            of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-            train = np.asarray(learnt.to_numpy(zero_copy_only=False), bool)[of]
-            frequent = len(known.keys)
-            at = _find(known.keys, word)
-            number = np.full(len(word), frequent + 1, np.uint32)
-            number[at >= 0] = known.rank[at[at >= 0]] + 1
-            other = (at < 0) & marked(known.seen, word)
-            once = other & train & ~marked(known.again, word)
-            number[other] = frequent + 3
-            number[once] = frequent + 2
-            inner = (at >= 0) | marked(known.inner, word)
-            del at
-            most = np.zeros(len(word), np.int64)
-            words, numbers = [word], [number]
+            rows = []
+            for bucket, (at,) in _buckets(to, np.arange(len(to))):
+                part = table[:, at]
+                part[-1] = steps(part[-1])
+                rows.append((upto, *_packed(part, words, frequent), None, bucket))
+            return _tokens(rows)
+
+        def worked(batch: pa.RecordBatch, first: int, word: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Of documents, the first at this place among those with this id: holds tokens to be sent; gives rows of documents."""
+            of = np.repeat(np.arange(first, first + len(sizes), dtype=np.uint32), sizes)
+            train = np.repeat(np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool), sizes)
+            at = known.index.find(word)
+            number, inner = known.numbers[at], at >= 0
+            rare = np.flatnonzero(~inner)
+            own = word[rare]
+            inner[rare], other = marked(known.inner, own), marked(known.seen, own)
+            number[rare[other]] = frequent + 3
+            number[rare[other & train[rare] & ~marked(known.again, own)]] = frequent + 2
+            most = np.zeros(len(word), np.int8)
             for k in range(1, depth + 1):
                 most += (most == k - 1) & (before >= k) & _shifted(inner, k)
-                words.append(_shifted(word, k))
-                numbers.append(np.where(most >= k, _shifted(number, k), 0))
-            certain = number <= frequent + 2
-            contexts, runs = _hashes(words)
-            a, b, levels = _after_heavy(known, contexts, runs, most)
-            asks, key = _rare_run(known, contexts, runs, np.where(number <= frequent, levels, 0))
-            asks[~certain], key[~certain] = True, word[~certain]
+            near = np.flatnonzero(known.heavy[0].context_index.find(_shifted(word, 1)) >= 0) if known.heavy else np.zeros(0, np.int64)
+            near = near[most[near] > 0]  # tokens after a heavy context
+            a, b, heavies, met = _after_heavy(known, [word[np.maximum(near - k, 0)] for k in range(depth + 1)], most[near])
+            levels = np.zeros(len(word), np.int8)
+            levels[near] = heavies
+            asks = number == frequent + 3
+            asked, key = _rare_run(known, met, len(near))
+            asked &= number[near] <= frequent
+            asks[near[asked]] = True
+            here = np.flatnonzero(asks if asking else ~asks & (levels < most))
+            words, deep = [word[np.maximum(here - k, 0)] for k in range(depth + 1)], most[here]
             if asking:
-                sent_on, to = asks, _bucket(key, buckets)
+                keys = word.copy()
+                keys[near[asked]] = key[asked]
+                to = _bucket(keys[here], buckets)
             else:
-                sent_on, to = ~asks & (levels < most), np.zeros(len(word), np.int32)
-                for k in range(depth):
-                    to[levels == k] = _bucket(contexts[k][levels == k], buckets)
-                chance = known.chance(np.append(known.counts, [0, 1])[number[certain] - 1])
-                base, score = np.zeros(len(word)), np.zeros(len(word))
-                base[certain] = np.log10(chance)
-                score[certain] = np.log10(a[certain] + b[certain] * chance)
-                score[sent_on | asks] = 0
-                sums = [np.bincount(of, x, len(sizes)) for x in ((number <= frequent) | (number == frequent + 2), base, score)]
+                to = _next_bucket(words, deep, levels[here], buckets)
+                base = known.bases[number - 1]
+                score = np.where(~asks & (levels >= most), base, 0.0)
+                done = np.flatnonzero(~asks[near] & (heavies >= most[near]))
+                score[near[done]] = np.log10(a[done] + b[done] * known.chance(np.append(known.counts, [0, 1])[number[near[done]] - 1]))
+                sums = [np.bincount(of - np.uint32(first), x, len(sizes)) for x in ((number <= frequent) | (number == frequent + 2), base, score)]
                 docs, none = len(sizes), pa.nulls
                 yield _batch(
-                    [*FIGURES, "rare", "more", "bucket"], np.full(docs, upto), np.arange(docs, dtype=np.int32), ids, sizes, sums[0].astype(np.int64), *sums[1:], *(none(docs, pa.binary()) for _ in range(3)),
+                    [*FIGURES, "rare", "more", "bucket"], np.full(docs, upto), np.arange(first, first + docs, dtype=np.int32), batch.column(0), sizes, sums[0].astype(np.int64), *sums[1:], *(none(docs, pa.binary()) for _ in range(3)),
                     np.full(docs, upto % buckets, np.int32),
                 )
-            del contexts, runs, a, b
-            here = np.flatnonzero(sent_on)
-            place = of[here] * 2 + train[here]
-            for bucket, columns in _buckets(to[here], here, place):
-                at = columns[0]
-                data, rare = _packed(np.stack([x[at] for x in numbers]), np.stack([x[at] for x in words]), frequent, steps(columns[1]))
-                yield _tokens(upto, data, rare, None, bucket)
+            if len(here):
+                numbers = [number[here], *(np.where(deep >= k, number[np.maximum(here - k, 0)], np.uint32(0)) for k in range(1, depth + 1))]
+                own = np.concatenate([x[y > frequent + 2] for x, y in zip(words, numbers)])
+                held.append((np.stack([*numbers, of[here] * np.uint32(2) + train[here]]).astype("<u4"), to, own))
 
-        size = 0
-        for batch in pieces(batches):
+        size = docs = 0
+        for batch in pieces(batches, most=_PIECE):
             token, before, ends = tokens(batch.column(1).to_pylist())
-            held.append((batch.column(0), batch.column(2), token, before, ends))
-            size += len(token)
+            yield from worked(batch, docs, token, before, np.diff(ends, prepend=0))
+            size, docs = size + len(token), docs + len(ends)
             if size > _SENT:
-                yield from flush()
-                size = 0
+                if held:
+                    yield flush()
+                size = docs = 0
                 upto += 1
         if held:
-            yield from flush()
+            yield flush()
 
     return run
 
 
-def _tokens(i: int, data: bytes, rare: bytes | None, more: bytes | None, bucket: int) -> pa.RecordBatch:
-    return _batch([*FIGURES, "rare", "more", "bucket"], np.array([i]), *_nothing(1), *(pa.array([x], pa.binary()) for x in (data, rare, more)), np.array([bucket], np.int32))
+def _tokens(rows: list[tuple[int, bytes, bytes | None, bytes | None, int]]) -> pa.RecordBatch:
+    """Rows of tokens from their id, data, rare, more, bucket."""
+    ids, data, rare, more, bucket = zip(*rows)
+    return _batch([*FIGURES, "rare", "more", "bucket"], np.array(ids, np.int64), *_nothing(len(rows)), *(pa.array(x, pa.binary()) for x in (data, rare, more)), np.array(bucket, np.int32))
 
 
 @dataclass
@@ -583,31 +682,32 @@ class Tokens:
 def _opened(held: list[list], known: Words, depth: int) -> Tokens:
     """From id, data, rare, more."""
     frequent = len(known.keys)
-    counts = np.append(known.counts, [0, 1])
-    parts = []
+    parts, others, listed = [], [np.zeros(0, U)], 0
     for i, data, extra, more in held:
-        *table, step = unpack(data, *["<u4"] * (depth + 2))
-        numbers = np.stack(table)
-        words = np.zeros(numbers.shape, U)
-        inner = (numbers > 0) & (numbers <= frequent)
-        words[inner] = known.by_rank[numbers[inner] - 1]
-        if extra is not None:
-            own = numbers > frequent + 2
-            words[own] = unpack(extra, U)[0][numbers[own] - (frequent + 3)]
+        table = unpack(data, *["<u4"] * (depth + 2))
+        numbers, step = np.stack(table[:-1]), table[-1]
+        if extra is not None:  # its own words from now on by their place among all rows' own words
+            others.append(unpack(extra, U)[0])
+            numbers[numbers > frequent + 2] += np.uint32(listed)
+            listed += len(others[-1])
         if more is None:
-            ids, place = np.full(len(step), i), np.cumsum(step, dtype=np.int64)
-            count, times = counts[np.minimum(numbers[0], frequent + 2) - 1], np.zeros((depth, len(step)), np.uint32)
+            parts.append((numbers, np.full(len(step), i), np.cumsum(step, dtype=np.int64), np.full(len(step), -1), np.zeros((depth, len(step)), np.uint32)))
         else:
             ids, place, count, *times = unpack(more, np.int64, "<u4", "<i8", *["<u4"] * depth)
-            times = np.stack(times)
-        parts.append((numbers, words, (numbers[1:] > 0).sum(axis=0), ids, place >> 1, (place & 1).astype(bool), count, times))
-    return Tokens(*(np.concatenate(x, axis=-1) for x in zip(*parts)))
+            parts.append((numbers, ids, place.astype(np.int64), count, np.stack(times)))
+    numbers, ids, place, count, times = (np.concatenate(x, axis=-1) for x in zip(*parts))
+    words = known.by_rank.take(numbers.astype(np.int64) - 1, mode="clip") if frequent else np.zeros(numbers.shape, U)
+    words[(numbers == 0) | (numbers > frequent)] = 0
+    own = numbers > frequent + 2
+    words[own] = np.concatenate(others)[numbers[own] - np.uint32(frequent + 3)]
+    known_count = np.append(known.counts, [0, 1])[np.minimum(numbers[0], frequent + 2).astype(np.int64) - 1]
+    return Tokens(numbers, words, (numbers[1:] > 0).sum(axis=0), ids, place >> 1, (place & 1).astype(bool), np.where(count < 0, known_count, count), times)
 
 
 def _counter(sent, depth: int, buckets: int):
     """From the rows of one bucket after another, its words (id -2) first: its tokens, with the counts of their words and of their runs after heavy contexts, for the bucket of their context."""
 
-    def finished(words: list[bytes], held: list[list]) -> Iterator[pa.RecordBatch]:
+    def finished(words: list[bytes], held: list[list]) -> pa.RecordBatch:
         known = sent.value
         frequent = len(known.keys)
         keys, values = (np.concatenate(x) for x in zip(*(unpack(x, U, "<u4") for x in words))) if words else (np.zeros(0, U), np.zeros(0, np.uint32))
@@ -617,16 +717,21 @@ def _counter(sent, depth: int, buckets: int):
         rare = np.flatnonzero(t.numbers[0] > frequent + 2)
         at = _find(keys, t.words[0][rare])
         t.count[rare] = np.where(at >= 0, values[at], 0) if len(keys) else 0
-        runs, _, _, levels, to = _levels(list(t.words), t.most, known, buckets)
-        for k in range(1, len(known.heavy) + 1):
-            here = np.flatnonzero(levels >= k)
-            _, run = np.unique(runs[k - 1][here], return_inverse=True)
+        _, _, levels, met = _after_heavy(known, list(t.words), t.most)
+        for times, (here, _, run) in zip(t.times, met):
             if len(here):
-                t.times[k - 1, here] = np.bincount(run[t.train[here]], minlength=int(run.max()) + 1)[run]
+                _, run = np.unique(run, return_inverse=True)
+                times[here] = np.bincount(run[t.train[here]], minlength=int(run.max()) + 1)[run]
+        to = _next_bucket(list(t.words), t.most, levels, buckets)
         place = (t.place * 2 + t.train).astype("<u4")
+        own = t.numbers > frequent + 2
+        listed, mine = np.unique(t.words[own], return_inverse=True)
+        t.numbers[own] = frequent + 3 + mine
+        table = np.concatenate([t.numbers, np.zeros((1, len(to)), np.uint32)])
+        rows = []
         for bucket, (at,) in _buckets(to, np.arange(len(to))):
-            data, extra = _packed(t.numbers[:, at], t.words[:, at], frequent, np.zeros(len(at), "<u4"))
-            yield _tokens(-1, data, extra, pack(t.ids[at], place[at], t.count[at], *t.times[:, at]), bucket)
+            rows.append((-1, *_packed(table[:, at], listed, frequent), pack(t.ids[at], place[at], t.count[at], t.times[:, at]), bucket))
+        return _tokens(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, words, held = None, [], []
@@ -634,14 +739,14 @@ def _counter(sent, depth: int, buckets: int):
             for bucket, kind, data, rare, more in zip(*(batch.column(x).to_pylist() for x in ("bucket", "id", "data", "rare", "more"))):
                 if bucket != now:
                     if held:
-                        yield from finished(words, held)
+                        yield finished(words, held)
                     now, words, held = bucket, [], []
                 if kind == -2:
                     words.append(data)
                 else:
                     held.append([kind, data, rare, more])
         if held:
-            yield from finished(words, held)
+            yield finished(words, held)
 
     return run
 
@@ -660,10 +765,13 @@ def _grower(sent, depth: int, state_count: int, next_count: int, mu: float):
         chance = known.chance(t.count)
         value, rare = np.log10(a + b * chance), number > frequent + 2
         base = np.where(rare, np.log10(chance), 0.0)
+        ids, data = [], []
         for i, (of, *sums) in _buckets(t.ids, t.place, base, value, rare & (t.count > 0)):
             here = np.flatnonzero(np.bincount(of))
             base_sum, value_sum, seen = (np.bincount(of, x)[here] for x in sums)
-            yield _batch(FIGURES, np.array([i]), np.array([-1], np.int32), *_nothing(1)[1:], pa.array([pack(steps(here), base_sum, rounded(value_sum), seen.astype("<u4"))]))
+            ids.append(i)
+            data.append(pack(steps(here), base_sum, rounded(value_sum), seen.astype("<u4")))
+        yield _batch(FIGURES, np.array(ids, np.int64), np.full(len(ids), -1, np.int32), *_nothing(len(ids))[1:], pa.array(data, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []

@@ -6,8 +6,10 @@ import math
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,6 +416,48 @@ def test_workers_give_memory_back():
     assert kept and size() - before < 100  # of 320 MB
 
 
+def test_hashes_are_found_without_a_binary_search():
+    rnd = np.random.default_rng(3)
+    full = rnd.integers(0, 2**64, 9000, np.uint64)
+    for keys in (full[:0], full[:1], full, full >> np.uint64(50), np.array([0, 2**64 - 1], np.uint64)):
+        keys = np.unique(keys)
+        wanted = np.concatenate([keys, keys + np.uint64(1), full[:100], np.array([0, 2**64 - 1], np.uint64)])
+        places = {k: i for i, k in enumerate(keys.tolist())}
+        assert suffix_tree_lm.Index(keys).find(wanted).tolist() == [places.get(w, -1) for w in wanted.tolist()]
+
+
+def word_list(texts):
+    """What tasks know of the words of texts, all of them frequent, without heavy contexts."""
+    words, counts = np.unique(suffix_tree_lm.tokens(texts)[0], return_counts=True)
+    nothing = np.zeros(suffix_tree_lm.BITS // 64, np.uint64)
+    return suffix_tree_lm.Words(int(counts.sum()), len(words), 2, 1.0, words, counts, words, np.arange(len(words), dtype=np.uint32), nothing, nothing, nothing, None, [])
+
+
+def test_tokens_leave_a_task_in_few_batches_for_all_buckets(monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    texts = [" ".join(f"w{(7 * i + j * j) % 300}" for j in range(40)) for i in range(50)]
+    known, buckets = word_list(texts), 100
+    docs = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array(texts), pa.array([True] * 50)], ["doc_id", "text", "learnt"])
+    sent = list(suffix_tree_lm._sender(SimpleNamespace(value=known), 3, buckets, False)(iter([docs])))
+    assert [b.num_rows for b in sent][:1] == [50] and len(sent) == 2
+    assert len(set(sent[1].column("bucket").to_pylist())) == sent[1].num_rows > 60
+    opened = suffix_tree_lm._opened([[2 << 33, *row] for row in zip(*(sent[1].column(x).to_pylist() for x in ("data", "rare", "more")))], known, 3)
+    assert opened.numbers.shape == (4, 50 * 40) and opened.train.all()  # all but first words, with the words before them
+    met = list(suffix_tree_lm._grower(SimpleNamespace(value=known), 3, 2, 2, 20.0)(iter(sent)))
+    assert [b.num_rows for b in met if b.num_rows] == [50] + [1] * sent[1].num_rows
+
+
+def test_rare_runs_after_heavy_contexts_are_worked_out_once(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "cut", lambda df, label: df)
+    first, frequent = np.array([11, 12], np.uint64), np.array([5, 6], np.uint64)
+    sent = spark.sparkContext.broadcast((first, first, frequent, np.array([0.5, 0.25])))
+    table = spark.createDataFrame([(0, 5, 3), (1, 6, 2), (1, 7, 4)], "of int, parent bigint, n bigint")
+    found = suffix_tree_lm._rare_runs(table, sent, spark.createDataFrame([(7, 0.125), (8, 0.1)], "key bigint, lower double"))
+    runs = lambda of, parent: int(suffix_tree_lm.longer(np.array([parent], np.uint64), first[[of]]).view(np.int64)[0])
+    assert sorted(map(tuple, found.collect())) == sorted([(runs(0, 5), 0, 3, 0.5), (runs(1, 6), 1, 2, 0.25), (runs(1, 7), 1, 4, 0.125)])
+    assert found._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+
+
 def test_packed_columns_come_back():
     columns = [np.array([0, 7, 2**40], np.uint64), np.array([1, 255, 3], np.uint8), np.array([0.5, -2.25, 1e300])]
     back = suffix_tree_lm.unpack(suffix_tree_lm.pack(*columns), np.uint64, np.uint8, np.float64)
