@@ -374,3 +374,17 @@ def test_ranges_give_what_one_window_gives(spark):
     assert one == more and len(one) == 3000
     placed = metrics.numbered(rows.withColumn("id", F.monotonically_increasing_id()), [F.col("score").desc(), F.col("id").asc()]).collect()
     assert [r.place for r in placed] == list(range(1, 3001)) and all(a.score >= b.score for a, b in zip(placed, placed[1:]))
+
+
+def test_residue_numbers_of_more_than_four_digits(spark, tmp_path):
+    """Numbers over 9,999 come back as they were written, in order with others; what fits no columns is an error."""
+    numbers = [-999, 0, 9_999, 10_000, 45_999, 51_281, 1_223_055, 1_223_056, 2_436_111]
+    rows = [("s", i, "A", n, "GLY", 0.0625, -1.25, float(i)) for i, n in enumerate(numbers)]
+    schema = "structure_id string, node_id int, chain string, res_seq int, res_name string, x double, y double, z double"
+    write_files(spark.createDataFrame(rows, schema), f"file://{tmp_path}/wide").collect()
+    lines = read_files(spark, f"{tmp_path}/wide")
+    assert [tuple(r) for r in residues(lines, wide=True).orderBy("node_id").collect()] == [(*r[:5], 0.062, *r[6:]) for r in rows]  # as a half goes to even
+    assert [r.res_seq for r in residues(lines).orderBy("node_id").collect()] == numbers[:3]  # not so in files of others
+    for odd in ({"res_seq": 2_436_112}, {"res_seq": -1000}, {"x": 10_000.0}):
+        with pytest.raises(Exception, match="four columns|fit its columns"):
+            write_files(spark.createDataFrame([tuple((dict(zip(schema.split()[::2], rows[0])) | odd).values())], schema), f"file://{tmp_path}/odd").collect()
