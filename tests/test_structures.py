@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshwork.operators import graph, krylov, metrics, paths, pockets
-from meshwork.operators.contacts import ContactRule, both_ways, contacts
+from meshwork.operators.blocks import Tile
+from meshwork.operators.contacts import ContactRule, both_ways, contacts, network
 from meshwork.plans import workflows
 from meshwork.plans.catalog import FIXTURE, fixture_lines
 from meshwork.sources.structures import read_files, residues, without_residues, write_files
@@ -388,3 +389,56 @@ def test_residue_numbers_of_more_than_four_digits(spark, tmp_path):
     for odd in ({"res_seq": 2_436_112}, {"res_seq": -1000}, {"x": 10_000.0}):
         with pytest.raises(Exception, match="four columns|fit its columns"):
             write_files(spark.createDataFrame([tuple((dict(zip(schema.split()[::2], rows[0])) | odd).values())], schema), f"file://{tmp_path}/odd").collect()
+
+
+@pytest.fixture(scope="module")
+def clouds(spark):
+    """Two structures of random places, in several chunks of 16 nodes: a dense one, whose blocks are bit maps, and a thin one; with a missing number, places and a chain."""
+    rnd = np.random.default_rng(5)
+    rows = [(s, i, "AB"[i % 2], i, *(rnd.normal(size=3) * width).tolist()) for s, n, width in (("dense", 70, 4.0), ("thin", 45, 14.0)) for i in range(n) if i != 20]
+    rows[3], rows[5] = (*rows[3][:4], None, 0.0, 0.0), (*rows[5][:2], None, *rows[5][3:])
+    nodes = spark.createDataFrame(rows, "structure_id string, node_id int, chain string, res_seq int, x double, y double, z double").cache()
+    return nodes, both_ways(contacts(nodes)).cache(), network(nodes, chunk=16)
+
+
+def test_a_network_of_blocks_is_the_graph_of_contacts(clouds):
+    nodes, edges, blocks_of = clouds
+    found = set()
+    for r in blocks_of.matrix.collect():
+        i, j = Tile(r.i, r.j, r.bits, r.row_size, r.size).places()
+        found |= {(r.structure_id, a, b) for a, b in zip((i + 16 * r.row).tolist(), (j + 16 * r.chunk).tolist())}
+    assert found == {tuple(r) for r in edges.select("structure_id", "src", "dst").collect()} and len(found) > 100
+    assert {r.bits is None for r in blocks_of.matrix.collect()} == {True, False}
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(graph.degrees(nodes, blocks_of)) == as_set(graph.degrees(nodes, edges))
+    hot = nodes.where("node_id % 3 > 0").select("structure_id", "node_id")
+    assert as_set(graph.components(hot, blocks_of)) == as_set(graph.components(hot, graph.induced(edges, hot)))
+
+
+@pytest.mark.parametrize("sources,whole", [(7, 16), (64, 0), (64, 3)])
+def test_paths_over_networks(clouds, sources, whole):
+    """Structures that a task holds as a whole, those that it doesn't, and one of each (thin fits in three chunks): the same as by plain searches."""
+    nodes, edges, blocks_of = clouds
+    pairs = {}
+    for r in edges.collect():
+        pairs.setdefault(r.structure_id, []).append((r.src, r.dst))
+    want = {s: counted(sorted({(max(p), min(p)) for p in e}), n) for s, e, n in (("dense", pairs["dense"], 70), ("thin", pairs["thin"], 45))}
+    given = dict(sources=sources, chunk=16, whole=whole)
+    for s, (dist, number, score) in want.items():
+        reached = {}
+        for (a, b), d in dist.items():
+            reached.setdefault(a, []).append((d, number[a, b]))
+        counts = {r.source: (r.reached, r.farthest, r.n_paths) for r in paths.path_counts(nodes, blocks_of, **given).where(F.col("structure_id") == s).collect()}
+        assert counts == {a: (len(x), max(d for d, _ in x), sum(c for _, c in x)) for a, x in reached.items()}
+        far = {r.node_id: (r.r, r.far) for r in paths.reach(nodes, blocks_of, **given).where(F.col("structure_id") == s).collect() if r.r}
+        assert far == {a: (len(x) - 1, sum(d for d, _ in x)) for a, x in reached.items() if len(x) > 1}
+        got = {r.node_id: r.score for r in paths.betweenness(nodes, blocks_of, **given).where(F.col("structure_id") == s).collect()}
+        assert [got[i] for i in range(len(score)) if i != 20] == pytest.approx([x for i, x in enumerate(score) if i != 20], abs=1e-9)
+
+
+def test_what_an_evaluation_skips_takes_no_scores(spark, clouds, monkeypatch):
+    nodes, *_ = clouds
+    monkeypatch.setattr(workflows, "all_scores", None)
+    labels = nodes.where("structure_id = 'dense'").select("structure_id", "chain", "res_seq", (F.col("res_seq") % 2 == 0).alias("label"))
+    files = spark.createDataFrame([("dense",), ("thin",), ("empty",)], "structure_id string")
+    assert {tuple(r) for r in workflows.skipped(nodes, labels, files).collect()} == {("thin", "no labels"), ("empty", "no residues")}
