@@ -97,3 +97,19 @@ def test_a_bad_structure_takes_no_other_with_it(spark):
     assert {(r.stage, r.symbol, r.error) for r in done.errors.collect()} == {
         ("structure", "ODD", "coordinates that are not finite"), ("structure", "SINGLE", "fewer than two residues"), ("structure", "MISSING", "no residues in the structure"), ("target", "broken", "not readable: {"),
     }
+
+
+def test_a_bucket_holds_many_files(spark, tmp_path, monkeypatch):
+    """All files in one bucket, over three runs: states as in a batch, each file due once for each try it waits for, and what has ended stays."""
+    monkeypatch.setattr(downloads, "BUCKETS", 1)
+    rows = sorted(attempts(), key=lambda r: r[1])
+    given, folder, checkpoint = (str(tmp_path / x) for x in ("given", "changes", "checkpoint"))
+    for lo, hi in zip([0, 1_000_120, 1_000_230], [1_000_120, 1_000_230, 2_000_000]):
+        spark.createDataFrame([r for r in rows if moment(lo) <= r[1] < moment(hi)], ATTEMPT).coalesce(1).write.mode("append").parquet(given)
+        query = downloads.track(spark.readStream.schema(ATTEMPT).parquet(given), folder, checkpoint)
+        query.awaitTermination()
+        assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 10  # of one key, not of each file
+    changes = spark.read.schema(downloads.STATES).parquet(folder)
+    assert {r.id: (r.status, r.tries, r.due) for r in downloads.latest(changes).collect()} == plain_states(rows)
+    due = changes.where("status = 'due'")
+    assert due.groupBy("id", "tries").count().where("count > 1").count() == 0 and due.select("id").distinct().count() > 5
